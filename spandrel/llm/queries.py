@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from spandrel.llm import decontamination
+from spandrel.llm.decontamination import op8_decontamination
+from spandrel.llm.neardup import op6_setsketch_neardup
 from spandrel.llm.packing import op7_harmonic_packing
 
 QUERIES = {
+    "op6_setsketch_neardup": op6_setsketch_neardup,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_decontamination": decontamination.ORACLE_SQL,
+}
