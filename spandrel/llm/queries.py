@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from spandrel.llm import decontamination
 from spandrel.llm.decontamination import op8_decontamination
+from spandrel.llm.extraction import op10_text_density
 from spandrel.llm.neardup import op6_setsketch_neardup
 from spandrel.llm.packing import op7_harmonic_packing
+from spandrel.llm.pii import op9_weak_supervision_pii
 
 QUERIES = {
     "op6_setsketch_neardup": op6_setsketch_neardup,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_weak_supervision_pii": op9_weak_supervision_pii,
+    "op10_text_density": op10_text_density,
 }
 
 ORACLE_SQL = {
