@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spandrel.llm import decontamination
+from spandrel.llm import chat, decontamination
+from spandrel.llm.chat import op5_grammar_round_trip
 from spandrel.llm.decontamination import op8_decontamination
 from spandrel.llm.extraction import op10_text_density
 from spandrel.llm.neardup import op6_setsketch_neardup
@@ -10,6 +11,7 @@ from spandrel.llm.packing import op7_harmonic_packing
 from spandrel.llm.pii import op9_weak_supervision_pii
 
 QUERIES = {
+    "op5_grammar_round_trip": op5_grammar_round_trip,
     "op6_setsketch_neardup": op6_setsketch_neardup,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op8_decontamination": op8_decontamination,
@@ -18,5 +20,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_grammar_round_trip": chat.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
 }
