@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spandrel.llm import chat, decontamination
+from spandrel.llm import chat, decontamination, topk
 from spandrel.llm.chat import op5_grammar_round_trip
 from spandrel.llm.decontamination import op8_decontamination
 from spandrel.llm.extraction import op10_text_density
 from spandrel.llm.neardup import op6_setsketch_neardup
 from spandrel.llm.packing import op7_harmonic_packing
 from spandrel.llm.pii import op9_weak_supervision_pii
+from spandrel.llm.topk import op3_pivot_topk
 
 QUERIES = {
+    "op3_pivot_topk": op3_pivot_topk,
     "op5_grammar_round_trip": op5_grammar_round_trip,
     "op6_setsketch_neardup": op6_setsketch_neardup,
     "op7_harmonic_packing": op7_harmonic_packing,
@@ -20,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_pivot_topk": topk.ORACLE_SQL,
     "op5_grammar_round_trip": chat.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
 }
