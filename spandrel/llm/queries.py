@@ -6,12 +6,14 @@ from spandrel.llm import chat, decontamination, topk
 from spandrel.llm.chat import op5_grammar_round_trip
 from spandrel.llm.decontamination import op8_decontamination
 from spandrel.llm.extraction import op10_text_density
+from spandrel.llm.langid import op2_hierarchical_langid
 from spandrel.llm.neardup import op6_setsketch_neardup
 from spandrel.llm.packing import op7_harmonic_packing
 from spandrel.llm.pii import op9_weak_supervision_pii
 from spandrel.llm.topk import op3_pivot_topk
 
 QUERIES = {
+    "op2_hierarchical_langid": op2_hierarchical_langid,
     "op3_pivot_topk": op3_pivot_topk,
     "op5_grammar_round_trip": op5_grammar_round_trip,
     "op6_setsketch_neardup": op6_setsketch_neardup,
