@@ -8,9 +8,12 @@
    estimated jointly by likelihood from the registers, and those that may reach
    the threshold are confirmed on their full sets, made anew from the texts.
 3. A bucket whose members are in one component by then is done. In the others,
-   the next 1, 2, 4, ... members become centres against those of other
-   components, until no bucket has an untested pair across components. So no
-   pair in a bucket is dropped, and none is tested that can't change a component.
+   all members outside the bucket's largest component are compared with all
+   members of other components, in blocks of bounded size, from registers first
+   and then on full sets; a pair that agrees on several bands is compared in the
+   first one only. So no pair of different texts that meets in a bucket is
+   dropped, whatever the bucket's size, and none is listed that can't change a
+   component.
 
 All state between steps is in tables; the driver sees counts only.
 """
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import forget, small_enough, table, written
+from spandrel.llm.common import small_enough, table, written
 from spandrel.llm.graphs import components
 from spandrel.llm.setsketch import REGISTERS, likely_jaccard, sketch
 from spandrel.llm.shingles import mix, shingle_sets
@@ -37,6 +40,8 @@ LEAST_ESTIMATE = 0.56
 #: Most ids that are broadcast to pick the texts of candidate pairs.
 BROADCAST_IDS = 2_000_000
 _SIZE = 2 * ROWS
+#: Most members, and about the most shingles, in a block of a bucket.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 
 
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -106,29 +111,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     grouped = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min_by(F.struct("doc_id", "n", "registers"), "doc_id").alias("x"))
     classes = written(grouped.select("lo", "hi", F.col("x.doc_id").alias("node"), "x.n", "x.registers"), "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * _SIZE + 1, F.lit(_SIZE))))
-    bands = classes.select("node", F.explode(keys).alias("key"))
+    bands = classes.select("node", "n", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    members = written(bands.join(buckets, "key").filter("node <> centre"), "members")
+    members = written(bands.join(buckets, "key"), "members")
+    sets = written(_sets(docs, members.select("node").distinct(), width), "sets")
 
-    pairs = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    likely = written(_likely(pairs, classes), "likely")
-    edges = written(_confirmed(likely, _sets(docs, _nodes(likely), width)), "edges")
+    pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    edges = written(_confirmed(_likely(pairs, classes), sets), "edges")
     linked = written(components(edges), "linked")
-    # Members that were no centre yet, in buckets across components.
-    left, centres = members.select("key", "node"), 1
-    while True:
-        left = written(_unsettled(left, linked), "unsettled")
-        if left.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        ranked = left.withColumn("rank", rank)
-        centre = ranked.filter(F.col("rank") <= centres).select("key", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("rank").alias("rank_a"))
-        pairs = ranked.join(centre, "key").filter("component <> of_a AND rank > rank_a").select("a", F.col("node").alias("b")).distinct()
-        likely = written(_likely(pairs, classes), "likely")
-        if not likely.isEmpty():
-            edges = edges.union(written(_confirmed(likely, _sets(docs, _nodes(likely), width)), "edges"))
-            linked = written(components(edges), "linked")
-        left, centres = ranked.filter(F.col("rank") > centres).select("key", "node"), 2 * centres
+    more = written(_across(members.drop("centre"), linked, classes, sets), "edges")
+    if not more.isEmpty():
+        linked = written(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "linked")
 
     named = classes.join(linked, "node", "left").select("lo", "hi", "node", F.coalesce("component", "node").alias("component"))
     named = named.join(named.groupBy("node").agg(F.min("component").alias("least")), "node").select("lo", "hi", F.least("component", "least").alias("component"))
@@ -139,15 +132,87 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-
-def _unsettled(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """(key, node, component) of the buckets that still have more than one component."""
-    named = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-    return named.join(several, "key", "left_semi")
+def _across(members: DataFrame, linked: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (u, v) that join components, from all pairs across components in every bucket of members (key, band, node, n)."""
+    named = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    whole = parts.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"), F.max("rows").alias("in_main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).filter("parts > 1")
+    blocks = lambda rows: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select("key", "main", blocks(F.col("rows") - F.col("in_main")).alias("n_few"), blocks(F.col("rows")).alias("n_all"))
+    placed = named.join(whole, "key")
+    # Every block of members outside the main component meets every block of the bucket.
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
+    few = placed.filter("component <> main").select("key", "band", "node", "component", F.lit(True).alias("few"), F.explode(own("n_few")).alias("i"), each("n_all").alias("js")).withColumn("j", F.explode("js")).drop("js")
+    all_ = placed.select("key", "band", "node", "component", F.lit(False).alias("few"), F.explode(each("n_few")).alias("i"), own("n_all").alias("js")).withColumn("j", F.explode("js")).drop("js")
+    outside = placed.filter("component <> main").select("key", "node", F.lit(True).alias("outside"))
+    all_ = all_.join(outside, ["key", "node"], "left").withColumn("outside", F.coalesce("outside", F.lit(False)))
+    rows = few.withColumn("outside", F.lit(True)).unionByName(all_).join(classes.select("node", "registers"), "node").join(sets, "node")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "u long, v long").distinct()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between components within each group of rows with equal (key, i, j), which come together."""
+    held: list[dict] = []
+    last = None
+
+    def edges() -> pa.RecordBatch:
+        found = _edges(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+    for b in batches:
+        for at in range(0, b.num_rows, 200):
+            for row in b.slice(at, 200).to_pylist():
+                now = row["key"], row["i"], row["j"]
+                if now != last and held:
+                    yield edges()
+                last = now
+                row["hashes"] = np.array(row["hashes"], np.int64)
+                held.append(row)
+    if held:
+        yield edges()
+
+
+def _edges(rows: list[dict]) -> list[tuple[int, int]]:
+    few, many = [r for r in rows if r["few"]], [r for r in rows if not r["few"]]
+    if not few or not many:
+        return []
+    regs = [np.frombuffer(b"".join(r["registers"] for r in side), "<u2").reshape(-1, REGISTERS) for side in (few, many)]
+    column = lambda side, c: np.array([r[c] for r in side])
+    size = [np.array([len(r["hashes"]) for r in side], float) for side in (few, many)]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    picked = []
+    band = rows[0]["band"]
+    for at in range(0, len(few), 64):
+        f = slice(at, at + 64)
+        same = regs[0][f, None, :] == regs[1][None, :, :]
+        agree = same.reshape(*same.shape[:2], -1, ROWS).all(3)
+        ok = agree.any(2) & (agree.argmax(2) == band)  # compared in the first band of several
+        ok &= column(few, "component")[f, None] != column(many, "component")[None, :]
+        ok &= ~column(many, "outside")[None, :] | (column(few, "node")[f, None] < column(many, "node")[None, :])
+        low, high = np.minimum(size[0][f, None], size[1][None, :]), np.maximum(size[0][f, None], size[1][None, :])
+        ok &= 100 * low >= PERCENT * high
+        x, y = np.nonzero(ok)
+        if len(x):
+            j = likely_jaccard(regs[0][f][x], regs[1][y], size[0][f][x], size[1][y])
+            picked += [(-v, at + p, q) for v, p, q in zip(j, x.tolist(), y.tolist(), strict=True) if v >= LEAST_ESTIMATE]
+    found = []
+    for _, p, q in sorted(picked):
+        a, b = few[p], many[q]
+        if root(a["component"]) == root(b["component"]):
+            continue
+        both = len(np.intersect1d(a["hashes"], b["hashes"], assume_unique=True))
+        if 100 * both >= PERCENT * (len(a["hashes"]) + len(b["hashes"]) - both):
+            parent[root(a["component"])] = root(b["component"])
+            found.append((a["node"], b["node"]))
+    return found
 
 
 def op6_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
