@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import small_enough, table, written
@@ -132,6 +132,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with one row of each group: of the smallest doc_id, and of its rows one. Rows with a null doc_id all stay."""
+    found = near_duplicates(docs, width).filter(~F.col("kept")).select("doc_id").distinct()
+    found = F.broadcast(found) if small_enough(found, BROADCAST_IDS) else found
+    left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if twice.isEmpty():
+        return left
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns]))
+    several = left.join(twice, "doc_id", "left_semi").select(docs.columns).withColumn("once_", once).filter("once_ = 1").drop("once_")
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(several)
+
+
 def _across(members: DataFrame, linked: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (u, v) that join components, from all pairs across components in every bucket of members (key, band, node, n)."""
     named = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -231,6 +231,27 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return drawn.select(*others, plain(F.col("base")).alias("base"), F.array_sort(F.concat(plain(F.col("base")), chosen)).alias("spans"))
 
 
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with every span of column text replaced by its kind in angle brackets; overlapping spans become one.
+
+    A null text stays null.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    found = personal_data(docs.select(F.struct(*others, "text").alias("row_"), "text"))
+    text = F.col("row_.text")
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    out = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")),
+        lambda a, x: F.struct(
+            F.greatest(a["upto"], x["end"]).alias("upto"),
+            F.when(x["start"] >= a["upto"], F.concat(a["out"], F.substring(text, a["upto"] + 1, x["start"] - a["upto"]), F.element_at(names, x["kind"] + 1))).otherwise(a["out"]).alias("out"),
+        ),
+        lambda a: F.concat(a["out"], F.substring(text, a["upto"] + 1, F.length(text) - a["upto"])),
+    )
+    return found.select("row_.*", F.when(F.size("spans") > 0, out).otherwise(text).alias("masked_")).withColumn("text", F.col("masked_")).drop("masked_")
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -11,10 +11,12 @@ from spandrel.llm.neardup import op6_setsketch_neardup
 from spandrel.llm.packing import op7_harmonic_packing
 from spandrel.llm.pii import op9_weak_supervision_pii
 from spandrel.llm.topk import op3_pivot_topk
+from spandrel.llm.toxicity import op4_weak_supervision_toxicity
 
 QUERIES = {
     "op2_hierarchical_langid": op2_hierarchical_langid,
     "op3_pivot_topk": op3_pivot_topk,
+    "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
     "op5_grammar_round_trip": op5_grammar_round_trip,
     "op6_setsketch_neardup": op6_setsketch_neardup,
     "op7_harmonic_packing": op7_harmonic_packing,
