@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spandrel.llm import chat, decontamination, topk
+from spandrel.llm.brown import op1_brown_class_lm
 from spandrel.llm.chat import op5_grammar_round_trip
 from spandrel.llm.decontamination import op8_decontamination
 from spandrel.llm.extraction import op10_text_density
@@ -14,6 +15,7 @@ from spandrel.llm.topk import op3_pivot_topk
 from spandrel.llm.toxicity import op4_weak_supervision_toxicity
 
 QUERIES = {
+    "op1_brown_class_lm": op1_brown_class_lm,
     "op2_hierarchical_langid": op2_hierarchical_langid,
     "op3_pivot_topk": op3_pivot_topk,
     "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
