@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spandrel.plans import calendars, registers, retrieval  # noqa: F401  each adds its queries
+from spandrel.plans.common import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "search_hybrid"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
