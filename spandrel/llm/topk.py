@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ PIVOTS = 16
 #: Pivots are chosen, each farthest from those before, among so many vectors: those of the smallest hashes.
 SAMPLE = 1000
 GROUP, QUERIES = 8192, 2048
+#: Candidates evaluated at a time.
+CHUNK = 1024
 #: Rounding of distances between vectors of integers that double precision still holds exactly.
 SLACK = 1e-6
 #: Beyond this, squared lengths are no longer exact in double precision.
@@ -57,71 +58,94 @@ def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     return found
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.int64).reshape(len(column), -1)
-
-
 def with_distances(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds d (distances to the pivots) and near (the nearest pivot's number)."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for dim, part in frame.groupby("dim"):
-                x, p = _matrix(part["v"]).astype(float), pivots.get(dim, np.zeros((1, dim)))
+    """(vec_id, dim, v, n2, d, near): v as bytes, its squared length, its distances to the pivots, and the nearest pivot's number."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, dims, rows = (b.column(c).to_pylist() for c in ("vec_id", "dim", "v"))
+            for dim in sorted(set(dims)):
+                own = [i for i, n in enumerate(dims) if n == dim]
+                v = np.array([rows[i] for i in own], "<i8").reshape(len(own), dim)
+                x, p = v.astype(float), pivots.get(dim, np.zeros((1, dim)))
                 d = np.stack([np.linalg.norm(x - q, axis=1) for q in p], 1)
-                yield part.assign(d=list(d), near=d.argmin(1))
+                columns = [pa.array([ids[i] for i in own], pa.int64()), pa.array([dim] * len(own), pa.int32()), pa.array([r.tobytes() for r in v], pa.binary()), pa.array((x**2).sum(1)), pa.array(list(d), pa.list_(pa.float64())), pa.array(d.argmin(1), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "v", "n2", "d", "near"])
 
-    return vectors.mapInPandas(work, "vec_id long, v array<long>, dim int, d array<double>, near int")
+    return vectors.mapInArrow(work, "vec_id long, dim int, v binary, n2 double, d array<double>, near int")
 
 
-def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of integers, exact: in double precision where it holds them."""
-    if np.abs(q).max(initial=0) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1) < EXACT:
-        return np.rint(q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(r, c, strict=True)) for c in x] for r in q], object).reshape(len(q), len(x))
+def _products(q: np.ndarray, x: np.ndarray):
+    """A function of (queries, candidates), as row numbers, giving exact inner products; in floats that hold them exactly."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
+    if most < EXACT:
+        kind = np.float32 if most < 2.0**24 else np.float64
+        qf, xf = q.astype(kind), x.astype(kind)
+        return lambda i, j: (qf[i] @ xf[j].T).astype(np.int64)
+    return lambda i, j: np.array([[sum(int(a) * int(b) for a, b in zip(r, c, strict=True)) for c in x[j]] for r in q[i]], object).reshape(len(i), len(j))
 
 
-def search(q: np.ndarray, q_id: np.ndarray, q_d: np.ndarray, least: np.ndarray, x: np.ndarray, x_id: np.ndarray, x_d: np.ndarray, top: int) -> Iterator[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's best candidates here; least: scores below it aren't wanted."""
+def search(q: np.ndarray, q_id: np.ndarray, q_d: np.ndarray, least: np.ndarray, x: np.ndarray, x_id: np.ndarray, x_d: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, vec ids, scores) of the queries' best candidates here; least: scores below it aren't wanted.
+
+    Queries go in batches. Candidates are taken in the order of the best bound
+    that any query of the batch gives them, a chunk at a time, and evaluated for
+    the queries that some bound in the chunk still allows; the batch ends with
+    the first chunk whose bounds are all below every query's k-th score.
+    """
     if not len(x) or not len(q):
         return
+    products = _products(q, x)
     q2, x2 = (q.astype(float) ** 2).sum(1), (x.astype(float) ** 2).sum(1)
+    q_d, x_d = q_d.astype(np.float32), np.ascontiguousarray(x_d.T.astype(np.float32))
     for at in range(0, len(q), 128):
-        part = slice(at, at + 128)
-        bound = np.zeros((len(q[part]), len(x)))
-        for j in range(x_d.shape[1]):
-            np.maximum(bound, np.abs(q_d[part, j, None] - x_d[None, :, j]), out=bound)
-        bound = np.maximum(bound - SLACK * (1 + bound), 0)
-        upper = (q2[part, None] + x2[None, :] - bound**2) / 2 * (1 + 1e-12) + SLACK
-        for i in range(len(upper)):
-            n = at + i
-            may = np.flatnonzero((upper[i] >= least[n]) & (x_id != q_id[n]))
-            order = may[np.argsort(-upper[i][may], kind="stable")]
-            ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            step, k = 4 * top, 0
-            while k < len(order):
-                if len(scores) >= top and upper[i][order[k]] < scores[-1]:
-                    break  # no later candidate can reach, nor tie with, the last of the best
-                some = order[k : k + step]
-                k, step = k + step, 2 * step
-                ids = np.concatenate([ids, x_id[some]])
-                scores = np.concatenate([scores, _dot(q[n : n + 1], x[some])[0]])
-                best = np.lexsort((ids, -scores))[:top]
-                ids, scores = ids[best], scores[best]
-            yield from zip([int(q_id[n])] * len(ids), ids.tolist(), scores.tolist(), strict=True)
+        rows = np.arange(at, min(at + 128, len(q)))
+        bound = np.zeros((len(rows), len(x)), np.float32)
+        for j in range(len(x_d)):
+            np.maximum(bound, np.abs(q_d[rows, j, None] - x_d[j][None, :]), out=bound)
+        near = np.maximum(bound.astype(float) * (1 - SLACK) - SLACK * (1 + np.sqrt(max(q2[rows].max(), x2.max()))), 0)
+        upper = (q2[rows, None] + x2[None, :] - near**2) / 2 * (1 + 1e-12) + SLACK
+        worst = least[rows].astype(float)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(rows)
+        reach = upper.max(0)
+        order = np.argsort(-reach, kind="stable")
+        for k in range(0, len(order), CHUNK):
+            some = order[k : k + CHUNK]
+            if reach[some[0]] < worst.min():
+                break  # no later candidate can reach, nor tie with, the last of any query's best
+            live = np.flatnonzero(upper[:, some].max(1) >= worst)
+            if not len(live):
+                continue
+            score = products(rows[live], some)
+            hit = (score >= worst[live, None]) & (x_id[some][None, :] != q_id[rows[live], None])
+            for i, found in zip(live, hit, strict=True):
+                if found.any():
+                    n = rows[i] - at
+                    ids = np.concatenate([best[n][0], x_id[some[found]]])
+                    scores = np.concatenate([best[n][1], score[np.searchsorted(live, i)][found]])
+                    keep = np.lexsort((ids, -scores))[:top]
+                    best[n] = ids[keep], scores[keep]
+                    if len(keep) == top:
+                        worst[n] = max(worst[n], float(scores[keep[-1]]))
+        for n, (ids, scores) in enumerate(best):
+            yield np.full(len(ids), q_id[rows[n]]), ids, scores
 
 
 def _joint(keyed: DataFrame, queries: DataFrame, keys: list[str], top: int) -> DataFrame:
     """search() for every group of candidates and the queries with equal keys."""
 
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            arrays = lambda f: (_matrix(f["v"]), f["vec_id"].to_numpy(np.int64), np.array(f["d"].tolist(), float))
-            rows = list(search(*arrays(right), right["least"].to_numpy(float), *arrays(left), top))
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = np.frombuffer(b"".join(t.column("v").to_pylist()), "<i8").reshape(t.num_rows, -1)
+        return v, t.column("vec_id").to_numpy(), np.array(t.column("d").to_pylist(), float)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            parts = list(search(*arrays(right), right.column("least").to_numpy(), *arrays(left), top))
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3)]
+        return pa.table([pa.array(c.astype(np.int64), pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    return keyed.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(work, "query_id long, vec_id long, score long")
+    return keyed.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(work, "query_id long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
@@ -150,12 +174,11 @@ def top_k(embeddings: DataFrame, every: int = EVERY, top: int = TOP) -> DataFram
     known = queries.drop("part", "near").join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
 
     # What each group can reach at most, by the range of its distances to each pivot; one row per group.
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    spans = grouped.select("dim", "near", "part", norm.alias("n2"), F.posexplode("d").alias("pivot", "x")).groupBy("dim", "near", "part", "pivot").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n2").alias("n2"))
-    groups = spans.groupBy("dim", "near", "part").agg(F.array_sort(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("spans"), F.max("n2").alias("n2"))
+    spans = grouped.select("dim", "near", "part", "n2", F.posexplode("d").alias("pivot", "x")).groupBy("dim", "near", "part", "pivot").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n2").alias("n2"))
+    groups = spans.groupBy("dim", "near", "part").agg(F.array_sort(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("spans"), F.max("n2").alias("most"))
     gap = F.aggregate(F.arrays_zip(F.col("spans"), F.col("d").alias("q")), F.lit(0.0), lambda a, x: F.greatest(a, x["spans"]["lo"] - x["q"], x["q"] - x["spans"]["hi"]))
     gap = F.greatest(gap - SLACK * (1 + gap), F.lit(0.0))
-    reach = (norm + F.col("n2") - gap * gap) / 2 * (1 + 1e-12) + SLACK
+    reach = (F.col("n2") + F.col("most") - gap * gap) / 2 * (1 + 1e-12) + SLACK
     visits = known.join(groups, "dim").filter(reach >= F.col("least"))
     total = queries.count()
     blocks = max(1, -(-total // QUERIES))
