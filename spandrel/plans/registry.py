@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spandrel.plans import calendars, registers, retrieval  # noqa: F401  each adds its queries
+from spandrel.plans import calendars, registers, retrieval, texts  # noqa: F401  each adds its queries
 from spandrel.plans.common import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_hybrid"
