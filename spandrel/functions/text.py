@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The Swedish stop words of PostgreSQL 17, and two auxiliary verbs.
 STOP_WORDS = """
@@ -28,13 +29,13 @@ TOKEN = (
 _MARKS = r"[̀-ͯ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -66,6 +67,16 @@ _ENDINGS = sorted(
 )
 
 
+# Stems after which "et" stays.
+_KEEP_ET = tuple("h iet uit fab cit dit alit ilit mit nit pit rit sit tit ivit kvit xit kom rak pak stak".split())
+
+
+def _ends_in_et(word: str, region: int) -> bool:
+    """Whether a word ends in the article "et", after a consonant and a vowel somewhere before."""
+    head = word[:-2]
+    return word.endswith("et") and len(head) >= region and head[-1] not in _VOWELS and any(c in _VOWELS for c in head[:-1]) and not head.endswith(_KEEP_ET)
+
+
 def stem(word: str) -> str:
     """The stem of a lower-case word of letters."""
     first = next((i for i in range(1, len(word)) if word[i] not in _VOWELS and word[i - 1] in _VOWELS), None)
@@ -76,6 +87,8 @@ def stem(word: str) -> str:
     plural = word.endswith("s") and len(word) > region and len(word) > 1 and word[-2] in _S_ENDING
     if ending:
         word = word[: -len(ending)]
+    elif _ends_in_et(word, region):
+        word = word[:-2]
     elif plural:
         word = word[:-1]
     if word[-2:] in ("dd", "gd", "nn", "dt", "gt", "kt", "tt") and len(word) - 2 >= region:
@@ -86,7 +99,7 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stemmed(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of words of letters; other tokens as they are. Apply to distinct terms."""
     for part in terms:
