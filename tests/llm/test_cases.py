@@ -1,0 +1,209 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, per operator."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from spandrel.llm import brown, chat, decontamination, extraction, langid, neardup, packing, pii, topk, toxicity
+from tests.conftest import rows
+from tests.llm import brute
+
+LONG = " ".join(f"word{i}" for i in range(30_000))
+TEXTS = [(1, "A b c d e f g h"), (2, "a B c d e f g h"), (2, "a b c d e f g h"), (3, None), (4, ""), (None, "x y"), (5, LONG), (6, "!!! ???")]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, t, None, "s", None, 7.0) for i, t in TEXTS], "doc_id long, text string, lang string, source string, n_chars long, score double")
+
+
+@pytest.fixture
+def none(docs):
+    return docs.filter("false")
+
+
+def test_brown(docs, none):
+    flagged = docs.withColumn("learn", F.lit(True))
+    got = brown.scores(flagged, "learn").collect()
+    assert len(got) == len(TEXTS) and all(r["n_known"] == r["n_tokens"] for r in got)
+    assert [r["n_tokens"] for r in got if r["doc_id"] in (3, 4)] == [1, 1]
+    assert brown.scores(none.withColumn("learn", F.lit(True)), "learn").count() == 0
+    assert {r["n_known"] for r in brown.scores(docs.withColumn("learn", F.lit(False)), "learn").collect()} == {0}
+
+
+def test_class_probabilities_sum_to_one():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pairs = np.zeros((brown.START + 1, brown.START + 1))
+    pairs[:40, :40] = rng.integers(0, 5, (40, 40))
+    sizes = pairs.sum(0)[:-1]
+    model = brown.ClassModel(pairs, (sizes > 0).astype(float), sizes)
+    assert (10**model.transition).sum(1) == pytest.approx(1)
+
+
+def test_langid(spark, docs, none):
+    learn = spark.createDataFrame([("the cat sat on the mat and the hat", "en"), ("der Hund und die Katze sind auf dem Dach", "de"), ("le chat est sur la table et la chaise", "fr"), ("el gato y la mesa son de los reyes", "es"), ("x", None)], "text string, lang string")
+    model = langid.fit(learn, F.lit(True))
+    assert set(model.members) == {"germanic", "romance"}
+    got = langid.predict(docs, model)
+    assert got.count() == len(TEXTS) and {r["lang_pred"] for r in got.filter("text IS NULL OR text IN ('', '!!! ???')").collect()} == {"und"}
+    assert got.filter("score < 0 OR score > 1").count() == 0 and got.filter("doc_id = 1").first()["lang_pred"] in model.members["germanic"] + model.members["romance"]
+    assert langid.predict(none, model).count() == 0 and langid.fit(learn.filter("false"), F.lit(True)) is None
+    assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
+
+
+def test_topk_edges(spark):
+    v = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-0.01, -1.0]), (8, [1.0, 2.0, 3.0]), (40, [0.0, 0.0]), (60, [1e9, -1e9])]
+    v += [(100 + i, [1.0, 0.0]) for i in range(60)]
+    df = spark.createDataFrame([(i, x, 1) for i, x in v], "vec_id long, embedding array<double>, score int")
+    assert rows(topk.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(brute.top_k(v), key=repr)
+    assert topk.top_k(df.filter("false")).count() == 0
+    assert rows(topk.top_k(df.union(df)), "query_id", "rank", "vec_id", "score") == sorted(brute.top_k(v), key=repr)
+
+
+def test_toxicity(spark, docs, none):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs.select("doc_id", "text"), labels, F.lit(True))
+    assert got.count() == len(TEXTS) and got.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    assert toxicity.score(none.select("doc_id", "text"), labels, F.lit(True)).count() == 0
+
+
+def test_label_model_finds_voters_that_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.3
+    votes = np.stack([np.where(rng.random(4000) < a, y, ~y) * 2 - 1 for a in (0.95, 0.9, 0.55)], 1)
+    model = toxicity.LabelModel(votes, np.where(np.arange(4000) < 200, y, -1), np.ones(4000))
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.93
+
+
+@pytest.mark.parametrize("text", ["", "\\", "</turn>", r"\</turn>", "### User: x\n</turn>\n", "a\n</turn>", r"\\### Assistant: ", "### User:"])
+@pytest.mark.parametrize("role", ["user", "assistant", "", 'od"d\n role: '])
+def test_chat_round_trip(role, text):
+    whole, start, end = chat.render(role, text)
+    assert [(r, t) for r, t, _, _ in chat.parse(whole + whole)] == [(role, text)] * 2
+    assert whole[start:end] in (text, chat.escape(text))
+
+
+def test_chat_edges(spark):
+    turns = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "a"), (2, None, None, "x"), (None, 0, "user", "y"), (1, 1, "assistant", "a")]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, place int")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df)).collect()}
+    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 3
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"aab").hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\na\nassistant\na\nassistant\nb\n").hexdigest()
+    assert got[2]["loss_chars"] == 0 and None in got
+    assert chat.read_back(chat.formatted(df.filter("false"))).count() == 0
+
+
+def test_neardup_edges(docs, none):
+    got = rows(neardup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted([(1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 0, 3, True), (4, 0, 4, True), (None, 1, None, True), (5, 29996, 5, True), (6, 1, 6, True)], key=repr)
+    assert neardup.near_duplicates(none).count() == 0
+    left = neardup.deduplicated(docs)
+    assert left.columns == docs.columns and rows(left, "doc_id") == sorted([(1,), (3,), (4,), (None,), (5,), (6,)], key=repr)
+
+
+def test_neardup_chains_and_copies(spark):
+    """A chain of small changes is one component though its ends differ; many copies are one class; shared lines link nothing."""
+    base = [f"w{i}" for i in range(60)]
+    chain = [" ".join([f"x{j}" if j < k else w for j, w in enumerate(base)]) for k in range(0, 24, 3)]
+    texts = [(i, t) for i, t in enumerate(chain)] + [(100 + i, "same words in every one of these copies") for i in range(300)]
+    texts += [(1000 + i, "a shared line of exactly nine words stands here " + " ".join(f"own{i}_{j}" for j in range(40))) for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute.near(texts) and len({got[i][1] for i in range(len(chain))}) == 1
+
+
+def test_neardup_bucket_without_a_common_centre(spark):
+    """Copies that are each linked with some others only: what the first member of a bucket misses is found by blocks."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 2, 3])):
+            w[at] = f"v{i}_{at}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    want = brute.near(texts)
+    assert got == want
+
+
+def test_packing_edges(docs, none):
+    got = packing.pack(docs).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] in (3, 4)) == 2
+    assert {r["doc_tokens"] for r in got if r["doc_id"] == 5} == {sum(r["length"] for r in got if r["doc_id"] == 5)}
+    assert packing.pack(none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["It's I'LL we've 12.5%%% don''t!'s", "é́ é ẞß ΑΣ İ x y z \x1c\x85", "<|endoftext|> a<|startoftext|>b", "𝄞a\ud83d", "\t\n  ", "ÀÖØöøÿ×÷ªº"])
+def test_word_encoder_equals_tokenizer(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = text.encode("utf-8", "ignore").decode()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    import struct
+
+    assert packing.WordEncoder(path).encode([text, text]) == [struct.pack(f"<{len(want)}I", *want)] * 2
+
+
+def test_decontamination_edges(spark, docs, none):
+    item = " ".join(f"word{i}" for i in range(100, 120))
+    bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "B c", 0), (None, "word5 word6", 0), (1, item, 1)], "item_id long, text string, row int")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in decontamination.contamination(docs, bench).collect()}
+    assert (1, 8, 2, ("4",), True) in got and (3, 0, 0, (), False) in got and (5, 30_000, 22, ("1",), False) in got and (6, 0, 0, (), False) in got
+    assert decontamination.contamination(none, bench).count() == 0
+    assert decontamination.contamination(docs, bench.filter("false")).filter("contaminated OR n_hit > 0").count() == 0
+    assert rows(decontamination.remove_contaminated(docs, bench), "doc_id") == sorted([(3,), (4,), (None,), (5,), (6,)], key=repr)
+
+
+def test_decontamination_without_broadcast(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(100, 120)))], "item_id long, text string")
+    want = rows(decontamination.contamination(docs, bench).drop("item_ids"))
+    monkeypatch.setattr(decontamination, "SET_LIMIT", 1)
+    monkeypatch.setattr(decontamination, "WINDOW_LIMIT", 1)
+    assert rows(decontamination.contamination(docs, bench).drop("item_ids")) == want
+
+
+NASTY = ["a@b.cc_d@e.ff x", "@@a@b..c a@.-@- +1 (22) 33344455-66 7", "1.2.3.4.5.6.7.8 0001.02.3.255 256.1.1.1.1", "4785 3805-9239 1139 4785380592391139 47853805923911390", "+1+12345678901 +1 ((((1234567890", "é 𝄞 a@b.c 𝄞 1.2.3.4", "", "x" * 5000 + "@", "1 " * 3000, "a@b" + ".c" * 6000, None, "pass password=7602ad27cf5550de1c end"]
+
+
+def test_pii_edges(spark, none):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(NASTY)], "doc_id long, text string, start int")
+    got = {r["doc_id"]: (r["b"], r["s"]) for r in pii.personal_data(df).select("doc_id", pii._joined(F.col("base")).alias("b"), pii._joined(F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(NASTY):
+        assert got[i][0] == ",".join(brute.private(t)), t
+    assert pii.personal_data(none).count() == 0
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
+    assert masked[5] == "é 𝄞 <email> 𝄞 <ip>" and masked[10] is None and masked[6] == ""
+
+
+PAGES = [
+    (None, ""),
+    ("", ""),
+    ("just text", "just text"),
+    ("<body><nav>a</nav><div class='cookie-notice'>We use cookies</div><main><header><h1>T &amp; x</h1></header><p>One\n two&nbsp;three</p><p>Four<script>var a='</p>'</script></p></main><aside>s</aside><section id=comments><p>nice</p></section><footer>f</footer>", "T & x\n\nOne two three\n\nFour"),
+    ("<article><h1>H</h1><p><b>First<br><p>Second<ul><li>x<li>y</ul>", "H\n\nFirst\n\nSecond\n\nx\n\ny"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+]
+
+
+@pytest.mark.parametrize(("source", "wanted"), PAGES)
+def test_main_text(source, wanted):
+    assert extraction.main_text(source or "") == wanted
+
+
+def test_extraction_edges(spark):
+    df = spark.createDataFrame([(i, "u", h, 1) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
+    got = extraction.extract(df)
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {i: t for i, (_, t) in enumerate(PAGES)}
+    assert extraction.extract(df.filter("false")).count() == 0
