@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: For str.translate: lower-cases A-Z alone.
-ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ascii_lower(text: str) -> str:
+    """A-Z to a-z and nothing else."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII alone take the quicker function."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
@@ -29,6 +32,15 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; its session passes at most so many rows at a time to Python from now on, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "0")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

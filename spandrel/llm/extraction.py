@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import table
+from spandrel.llm.common import small_batches, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -229,7 +229,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = pa.array([main_text(x or "") for x in b.column("html").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], texts], [*others, "text"])
 
-    return pages.select(*others, F.col("html").cast("string")).mapInArrow(work, schema)
+    return small_batches(pages).select(*others, F.col("html").cast("string")).mapInArrow(work, schema)
 
 
 def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

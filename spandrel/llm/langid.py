@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import held_out, table
+from spandrel.llm.common import held_out, small_batches, table
 
 DIMENSIONS = 1 << 12
 #: About so many training rows of each language are drawn, by a hash of their text, to fit the machines.
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         langs[i], scores[i] = lang, float(score)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*others, "lang_pred", "score"])
 
-    return docs.select(*others).mapInArrow(work, schema)
+    return small_batches(docs).select(*others).mapInArrow(work, schema)
 
 
 def op2_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

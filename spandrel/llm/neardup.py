@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import small_enough, table, written
+from spandrel.llm.common import small_batches, small_enough, table, written
 from spandrel.llm.graphs import components
 from spandrel.llm.setsketch import REGISTERS, likely_jaccard, sketch
 from spandrel.llm.shingles import mix, shingle_sets
@@ -49,7 +49,7 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.uint64(0xD6E8FEB86659FD93)
-        for b in batches:
+        for b in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             n, lo, hi, regs = [], [], [], []
             for s in shingle_sets([x or "" for x in b.column("text").to_pylist()], width):
                 n.append(len(s))
@@ -65,7 +65,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(node, hashes): full shingle sets of the documents whose ids are given."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             sets = [s.view(np.int64) for s in shingle_sets([x or "" for x in b.column("text").to_pylist()], width)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     component_id is null and it is kept. An empty table gives no rows; other
     columns are not read.
     """
-    rows = written(sketched(docs, width), "sketches")
+    rows = written(sketched(small_batches(docs), width), "sketches")
     grouped = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min_by(F.struct("doc_id", "n", "registers"), "doc_id").alias("x"))
     classes = written(grouped.select("lo", "hi", F.col("x.doc_id").alias("node"), "x.n", "x.registers"), "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * _SIZE + 1, F.lit(_SIZE))))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import table
+from spandrel.llm.common import small_batches, table
 
 CAPACITY = 2048
 #: Below this, what is left of a document is a fragment and is not cut again.
@@ -37,7 +37,7 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 # In texts of these characters alone, NFC changes nothing and lower-casing is one to one, so that
 # the tokenizer's own splitting rule can be applied here and the ids of each piece remembered.
-_UNSAFE = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]")
+_UNSAFE = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]|<\|")  # "<|" may begin a special token
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if rows := list(packer.close()):
             yield batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, SCHEMA)
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

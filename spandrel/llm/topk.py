@@ -179,12 +179,14 @@ def top_k(embeddings: DataFrame, every: int = EVERY, top: int = TOP) -> DataFram
     gap = F.aggregate(F.arrays_zip(F.col("spans"), F.col("d").alias("q")), F.lit(0.0), lambda a, x: F.greatest(a, x["spans"]["lo"] - x["q"], x["q"] - x["spans"]["hi"]))
     gap = F.greatest(gap - SLACK * (1 + gap), F.lit(0.0))
     reach = (F.col("n2") + F.col("most") - gap * gap) / 2 * (1 + 1e-12) + SLACK
-    visits = known.join(groups, "dim").filter(reach >= F.col("least"))
-    total = queries.count()
-    blocks = max(1, -(-total // QUERIES))
-    visits = visits.select("dim", "near", "part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v", "d", "least")
+    # Blocks of queries, so that the ranges of the groups are compared with the queries in many tasks.
+    blocks = max(1, -(-queries.count() // QUERIES))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    known = known.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    visits = known.join(groups.withColumn("block", each), ["dim", "block"]).filter(reach >= F.col("least"))
+    visits = visits.select("dim", "near", "part", "block", "vec_id", "v", "d", "least")
     visits = visits.toDF(*visits.columns)
-    shipped = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shipped = grouped.withColumn("block", each)
     found = _joint(shipped, visits, ["dim", "near", "part", "block"], top)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import held_out, small_enough, table, written
+from spandrel.llm.common import held_out, small_batches, small_enough, table, written
 
 #: A general list of insults.
 SEED = frozenset("idiot idiots moron morons stupid pathetic worthless scum trash disgusting loser losers clown dumb imbecile filth vermin freak creep hate idiota imbécil estúpido basura dummkopf abschaum widerlich ordure crétin débile".split())
@@ -213,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """
     gold = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     gold = F.broadcast(gold) if small_enough(gold, BROADCAST_LABELS) else gold
-    docs = docs.withColumn("learn_", learn)
+    docs = small_batches(docs).withColumn("learn_", learn)
     known = docs.filter("learn_").select("doc_id", "text").join(gold, "doc_id")
     lexicon = learn_lexicon(known.select("text", "toxic"))
     rows = written(voted(docs, lexicon), "votes")
