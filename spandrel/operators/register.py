@@ -49,9 +49,9 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of the smallest source_row of each key, aggregated before the shuffle."""
-    others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), "source_row").alias("x_"))
+    """The row of the smallest source_row of each key, aggregated before the shuffle; of rows with equal source_row, the smallest by the other columns."""
+    others = ["source_row", *[c for c in rows.columns if c not in (*keys, "source_row")]]
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("x_"))
     return best.select(*keys, "x_.*")
 
 

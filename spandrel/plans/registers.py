@@ -10,7 +10,7 @@ from spandrel.operators import merge, register
 from spandrel.plans.common import query, read
 
 _RAW = """
-raw AS (SELECT CAST((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS BIGINT) AS source_row,
+raw AS (SELECT CAST((((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 2600 + date_diff('day', DATE '1995-01-01', l_shipdate) AS BIGINT) AS source_row,
   '23.3-' || CAST(10 + o_orderkey AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') AS agreement,
   CASE WHEN l_suppkey % 7 = 0 THEN s_name || '  (f.d. Old ' || s_name || ')' ELSE s_name END AS supplier,
   CASE WHEN l_suppkey % 11 = 0 THEN 'fi' || CAST(10000000 + l_suppkey AS VARCHAR) WHEN l_suppkey % 13 = 0 THEN 'abc' ELSE CAST(5560000000 + l_suppkey AS VARCHAR) || '  ' END AS org,
@@ -40,7 +40,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return joined.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("source_row"),
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 2600 + F.datediff("l_shipdate", F.lit("1995-01-01"))).alias("source_row"),
         F.concat(F.lit("23.3-"), (F.col("o_orderkey") + 10).cast("string"), F.lit("-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0")).alias("agreement"),
         F.when(F.col("l_suppkey") % 7 == 0, F.concat("s_name", F.lit("  (f.d. Old "), "s_name", F.lit(")"))).otherwise(F.col("s_name")).alias("supplier"),
         F.when(F.col("l_suppkey") % 11 == 0, F.concat(F.lit("fi"), (F.col("l_suppkey") + 10000000).cast("string"))).when(F.col("l_suppkey") % 13 == 0, "abc").otherwise(F.concat((F.col("l_suppkey") + 5560000000).cast("string"), F.lit("  "))).alias("org"),
