@@ -31,35 +31,47 @@ CAPACITY = 2048
 #: Below this, what is left of a document is a fragment and is not cut again.
 SMALLEST_CUT = 64
 END_ID = 1
-#: Pieces of text whose ids a task remembers at once.
+#: Words, and pieces of words, whose ids a task remembers at once.
 CACHE = 500_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 # In texts of these characters alone, NFC changes nothing and lower-casing is one to one, so that
-# the tokenizer's own splitting rule can be applied here and the ids of each piece remembered.
-_UNSAFE = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]|<\|")  # "<|" may begin a special token
+# the tokenizer's own splitting rule can be applied here. No piece has white space in it, and the
+# rule looks at nothing around a piece: the ids of a text are those of its words, one by one.
+_SAFE = re.sub(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]", "", "".join(map(chr, range(256)))).encode("latin-1")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+def _safe(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _SAFE) and "<|" not in text  # "<|" may begin a special token
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
-    """The ids of texts by a BPE vocabulary with word ends; a piece seen before is looked up."""
+    """The ids of texts by a BPE vocabulary with word ends; a word or a piece of one seen before is looked up."""
 
     def __init__(self, vocabulary: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
+        # The same model for pieces, which are normal and split already.
+        self._pieces = Tokenizer.from_file(vocabulary)
+        self._pieces.normalizer = None
+        self._pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
         for token, number in self._tokenizer.get_vocab().items():
             self._ends[number] = token.endswith("</w>")
         self._known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(pieces), 500):
+            part = pieces[at : at + 500]
+            ids = np.array(self._pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
             raw, began = ids.tobytes(), 0
             if len(ends) != len(part):  # a piece that reads as two: one at a time
@@ -75,13 +87,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit numbers."""
-        split = [None if _UNSAFE.search(x) else _PIECE.findall(x.lower()) for x in texts]
+        split = [x.lower().split() if _safe(x) else None for x in texts]
         if len(self._known) > CACHE:
             self._known.clear()
-        new = {p for x in split if x for p in x if p not in self._known}
-        self._learn(sorted(new))
         known = self._known
-        return [self._whole(t) if x is None else b"".join([known[p] for p in x]) for t, x in zip(texts, split, strict=True)]
+        new = set().union(*filter(None, split)).difference(known)
+        mixed = {w: _PIECE.findall(w) for w in new if not w.isalpha()}  # letters alone are one piece
+        self._learn(sorted(new.difference(mixed).union(*mixed.values()).difference(known)))
+        known.update((w, b"".join([known[p] for p in x])) for w, x in mixed.items())
+        return [self._whole(t) if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
 
 
 def cuts(n: int) -> Iterator[tuple[int, int, int]]:
