@@ -12,6 +12,7 @@ The posterior labels of these patterns train the final linear classifier.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ SEED = frozenset("idiot idiots moron morons stupid pathetic worthless scum trash
 PARTS = (("word", 0), ("begin", 4), ("begin", 5), ("begin", 6), ("end", 5))
 #: A part is learned if it is in so many toxic texts, and at least this share of its labelled texts is toxic.
 SUPPORT, PRECISION = 7, 0.97
-#: Most parts in the learned lexicons (those in the most toxic texts), and most labels that are broadcast.
+#: Most parts of the learned lexicons held in memory (those in the most toxic texts; a join looks up the rest), and most labels that are broadcast.
 LEXICON, BROADCAST_LABELS = 50_000, 2_000_000
+#: Bits of the map of hashed parts.
+BITS = 1 << 24
 #: Training texts of the final classifier: those of the smallest hashes.
 SAMPLE = 10_000
 THRESHOLD = 0.3
@@ -54,39 +57,103 @@ def _batches(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
         yield part, [t or "" for t in part.column("text").to_pylist()]
 
 
-def learn_lexicon(labelled: DataFrame) -> dict[str, frozenset[str]]:
-    """Per kind of part, those that mark toxic texts, from rows (text, toxic). Counts are over all rows."""
+def _key(kind: str, part: str) -> bytes:
+    return f"{kind} {part}".encode()
 
-    def counted(known: frozenset | None):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: Counter = Counter()
 
-            def flush() -> pa.RecordBatch:
-                rows = [(k, p, n) for (k, p), n in held.items()]
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "part", "n"])
+def _bitmap(lexicon: DataFrame) -> bytes:
+    """A bit per hash of the rows (kind, part); of one size whatever their number."""
+    hashed = F.crc32(F.concat_ws(" ", "kind", "part").cast("binary")) % BITS + 1  # the functions count from 1
+    rows = lexicon.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    bits = bytearray(BITS // 8)
+    for r in rows:
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
+    return bytes(bits)
 
-            for b in batches:
-                for _, texts in _batches(b):
-                    for text in texts:
-                        own = {p for w in set(_WORD.findall(text.lower())) for p in parts(w)}
-                        held.update(own if known is None else own & known)
-                    if len(held) > 500_000:
-                        yield flush()
-            yield flush()
 
-        return work
+class _Parts(dict):
+    """Lower-case word -> its parts, or those whose bit in a bitmap is set; kept up to a bound."""
 
-    schema = "kind string, part string, n long"
-    toxic = labelled.filter("toxic = 1").select("text").mapInArrow(counted(None), schema).groupBy("kind", "part").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
-    often = {(r["kind"], r["part"]): r["n"] for r in toxic.orderBy(F.desc("n"), "kind", "part").limit(LEXICON).collect()}
-    clean = labelled.filter("toxic = 0").select("text").mapInArrow(counted(frozenset(often)), schema).groupBy("kind", "part").agg(F.sum("n").alias("n"))
-    seen = {(r["kind"], r["part"]): r["n"] for r in clean.collect()} if often else {}
-    held = {k: set() for k, _ in often}
-    for (kind, part), n in often.items():
-        if n >= PRECISION * (n + seen.get((kind, part), 0)):
-            held[kind].add(part)
-    return {k: frozenset(v) for k, v in held.items()}
+    def __init__(self, bits: bytes | None) -> None:
+        super().__init__()
+        self._bits = bits
+
+    def __missing__(self, word: str) -> list[tuple[str, str]]:
+        found = parts(word)
+        if self._bits is not None:
+            hashes = [zlib.crc32(_key(*p)) % BITS for p in found]
+            found = [p for p, h in zip(found, hashes, strict=True) if self._bits[h >> 3] >> (h & 7) & 1]
+        if len(self) > _CACHE:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def _counted(texts: DataFrame, bits: bytes | None) -> DataFrame:
+    """(kind, part, n): in how many texts a part is; of all parts, or of those whose bit is set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = Counter(), _Parts(bits)
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, p, n) for (k, p), n in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "part", "n"])
+
+        for b in batches:
+            for _, texts in _batches(b):
+                for text in texts:
+                    held.update({p for w in set(_WORD.findall(text.lower())) for p in of[w]})
+                if len(held) > 500_000:
+                    yield flush()
+        yield flush()
+
+    return texts.mapInArrow(work, "kind string, part string, n long").groupBy("kind", "part").agg(F.sum("n").alias("n"))
+
+
+def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, frozenset[str]], DataFrame | None]:
+    """Per kind of part, those that mark toxic texts, from rows (text, toxic); and a table of those beyond LEXICON.
+
+    Every part with the support is judged, over all rows. The bitmap only spares
+    counting parts of clean texts that can't be candidates.
+    """
+    often = written(_counted(labelled.filter("toxic = 1").select("text"), None).filter(F.col("n") >= SUPPORT), "often")
+    clean = _counted(labelled.filter("toxic = 0").select("text"), _bitmap(often)).withColumnRenamed("n", "clean")
+    marks = F.col("n") >= PRECISION * (F.col("n") + F.coalesce("clean", F.lit(0)))
+    passed = written(often.join(clean, ["kind", "part"], "left").filter(marks).select("kind", "part", "n"), "lexicon")
+    first = passed.orderBy(F.desc("n"), "kind", "part").limit(LEXICON).collect()
+    held: dict[str, set[str]] = {}
+    for r in first:
+        held.setdefault(r["kind"], set()).add(r["part"])
+    rest = None
+    if len(first) == LEXICON:
+        place = lambda n, kind, part: F.struct((-n).alias("n"), kind.alias("kind"), part.alias("part"))
+        last = place(F.lit(first[-1]["n"]), F.lit(first[-1]["kind"]), F.lit(first[-1]["part"]))
+        rest = passed.filter(place(F.col("n"), F.col("kind"), F.col("part")) > last).select("kind", "part")
+    return {k: frozenset(v) for k, v in held.items()}, rest
+
+
+def _rare_hits(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """(key_, rare_): per hash of a text, how many of its words each learned lexicon's table of the rest holds."""
+    bits = _bitmap(rest)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Parts(bits)
+        for b in batches:
+            for part, texts in _batches(b):
+                rows = []
+                for key, text in zip(part.column("key_").to_pylist(), texts, strict=True):
+                    found: Counter = Counter()
+                    for w, c in Counter(w.lower() for w in _WORD.findall(text)).items():
+                        for p in of[w]:
+                            found[p] += c
+                    rows += [(key, k, p, c) for (k, p), c in found.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["key_", "kind", "part", "n"])
+
+    found = docs.select("key_", "text").mapInArrow(work, "key_ string, kind string, part string, n long").join(rest, ["kind", "part"])
+    once = found.groupBy("key_", "kind", "part").agg(F.max("n").alias("n"))  # equal texts count equally
+    of_kind = [F.sum(F.when(F.col("kind") == v, F.col("n")).otherwise(0)) for v in VOTERS[1:6]]
+    return once.groupBy("key_").agg(F.array(*of_kind).alias("rare_"))
 
 
 class _Hits(dict):
@@ -107,11 +174,13 @@ class _Hits(dict):
         return bits
 
 
-def _features(text: str, hits: _Hits) -> tuple[list[float], list[int]]:
-    """Features of the final classifier, and the voters' votes (1, -1, or 0 for none)."""
+def _features(text: str, hits: _Hits, rare: list[int] | None) -> tuple[list[float], list[int]]:
+    """Features of the final classifier, and the voters' votes (1, -1, or 0 for none); rare are the learned lexicons' hits not in hits."""
     words = _WORD.findall(text)
     found = Counter(filter(None, map(hits.__getitem__, words)))
     n = [sum(c for bits, c in found.items() if bits >> i & 1) for i in range(8)]
+    for i, c in enumerate(rare or (), 1):
+        n[i] += c
     size = max(len(words), 1)
     most = max(n[:6])
     shout, exclaim, second = n[6] / size, text.count("!") / size, n[7] / size
@@ -122,16 +191,19 @@ def _features(text: str, hits: _Hits) -> tuple[list[float], list[int]]:
     return values, votes
 
 
-def voted(docs: DataFrame, lexicon: dict[str, frozenset[str]]) -> DataFrame:
-    """The columns of docs but text, with x (features) and votes."""
+def voted(docs: DataFrame, lexicon: dict[str, frozenset[str]], rest: DataFrame | None = None) -> DataFrame:
+    """The columns of docs but text, with x (features) and votes; rest are parts (kind, part) that lexicon lacks."""
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema.add("x", T.ArrayType(T.FloatType())).add("votes", T.ArrayType(T.IntegerType()))
+    docs = docs.withColumn("key_", F.sha2(F.coalesce("text", F.lit("")), 256)) if rest is not None else docs.withColumn("rare_", F.lit(None).cast("array<long>"))
+    if rest is not None:
+        docs = docs.join(_rare_hits(docs, rest), "key_", "left").drop("key_")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits(lexicon)
         for b in batches:
             for part, texts in _batches(b):
-                both = [_features(t, hits) for t in texts]
+                both = [_features(t, hits, r) for t, r in zip(texts, part.column("rare_").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array([x for x, _ in both], pa.list_(pa.float32())), pa.array([v for _, v in both], pa.list_(pa.int32()))], [*others, "x", "votes"])
 
     return docs.mapInArrow(work, schema)
@@ -215,8 +287,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     gold = F.broadcast(gold) if small_enough(gold, BROADCAST_LABELS) else gold
     docs = small_batches(docs).withColumn("learn_", learn)
     known = docs.filter("learn_").select("doc_id", "text").join(gold, "doc_id")
-    lexicon = learn_lexicon(known.select("text", "toxic"))
-    rows = written(voted(docs, lexicon), "votes")
+    rows = written(voted(docs, *learn_lexicon(known.select("text", "toxic"))), "votes")
     training = rows.filter("learn_").join(gold, "doc_id", "left").select("doc_id", "x", "votes", F.coalesce("toxic", F.lit(-1)).alias("gold"))
     patterns = training.groupBy("votes", "gold").count().collect()  # bounded by 3 ** voters, far fewer occur
     if not patterns:

@@ -70,6 +70,22 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none.select("doc_id", "text"), labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_judges_all_parts(spark, monkeypatch):
+    common = " ".join(f"common{i}{chr(97 + i % 26) * 3}word" for i in range(60)).translate(str.maketrans("0123456789", "qwertyuiop"))
+    texts = [(i, common + (" zorblat" if i < 10 else " grumfik" if i < 18 else " vexnolt"), 1) for i in range(40)] + [(100 + i, common, 0) for i in range(60)]
+    texts += [(200, "zorblat", None), (200, "zorblat", None), (None, "Grumfik zorblat", None), (201, None, None), (202, common, None)]
+    both = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    labelled = both.filter("toxic IS NOT NULL")
+    whole, none_left = toxicity.learn_lexicon(labelled.select("text", "toxic"))
+    assert {"zorblat", "grumfik", "vexnolt"} == whole["word"] and none_left is None
+    wanted = rows(toxicity.score(both.select("doc_id", "text"), labelled.select("doc_id", "toxic"), F.lit(True)))
+    monkeypatch.setattr(toxicity, "LEXICON", 3)
+    held, rest = toxicity.learn_lexicon(labelled.select("text", "toxic"))
+    assert sum(map(len, held.values())) == 3
+    assert sorted([(k, p) for k, v in held.items() for p in v] + rows(rest)) == sorted((k, p) for k, v in whole.items() for p in v)
+    assert rows(toxicity.score(both.select("doc_id", "text"), labelled.select("doc_id", "toxic"), F.lit(True))) == wanted
+
+
 def test_label_model_finds_voters_that_agree():
     import numpy as np
 
