@@ -203,6 +203,18 @@ def test_pii_edges(spark, none):
     assert masked[5] == "é 𝄞 <email> 𝄞 <ip>" and masked[10] is None and masked[6] == ""
 
 
+def test_pii_long_secrets(spark):
+    said = {1: ('config token="', "aB3" * 170, '" end'), 2: ("api_key: ", "Zx9/q+" * 500, " end"), 3: ("password=", "hunter22x", " end")}
+    df = spark.createDataFrame([(i, "".join(t)) for i, t in said.items()], "doc_id long, text string")
+    found = {r["doc_id"]: [(pii.KINDS[x["kind"]], x["start"], x["end"]) for x in r["loose"]] for r in pii.candidates(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
+    for i, (lead, value, tail) in said.items():
+        start = 7 if i == 1 else 0
+        end = len(lead) + len(value) + (i == 1)
+        assert found[i] == [("secret", start, end)]
+        assert masked[i] == ("config <secret> end" if i == 1 else "<secret> end")
+
+
 PAGES = [
     (None, ""),
     ("", ""),
