@@ -7,7 +7,8 @@ and the smallest subtree that holds all of them, or the article element around i
 the main text. Elements that
 say by tag, role, class or id that they are no part of an article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts ...) are
-left out before densities are computed, as are blocks of links afterwards.
+left out before densities are computed. Where only the whole page holds all content,
+blocks of links before the first of it are left out too.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute after another, each with its value; a quoted value without a name has an empty one.
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -180,10 +182,12 @@ def main_text(source: str) -> str:
     held = [best] + [i for i in range(1, len(tree.tag)) if chars[i] and not gone[i] and density[i] >= threshold and lc[i] * 2 <= c[i]]
     root = _common(tree, held)
     root = next((i for i in _path(tree, root) if tree.tag[i] in ("article", "main")), root)
+    # What lies in the article stays, lists of links too; on a whole page, links ahead of all content are a menu.
+    first = min((i for i in held if i != root), default=root) if tree.tag[root] in ("#root", "html", "body") else 0
     kept = [False] * len(tree.tag)
     for i in range(len(tree.tag)):
         inside = i == root or (i > 0 and kept[tree.parent[i]])
-        links = tree.tag[i] in ("ul", "ol", "div", "section", "table") and c[i] and lc[i] * 10 >= c[i] * 9 and i != root
+        links = i < first and tree.tag[i] in ("ul", "ol", "div", "section", "table") and c[i] and lc[i] * 10 >= c[i] * 9 and i != root
         kept[i] = inside and not gone[i] and not links
     blocks: dict[int, list[str]] = {}
     for i, x, b in pieces:

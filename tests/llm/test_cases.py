@@ -230,6 +230,31 @@ def test_main_text(source, wanted):
     assert extraction.main_text(source or "") == wanted
 
 
+TEXT = "A long paragraph of the article, with words enough to be its main text, and then some more of them. " * 3
+INSIDE = [
+    ('<a href="/hidden-lakes">the lakes</a>', "the lakes"),
+    ('<section title="hidden costs"><p>The costs</p></section>', "The costs"),
+    ('<a href="show.php?id=comments">the show</a>', "the show"),
+    ('<span data-id="search" data-role=\'menu\'>the word</span>', "the word"),
+    ('<span title=hidden alt="class=footer">the span</span>', "the span"),
+    ('<ul><li><a href="/a">First source</a></li><li><a href="/b">Second source</a></li></ul>', "First source\n\nSecond source"),
+    ("<p hidden>no</p><p class = comments>no</p><p ID='search'>no</p><p aria-hidden=true>no</p><p role=menu>no</p>", ""),
+    ('<ul class="menu"><li><a href="/a">Home</a></li></ul>', ""),
+]
+
+
+@pytest.mark.parametrize(("source", "wanted"), INSIDE)
+@pytest.mark.parametrize("around", ["article", "body"])
+def test_article_keeps_its_parts(source, wanted, around):
+    got = extraction.main_text(f"<{around}><p>{TEXT}</p><div>{source}</div><p>{TEXT}</p></{around}>")
+    assert got.split() == f"{TEXT} {wanted} {TEXT}".split()
+
+
+def test_menu_ahead_of_a_bare_page():
+    menu = '<div><a href="/">Home</a> <a href="/b">About us</a></div>'
+    assert extraction.main_text(f"<body>{menu}<p>{TEXT}</p><p>{TEXT}</p></body>").split() == (TEXT * 2).split()
+
+
 def test_extraction_edges(spark):
     df = spark.createDataFrame([(i, "u", h, 1) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = extraction.extract(df)
