@@ -14,13 +14,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import held_out, small_batches, table
 
 DIMENSIONS = 1 << 12
-#: About so many training rows of each language are drawn, by a hash of their text, to fit the machines.
+#: So many different training texts of each language at most, those of the smallest hashes, fit the machines.
 SAMPLE = 500
 #: Families of ISO 639-1 codes. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -53,10 +53,10 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(x / x.sum())
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
-    """Weights and bias (last) of a linear SVM with squared hinge loss, y in -1, 1; classes weigh the same."""
+def fit_svm(x: np.ndarray, y: np.ndarray, counts: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
+    """Weights and bias (last) of a linear SVM with squared hinge loss, y in -1, 1; a row weighs its count, and classes the same."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    weight = counts * np.where(y > 0, 0.5 / max(counts[y > 0].sum(), 1), 0.5 / max(counts[y < 0].sum(), 1))
     w = v = np.zeros(x.shape[1])
     step = 1 / (1 + 4 * cost)
     for k in range(rounds):  # Nesterov's accelerated gradient
@@ -70,16 +70,16 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150)
 class Model:
     """Machines between families and, within each family, between its languages."""
 
-    def __init__(self, langs: list[str], x: np.ndarray) -> None:
+    def __init__(self, langs: list[str], x: np.ndarray, counts: np.ndarray) -> None:
         self.families = sorted({family(a) for a in langs})
         self.members = {f: sorted({a for a in langs if family(a) == f}) for f in self.families}
         own, kin = np.array(langs), np.array([family(a) for a in langs])
-        self.between = [(a, b, self._machine(x, kin == a, kin == b)) for a, b in combinations(self.families, 2)]
-        self.within = {f: [(a, b, self._machine(x, own == a, own == b)) for a, b in combinations(m, 2)] for f, m in self.members.items()}
+        self.between = [(a, b, self._machine(x, counts, kin == a, kin == b)) for a, b in combinations(self.families, 2)]
+        self.within = {f: [(a, b, self._machine(x, counts, own == a, own == b)) for a, b in combinations(m, 2)] for f, m in self.members.items()}
 
     @staticmethod
-    def _machine(x: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return fit_svm(np.vstack([x[one], x[other]]), np.concatenate([np.ones(one.sum()), -np.ones(other.sum())]))
+    def _machine(x: np.ndarray, counts: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return fit_svm(np.vstack([x[one], x[other]]), np.concatenate([np.ones(one.sum()), -np.ones(other.sum())]), np.concatenate([counts[one], counts[other]]))
 
     @staticmethod
     def _vote(names: list[str], machines: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +110,20 @@ class Model:
 def fit(docs: DataFrame, learn: Column) -> Model | None:
     """A model of the rows where learn holds, with text and lang; None if there are none."""
     usable = docs.select("text", "lang").filter(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # as many as languages
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(share)
-    drawn = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    hashed = usable.withColumn("hash", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    drawn = hashed.groupBy("lang", "hash").count().withColumn("place", place).filter(F.col("place") <= SAMPLE).drop("place")
+    texts = hashed.join(F.broadcast(drawn), ["lang", "hash"]).dropDuplicates(["lang", "hash"]).select("lang", "count", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = pa.array([features(t).astype("<f4").tobytes() for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("lang"), rows], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("count"), rows], ["lang", "count", "x"])
 
-    rows = sorted((r["lang"], bytes(r["x"])) for r in drawn.mapInArrow(work, "lang string, x binary").collect())
+    rows = sorted((r["lang"], bytes(r["x"]), r["count"]) for r in texts.mapInArrow(work, "lang string, count long, x binary").collect())
     if not rows:
         return None
-    return Model([a for a, _ in rows], np.stack([np.frombuffer(x, "<f4") for _, x in rows]))
+    return Model([a for a, _, _ in rows], np.stack([np.frombuffer(x, "<f4") for _, x, _ in rows]), np.array([n for *_, n in rows], float))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -54,6 +54,16 @@ def test_langid(spark, docs, none):
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_langid_sample_is_exact(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(langid, "Model", lambda langs, x, counts=None: drawn.append((langs, counts)))
+    copies = [("the cat sat on the mat", "en")] * 2000 + [("der Hund und die Katze", "de")] * 1500 + [("le chat est sur la table", "fr")] * 900
+    langid.fit(spark.createDataFrame(copies + [(f"el gato número {i}", "es") for i in range(700)], "text string, lang string"), F.lit(True))
+    langs, counts = drawn[0]
+    assert {a: langs.count(a) for a in set(langs)} == {"en": 1, "de": 1, "fr": 1, "es": 500}
+    assert {a: sum(n for b, n in zip(langs, counts, strict=True) if a == b) for a in ("en", "de", "fr", "es")} == {"en": 2000, "de": 1500, "fr": 900, "es": 500}
+
+
 def test_topk_edges(spark):
     v = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-0.01, -1.0]), (8, [1.0, 2.0, 3.0]), (40, [0.0, 0.0]), (60, [1e9, -1e9])]
     v += [(100 + i, [1.0, 0.0]) for i in range(60)]
