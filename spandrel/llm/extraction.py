@@ -1,14 +1,18 @@
 """Main text of web pages by composite text density (Sun, Song & Liao 2011).
 
-Every DOM node gets its link-adjusted characters per tag, and the sum of its
-children's densities. The node with the largest sum leads to a threshold, the
-smallest density on its path up to the body; nodes that reach it are content,
-and the smallest subtree that holds all of them, or the article element around it, is
-the main text. Elements that
-say by tag, role, class or id that they are no part of an article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts ...) are
-left out before densities are computed. Where only the whole page holds all content,
-blocks of links before the first of it are left out too.
+Every DOM node gets its link-adjusted characters per tag. A block's density sum
+adds up the densities of the blocks in it, and of the text that it holds itself.
+The block with the largest sum is the main text, and the smallest density on its
+path up to the body is the threshold for all else: going up that path, an
+ancestor takes its place if most of what else it holds reaches the threshold, so
+that a title or a second section isn't lost; of the body only the children that
+reach it are added. Which tags or classes a page uses for its article plays no
+part in that.
+
+Scripts, styles, forms and hidden elements are no text. Elements that say by tag,
+role, class or id that they are menus, headers, footers, sidebars, notices,
+adverts or comments can't be chosen, add nothing to a sum, and are left out of
+what is chosen.
 """
 
 from __future__ import annotations
@@ -41,7 +45,10 @@ _ENDS_P = BLOCK - {"html", "body", "tr", "tbody", "thead", "tfoot", "li", "dd",
 #: Elements of which one of the same kind ends the last.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table select".split())
-DROPPED = frozenset("head nav footer aside form button select menu dialog input label fieldset".split())
+#: Elements without text of the page, and elements that are no part of an article.
+UNSEEN = frozenset("head form button select input label fieldset".split())
+DROPPED = UNSEEN | frozenset("nav footer aside menu dialog".split())
+TITLES = frozenset("h1 h2 h3".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 #: Parts of class names and ids that say an element is no part of an article.
 MARKS = frozenset(
@@ -56,7 +63,7 @@ class _Tree:
     """Nodes in document order: parent, tag, marks; texts as (node, text, block number)."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.out = [-1], ["#root"], [False]
+        self.parent, self.tag, self.out, self.unseen = [-1], ["#root"], [False], [False]
         self.texts: list[tuple[int, str, int]] = []
         self._block, self._stack, self._lead = 0, [0], set()
         at = 0
@@ -91,6 +98,7 @@ class _Tree:
         self.parent.append(self._stack[-1])
         self.tag.append(tag)
         self.out.append(self._boilerplate(tag, attributes))
+        self.unseen.append(self.unseen[self._stack[-1]] or tag in UNSEEN or self._hidden)
         if tag in ("h1", "main"):
             self._lead.update(self._stack)
         if tag not in VOID and not attributes.endswith("/"):
@@ -109,9 +117,10 @@ class _Tree:
 
     def _boilerplate(self, tag: str, attributes: str) -> bool | None:
         """True: no part of an article. None: so by its class or as an article's header, unless it holds the title."""
+        found: bool | None = False
+        self._hidden = False
         if tag in DROPPED:
             return True
-        found: bool | None = False
         if tag == "header":
             if not any(self.tag[i] in ("article", "main") for i in self._stack):
                 return True
@@ -119,6 +128,7 @@ class _Tree:
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), "".join(values)
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+                self._hidden = True
                 return True
             if name == "role" and value.lower() in ROLES:
                 return True
@@ -127,7 +137,7 @@ class _Tree:
         return found
 
     def pruned(self) -> list[bool]:
-        """Per node, whether it or one above it is left out."""
+        """Per node, whether it or one above it is no part of an article."""
         gone = [False] * len(self.tag)
         for i in range(1, len(self.tag)):
             own = self.out[i] is True or (self.out[i] is None and i not in self._lead)
@@ -135,60 +145,89 @@ class _Tree:
         return gone
 
 
-def _densities(tree: _Tree, gone: list[bool], chars: list[int]) -> tuple[list[float], list[float], list[int], list[int]]:
-    """Per node: composite density, sum of its children's, characters, and those in links."""
+def _densities(tree: _Tree, chars: list[int]) -> tuple[list[float], list[int], list[int]]:
+    """Per node: composite density, characters, and those in links."""
     n = len(tree.tag)
-    c, t, lc, lt = chars[:], [0 if g else 1 for g in gone], [0] * n, [0] * n
+    c, t, lc, lt = chars[:], [1] * n, [0] * n, [0] * n
     link = [False] * n
     for i in range(1, n):
         link[i] = link[tree.parent[i]] or tree.tag[i] == "a"
         if link[i]:
-            lc[i], lt[i] = c[i], 0 if gone[i] else 1
+            lc[i], lt[i] = c[i], 1
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         c[p] += c[i]
         lc[p] += lc[i]
         lt[p] += lt[i]
         t[p] += t[i]
-    t = [max(1, x - 1) if i else x for i, x in enumerate(t)]  # tags below a node; one at least
+    t = [max(1, x - 1) for x in t]  # tags below a node; one at least
     whole = max(c[0], 1)
-    density, total = [0.0] * n, [0.0] * n
+    density = [0.0] * n
     for i in range(n):
-        if c[i] and not gone[i]:
+        if c[i]:
             base = math.log(c[i] / max(c[i] - lc[i], 1) * lc[i] + lc[0] / whole * c[i] + math.e)
             density[i] = c[i] / t[i] * max(0.0, math.log(c[i] / max(lc[i], 1) * t[i] / max(lt[i], 1) + 1e-9)) / max(math.log(base + 1e-9), 1e-6) if base > 1.0001 else c[i] / t[i]
+    return density, c, lc
+
+
+def _chosen(tree: _Tree, gone: list[bool], density: list[float], chars: list[int], c: list[int], lc: list[int]) -> set[int]:
+    """The nodes whose subtrees are the main text."""
+    n = len(tree.tag)
+    block = [i == 0 or tag in BLOCK for i, tag in enumerate(tree.tag)]
+    up, own, total, inner = [0] * n, [0] * n, [0.0] * n, [0] * n
+    for i in range(n):
+        up[i] = i if block[i] else up[tree.parent[i]]
+        own[up[i]] += chars[i]
+        if i and block[i] and c[i] and not gone[i]:
+            above = up[tree.parent[i]]
+            total[above] += density[i]
+            inner[above] += 1
+    choice = [i for i in range(n) if inner[i] and not gone[i]]
+    # Without a block that holds others, the one with the most text of its own.
+    best = max(choice, key=lambda i: (total[i] + own[i], -i)) if choice else max((i for i in range(n) if not gone[i]), key=lambda i: (own[i], -i))
+    threshold, i = density[best], best
+    while i > 0:
+        threshold = min(threshold, density[i])
+        i = tree.parent[i]
+
+    below: list[list[int]] = [[] for _ in range(n)]
     for i in range(1, n):
-        total[tree.parent[i]] += density[i]
-    return density, total, c, lc
+        if c[i] and not gone[i]:
+            below[tree.parent[i]].append(i)
+
+    found, last = {best}, best
+    while last > 0:
+        at = tree.parent[last]
+        beside = [i for i in below[at] if i != last]
+        dense = [i for i in beside if (tree.tag[i] in TITLES or density[i] >= threshold) and lc[i] * 2 <= c[i]]
+        of_page = at == 0 or tree.tag[at] in ("html", "body")
+        if not of_page and 2 * (sum(c[i] for i in dense) + chars[at]) >= sum(c[i] for i in beside) + chars[at]:
+            found = {at}
+        else:  # a lone block beside the article has to weigh something to be a part of it
+            found.update(i for i in dense if tree.tag[i] in TITLES or inner[i] > 1 or 2 * c[i] >= c[best])
+        last = at
+    return found
 
 
 def main_text(source: str) -> str:
     """The article's blocks, joined by blank lines; empty if there is none."""
     tree = _Tree(source)
     gone = tree.pruned()
-    pieces = [(i, html.unescape(x), b) for i, x, b in tree.texts if not gone[i]]
+    pieces = [(i, html.unescape(x), b) for i, x, b in tree.texts if not tree.unseen[i]]
     chars = [0] * len(tree.tag)
     for i, x, _ in pieces:
         chars[i] += len(" ".join(x.split()))
-    density, total, c, lc = _densities(tree, gone, chars)
-    if not c[0]:
+    if not any(n and not g for n, g in zip(chars, gone, strict=True)):
         return ""
-    # A node with text of its own counts with its own density where its children's sum is less.
-    best = max(range(len(tree.tag)), key=lambda i: (max(total[i], density[i] if chars[i] else 0.0), -i))
-    threshold, i = density[best], best
-    while i > 0:
-        threshold = min(threshold, density[i])
-        i = tree.parent[i]
-    held = [best] + [i for i in range(1, len(tree.tag)) if chars[i] and not gone[i] and density[i] >= threshold and lc[i] * 2 <= c[i]]
-    root = _common(tree, held)
-    root = next((i for i in _path(tree, root) if tree.tag[i] in ("article", "main")), root)
-    # What lies in the article stays, lists of links too; on a whole page, links ahead of all content are a menu.
-    first = min((i for i in held if i != root), default=root) if tree.tag[root] in ("#root", "html", "body") else 0
+    density, c, lc = _densities(tree, chars)
+    roots = _chosen(tree, gone, density, chars, c, lc)
+    # Where the page itself is the main text, links ahead of all else are a menu.
+    page = next((i for i in sorted(roots) if i == 0 or tree.tag[i] in ("html", "body")), None)
+    first = next((i for i in range(len(tree.tag)) if chars[i] and not gone[i] and lc[i] * 2 <= c[i] and i != page), 0) if page is not None else 0
     kept = [False] * len(tree.tag)
     for i in range(len(tree.tag)):
-        inside = i == root or (i > 0 and kept[tree.parent[i]])
-        links = i < first and tree.tag[i] in ("ul", "ol", "div", "section", "table") and c[i] and lc[i] * 10 >= c[i] * 9 and i != root
-        kept[i] = inside and not gone[i] and not links
+        links = i < first and tree.tag[i] in ("ul", "ol", "div", "section", "table") and c[i] and lc[i] * 10 >= c[i] * 9 and i not in roots
+        kept[i] = (i in roots or (i > 0 and kept[tree.parent[i]])) and not gone[i] and not links
     blocks: dict[int, list[str]] = {}
     for i, x, b in pieces:
         if kept[i]:
@@ -197,25 +236,6 @@ def main_text(source: str) -> str:
     return "\n\n".join(x for x in lines if x)
 
 
-def _common(tree: _Tree, nodes: list[int]) -> int:
-    """The lowest node that holds all the given ones."""
-    path = _path(tree, nodes[0])
-    for i in nodes[1:]:
-        on = set(path)
-        while i not in on:
-            i = tree.parent[i]
-        path = path[path.index(i) :]
-    return path[0]
-
-
-def _path(tree: _Tree, i: int) -> list[int]:
-    path = [i]
-    while i > 0:
-        i = tree.parent[i]
-        path.append(i)
-    return path
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """Columns of pages but html, and text: the main text of each row's html.
 

@@ -265,6 +265,34 @@ def test_menu_ahead_of_a_bare_page():
     assert extraction.main_text(f"<body>{menu}<p>{TEXT}</p><p>{TEXT}</p></body>").split() == (TEXT * 2).split()
 
 
+def _paragraphs(n, words=30):
+    return "".join(f"<p>{' '.join(f'word{i}x{j}' for j in range(words))}.</p>" for i in range(n))
+
+
+def test_density_finds_an_article_that_nothing_names(monkeypatch):
+    """Bare divs only: many short blocks against a few long ones; the densities decide."""
+    short = "".join(f"<div>Teaser {i}</div>" for i in range(20))
+    source = f"<body><div>{short}</div><div><h1>Title</h1>{_paragraphs(4)}</div><div>All rights reserved</div></body>"
+    wanted = extraction.main_text(f"<body><div><h1>Title</h1>{_paragraphs(4)}</div></body>")
+    assert wanted.startswith("Title\n\nword0x0") and extraction.main_text(source) == wanted
+    own = extraction._densities
+    monkeypatch.setattr(extraction, "_densities", lambda *a: ([float(d > 0) for d in own(*a)[0]], *own(*a)[1:]))
+    assert extraction.main_text(source) != wanted
+
+
+def test_sections_of_one_article_stay_together():
+    sections = f"<div><h2>One</h2>{_paragraphs(6)}</div><div><h2>Two</h2>{_paragraphs(3)}</div>"
+    links = '<div>' + "".join(f'<div><a href="/{i}">Link {i}</a></div>' for i in range(40)) + "</div>"
+    for source in (f"<body>{links}<div><h1>T</h1>{sections}</div></body>", f"<body>{links}<h1>T</h1>{sections}</body>"):
+        got = extraction.main_text(source).split("\n\n")
+        assert len(got) == 12 and got[:2] == ["T", "One"] and got[8] == "Two"
+
+
+def test_comments_longer_than_the_article_are_not_chosen():
+    got = extraction.main_text(f'<body><div><h1>T</h1>{_paragraphs(2)}<div class="comments">{_paragraphs(30)}</div></div><form><p>{TEXT}</p></form></body>')
+    assert len(got.split("\n\n")) == 3
+
+
 def test_extraction_edges(spark):
     df = spark.createDataFrame([(i, "u", h, 1) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = extraction.extract(df)

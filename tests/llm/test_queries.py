@@ -96,3 +96,19 @@ def test_op10_articles(spark):
         inner = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
         assert r["text"] == "\n\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"])
+
+
+def test_op10_needs_no_names(spark, monkeypatch):
+    """The same pages with divs for all sectioning elements and without classes: densities still find the articles, constant ones don't."""
+    import re
+
+    from spandrel.llm import extraction
+
+    pages = [r["html"] for r in table(spark, MEDIUM, "pages").collect()]
+    bare = [re.sub(r"<(/?)(nav|footer|article)\b", r"<\1div", h.replace(' class="ad"', "")) for h in pages]
+    wanted = [extraction.main_text(h) for h in pages]
+    share = lambda: sum(extraction.main_text(h) == w for h, w in zip(bare, wanted, strict=True)) / len(pages)
+    assert share() > 0.93
+    own = extraction._densities
+    monkeypatch.setattr(extraction, "_densities", lambda *a: ([float(d > 0) for d in own(*a)[0]], *own(*a)[1:]))
+    assert share() < 0.75
