@@ -36,11 +36,39 @@ def test_class_probabilities_sum_to_one():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    pairs = np.zeros((brown.START + 1, brown.START + 1))
-    pairs[:40, :40] = rng.integers(0, 5, (40, 40))
-    sizes = pairs.sum(0)[:-1]
-    model = brown.ClassModel(pairs, (sizes > 0).astype(float), sizes)
-    assert (10**model.transition).sum(1) == pytest.approx(1)
+    m = rng.integers(0, 5, (brown.NONE, brown.NONE)).astype(float)
+    transition, _ = brown.transitions(m, m.sum(0)[: brown.CLASSES], np.ones(brown.CLASSES))
+    assert (10**transition).sum(1) == pytest.approx(1)
+
+
+def test_gains_are_differences_of_likelihood():
+    """What gains() says of a move is what the move changes in the likelihood, pairs of a word with itself included."""
+    import numpy as np
+
+    rng, classes, n = np.random.default_rng(2), 4, 12
+    pairs = rng.integers(0, 9, (n + 1, n + 1)).astype(float)
+    pairs[:, n] = 0
+    own = np.append(rng.integers(0, classes, n), classes)
+
+    def counted(own):
+        member = np.eye(classes + 1)[own]
+        return member.T @ pairs @ member
+
+    for w in range(n):
+        left, right = (np.bincount(own, x, classes + 1)[None] for x in (pairs[:, w], pairs[w]))
+        gain = brown.gains(left, right, pairs[w, w][None], counted(own), own[w : w + 1], classes)[0]
+        worth = [brown.likelihood(counted(np.where(np.arange(n + 1) == w, b, own))) for b in range(classes)]
+        # The start's row has no column of its own here, so margins agree.
+        assert np.diff(gain) == pytest.approx(np.diff(worth))
+
+
+def test_exchange_separates_what_alternates():
+    import numpy as np
+
+    pairs = np.zeros((9, 9))
+    pairs[:4, 4:8] = pairs[4:8, :4] = 50
+    own = brown.exchange(pairs, classes=2)
+    assert len(set(own[:4])) == len(set(own[4:])) == 1 and own[0] != own[4]
 
 
 def test_langid(spark, docs, none):

@@ -38,6 +38,58 @@ def test_op1_base_scores_and_gain(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize(("common", "seeds"), [(10**6, 100), (400, 50), (1, 1)])
+def test_op1_scores_by_plain_counting(spark, monkeypatch, common, seeds):
+    """Given each word's class, the scores are those of a class bigram counted in plain Python; all words have classes of their own."""
+    import math
+    import random
+    from collections import Counter
+
+    from spandrel.llm import brown
+
+    monkeypatch.setattr(brown, "COMMON", common)
+    monkeypatch.setattr(brown, "SEED", seeds)
+    monkeypatch.setattr(brown, "fit", lambda docs, fit=brown.fit: models.append(fit(docs)) or models[0])
+    models: list = []
+    learn = table(spark, SMALL, "documents").select("doc_id", "text", (F.col("doc_id") % 3 != 1).alias("learn"))
+    got = {r["doc_id"]: r["score"] for r in brown.scores(learn, "learn").collect()}
+    kinds = {w: int(k) for w, k in zip(models[0].words, models[0].own, strict=False)}
+    kinds |= {r["word"]: r["own"] for r in models[0].tail.select("word", "own").distinct().collect()}
+    texts = {i: [*brute.words(t), "\n"] for i, t in documents(spark)}
+    trained = {i: w for i, w in texts.items() if i % 3 != 1}
+    count = Counter(w for t in trained.values() for w in t)
+    assert set(count) <= set(kinds) and set(kinds.values()) <= set(range(brown.CLASSES))
+
+    def pairs(of):
+        return Counter((a, b) for t in trained.values() for a, b in zip(["start", *[of[w] for w in t]], [of[w] for w in t]))
+
+    m, before = pairs(kinds), Counter()
+    for (a, _), n in m.items():
+        before[a] += n
+    n, v = Counter(), Counter(kinds[w] for w in count)
+    for w, c in count.items():
+        n[kinds[w]] += c
+    whole = sum(n[k] + 0.5 for k in range(brown.CLASSES))
+    for i, t in texts.items():
+        score = 0.0
+        for a, w in zip(["start", *[kinds[w] for w in t]], t):
+            b = kinds[w]
+            score += math.log10((m[a, b] + brown.PRIOR * (n[b] + 0.5) / whole) / (before[a] + brown.PRIOR))
+            score += math.log10((count[w] + 0.5) / (n[b] + 0.5 * (v[b] + 1)))
+        assert got[i] == pytest.approx(score)
+
+    def worth(m):
+        left, right = Counter(), Counter()
+        for (a, b), c in m.items():
+            left[a] += c
+            right[b] += c
+        return sum(c * math.log(c / left[a] / right[b]) for (a, b), c in m.items())
+
+    others = list(kinds)
+    random.Random(1).shuffle(others)
+    assert worth(m) > worth(pairs(dict(zip(others, kinds.values(), strict=True))))
+
+
 def test_op2_held_out_accuracy(spark):
     got = queries.QUERIES["op2_hierarchical_langid"](spark, MEDIUM)
     r = got.filter("held_out").join(table(spark, MEDIUM, "documents").select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
