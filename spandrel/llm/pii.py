@@ -1,14 +1,16 @@
 """Personal data by weak supervision, in DataFrame operations alone.
 
 Patterns give candidate spans: the four base kinds (email, ip, card, phone),
-which always stay, and looser ones (credentials, local phone numbers, social
-security numbers, account numbers, names). Five labelers vote on every
-candidate: its format, a gazetteer, the words around it, a check of its digits
-or letters, and whether it stands alone. Votes are counted per pattern of votes,
-a table whose size doesn't depend on the input; expectation-maximisation on it
-estimates how reliable each labeler is, and its posteriors train the final span
-classifier, a logistic regression over kind and votes. A looser candidate is a
-span if the classifier says so and no base span overlaps it.
+which always stay, and loose ones, most of which are wrong: every assignment may
+be a secret, every run of grouped digits a local phone or an account number,
+every two capitalised words a name. Six labelers vote on every candidate: its
+strict format, a gazetteer, the words before it that speak for it, those that
+speak against it, a check of its digits or letters, and whether it stands alone.
+Votes are counted per kind and pattern of votes, a table whose size doesn't
+depend on the input; expectation-maximisation on it estimates how reliable each
+labeler is and how often each kind is right, and its posteriors train the final
+span classifier, a logistic regression over kind and votes. A loose candidate is
+a span if the classifier says so and no base span overlaps it.
 
 Offsets are in code points. A text is read once; its candidates and their votes
 go to a table in the shared folder, from which votes are counted and spans chosen.
@@ -24,30 +26,42 @@ from pyspark.sql import functions as F
 from spandrel.llm.common import table, written
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "local_phone", "ssn", "iban", "name")
-_NAMES = "James|John|Robert|Michael|William|David|Richard|Thomas|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Maria|Anna|Peter|Hans|Klaus|Pierre|Jean|Marie|Juan|Carlos|Luis|Carmen"
+KINDS = (*BASE, "secret", "local_phone", "ssn", "iban", "account", "name")
+#: First names of the gazetteer.
+NAMES = (
+    "James John Robert Michael William David Richard Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Betty Sandra Ashley Dorothy Kimberly Emily Donna Michelle Carol Amanda Laura Emma Olivia "
+    "Hans Peter Klaus Wolfgang Jürgen Stefan Andreas Uwe Sabine Ursula Monika Petra Anna Heike Katrin Lukas Felix "
+    "Pierre Jean Marie Jacques Michel Philippe Nicolas Sophie Isabelle Nathalie Catherine Camille Julien Louis Claire "
+    "Juan Carlos Luis José Antonio Manuel Francisco Javier Miguel Carmen María Maria Ana Isabel Dolores Pilar Teresa Lucía Elena"
+).split()
+_NAMES = "|".join(NAMES)
 _TITLES = r"Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora"
+_WORD = r"\p{Lu}\p{Ll}{1,20}+"
+_KEYS = r"password|passwd|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth"
 #: A pattern starts where a run of its characters starts, or where the last match ended: what it would find from elsewhere, it finds from there.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9/+_.!#$%-]{8,}+\"?",
-    "local_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b[A-Za-z][A-Za-z0-9_-]{1,40}+\x20?[=:]\x20?\"?[A-Za-z0-9/+_.!#$%-]{8,}+\"?",
+    "local_phone": r"(?<![0-9+(./-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[./-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,3}+(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}\b",
-    "name": rf"(?:(?:{_TITLES})\x20)(?:{_NAMES})\x20[A-Z][a-z]{{2,20}}+|(?<![A-Za-z])(?:{_NAMES})\x20[A-Z][a-z]{{2,20}}+(?=[\x20,.])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?\b",
+    "account": r"(?<![0-9A-Za-z_+./-])[0-9]{2,}+(?:[\x20-][0-9]{2,}+)*+(?![0-9A-Za-z_./-])",
+    "name": rf"(?:(?:{_TITLES})\x20)?+(?<!\p{{L}}){_WORD}(?:\x20{_WORD}){{1,2}}",
 }
 _FORMAT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
     "ip": r"^[1-9][0-9]{0,2}(\.[0-9]{1,3}){3}$",
     "card": r"^[0-9]{14,19}$|^[0-9]{4}([ -][0-9]{4}){3}$",
     "phone": r"^\+[0-9]{1,3}[ -]?(\([0-9]{2,4}\)|[0-9]{2,4})([ -]?[0-9]{2,4}){2,3}$",
-    "secret": r"^(AKIA|ASIA)|[=:] ?\"?[A-Za-z0-9/+_-]{16,}\"?$",
-    "local_phone": r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$|^[0-9]{3}-[0-9]{3}-[0-9]{4}$",
+    "secret": r"^(AKIA|ASIA)[0-9A-Z]{16}$|[=:] ?\"[^\"]{16,}\"$|[=:] ?(?=[^ ]*[0-9])(?=[^ ]*[A-Za-z])[A-Za-z0-9/+_-]{16,}$",
+    "local_phone": r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$|^0[0-9]{1,4}[ /-][0-9]{3,5}([ -][0-9]{2,5}){0,2}$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "iban": r"^(DE[0-9]{20}|FR[0-9]{2}[0-9A-Z]{23}|ES[0-9]{22}|GB[0-9]{2}[A-Z]{4}[0-9]{14}|IT[0-9]{2}[A-Z][0-9A-Z]{22}|SE[0-9]{22})$",
+    "iban": r"^(DE[0-9]{20}|FR[0-9]{2}[0-9A-Z]{23}|ES[0-9]{22}|GB[0-9]{2}[A-Z]{4}[0-9]{14}|IT[0-9]{2}[A-Z][0-9A-Z]{22}|SE[0-9]{22}|CH[0-9]{19}|AT[0-9]{18}|NL[0-9]{2}[A-Z]{4}[0-9]{10})$",
+    "account": r"^[0-9]{4}([ -][0-9]{4}){1,4}$|^[0-9]{8,10}$",
     "name": rf"^({_TITLES}) ",
 }
 _GAZETTEER = {
@@ -55,27 +69,43 @@ _GAZETTEER = {
     "ip": r"^(?!0|127\.|255\.|224\.)",
     "card": r"^(3[47]|4|5[1-5]|2[2-7]|6)",
     "phone": r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"^(AKIA|ASIA|(?i:password|token|secret|api))",
-    "local_phone": r"^\(?[2-9][0-8][0-9]",
+    "secret": rf"^(?:AKIA|ASIA)[0-9A-Z]{{16}}$|(?i:^[a-z0-9_-]*(?:{_KEYS})[a-z0-9_-]* ?[=:])",
+    "local_phone": r"^\(?[2-9][0-8][0-9]\)?[ .-]|^0[1-9]",
     "ssn": r"^[0-8]",
     "iban": r"^(AT|BE|CH|DE|DK|ES|FI|FR|GB|IT|NL|NO|PL|SE)",
-    "name": rf"(?:{_NAMES}) ",
+    "account": r"^(3[47]|4|5[1-5]|6)[0-9]{2}",
+    "name": rf"^(?:(?:{_TITLES}) )?(?:{_NAMES}) ",
 }
 _CONTEXT = {
     "email": r"(?i)(e-?mail|mail|contact|write|address|@)",
     "ip": r"(?i)\b(ip|host|server|address|from)\b",
     "card": r"(?i)\b(card|visa|credit|account|payment|karte|tarjeta|carte)\b",
     "phone": r"(?i)\b(tel|phone|call|mobile|fax|telefon|téléphone|teléfono)\b",
-    "secret": r"(?i)(key|secret|login|credential|auth)",
-    "local_phone": r"(?i)\b(tel|phone|call|mobile|fax)\b",
+    "secret": r"(?i)(key|secret|login|credential|auth|export|config|env)",
+    "local_phone": r"(?i)\b(tel|phone|call|mobile|fax|telefon|téléphone|teléfono)\b",
     "ssn": r"(?i)\b(ssn|social|security)\b",
     "iban": r"(?i)\b(iban|account|konto|cuenta|compte|bank)\b",
-    "name": r"(?i)\b(name|dear|by|author|contact|signed)\b",
+    "account": r"(?i)\b(account|card|passport|konto|kontonummer|cuenta|compte|customer|patient|licen[cs]e no)\b",
+    "name": r"(?i)\b(name|dear|by|author|contact|signed|regards|sincerely|called)\b",
 }
-_AGAINST = r"(?i)\b(version|license|licence|section|chapter|page|figure|isbn|article|vol)\.? ?$"
-LABELERS = ("format", "gazetteer", "context", "check", "alone")
-#: Characters on either side of a candidate that the context labeler reads.
+_AGAINST = {
+    "account": r"(?i)\b(orders?|invoice|isbn|version|no|nr|page|section|tracking|serial|product|about|over|total|year|population|of|the|and)[.:#]?\x20*$",
+    "local_phone": r"(?i)\b(version|on|date|dated|since|until|between|in|score|ratio|page|pages|isbn|section)[.:]?\x20*$",
+    "name": r"(?i)\b(the|in|of|at|from|near|a|an|to)\x20$",
+    "secret": r"(?i)(https?|see|note|e\.g\.)\x20*$",
+}
+_AGAINST_ANY = r"(?i)\b(version|license|licence|section|chapter|page|figure|isbn|article|vol)\.?\x20?$"
+#: Texts of a candidate that speak against it.
+_UNLIKE = {
+    "local_phone": r"^(19|20)[0-9]{2}[./-]|[./-](19|20)[0-9]{2}$|^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$",
+    "secret": r"^(?i:https?|ftp|mailto|e-?mail|note|title|subject|date|name|url|doi|abstract|keywords|color|colour|style|class|type|id|version|see|about|re)\x20?[=:]",
+    "name": r"\b(The|This|That|These|United|New|North|South|East|West|Saint|San|Los|Las|University|Street|River|Lake|Monday|January|In|On|At|And|But|It|He|She|We|You|They|For|From|With|To|Of|As|By|If|When)\b",
+}
+LABELERS = ("format", "gazetteer", "context", "against", "check", "alone")
+#: Characters before a candidate that the context labelers read.
 REACH = 30
+#: Candidates that are appended to one array before the next is begun.
+_PART = 500
 
 
 def _digits(x: Column) -> Column:
@@ -108,85 +138,126 @@ def _valid(kind: str, txt: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str) -> Column:
-    """array<struct<kind, start, end, txt>> of one kind in column text, leftmost and not overlapping."""
-    pattern = F.lit(PATTERNS[kind])
-    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", pattern, F.lit(0))
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,txt:string>>")
-    placed = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("txt")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.when(x["txt"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + F.length(x["gap"]) + F.length(x["txt"])).alias("at"),
-                F.when(_valid(kind, x["txt"]), F.concat(a["out"], F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), (a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["txt"])).alias("end"), x["txt"].alias("txt"))))).otherwise(a["out"]).alias("out"),
-            )
-        ),
-        lambda a: a["out"],
-    )
-    sign = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+") & F.col("digit"), "ip": F.col("digit") & F.col("text").rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": F.col("digit") & F.col("text").rlike(r"(?:[0-9][\x20-]?+){14}"), "secret": F.col("text").rlike(r"AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]"), "name": F.col("text").rlike(_NAMES)}
-    return F.when(sign.get(kind, F.col("digit")), placed).otherwise(empty)
-
-
-def _by_kind(kind: Column, patterns: dict[str, str], txt: Column) -> Column:
-    chosen = None
-    for name, pattern in patterns.items():
-        hit = txt.rlike(pattern)
-        chosen = F.when(kind == KINDS.index(name), hit) if chosen is None else chosen.when(kind == KINDS.index(name), hit)
-    return chosen.otherwise(False)
+def iban_valid(txt: Column) -> Column:
+    """Whether an account number passes the check by 97."""
+    plain = F.replace(txt, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
+    code = lambda ch: F.when(ch.between("0", "9"), ch.cast("int")).otherwise(F.ascii(ch) - 55)
+    rest = F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda a, ch: (a * F.when(ch.between("0", "9"), 10).otherwise(100) + code(ch)) % 97)
+    return rest == 1
 
 
-def _votes(x: Column) -> Column:
-    """The labelers' votes on a candidate: 1 for, -1 against, 0 none."""
-    kind, txt = x["kind"], x["txt"]
-    before = F.substring("text", F.greatest(x["start"] - REACH, F.lit(0)) + 1, x["start"] - F.greatest(x["start"] - REACH, F.lit(0)))
-    after = F.substring("text", x["end"] + 1, F.lit(1))
+def _check(kind: str, txt: Column) -> Column:
+    """1, -1 or 0: what the digits or letters of a candidate say."""
     n = F.length(_digits(txt))
-    check = (
-        F.when(kind == KINDS.index("card"), F.lit(1))
-        .when(kind.isin(KINDS.index("phone"), KINDS.index("local_phone")), F.when((n >= 10) & (n <= 13), 1).otherwise(-1))
-        .when(kind == KINDS.index("secret"), F.when(txt.rlike("[0-9]") & txt.rlike("[A-Za-z]"), 1).otherwise(-1))
-        .when(kind == KINDS.index("iban"), F.when((n >= 10) & (F.length(F.replace(txt, F.lit(" "), F.lit(""))) <= 34), 1).otherwise(-1))
-        .otherwise(0)
-    )
+    if kind == "card":
+        return F.lit(1)
+    if kind == "account":
+        return F.when((n >= 8) & (n <= 19) & (F.size(F.array_distinct(F.split(_digits(txt), "(?!^)"))) > 2), F.when((n >= 14) & ~luhn(_digits(txt)), -1).otherwise(0)).otherwise(-1)
+    if kind in ("phone", "local_phone"):
+        return F.when((n >= (10 if kind == "phone" else 9)) & (n <= 13), 1).otherwise(-1)
+    if kind == "secret":
+        value = F.regexp_extract(txt, r"[=:]\x20?\"?([^\"]+)\"?$", 1)
+        value = F.when(value == "", txt).otherwise(value)
+        return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(r"^[0-9.]+[A-Za-z]{1,3}$"), 1).otherwise(-1)
+    if kind == "iban":
+        return F.when(iban_valid(txt), 1).otherwise(-1)
+    return F.lit(0)
+
+
+def _votes(kind: str, txt: Column, before: Column, after: Column) -> Column:
+    """The labelers' votes on a candidate: 1 for, -1 against, 0 none."""
+    against = before.rlike(_AGAINST_ANY)
+    if kind in _AGAINST:
+        against = against | before.rlike(_AGAINST[kind])
+    if kind in _UNLIKE:
+        against = against | txt.rlike(_UNLIKE[kind])
     alone = (before == "") | before.rlike(r"[\s(\[\"',;:]$")
     return F.array(
-        F.when(_by_kind(kind, _FORMAT, txt), 1).otherwise(-1),
-        F.when(_by_kind(kind, _GAZETTEER, txt), 1).otherwise(-1),
-        F.when(before.rlike(_AGAINST), -1).when(_by_kind(kind, _CONTEXT, before), 1).otherwise(0),
-        check,
+        F.when(txt.rlike(_FORMAT[kind]), 1).otherwise(-1),
+        F.when(txt.rlike(_GAZETTEER[kind]), 1).otherwise(-1),
+        F.when(before.rlike(_CONTEXT[kind]), 1).otherwise(0),
+        F.when(against, -1).otherwise(0),
+        _check(kind, txt),
         F.when(alone & ((after == "") | after.rlike(r"[\s)\]\"',;:.!?]")), 1).otherwise(-1),
     )
 
 
+_CANDIDATE = "struct<start:int,kind:int,end:int,votes:array<int>>"
+
+
+def _found(kind: str) -> Column:
+    """array<struct<start, kind, end, votes>> of one kind in column text, leftmost and not overlapping.
+
+    The text between two matches is what the labelers read around them. Matches
+    are gathered in parts, so that their number costs no more than in proportion.
+    """
+    pattern = F.lit(PATTERNS[kind])
+    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", pattern, F.lit(0))
+    none = F.array().cast(f"array<{_CANDIDATE}>")
+    nothing = F.lit(None).cast("struct<start:int,end:int,txt:string,before:string>")
+
+    def step(a: Column, x: Column) -> Column:
+        last, start = a["last"], a["at"] + F.length(x["gap"])
+        made = F.struct(last["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), last["end"].alias("end"), _votes(kind, last["txt"], last["before"], F.left(x["gap"], F.lit(1))).alias("votes"))
+        good = last.isNotNull() & _valid(kind, last["txt"])
+        full = F.size(a["part"]) >= _PART
+        begun = F.when(full, none).otherwise(a["part"])
+        return F.struct(
+            (start + F.coalesce(F.length(x["txt"]), F.lit(0))).alias("at"),
+            F.when(good, F.concat(begun, F.array(made))).otherwise(begun).alias("part"),
+            F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"),
+            F.when(x["txt"].isNotNull(), F.struct(start.alias("start"), (start + F.length(x["txt"])).alias("end"), x["txt"].alias("txt"), F.right(x["gap"], F.lit(REACH)).alias("before"))).otherwise(nothing).alias("last"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("part"), F.array().cast(f"array<array<{_CANDIDATE}>>").alias("parts"), nothing.alias("last"))
+    placed = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("txt")), begin, step, lambda a: F.flatten(F.concat(a["parts"], F.array(a["part"]))))
+    digit = F.col("digit")
+    sign = {
+        "email": F.col("text").contains("@"),
+        "phone": F.col("text").contains("+") & digit,
+        "ip": digit & F.col("text").rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+        "card": digit & F.col("text").rlike(r"(?:[0-9][\x20-]?+){14}"),
+        "account": digit & F.col("text").rlike(r"(?:[0-9][\x20-]?+){8}"),
+        "local_phone": digit & F.col("text").rlike(r"[0-9][)./-]\x20?[0-9]"),
+        "ssn": digit & F.col("text").rlike(r"[0-9]-[0-9]{2}-[0-9]"),
+        "iban": digit & F.col("text").rlike(r"\b[A-Z]{2}[0-9]{2}"),
+        "secret": F.col("text").rlike(r"AKIA|ASIA|[A-Za-z0-9_-]\x20?[=:]\x20?\"?[A-Za-z0-9/+_.!#$%-]{8}"),
+        "name": F.col("text").rlike(rf"{_WORD}\x20{_WORD}"),
+    }
+    return F.when(sign[kind], placed).otherwise(none)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, and base and loose: arrays of struct<start, kind, end[, votes]>, by start and kind."""
+    """The columns of docs but text, in a struct row, and base and loose: arrays of struct<start, kind, end, votes>, by start and kind."""
     others = [c for c in docs.columns if c != "text"]
-    text = docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
-    drawn = text.withColumn("base_found", F.concat(*[_found(k) for k in BASE])).withColumn("loose_found", F.concat(*[_found(k) for k in KINDS[len(BASE) :]]))
-    free = F.filter("loose_found", lambda x: ~F.exists("base_found", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    voted = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), _votes(x).alias("votes"))))
-    return drawn.select(*others, voted(F.col("base_found")).alias("base"), voted(free).alias("loose"))
+    text = docs.select(F.struct(*others).alias("row") if others else F.struct(F.lit(0)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
+    drawn = text.select("row", F.array_sort(F.concat(*[_found(k) for k in BASE])).alias("base"), F.array_sort(F.concat(*[_found(k) for k in KINDS[len(BASE) :]])).alias("loose"))
+    free = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return drawn.withColumn("loose", F.when(F.size("base") > 0, free).otherwise(F.col("loose")))
 
 
-def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, float]:
-    """EM over (kind, votes, count): P(vote | class) per labeler, and the share of true spans.
+def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> tuple[dict, dict]:
+    """EM over (kind, votes, count): P(vote | class) per labeler, and the share of true candidates per kind.
 
-    A labeler starts, and is held by four pseudo-counts, at being right more often than not.
+    A labeler starts, and is held by pseudo-counts of a tenth of the votes, at
+    being right more often than not.
     """
-    prior = {(j, y, v): (3.0 if (v > 0) == y and v else 1.0 if v else 2.0) for j in range(len(LABELERS)) for y in (False, True) for v in (-1, 0, 1)}
+    total = sum(n for *_, n in counts)
+    hold = max(4.0, total / 10)
+    prior = {(j, y, v): hold * (0.6 if (v > 0) == y and v else 0.1 if v else 0.3) for j in range(len(LABELERS)) for y in (False, True) for v in (-1, 0, 1)}
     theta = {k: w / sum(prior[k[0], k[1], v] for v in (-1, 0, 1)) for k, w in prior.items()}
-    share = 0.5
+    share = {kind: 0.5 for kind, *_ in counts}
     for _ in range(rounds):
-        soft, weight = dict(prior), {True: 1.0, False: 1.0}
-        for _, votes, n in counts:
-            p = posterior(votes, theta, share)
+        soft, weight = dict(prior), {(kind, y): 1.0 for kind in share for y in (False, True)}
+        for kind, votes, n in counts:
+            p = posterior(votes, theta, share[kind])
             for y, part in ((True, p), (False, 1 - p)):
-                weight[y] += n * part
+                weight[kind, y] += n * part
                 for j, v in enumerate(votes):
                     soft[j, y, v] += n * part
         theta = {k: w / sum(soft[k[0], k[1], v] for v in (-1, 0, 1)) for k, w in soft.items()}
-        share = weight[True] / (weight[True] + weight[False])
+        share = {kind: weight[kind, True] / (weight[kind, True] + weight[kind, False]) for kind in share}
     return theta, share
 
 
@@ -195,12 +266,15 @@ def posterior(votes: tuple[int, ...], theta: dict, share: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
 
 
-def span_classifier(counts: list[tuple[int, tuple[int, ...], int]], steps: int = 400) -> list[float]:
-    """Weights (bias, one per vote, one per kind) of a logistic regression on the posteriors."""
+def span_classifier(counts: list[tuple[int, tuple[int, ...], int]], steps: int = 600) -> list[float]:
+    """Weights (bias, one per vote, one per kind) of a logistic regression on the posteriors; kinds weigh the same."""
     theta, share = reliabilities(counts)
     width = 1 + len(LABELERS) + len(KINDS)
-    weights, total = [0.0] * width, sum(n for *_, n in counts)
-    rows = [([1.0, *map(float, votes), *(float(kind == k) for k in range(len(KINDS)))], posterior(votes, theta, share), n / total) for kind, votes, n in counts]
+    of_kind: dict[int, int] = {}
+    for kind, _, n in counts:
+        of_kind[kind] = of_kind.get(kind, 0) + n
+    weights = [0.0] * width
+    rows = [([1.0, *map(float, votes), *(float(kind == k) for k in range(len(KINDS)))], posterior(votes, theta, share[kind]), n / of_kind[kind] / len(of_kind)) for kind, votes, n in counts]
     for _ in range(steps):
         slope = [0.001 * w for w in weights]
         for x, p, n in rows:
@@ -212,23 +286,21 @@ def span_classifier(counts: list[tuple[int, tuple[int, ...], int]], steps: int =
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per row of docs: its columns but text, base and spans, arrays of struct<start, kind, end> by start and kind.
+    """Per row of docs: row, a struct of its columns but text, and base and spans, arrays of struct<start, kind, end> by start and kind.
 
     A null or empty text has no spans; equal rows each have their own; an empty
-    table gives no rows; the docs' own columns may have any names but base,
-    loose, digit, base_found and loose_found.
+    table gives no rows; the docs' columns may have any names.
     """
     drawn = written(candidates(docs), "candidates")
     both = drawn.select(F.explode(F.concat("base", "loose")).alias("x"))
-    counts = [(r["kind"], tuple(r["votes"]), r["count"]) for r in both.groupBy("x.kind", "x.votes").count().collect()]
+    counts = [(r["kind"], tuple(r["votes"]), r["count"]) for r in both.groupBy("x.kind", "x.votes").count().collect()]  # at most kinds x 3 ** labelers
     chosen = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     if counts:
         w = span_classifier(sorted(counts))
         score = lambda x: F.lit(w[0]) + sum((x["votes"][j] * F.lit(w[1 + j]) for j in range(len(LABELERS))), F.lit(0.0)) + F.element_at(F.array(*[F.lit(v) for v in w[1 + len(LABELERS) :]]), x["kind"] + 1)
         chosen = plain(F.filter("loose", lambda x: score(x) > 0))
-    others = [c for c in docs.columns if c != "text"]
-    return drawn.select(*others, plain(F.col("base")).alias("base"), F.array_sort(F.concat(plain(F.col("base")), chosen)).alias("spans"))
+    return drawn.select("row", plain(F.col("base")).alias("base"), F.array_sort(F.concat(plain(F.col("base")), chosen)).alias("spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -236,20 +308,23 @@ def masked(docs: DataFrame) -> DataFrame:
 
     A null text stays null.
     """
-    others = [c for c in docs.columns if c != "text"]
-    found = personal_data(docs.select(F.struct(*others, "text").alias("row_"), "text"))
-    text = F.col("row_.text")
+    found = personal_data(docs.select(F.struct(*docs.columns).alias("whole"), "text"))
+    text = F.col("row.whole.text")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    out = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["upto"], x["end"]).alias("upto"),
-            F.when(x["start"] >= a["upto"], F.concat(a["out"], F.substring(text, a["upto"] + 1, x["start"] - a["upto"]), F.element_at(names, x["kind"] + 1))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["upto"] + 1, F.length(text) - a["upto"])),
-    )
-    return found.select("row_.*", F.when(F.size("spans") > 0, out).otherwise(text).alias("masked_")).withColumn("text", F.col("masked_")).drop("masked_")
+    # Pieces are listed, in parts, and joined once.
+    empty, parts = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+
+    def step(a: Column, x: Column) -> Column:
+        full, new = F.size(a["part"]) >= _PART, x["start"] >= a["upto"]
+        begun = F.when(full, empty).otherwise(a["part"])
+        piece = F.array(F.substring(text, a["upto"] + 1, x["start"] - a["upto"]), F.element_at(names, x["kind"] + 1))
+        return F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), F.when(new, F.concat(begun, piece)).otherwise(begun).alias("part"), F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"))
+
+    begin = F.struct(F.lit(0).alias("upto"), empty.alias("part"), parts.alias("parts"))
+    out = F.aggregate("spans", begin, step, lambda a: F.concat(F.array_join(F.flatten(F.concat(a["parts"], F.array(a["part"]))), ""), F.substring(text, a["upto"] + 1, F.length(text) - a["upto"])))
+    plain = [F.col(f"row.whole.{c}").alias(c) for c in docs.columns]
+    new_text = F.when(F.size("spans") > 0, out).otherwise(text).alias("text")
+    return found.select(*[new_text if c == "text" else x for c, x in zip(docs.columns, plain, strict=True)])
 
 
 def _joined(spans: Column) -> Column:
@@ -260,4 +335,4 @@ def _joined(spans: Column) -> Column:
 def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *[count(k) for k in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
