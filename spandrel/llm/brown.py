@@ -25,7 +25,6 @@ for each word of the class and for one unknown word, so probabilities sum to one
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import WORD, ascii_lower, forget, held_out, small_batches, table, written
+from spandrel.llm.common import forget, held_out, small_batches, table, written
 
 CLASSES, SEED, SHAPES = 64, 1024, 512
 #: Sweeps of the seed words, and of all common words.
@@ -48,21 +47,24 @@ LOOKS = 3.0
 COMMON = 131_072
 #: Weight of the classes' shares in a transition, in counts.
 PRIOR = 5.0
-END = "\n"
+END = b"\n"
 #: Besides the classes: the start of a text, no class (yet), and a neighbour in the tail.
 START, NONE, TAIL = CLASSES, CLASSES + 1, CLASSES + 2
 _WIDTH = CLASSES + 2
-_WORDS = re.compile(WORD)
 _FLUSH, _PAIRS, _CHUNK = 300_000, 3_000_000, 16_384
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words of a text and the end."""
-    found = _WORDS.findall(ascii_lower(text or ""))
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8, runs without ASCII white space with A-Z in lower case, and the end."""
+    found = (text or b"").lower().split()
     found.append(END)
     return found
 
 
+def _utf8(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def shape(word: str) -> int:
     """The number of a word's shape, 0 to SHAPES - 1: of its first letters, last character, length and alphabet."""
     last = word[-1]
@@ -83,12 +85,12 @@ def count_words(texts: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = _batch(word=pa.array(list(held.keys()), pa.string()), n=pa.array(list(held.values()), pa.int64()))
+            out = _batch(word=pa.array(list(held.keys()), pa.binary()).cast(pa.string()), n=pa.array(list(held.values()), pa.int64()))
             held.clear()
             return out
 
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for text in _utf8(b.column("text")):
                 held.update(tokens(text))
                 if len(held) > _FLUSH:
                     yield flush()
@@ -100,11 +102,11 @@ def count_words(texts: DataFrame) -> DataFrame:
 class _Numbers(dict):
     """Word -> number; -1 for others."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         return -1
 
 
-def coded(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
+def coded(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
     """(row, doc_id, learn, ids, tail) per row of docs (doc_id, learn, text): numbers as 32-bit integers, -1 for the words listed in tail."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +115,12 @@ def coded(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
             for at in range(0, whole.num_rows, 300):
                 b = whole.slice(at, 300)
                 ids, tail = [], []
-                for text in b.column("text").to_pylist():
+                for text in _utf8(b.column("text")):
                     words = tokens(text)
                     own = np.fromiter(map(number, words), np.int32, len(words))
                     ids.append(own.tobytes())
                     tail.append([words[i] for i in np.flatnonzero(own < 0).tolist()])
-                yield _batch(row=b.column("row"), doc_id=b.column("doc_id"), learn=b.column("learn"), ids=pa.array(ids, pa.binary()), tail=pa.array(tail, pa.list_(pa.string())))
+                yield _batch(row=b.column("row"), doc_id=b.column("doc_id"), learn=b.column("learn"), ids=pa.array(ids, pa.binary()), tail=pa.array(tail, pa.list_(pa.binary())).cast(pa.list_(pa.string())))
 
     drawn = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "learn", "text")
     return drawn.mapInArrow(work, "row long, doc_id long, learn boolean, ids binary, tail array<string>")
@@ -135,8 +137,10 @@ def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The integers of a column of _binaries, one after another, and how many are in each row."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<i4"), np.array([len(r) // 4 for r in rows])
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view("<i4") if data and len(column) else np.empty(0, "<i4")
+    return values, np.diff(ends) // 4
 
 
 def neighbours(texts: DataFrame, size: int) -> DataFrame:
@@ -369,7 +373,7 @@ def tail_words(texts: DataFrame, own: np.ndarray, m: np.ndarray, like: np.ndarra
     before, after: its neighbours' classes, TAIL for tail words; own: its class, by
     its neighbours in training texts and by its shape (like: see looks), by its
     shape alone where it has none; c: its training count; first: in one of the
-    word's rows alone.
+    word's rows alone, the one that names the word.
     """
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,6 +417,7 @@ def tail_words(texts: DataFrame, own: np.ndarray, m: np.ndarray, like: np.ndarra
             first = np.zeros(len(of), bool)
             first[ends[:-1]] = True
             extra = [pa.array(best[of], pa.int16()), pa.array(count[of], pa.int64()), pa.array(first)]
+            t = t.set_column(3, "word", pc.if_else(pa.array(first), t.column("word").combine_chunks(), None))
             b = t.combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "own", "c", "first"]), rest
 
@@ -433,7 +438,7 @@ def tail_words(texts: DataFrame, own: np.ndarray, m: np.ndarray, like: np.ndarra
 
     schema = "row long, learn boolean, at int, word string, before short, after short"
     met = texts.select("row", "learn", "ids", "tail").filter(F.size("tail") > 0).mapInArrow(occurrences, schema)
-    return met.repartition("word").sortWithinPartitions("word").mapInArrow(assigned, schema + ", own short, c long, first boolean")
+    return met.repartition("word").sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(assigned, schema + ", own short, c long, first boolean")
 
 
 class Fitted(NamedTuple):
@@ -494,7 +499,7 @@ def fit(docs: DataFrame) -> Fitted:
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, count = _common_counts(counts)
     forget(counts)
-    texts = written(coded(docs, {w: i for i, w in enumerate(words)}), "coded")
+    texts = written(coded(docs, {w.encode(): i for i, w in enumerate(words)}), "coded")
     table_ = written(neighbours(texts.filter("learn"), len(words)), "neighbours")
     shapes = np.array([shape(w) for w in words], int)
     own, m = common_classes(table_, shapes)
