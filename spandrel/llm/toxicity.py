@@ -1,12 +1,15 @@
 """Toxicity by weak supervision.
 
-Voters read a whole text: lexicons (a fixed one, and ones of words, word
-beginnings and word endings learned from labelled rows) and patterns (shouting,
-exclamation, and so on). A generative label model is fitted by expectation-
-maximisation to the counts of vote patterns over all rows it may learn from: it
-estimates each voter's accuracy, and correlations between voters as a tree in
-which a voter depends on the class and on one other voter (Chow & Liu 1968).
-The posterior labels of these patterns train the final linear classifier.
+Voters read a whole text: a fixed lexicon, lexicons learned from labelled rows
+(of words, word beginnings and endings, and of beginnings that two different
+words of a text share) and patterns (shouting, exclamation, and so on). Learned
+lexicons are cross-fitted: each is learned twice, from one half of the labelled
+rows each, and abstains on the half it was learned from. Some are weak on
+purpose. A generative label model is fitted by expectation-maximisation to the
+counts of vote patterns over all rows it may learn from: it estimates each
+voter's accuracy, and correlations between voters as a tree in which a voter
+depends on the class and on one other voter (Chow & Liu 1968). The posterior
+labels of these patterns train the final linear classifier.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from spandrel.llm.common import held_out, small_batches, small_enough, table, wr
 
 #: A general list of insults.
 SEED = frozenset("idiot idiots moron morons stupid pathetic worthless scum trash disgusting loser losers clown dumb imbecile filth vermin freak creep hate idiota imbécil estúpido basura dummkopf abschaum widerlich ordure crétin débile".split())
-#: Parts of a word that the learned lexicons look at: whole words, beginnings and endings of so many letters.
-PARTS = (("word", 0), ("begin", 4), ("begin", 5), ("begin", 6), ("end", 5))
-#: A part is learned if it is in so many toxic texts, and at least this share of its labelled texts is toxic.
-SUPPORT, PRECISION = 7, 0.97
+#: Parts of a word that the learned lexicons look at: whole words, beginnings and endings of so many letters, and beginnings that two words share.
+PARTS = (("word", 0), ("begin", 4), ("begin", 5), ("begin", 6), ("end", 5), ("twice", 5), ("twice", 6), ("twice", 7))
+KINDS = tuple(f"{kind}{n or ''}" for kind, n in PARTS)
+_TWICE = tuple(kind == "twice" for kind, _ in PARTS)
+#: A part is learned from a half if it is in so many of its toxic texts, and at least this share of the half's labelled texts with it is toxic.
+SUPPORT, PRECISION, PRECISION_TWICE = 7, 0.97, 0.75
 #: Most parts of the learned lexicons held in memory (those in the most toxic texts; a join looks up the rest), and most labels that are broadcast.
 LEXICON, BROADCAST_LABELS = 50_000, 2_000_000
 #: Bits of the map of hashed parts.
@@ -39,15 +44,16 @@ SAMPLE = 10_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
-VOTERS = ("seed", "word", "begin4", "begin5", "begin6", "end5", "dense", "shout", "exclaim", "second")
+VOTERS = ("seed", *(f"{kind} {half}" for kind in KINDS for half in "ab"), "dense", "shout", "exclaim", "second")
 _SECOND = frozenset("you your yourself tu toi vous votre te ti usted du dich dir ihr euch".split())
 
 
 def parts(word: str) -> list[tuple[str, str]]:
-    """The parts of a lower-case word that lexicons may hold."""
+    """The parts (kind, part) of a lower-case word that lexicons may hold."""
     found = [("word", word)]
-    found += [(f"begin{n}", word[:n]) for kind, n in PARTS if kind == "begin" and len(word) > n]
-    found += [(f"end{n}", word[-n:]) for kind, n in PARTS if kind == "end" and len(word) > n]
+    for name, (kind, n) in zip(KINDS[1:], PARTS[1:], strict=True):
+        if len(word) > n:
+            found.append((name, word[-n:] if kind == "end" else word[:n]))
     return found
 
 
@@ -89,124 +95,147 @@ class _Parts(dict):
         return found
 
 
+def _of_text(text: str, of: _Parts) -> dict[tuple[str, str], int]:
+    """Per part of a text, how many different words have it; of the kinds that take two, those with two."""
+    found = Counter(p for w in set(_WORD.findall(text.lower())) for p in of[w])
+    return {p: n for p, n in found.items() if n > 1 or not p[0].startswith("twice")}
+
+
 def _counted(texts: DataFrame, bits: bytes | None) -> DataFrame:
-    """(kind, part, n): in how many texts a part is; of all parts, or of those whose bit is set."""
+    """(kind, part, a, b): in how many texts of each half a part is; of all parts, or of those whose bit is set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = Counter(), _Parts(bits)
+        held, of = (Counter(), Counter()), _Parts(bits)
 
         def flush() -> pa.RecordBatch:
-            rows = [(k, p, n) for (k, p), n in held.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "part", "n"])
+            keys = list(held[0].keys() | held[1].keys())
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([h[k] for k in keys], pa.int64()) for h in held]
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_arrays(columns, ["kind", "part", "a", "b"])
 
         for b in batches:
-            for _, texts in _batches(b):
-                for text in texts:
-                    held.update({p for w in set(_WORD.findall(text.lower())) for p in of[w]})
-                if len(held) > 500_000:
+            for part, texts in _batches(b):
+                for text, half in zip(texts, part.column("half").to_pylist(), strict=True):
+                    held[half].update(_of_text(text, of).keys())
+                if len(held[0]) + len(held[1]) > 500_000:
                     yield flush()
         yield flush()
 
-    return texts.mapInArrow(work, "kind string, part string, n long").groupBy("kind", "part").agg(F.sum("n").alias("n"))
+    return texts.select("half", "text").mapInArrow(work, "kind string, part string, a long, b long").groupBy("kind", "part").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, frozenset[str]], DataFrame | None]:
-    """Per kind of part, those that mark toxic texts, from rows (text, toxic); and a table of those beyond LEXICON.
+def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, dict[str, int]], DataFrame | None]:
+    """Per kind of part, those that mark toxic texts, from rows (text, toxic, half 0 or 1); and a table of those beyond LEXICON.
 
-    Every part with the support is judged, over all rows. The bitmap only spares
+    A part comes with the halves it was learned from: 1, 2, or 3 for both. Every
+    part with the support is judged, over all rows. The bitmap only spares
     counting parts of clean texts that can't be candidates.
     """
-    often = written(_counted(labelled.filter("toxic = 1").select("text"), None).filter(F.col("n") >= SUPPORT), "often")
-    clean = _counted(labelled.filter("toxic = 0").select("text"), _bitmap(often)).withColumnRenamed("n", "clean")
-    marks = F.col("n") >= PRECISION * (F.col("n") + F.coalesce("clean", F.lit(0)))
-    passed = written(often.join(clean, ["kind", "part"], "left").filter(marks).select("kind", "part", "n"), "lexicon")
+    often = written(_counted(labelled.filter("toxic = 1"), None).filter((F.col("a") >= SUPPORT) | (F.col("b") >= SUPPORT)), "often")
+    clean = _counted(labelled.filter("toxic = 0"), _bitmap(often)).select("kind", "part", F.col("a").alias("clean_a"), F.col("b").alias("clean_b"))
+    least = F.when(F.col("kind").startswith("twice"), PRECISION_TWICE).otherwise(PRECISION)
+    marks = lambda h: (F.col(h) >= SUPPORT) & (F.col(h) >= least * (F.col(h) + F.coalesce(f"clean_{h}", F.lit(0))))
+    halves = F.when(marks("a"), 1).otherwise(0) + F.when(marks("b"), 2).otherwise(0)
+    passed = written(often.join(clean, ["kind", "part"], "left").select("kind", "part", (F.col("a") + F.col("b")).alias("n"), halves.alias("halves")).filter("halves > 0"), "lexicon")
     first = passed.orderBy(F.desc("n"), "kind", "part").limit(LEXICON).collect()
-    held: dict[str, set[str]] = {}
+    held: dict[str, dict[str, int]] = {}
     for r in first:
-        held.setdefault(r["kind"], set()).add(r["part"])
+        held.setdefault(r["kind"], {})[r["part"]] = r["halves"]
     rest = None
     if len(first) == LEXICON:
         place = lambda n, kind, part: F.struct((-n).alias("n"), kind.alias("kind"), part.alias("part"))
         last = place(F.lit(first[-1]["n"]), F.lit(first[-1]["kind"]), F.lit(first[-1]["part"]))
-        rest = passed.filter(place(F.col("n"), F.col("kind"), F.col("part")) > last).select("kind", "part")
-    return {k: frozenset(v) for k, v in held.items()}, rest
+        rest = passed.filter(place(F.col("n"), F.col("kind"), F.col("part")) > last).select("kind", "part", "halves")
+    return held, rest
 
 
 def _rare_hits(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """(key_, rare_): per hash of a text, how many of its words each learned lexicon's table of the rest holds."""
+    """(key, rare): per hash of a text, how many of its words each learned lexicon's table of the rest holds, by kind and half."""
     bits = _bitmap(rest)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Parts(bits)
         for b in batches:
             for part, texts in _batches(b):
-                rows = []
-                for key, text in zip(part.column("key_").to_pylist(), texts, strict=True):
-                    found: Counter = Counter()
-                    for w, c in Counter(w.lower() for w in _WORD.findall(text)).items():
-                        for p in of[w]:
-                            found[p] += c
-                    rows += [(key, k, p, c) for (k, p), c in found.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["key_", "kind", "part", "n"])
+                rows = [(key, k, p, n) for key, text in zip(part.column("key").to_pylist(), texts, strict=True) for (k, p), n in _of_text(text, of).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["key", "kind", "part", "n"])
 
-    found = docs.select("key_", "text").mapInArrow(work, "key_ string, kind string, part string, n long").join(rest, ["kind", "part"])
-    once = found.groupBy("key_", "kind", "part").agg(F.max("n").alias("n"))  # equal texts count equally
-    of_kind = [F.sum(F.when(F.col("kind") == v, F.col("n")).otherwise(0)) for v in VOTERS[1:6]]
-    return once.groupBy("key_").agg(F.array(*of_kind).alias("rare_"))
+    found = docs.select("key", "text").mapInArrow(work, "key string, kind string, part string, n long").join(rest, ["kind", "part"])
+    once = found.groupBy("key", "kind", "part", "halves").agg(F.max("n").alias("n"))  # equal texts count equally
+    of_kind = [F.sum(F.when((F.col("kind") == k) & (F.col("halves").bitwiseAND(h) > 0), F.col("n")).otherwise(0)) for k in KINDS for h in (1, 2)]
+    return once.groupBy("key").agg(F.array(*of_kind).alias("rare"))
 
 
 class _Hits(dict):
-    """Word (as written) -> bits: which lexicons it is in, and whether it shouts; kept up to a bound."""
+    """Word (as written) -> None, or (the word in lower case, whether it is in the fixed lexicon, shouts, is a second person, its learned parts (kind's number, part, halves)); kept up to a bound."""
 
-    def __init__(self, lexicon: dict[str, frozenset[str]]) -> None:
+    def __init__(self, lexicon: dict[str, dict[str, int]]) -> None:
         super().__init__()
-        self._lexicons = [SEED, *(lexicon.get(v, frozenset()) for v in VOTERS[1:6])]
+        self._lexicon = lexicon
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple | None:
         low = word.lower()
-        by = dict(parts(low)) | {"seed": low}
-        bits = sum(1 << i for i, v in enumerate(VOTERS[:6]) if by.get(v) in self._lexicons[i])
-        bits |= (1 << 6) * (len(word) > 2 and word.isupper()) | (1 << 7) * (low in _SECOND)
+        learned = tuple((KINDS.index(k), p, self._lexicon[k][p]) for k, p in parts(low) if p in self._lexicon.get(k, ()))
+        flags = low in SEED, len(word) > 2 and word.isupper(), low in _SECOND
         if len(self) > _CACHE:
             self.clear()
-        self[word] = bits
-        return bits
+        self[word] = found = (low, *flags, learned) if learned or any(flags) else None
+        return found
+
 
+def _features(text: str, hits: _Hits, half: int | None, rare: list[int] | None) -> tuple[list[float], list[int]]:
+    """Features of the final classifier, and the voters' votes (1, -1, or 0 for none).
 
-def _features(text: str, hits: _Hits, rare: list[int] | None) -> tuple[list[float], list[int]]:
-    """Features of the final classifier, and the voters' votes (1, -1, or 0 for none); rare are the learned lexicons' hits not in hits."""
+    half: that of the text if it is labelled, whose lexicons abstain; rare: the
+    learned lexicons' hits not in hits.
+    """
     words = _WORD.findall(text)
-    found = Counter(filter(None, map(hits.__getitem__, words)))
-    n = [sum(c for bits, c in found.items() if bits >> i & 1) for i in range(8)]
-    for i, c in enumerate(rare or (), 1):
-        n[i] += c
+    seed = shouts = second = 0
+    n = [[0, 0] for _ in KINDS]
+    shared: dict[tuple[int, str, int], set[str]] = {}
+    for (low, in_seed, shout, person, learned), c in Counter(filter(None, map(hits.__getitem__, words))).items():
+        seed, shouts, second = seed + c * in_seed, shouts + c * shout, second + c * person
+        for k, part, halves in learned:
+            if _TWICE[k]:
+                shared.setdefault((k, part, halves), set()).add(low)
+            else:
+                for h in (0, 1):
+                    n[k][h] += c * (halves >> h & 1)
+    for (k, _, halves), of in shared.items():
+        if len(of) > 1:
+            for h in (0, 1):
+                n[k][h] += len(of) * (halves >> h & 1)
+    for i, c in enumerate(rare or ()):
+        n[i // 2][i % 2] += c
+    allowed = [h for h in (0, 1) if h != half]
     size = max(len(words), 1)
-    most = max(n[:6])
-    shout, exclaim, second = n[6] / size, text.count("!") / size, n[7] / size
-    votes = [1 if x else -1 for x in n[:6]]
+    mean = [sum(x[h] for h in allowed) / len(allowed) for x in n]
+    most = max(seed, *mean)
+    rates = shouts / size, text.count("!") / size, second / size
+    votes = [1 if seed else -1] + [(1 if x[h] else -1) if h in allowed else 0 for x in n for h in (0, 1)]
     votes += [1 if most / size > 0.01 and most > 1 else -1 if not most else 0]
-    votes += [1 if shout > 0.5 and size > 5 else 0, 1 if exclaim > 0.3 else 0, 1 if second > 0.05 and size > 5 else 0]
-    values = [float(x > 0) for x in n[:6]] + [float(np.log1p(x)) for x in n[:6]] + [min(1.0, 20 * most / size), min(shout, 1.0), min(exclaim, 1.0), min(second, 1.0)]
+    votes += [1 if rates[0] > 0.5 and size > 5 else 0, 1 if rates[1] > 0.3 else 0, 1 if rates[2] > 0.05 and size > 5 else 0]
+    values = [float(seed > 0)] + [sum(x[h] > 0 for h in allowed) / len(allowed) for x in n] + [float(np.log1p(x)) for x in (seed, *mean)] + [min(1.0, 20 * most / size)] + [min(x, 1.0) for x in rates]
     return values, votes
 
 
-def voted(docs: DataFrame, lexicon: dict[str, frozenset[str]], rest: DataFrame | None = None) -> DataFrame:
-    """The columns of docs but text, with x (features) and votes; rest are parts (kind, part) that lexicon lacks."""
+def voted(docs: DataFrame, lexicon: dict[str, dict[str, int]], rest: DataFrame | None = None) -> DataFrame:
+    """The columns of docs (text, half, ...) but text, with x (features) and votes; rest are parts (kind, part, halves) that lexicon lacks."""
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema.add("x", T.ArrayType(T.FloatType())).add("votes", T.ArrayType(T.IntegerType()))
-    docs = docs.withColumn("key_", F.sha2(F.coalesce("text", F.lit("")), 256)) if rest is not None else docs.withColumn("rare_", F.lit(None).cast("array<long>"))
+    docs = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256)) if rest is not None else docs.withColumn("rare", F.lit(None).cast("array<long>"))
     if rest is not None:
-        docs = docs.join(_rare_hits(docs, rest), "key_", "left").drop("key_")
+        docs = docs.join(_rare_hits(docs, rest), "key", "left").drop("key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits(lexicon)
         for b in batches:
             for part, texts in _batches(b):
-                both = [_features(t, hits, r) for t, r in zip(texts, part.column("rare_").to_pylist(), strict=True)]
+                both = [_features(t, hits, h, r) for t, h, r in zip(texts, part.column("half").to_pylist(), part.column("rare").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array([x for x, _ in both], pa.list_(pa.float32())), pa.array([v for _, v in both], pa.list_(pa.int32()))], [*others, "x", "votes"])
 
-    return docs.mapInArrow(work, schema)
+    return docs.select(*others, "text", "rare").mapInArrow(work, schema)
 
 
 class LabelModel:
@@ -220,8 +249,11 @@ class LabelModel:
         ones = [v[:, j] == 2 for j in range(v.shape[1])]
         lean = np.mean(np.where(votes > 0, 1.0, np.where(votes < 0, 0.0, 0.1)), 1)
         p = np.where(gold >= 0, gold, lean)
-        for _ in range(rounds):
-            w = np.stack([counts * (1 - p), counts * p], 1)
+        # Labels of both classes begin the first round alone; without them, the mean of the votes does.
+        begin = counts * (gold >= 0) if {0, 1} <= set(gold.tolist()) else counts
+        for k in range(rounds):
+            n = begin if k == 0 else counts
+            w = np.stack([n * (1 - p), n * p], 1)
             self.share = (w[:, 1].sum() + 1) / (w.sum() + 2)
             self.parents = self._tree(ones, w)
             self.tables = []
@@ -282,24 +314,27 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     null label, or a label of a null doc_id, isn't used; of several labels of a
     document the largest is. Without any label, the learned lexicons are empty
     and the fixed one and the patterns decide. An empty table gives no rows.
+    Columns of docs may have any names; one named score is replaced.
     """
-    gold = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    gold = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     gold = F.broadcast(gold) if small_enough(gold, BROADCAST_LABELS) else gold
-    docs = small_batches(docs).withColumn("learn_", learn)
-    known = docs.filter("learn_").select("doc_id", "text").join(gold, "doc_id")
-    rows = written(voted(docs, *learn_lexicon(known.select("text", "toxic"))), "votes")
-    training = rows.filter("learn_").join(gold, "doc_id", "left").select("doc_id", "x", "votes", F.coalesce("toxic", F.lit(-1)).alias("gold"))
-    patterns = training.groupBy("votes", "gold").count().collect()  # bounded by 3 ** voters, far fewer occur
+    others = [F.col(c) for c in docs.columns if c not in ("text", "score")]
+    whole = small_batches(docs).select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
+    known = whole.join(gold, "id", "left").withColumn("toxic", F.when(F.col("learn"), F.col("toxic")))
+    known = known.withColumn("half", F.when(F.col("toxic").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")))
+    rows = written(voted(known, *learn_lexicon(known.filter("toxic IS NOT NULL").select("text", "toxic", "half"))), "votes")
+    training = rows.filter("learn").select("id", "x", "votes", F.coalesce("toxic", F.lit(-1)).alias("gold"))
+    patterns = training.groupBy("votes", "gold").count().collect()  # patterns of votes, not rows
     if not patterns:
-        return rows.select(*[c for c in docs.columns if c not in ("text", "learn_")], F.lit(0.0).alias("score"))
+        return rows.select("row.*", F.lit(0.0).alias("score"))
     patterns.sort(key=lambda r: (r["votes"], r["gold"]))
     votes = np.array([r["votes"] for r in patterns])
     model = LabelModel(votes, np.array([r["gold"] for r in patterns]), np.array([r["count"] for r in patterns], float))
-    sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    sample = training.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     w = fit_linear(np.array([r["x"] for r in sample], float), model.posterior(np.array([r["votes"] for r in sample])))
     weights = F.array(*[F.lit(float(a)) for a in w[1:]])
     dot = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(float(w[0])), lambda a, b: a + b)
-    return rows.select(*[c for c in docs.columns if c not in ("text", "learn_")], (1 / (1 + F.exp(-dot))).alias("score"))
+    return rows.select("row.*", (1 / (1 + F.exp(-dot))).alias("score"))
 
 
 def op4_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,18 +110,46 @@ def test_toxicity(spark, docs, none):
 
 def test_toxicity_judges_all_parts(spark, monkeypatch):
     common = " ".join(f"common{i}{chr(97 + i % 26) * 3}word" for i in range(60)).translate(str.maketrans("0123456789", "qwertyuiop"))
-    texts = [(i, common + (" zorblat" if i < 10 else " grumfik" if i < 18 else " vexnolt"), 1) for i in range(40)] + [(100 + i, common, 0) for i in range(60)]
-    texts += [(200, "zorblat", None), (200, "zorblat", None), (None, "Grumfik zorblat", None), (201, None, None), (202, common, None)]
-    both = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    texts = [(i, common + (" zorblat" if i < 30 else " grumfik" if i < 60 else " vexnolt"), 1) for i in range(120)] + [(200 + i, common, 0) for i in range(180)]
+    texts += [(500, "zorblat", None), (500, "zorblat", None), (None, "Grumfik zorblat", None), (501, None, None), (502, common, None)]
+    both = spark.createDataFrame([(*t, "x", 1, 2) for t in texts], "doc_id long, text string, toxic int, x string, votes int, score int").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     labelled = both.filter("toxic IS NOT NULL")
-    whole, none_left = toxicity.learn_lexicon(labelled.select("text", "toxic"))
-    assert {"zorblat", "grumfik", "vexnolt"} == whole["word"] and none_left is None
-    wanted = rows(toxicity.score(both.select("doc_id", "text"), labelled.select("doc_id", "toxic"), F.lit(True)))
+    whole, none_left = toxicity.learn_lexicon(labelled.select("text", "toxic", "half"))
+    assert {"zorblat": 3, "grumfik": 3, "vexnolt": 3} == whole["word"] and none_left is None
+    scored = toxicity.score(both, labelled.select("doc_id", "toxic"), F.lit(True))
+    assert scored.columns == ["doc_id", "toxic", "x", "votes", "half", "score"]
+    wanted = rows(scored)
+    marked = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert marked[500] > 0.3 > marked[502] and marked[None] > 0.3
     monkeypatch.setattr(toxicity, "LEXICON", 3)
-    held, rest = toxicity.learn_lexicon(labelled.select("text", "toxic"))
+    held, rest = toxicity.learn_lexicon(labelled.select("text", "toxic", "half"))
     assert sum(map(len, held.values())) == 3
-    assert sorted([(k, p) for k, v in held.items() for p in v] + rows(rest)) == sorted((k, p) for k, v in whole.items() for p in v)
-    assert rows(toxicity.score(both.select("doc_id", "text"), labelled.select("doc_id", "toxic"), F.lit(True))) == wanted
+    assert sorted([(k, p, h) for k, v in held.items() for p, h in v.items()] + rows(rest)) == sorted((k, p, h) for k, v in whole.items() for p, h in v.items())
+    assert rows(toxicity.score(both, labelled.select("doc_id", "toxic"), F.lit(True))) == wanted
+
+
+def test_toxicity_lexicons_abstain_on_the_half_they_learned_from():
+    hits = toxicity._Hits({"word": {"zorblat": 3}, "twice5": {"grumf": 1}})
+    place = {v: i for i, v in enumerate(toxicity.VOTERS)}
+    votes = {h: toxicity._features("zorblat grumfik grumfor grumfik", hits, h, None)[1] for h in (0, 1, None)}
+    assert [votes[h][place["word a"]] for h in (0, 1, None)] == [0, 1, 1] and [votes[h][place["word b"]] for h in (0, 1, None)] == [1, 0, 1]
+    assert votes[None][place["twice5 a"]] == 1 and votes[None][place["twice5 b"]] == -1
+    assert toxicity._features("grumfik grumfik", hits, None, None)[1][place["twice5 a"]] == -1
+
+
+def test_label_model_beats_any_vote():
+    """Two good voters and six weak ones that copy each other: any vote, and most votes, go wrong where the model doesn't."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    y = rng.random(6000) < 0.2
+    say = lambda right: np.where(rng.random(6000) < right, y, ~y)
+    weak = say(0.6)
+    votes = np.stack([say(0.93), say(0.93), *[np.where(rng.random(6000) < 0.97, weak, ~weak) for _ in range(6)]], 1) * 2 - 1
+    model = toxicity.LabelModel(votes, np.where(np.arange(6000) < 300, y, -1), np.ones(6000))
+    right = lambda said: (said == y)[300:].mean()
+    assert right(model.posterior(votes) > 0.5) > 0.88
+    assert right((votes > 0).any(1)) < 0.7 and right(votes.sum(1) > 0) < 0.75
 
 
 def test_label_model_finds_voters_that_agree():

@@ -100,7 +100,7 @@ def test_op4_held_out_quality(spark):
     got = queries.QUERIES["op4_weak_supervision_toxicity"](spark, "/root/testdata/sf0.1")
     met = got.filter("held_out").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").collect()
     hit = sum(r["toxic"] == r["predicted"] == 1 for r in met)
-    assert hit >= 0.8 * sum(r["toxic"] for r in met) and hit >= 0.8 * sum(r["predicted"] for r in met)
+    assert hit >= 0.9 * sum(r["toxic"] for r in met) and hit >= 0.95 * sum(r["predicted"] for r in met)
 
 
 def test_op6_matches_all_pairs(spark):
