@@ -51,7 +51,7 @@ END = b"\n"
 #: Besides the classes: the start of a text, no class (yet), and a neighbour in the tail.
 START, NONE, TAIL = CLASSES, CLASSES + 1, CLASSES + 2
 _WIDTH = CLASSES + 2
-_FLUSH, _PAIRS, _CHUNK = 300_000, 3_000_000, 16_384
+_FLUSH, _PAIRS, _CHUNK = 300_000, 6_000_000, 16_384
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -269,15 +269,18 @@ def gains(left: np.ndarray, right: np.ndarray, self_: np.ndarray, m: np.ndarray,
         ends = _runs(w)
         if len(w):
             gain[w[ends[:-1]]] += np.add.reduceat(each, ends[:-1], axis=0)
-    diagonal = np.repeat(np.diag(m)[None, :classes].astype(float), len(left), 0)
-    diagonal[rows[has], at[has]] -= left[rows[has], at[has]] + right[rows[has], at[has]] + self_[has]
-    l_, r_ = left[:, :classes], right[:, :classes]
-    gain += _xlogx(diagonal + l_ + r_ + self_[:, None]) - _xlogx(diagonal + l_) - _xlogx(diagonal + r_) + _xlogx(diagonal)
+    # A cell that a word meets from both sides was counted as two.
+    w, c = np.nonzero(((left[:, :classes] > 0) & (right[:, :classes] > 0)) | (self_ > 0)[:, None])
+    l_, r_, s_, d = left[w, c], right[w, c], self_[w], np.diag(m)[c].astype(float)
+    mine = has[w] & (at[w] == c)
+    d[mine] -= (l_ + r_ + s_)[mine]
+    gain[w, c] += _xlogx(d + l_ + r_ + s_) - _xlogx(d + l_) - _xlogx(d + r_) + _xlogx(d)
     for mine, margin in ((left, m[:, :classes].sum(0)), (right, m[:classes].sum(1))):
         n = mine.sum(1) + self_
-        without = np.repeat(margin[None, :].astype(float), len(left), 0)
-        without[rows[has], at[has]] -= n[has]
-        gain -= _xlogx(without + n[:, None]) - _xlogx(without)
+        sizes, of = np.unique(n, return_inverse=True)
+        gain -= (_xlogx(margin + sizes[:, None]) - _xlogx(margin))[of]
+        own_margin = margin[at[has]]
+        gain[rows[has], at[has]] += _xlogx(own_margin + n[has]) - 2 * _xlogx(own_margin) + _xlogx(own_margin - n[has])
     return gain
 
 
@@ -368,31 +371,26 @@ def common_classes(table_: DataFrame, shapes: np.ndarray) -> tuple[np.ndarray, n
 
 
 def tail_words(texts: DataFrame, own: np.ndarray, m: np.ndarray, like: np.ndarray) -> DataFrame:
-    """(row, learn, at, word, before, after, own, c, first) per occurrence of a tail word in the coded texts.
+    """(row, place, own, c, word) per occurrence of a tail word in the coded texts.
 
-    before, after: its neighbours' classes, TAIL for tail words; own: its class, by
-    its neighbours in training texts and by its shape (like: see looks), by its
-    shape alone where it has none; c: its training count; first: in one of the
-    word's rows alone, the one that names the word.
+    place: see placed(); own: the word's class, by its neighbours in training texts
+    and by its shape (like: see looks), by its shape alone where it has none; c:
+    its training count; word: the word, in one of its rows alone.
     """
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.append(own, TAIL).astype(np.int16)  # the last, -1, is a tail word
+        kinds = np.append(own, TAIL).astype(np.int64)  # the last, -1, is a tail word
         for whole in batches:
             for at in range(0, whole.num_rows, 300):
                 b = whole.slice(at, 300)
-                places, before, after, counts = [], [], [], []
-                for text in b.column("ids").to_pylist():
+                places, counts = [], []
+                for text, learn in zip(b.column("ids").to_pylist(), b.column("learn").to_pylist(), strict=True):
                     ids = np.frombuffer(text, np.int32)
                     own_at = np.flatnonzero(ids < 0)
                     around = np.concatenate([[START], kinds[ids], [NONE]])
-                    places.append(own_at)
-                    before.append(around[own_at])
-                    after.append(around[own_at + 2])
+                    places.append(own_at << 17 | around[own_at] << 9 | around[own_at + 2] << 1 | learn)
                     counts.append(len(own_at))
-                row, learn = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), counts) for c in ("row", "learn"))
-                columns = (row, pa.int64()), (learn, pa.bool_()), (np.concatenate(places), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[pa.array(v, t) for v, t in columns], b.column("tail").flatten(), *[pa.array(np.concatenate(x), pa.int16()) for x in (before, after)]], ["row", "learn", "at", "word", "before", "after"])
+                yield _batch(row=pa.array(np.repeat(b.column("row").to_numpy(), counts)), place=pa.array(np.concatenate(places), pa.int64()), word=b.column("tail").flatten())
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one word come together; whole words are worked on as many at a time as fit in a chunk."""
@@ -409,17 +407,15 @@ def tail_words(texts: DataFrame, own: np.ndarray, m: np.ndarray, like: np.ndarra
             if not words:
                 return None, rest
             of = np.repeat(np.arange(len(words)), np.diff(ends))
-            learn = t.column("learn").to_numpy()
-            before, after = (t.column(c).to_numpy() for c in ("before", "after"))
-            sides = [np.bincount(of[k] * NONE + x[k], minlength=len(words) * NONE).reshape(-1, NONE) for x in (before, after) for k in [learn & (x < NONE)]]
+            place = t.column("place").to_numpy()
+            learn = (place & 1).astype(bool)
+            sides = [np.bincount(of[k] * NONE + x[k], minlength=len(words) * NONE).reshape(-1, NONE) for x in (place >> 9 & 255, place >> 1 & 255) for k in [learn & (x < NONE)]]
             count = np.bincount(of, learn, len(words)).astype(np.int64)
             best = (gains(*sides, np.zeros(len(words)), m, np.full(len(words), NONE)) + like[[shape(w) for w in words]]).argmax(1)
             first = np.zeros(len(of), bool)
             first[ends[:-1]] = True
-            extra = [pa.array(best[of], pa.int16()), pa.array(count[of], pa.int64()), pa.array(first)]
-            t = t.set_column(3, "word", pc.if_else(pa.array(first), t.column("word").combine_chunks(), None))
-            b = t.combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "own", "c", "first"]), rest
+            named = pc.if_else(pa.array(first), t.column("word").combine_chunks(), None)
+            return _batch(row=t.column("row").combine_chunks(), place=pa.array(place), own=pa.array(best[of], pa.int32()), c=pa.array(count[of]), word=named), rest
 
         size = 0
         for whole in batches:
@@ -436,9 +432,14 @@ def tail_words(texts: DataFrame, own: np.ndarray, m: np.ndarray, like: np.ndarra
             if out:
                 yield out
 
-    schema = "row long, learn boolean, at int, word string, before short, after short"
-    met = texts.select("row", "learn", "ids", "tail").filter(F.size("tail") > 0).mapInArrow(occurrences, schema)
-    return met.repartition("word").sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(assigned, schema + ", own short, c long, first boolean")
+    met = texts.select("row", "learn", "ids", "tail").filter(F.size("tail") > 0).mapInArrow(occurrences, "row long, place long, word string")
+    return met.repartition("word").sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(assigned, "row long, place long, own int, c long, word string")
+
+
+def placed(tail: DataFrame) -> DataFrame:
+    """Tail words with what place holds: at, the position; before and after, the neighbours' classes, TAIL for tail words, NONE beyond the text; learn."""
+    part = lambda bit: F.shiftright("place", bit).bitwiseAND(255).cast("int")
+    return tail.select("row", "own", "c", "word", F.shiftright("place", 17).alias("at"), part(9).alias("before"), part(1).alias("after"), (F.col("place").bitwiseAND(1) == 1).alias("learn"))
 
 
 class Fitted(NamedTuple):
@@ -461,29 +462,21 @@ def _common_counts(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     return found.column("word").to_pylist(), found.column("c").to_numpy().astype(float)
 
 
-def _tail_statistics(tail: DataFrame, tail_pairs: DataFrame, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tail_statistics(tail: DataFrame, tail_pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of class pairs with a tail word in them, and the tail's tokens and distinct words by class, in training texts."""
-    size = m.shape[0] * m.shape[1]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size + 2 * CLASSES, np.int64)
-        for b in batches:
-            before, own, after, first = (b.column(c).to_numpy(zero_copy_only=False).astype(int) for c in ("before", "own", "after", "first"))
-            left, right = before < NONE, after < NONE
-            held[:size] += np.bincount(before[left] * NONE + own[left], minlength=size) + np.bincount(own[right] * NONE + after[right], minlength=size)
-            held[size:] += np.bincount(np.concatenate([own, CLASSES + own[first == 1]]), minlength=2 * CLASSES)
-        at = np.flatnonzero(held)
-        yield _batch(at=pa.array(at, pa.int32()), n=pa.array(held[at], pa.int64()))
-
-    drawn = tail.filter("learn").select("before", "own", "after", F.lit(False).alias("first"))
-    types = tail.filter("first AND c > 0").select("own", F.lit(size + CLASSES).alias("plus"))
-    met = drawn.mapInArrow(work, "at int, n long")
-    met = met.union(tail_pairs.filter("learn").select((F.col("a") * NONE + F.col("b")).cast("int"), F.lit(1).cast("long")))
-    met = met.union(types.select((F.col("own") + F.col("plus")).cast("int"), F.lit(1).cast("long")))
-    held = np.zeros(size + 2 * CLASSES)
-    for r in met.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        held[r["at"]] = r["n"]
-    return held[:size].reshape(m.shape), held[size : size + CLASSES], held[size + CLASSES :]
+    met = tail.filter("learn").groupBy("before", "own", "after").agg(F.count("*").alias("n")).persist()  # of a bounded number
+    left = met.filter(F.col("before") < NONE).select(F.col("before").alias("a"), F.col("own").alias("b"), "n")
+    right = met.filter(F.col("after") < NONE).select(F.col("own").alias("a"), F.col("after").alias("b"), "n")
+    both = tail_pairs.filter("learn").groupBy("a", "b").agg(F.count("*").alias("n"))
+    m, n, v = np.zeros((NONE, NONE)), np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in left.union(right).union(both).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        m[r["a"], r["b"]] = r["n"]
+    for r in met.groupBy("own").agg(F.sum("n").alias("n")).collect():
+        n[r["own"]] = r["n"]
+    for r in tail.filter("word IS NOT NULL AND c > 0").groupBy("own").count().collect():
+        v[r["own"]] = r["count"]
+    met.unpersist()
+    return m, n, v
 
 
 def transitions(m: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -506,12 +499,12 @@ def fit(docs: DataFrame) -> Fitted:
     forget(table_)
     like = looks(shapes, own[:-1])
     size = np.log(np.bincount(own[:-1], minlength=CLASSES) + 0.1)
-    tail = written(tail_words(texts, own, m, like + size), "tail")
+    tail = placed(written(tail_words(texts, own, m, like + size), "tail"))
     one = tail.filter(F.col("after") == TAIL).select("row", "at", "learn", F.col("own").alias("a"))
     two = tail.filter(F.col("before") == TAIL).select("row", (F.col("at") - 1).alias("at"), F.col("own").alias("b"))
     tail_pairs = written(one.join(two, ["row", "at"]).select("row", "learn", "a", "b"), "tail_pairs")
 
-    more, n, v = _tail_statistics(tail, tail_pairs, m)
+    more, n, v = _tail_statistics(tail, tail_pairs)
     n += np.bincount(own[:-1], count, CLASSES)
     v += np.bincount(own[:-1], minlength=CLASSES)
     transition, total = transitions(m + more, n, v)
@@ -547,26 +540,17 @@ def scores(docs: DataFrame, learn: str) -> DataFrame:
                 score.append(transition[kinds[:-1][both], kinds[1:][both]].sum() + emitted - total[now].sum())
             yield _batch(row=b.column("row"), doc_id=b.column("doc_id"), n_tokens=pa.array(n, pa.int64()), n_known=pa.array(known, pa.int64()), base=pa.array(base, pa.float64()), score=pa.array(score, pa.float64()))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        padded = np.zeros((TAIL + 1, TAIL + 1))  # a missing neighbour adds nothing; pairs in the tail are added apart
-        padded[:NONE, :CLASSES] = transition
-        for b in batches:
-            before, kind, after, c = (b.column(x).to_numpy() for x in ("before", "own", "after", "c"))
-            emitted = np.log10(c + 0.5)
-            score = emitted - total[kind] + padded[before, kind] + padded[kind, after]
-            zero = pa.array(np.zeros(len(c), np.int64))
-            yield _batch(row=b.column("row"), doc_id=pa.nulls(len(c), pa.int64()), n_tokens=zero, n_known=pa.array((c > 0).astype(np.int64)), base=pa.array(emitted), score=pa.array(score))
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = transition[b.column("a").to_numpy(), b.column("b").to_numpy()]
-            zero = np.zeros(len(score))
-            yield _batch(row=b.column("row"), doc_id=pa.nulls(len(score), pa.int64()), n_tokens=pa.array(zero, pa.int64()), n_known=pa.array(zero, pa.int64()), base=pa.array(zero), score=pa.array(score))
+    at = lambda values, i: F.element_at(F.lit(values), i + 1)
+    padded = np.zeros((TAIL + 1, TAIL + 1))  # a missing neighbour adds nothing; pairs in the tail are added apart
+    padded[:NONE, :CLASSES] = transition
+    padded, emitted, kind, zero = padded.ravel(), F.log10(F.col("c") + 0.5), F.col("own"), F.lit(0).cast("long")
+    around = at(padded, F.col("before") * (TAIL + 1) + kind) + at(padded, kind * (TAIL + 1) + F.col("after"))
+    alone = F.lit(None).cast("long").alias("doc_id"), zero.alias("n_tokens")
+    rare = model.tail.select("row", *alone, (F.col("c") > 0).cast("long").alias("n_known"), emitted.alias("base"), (emitted - at(total, kind) + around).alias("score"))
+    between = model.tail_pairs.select("row", *alone, zero.alias("n_known"), F.lit(0.0).alias("base"), at(padded, F.col("a") * (TAIL + 1) + F.col("b")).alias("score"))
 
     parts = model.texts.select("row", "doc_id", "ids").mapInArrow(common, schema)
-    parts = parts.unionByName(model.tail.select("row", "before", "own", "after", "c").mapInArrow(rare, schema))
-    parts = parts.unionByName(model.tail_pairs.select("row", "a", "b").mapInArrow(between, schema))
-    return parts.groupBy("row").agg(
+    return parts.unionByName(rare).unionByName(between).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"),

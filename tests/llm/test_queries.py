@@ -54,7 +54,7 @@ def test_op1_scores_by_plain_counting(spark, monkeypatch, common, seeds):
     learn = table(spark, SMALL, "documents").select("doc_id", "text", (F.col("doc_id") % 3 != 1).alias("learn"))
     got = {r["doc_id"]: r["score"] for r in brown.scores(learn, "learn").collect()}
     kinds = {w: int(k) for w, k in zip(models[0].words, models[0].own, strict=False)}
-    kinds |= {r["word"]: r["own"] for r in models[0].tail.filter("first").select("word", "own").collect()}
+    kinds |= {r["word"]: r["own"] for r in models[0].tail.filter("word IS NOT NULL").select("word", "own").collect()}
     texts = {i: [*brute.words(t), "\n"] for i, t in documents(spark)}
     trained = {i: w for i, w in texts.items() if i % 3 != 1}
     count = Counter(w for t in trained.values() for w in t)
