@@ -8,7 +8,6 @@ everything in ASCII but letters counts as a space.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,7 +36,6 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint32)
 
 
@@ -129,7 +127,7 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score (0 to 1), from text alone.
 
-    A text that is null or has no letter is `und` with score 0, as is every text
+    A text that is null or has no letter (of a Unicode category L) is `und` with score 0, as is every text
     if there was nothing to learn from; with one language, it is predicted with
     score 1. Equal texts get equal answers; an empty table gives no rows;
     columns of docs named lang_pred or score are replaced.
@@ -142,7 +140,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = b.column("text").to_pylist()
-                known = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if known:
                     for i, lang, score in zip(known, *model.predict(np.stack([features(texts[i]) for i in known])), strict=True):
