@@ -30,13 +30,16 @@ GROUP, QUERIES = 8192, 2048
 CHUNK = 1024
 #: Rounding of distances between vectors of integers that double precision still holds exactly.
 SLACK = 1e-6
+#: Components are held within these bounds, and scores within those of 64 bits.
+LARGEST, HIGHEST = 2**53, 2**63 - 1
 #: Beyond this, squared lengths are no longer exact in double precision.
 EXACT = 2.0**50
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v, dim): floor(64 * x) of each component; rows with a null id or vector, or a component that is null or not finite, are left out."""
-    ints = F.transform("embedding", lambda x: F.floor(SCALE * x.cast("double")))
+    held = lambda x: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), SCALE * x.cast("double")))
+    ints = F.transform("embedding", lambda x: F.floor(held(x)))
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     usable = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole)
     return usable.select(F.col("vec_id").cast("long"), ints.alias("v"), F.size("embedding").alias("dim"))
@@ -82,7 +85,8 @@ def _products(q: np.ndarray, x: np.ndarray):
         kind = np.float32 if most < 2.0**24 else np.float64
         qf, xf = q.astype(kind), x.astype(kind)
         return lambda i, j: (qf[i] @ xf[j].T).astype(np.int64)
-    return lambda i, j: np.array([[sum(int(a) * int(b) for a, b in zip(r, c, strict=True)) for c in x[j]] for r in q[i]], object).reshape(len(i), len(j))
+    held = lambda n: max(-HIGHEST, min(HIGHEST, n))
+    return lambda i, j: np.array([[held(sum(a * b for a, b in zip(r, c, strict=True))) for c in x[j].tolist()] for r in q[i].tolist()], np.int64).reshape(len(i), len(j))
 
 
 def search(q: np.ndarray, q_id: np.ndarray, q_d: np.ndarray, least: np.ndarray, x: np.ndarray, x_id: np.ndarray, x_d: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -154,6 +158,8 @@ def top_k(embeddings: DataFrame, every: int = EVERY, top: int = TOP) -> DataFram
     Candidates are all usable rows of the same length with another vec_id; ties
     go to the smaller vec_id. Repeated rows of one vec_id are candidates, and
     queries, only once each if their vectors are equal. Empty tables give no rows.
+    Finite components whose integers are beyond 2**53 are held there, and scores
+    beyond 64 bits at the largest, with ties as above.
     """
     vectors = integer_vectors(embeddings).distinct()
     table_ = written(with_distances(vectors, choose_pivots(vectors)), "vectors")
@@ -183,11 +189,15 @@ def top_k(embeddings: DataFrame, every: int = EVERY, top: int = TOP) -> DataFram
     blocks = max(1, -(-queries.count() // QUERIES))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     known = known.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    visits = known.join(groups.withColumn("block", each), ["dim", "block"]).filter(reach >= F.col("least"))
-    visits = visits.select("dim", "near", "part", "block", "vec_id", "v", "d", "least")
+    keys = ["dim", "near", "part", "block"]
+    pairs = known.select("dim", "block", "vec_id", "n2", "d", "least").join(groups.withColumn("block", each), ["dim", "block"]).filter(reach >= F.col("least"))
+    pairs = written(pairs.select(*keys, "vec_id"), "visits")
+    # Vectors go to the groups and blocks that are visited only.
+    visits = pairs.join(known.select("vec_id", "dim", "v", "d", "least"), ["vec_id", "dim"]).select(*keys, "vec_id", "v", "d", "least")
     visits = visits.toDF(*visits.columns)
-    shipped = grouped.withColumn("block", each)
-    found = _joint(shipped, visits, ["dim", "near", "part", "block"], top)
+    shipped = grouped.join(pairs.select(*keys).distinct(), keys[:3]).select("vec_id", "v", "d", *keys)
+    shipped = shipped.toDF(*shipped.columns)
+    found = _joint(shipped, visits, keys, top)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
