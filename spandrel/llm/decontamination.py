@@ -5,11 +5,11 @@ if it lies in an occurrence of a window of 13 consecutive item words (an item of
 fewer words is one window). To find the occurrences without testing every
 position, each window length L is probed by shorter n-grams of g = (L+1)/2 words
 at every (L-g+1)-th position of the document only: any occurrence of a window
-holds one of them whole. The hashes of all the items' g-grams form a set that is
-broadcast with the plan; where a probe is in the set, the windows around it are
-written out and joined, as text, with the items' windows. Each document is read
-once, and only counts and found windows are shuffled. If the items are too many
-for a broadcast set, probes and windows are joined by shuffles instead.
+holds one of them whole. The hashes of all the items' g-grams are a broadcast
+hash set of checked size, against which the probes of a document are held as it
+is read; the windows around those found are written out and joined, as text,
+with the items' windows. Only counts and found windows are shuffled. If the items
+are too many for a broadcast, the probes are joined by a shuffle instead.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import lower_ascii, small_enough, table
+from spandrel.llm.common import lower_ascii, small_enough, table, written
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in so many of its words is hit.
 SHARE = 20
-#: Most n-grams in the set that travels with the plan, and most windows in a broadcast table.
-SET_LIMIT, WINDOW_LIMIT = 50_000, 500_000
+#: Most n-grams in the broadcast set (8 bytes each, and as much again for the table), most windows, and most contaminated texts in a broadcast table.
+SET_LIMIT, WINDOW_LIMIT, BAD_LIMIT = 2_000_000, 500_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -50,31 +50,20 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", size.alias("size"), F.explode(F.array_distinct(grams)).alias("gram"))
 
 
-def _probe_set(windows: DataFrame, size: int) -> DataFrame:
-    """(h): hashes of all g-grams in the windows of one size."""
+def _grams(w: Column, places: Column, size: int) -> Column:
+    """array<struct<at, size, h>>: the hashes of the g-grams that start at places, for windows of a size."""
     g, _ = _probe(size)
-    w = F.split("gram", " ")
-    return windows.filter(F.col("size") == size).select(F.explode(F.transform(_positions(F.lit(size - g + 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(g))))).alias("h")).distinct()
-
-
-def _with_found(base: DataFrame, probes: DataFrame, size: int) -> DataFrame:
-    """base (row, w, ...) with found_<size>: the positions of the probes that some item has too."""
-    g, step = _probe(size)
-    places = _positions(F.size("w") - g + 1, step)
-    if small_enough(probes, SET_LIMIT):
-        members = ",".join(f"{r[0]}L" if r[0] > -(2**63) else "-9223372036854775807L - 1L" for r in probes.collect()) or "NULL"
-        return base.withColumn("places", places).withColumn(f"found_{size}", F.expr(f"filter(places, i -> xxhash64(slice(w, i, {g})) IN ({members}))")).drop("places")
-    each = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, F.lit(g))).alias("h")))
-    hits = base.select("row", F.explode(each).alias("p")).select("row", "p.at", "p.h").join(probes, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias(f"found_{size}"))
-    return base.join(hits, "row", "left").withColumn(f"found_{size}", F.coalesce(f"found_{size}", F.array().cast("array<int>")))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), F.slice(w, i, F.lit(g))).alias("h")))
 
 
-def _starts(size: int) -> Column:
-    """Where windows of a size may start, around the found probes: array<struct<at, size>>."""
-    g, _ = _probe(size)
-    around = F.transform(f"found_{size}", lambda q: F.sequence(F.greatest(F.lit(1), q - (size - g)), q))
-    within = F.filter(F.array_distinct(F.flatten(around)), lambda s: s + size - 1 <= F.size("w"))
-    return F.transform(within, lambda s: F.struct(s.alias("at"), F.lit(size).alias("size")))
+def _probe_set(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(h, met): hashes of all g-grams in the windows."""
+    w = F.split("gram", " ")
+    all_ = [windows.filter(F.col("size") == n).select(F.explode(_grams(w, _positions(F.lit(n - _probe(n)[0] + 1)), n)).alias("p")) for n in sizes]
+    found = all_[0]
+    for more in all_[1:]:
+        found = found.union(more)
+    return found.select("p.h").distinct().withColumn("met", F.lit(True))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -84,43 +73,56 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     document. A null or empty text has no words and is clean; rows with equal or
     null ids are judged each by itself; an item without words, or with a null
     text, matches nothing; an item with a null id hits words but is not listed;
-    an empty table on either side gives no rows, or clean ones.
+    an empty table on either side gives no rows, or clean ones. Columns may have
+    any names.
     """
-    windows = item_windows(benchmark, window).persist()
+    windows = written(item_windows(benchmark, window), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most `window` of them
-    base = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    starts = [F.array().cast("array<struct<at:int,size:int>>")]
-    for size in sizes:
-        base = _with_found(base, _probe_set(windows, size), size)
-        starts.append(_starts(size))
-    group = [f"keep_{c}" for c in keep]
-    grams = F.transform(F.concat(*starts), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), F.concat_ws(" ", F.slice("w", x["at"], x["size"])).alias("gram")))
-    found = base.select(*group, "row", F.size("w").cast("long").alias("n_words"), F.explode_outer(grams).alias("x")).select(*group, "row", "n_words", "x.at", "x.size", F.col("x.gram").alias("gram"))
-    # Documents without a candidate window still carry a row; a value no window has keeps them from meeting in one task.
+    kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
+    base = docs.select(kept, F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    nothing = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
+    probes = [_grams(F.col("w"), _positions(F.size("w") - _probe(n)[0] + 1, _probe(n)[1]), n) for n in sizes]
+    if not sizes:
+        met = base.select("kept", "row", "w", F.lit(0).alias("at"), F.lit(0).alias("size"))
+    elif small_enough(known := _probe_set(windows, sizes), SET_LIMIT):
+        # Every document has a row at position 0, and one for each probe that is found.
+        each = base.select("kept", "row", "w", F.explode(F.concat(nothing, *probes)).alias("p")).select("kept", "row", "w", "p.at", "p.size", "p.h")
+        met = each.join(F.broadcast(known), "h", "left").filter("at = 0 OR met")
+    else:
+        base = written(base, "words")  # row numbers have to stay the same
+        hits = base.select("row", F.explode(F.concat(*probes)).alias("p")).select("row", "p.at", "p.size", "p.h").join(known, "h").select("row", "at", "size")
+        met = base.join(hits, "row", "left").withColumn("at", F.coalesce("at", F.lit(0)))
+    # Where windows of a size may start, around a probe.
+    low, high = F.greatest(F.lit(1), F.col("at") - F.floor(F.col("size") / 2).cast("int")), F.least(F.col("at"), F.size("w") - F.col("size") + 1)
+    starts = F.when((F.col("at") > 0) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(starts, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.slice("w", i, F.col("size"))).alias("gram")))
+    found = met.select("kept", "row", F.size("w").cast("long").alias("n_words"), "size", F.explode_outer(grams).alias("x")).select("kept", "row", "n_words", "x.at", "size", "x.gram")
+    # A value no window has keeps documents without a window from meeting in one task.
     found = found.withColumn("gram", F.coalesce("gram", F.concat(F.lit("\n"), F.col("row").cast("string"))))
     known = windows.select("gram", "item_id").withColumn("known", F.lit(True))
     known = F.broadcast(known) if small_enough(known, WINDOW_LIMIT) else known
     span = F.when(F.col("known"), F.struct("at", F.col("size").alias("n")))
-    per_doc = found.join(known, "gram", "left").groupBy(*group, "row", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("item_ids"))
+    per_doc = found.join(known, "gram", "left").groupBy("kept", "row", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("item_ids"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["upto"], x["at"] + x["n"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(a["upto"], x["at"]))).cast("long").alias("n")),
         lambda a: a["n"],
     )
-    return per_doc.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "n_words", covered.alias("n_hit"), "item_ids").withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    return per_doc.select("kept.*", "n_words", covered.alias("n_hit"), "item_ids").withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def _text_key() -> list[Column]:
-    return [F.xxhash64("text"), F.crc32(F.col("text").cast("binary")), F.length("text")]
+    return [F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"), F.length("text").alias("c")]
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows. What a text is judged depends on the text alone, so rows go by its hashes."""
-    keys = ["key_0", "key_1", "key_2"]
-    keyed = docs.select("*", *[k.alias(n) for k, n in zip(_text_key(), keys, strict=True)])
-    bad = contamination(keyed, benchmark, keep=tuple(keys)).filter("contaminated").select(keys).distinct()
-    return keyed.join(bad, keys, "left_anti").drop(*keys)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*_text_key()).alias("key"))
+    judged = contamination(docs.select("text", F.struct(*_text_key()).alias("key")), benchmark, keep=("key",))
+    bad = written(judged.filter("contaminated").select("key").distinct(), "contaminated")
+    bad = F.broadcast(bad) if small_enough(bad, BAD_LIMIT) else bad
+    return keyed.join(bad, "key", "left_anti").select("row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,19 @@ def test_topk_edges(spark):
     assert rows(topk.top_k(df.union(df)), "query_id", "rank", "vec_id", "score") == sorted(brute.top_k(v), key=repr)
 
 
+def test_topk_large_components(spark):
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e300, -1e300]), (2, [-1e17, 2.0]), (3, [0.5, 0.5]), (20, [1e18, 3.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df).collect()}
+    assert got[0, 1] == got[0, 20] == 2**63 - 1 and got[0, 2] == -(2**63) + 1 and got[0, 3] == 2**53 * 32 + 64 * 32
+    assert [r["vec_id"] for r in topk.top_k(df).filter("query_id = 0").orderBy("rank").collect()] == [1, 20, 3, 2]
+
+
+def test_langid_letters(spark, docs):
+    df = spark.createDataFrame([("½ ² Ⅷ ①",), ("٣",), ("ª",), ("日本",), ("a1",)], "text string")
+    model = langid.Model(["en"], langid.features("the cat")[None, :], __import__("numpy").ones(1))
+    assert [r["lang_pred"] for r in langid.predict(df, model).collect()] == ["und", "und", "en", "en", "en"]
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score(docs.select("doc_id", "text"), labels, F.lit(True))
@@ -244,6 +257,9 @@ def test_decontamination_edges(spark, docs, none):
     got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in decontamination.contamination(docs, bench).collect()}
     assert (1, 8, 2, ("4",), True) in got and (3, 0, 0, (), False) in got and (5, 30_000, 22, ("1",), False) in got and (6, 0, 0, (), False) in got
     assert decontamination.contamination(none, bench).count() == 0
+    clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("row", "w", "at", "size", "gram", "key", "kept", "h", "met")])
+    assert rows(decontamination.contamination(clash, bench), "doc_id", "n_hit") == rows(decontamination.contamination(docs, bench), "doc_id", "n_hit")
+    assert rows(decontamination.remove_contaminated(clash, bench), "doc_id") == sorted([(3,), (4,), (None,), (5,), (6,)], key=repr)
     assert decontamination.contamination(docs, bench.filter("false")).filter("contaminated OR n_hit > 0").count() == 0
     assert rows(decontamination.remove_contaminated(docs, bench), "doc_id") == sorted([(3,), (4,), (None,), (5,), (6,)], key=repr)
 
