@@ -115,8 +115,8 @@ def citations(drafts: DataFrame, sections: DataFrame) -> DataFrame:
 
     drafts: (draft, id, sha256, section_position, quote); sections: (sha256, section_position, text).
     """
-    said = text.quote_form(text.trim_quote(F.col("quote")))
-    whole = text.quote_form(F.col("text"))
+    said = text.quote_form(text.trim_quote(F.col("quote")), compose=True)
+    whole = text.quote_form(F.col("text"), compose=True)
     met = drafts.join(sections, ["sha256", "section_position"], "left").withColumn("said", said).withColumn("whole", whole)
     problem = F.when(F.col("text").isNull(), "no_section").when(~F.col("whole").contains(F.col("said")), "not_verbatim").when((F.length("said") < MIN_QUOTE) & (F.col("said") != F.col("whole")), "too_short")
     return met.withColumn("problem", problem).filter("problem IS NOT NULL").select("draft", "id", "problem")
@@ -151,3 +151,73 @@ def line_coverage(lines: DataFrame, sections: DataFrame, least: int = 25) -> Dat
     form = text.letters_and_digits(F.col("line"))
     whole = sections.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: text.letters_and_digits(x["text"])), "\n").alias("whole"))
     return lines.withColumn("form", form).filter(F.length("form") >= least).join(whole, "doc", "left").select("doc", "line", F.coalesce(F.col("whole").contains(F.col("form")), F.lit(False)).alias("found"))
+
+
+def quoted(texts: DataFrame, quotes: DataFrame, gram: int = 5) -> DataFrame:
+    """(doc, quote_id): the texts (doc, text) that hold a quote (quote_id, quote) word for word, both in quote_form.
+
+    Words of a quote but its first and last, which may be parts of words, are
+    looked up in all texts by the first `gram` of them; what is found is compared
+    whole. Quotes too short for that are compared with every text: they have to
+    fit a broadcast, so keep them to a register of phrases.
+    """
+    form = lambda c: text.quote_form(F.col(c))
+    q = quotes.filter("quote IS NOT NULL").select("quote_id", form("quote").alias("said")).withColumn("w", F.split("said", " "))
+    inner = F.slice("w", 2, F.size("w") - 2)
+    long = q.filter(F.size("w") >= gram + 2).select("quote_id", "said", F.xxhash64(F.slice(inner, 1, gram)).alias("h"))
+    t = texts.filter("text IS NOT NULL").select("doc", form("text").alias("whole"))
+    words = F.split("whole", " ")
+    places = F.when(F.size(words) >= gram, F.sequence(F.lit(1), F.size(words) - gram + 1)).otherwise(F.array().cast("array<int>"))
+    near = t.select("doc", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, gram))))).alias("h")).join(long.select("quote_id", "h"), "h").select("doc", "quote_id").distinct()
+    found = near.join(long.select("quote_id", "said"), "quote_id").join(t, "doc")
+    short = t.join(F.broadcast(q.filter(F.size("w") < gram + 2).select("quote_id", "said")))
+    both = found.select("doc", "quote_id", "whole", "said").unionByName(short.select("doc", "quote_id", "whole", "said"))
+    return both.filter(F.col("whole").contains(F.col("said"))).select("doc", "quote_id").distinct()
+
+
+def near_misses(stated: DataFrame, register: DataFrame) -> DataFrame:
+    """stated (draft, agreement_number, day) a day off a date of the agreement's (agreement_number, valid_from, valid_to, max_extension_to), and none of them."""
+    days = F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("valid_from", "valid_to", "max_extension_to")))))
+    known = register.join(stated.select("agreement_number").distinct(), "agreement_number", "left_semi").groupBy("agreement_number").agg(days.alias("days_"))
+    met = stated.join(known, "agreement_number")
+    off = F.exists("days_", lambda d: F.abs(F.datediff(d, "day")) == 1)
+    return met.filter(off & ~F.array_contains("days_", F.col("day"))).select(*stated.columns)
+
+
+def register_facts(stated: DataFrame, register: DataFrame) -> DataFrame:
+    """(draft, statement, problem): agreements, organisations and dates that a statement gives and no register row backs for what else it names.
+
+    stated: (draft, statement, kind, value) of kinds agreement, organisation and
+    date, numbers as keys and dates in ISO form; register: (agreement_key,
+    org_number, valid_from, valid_to, max_extension_to). A date or organisation
+    has to be of an agreement that its own statement names; without one, of any
+    agreement of the draft; without any, of the whole register.
+    """
+    days = F.array_compact(F.array(*[F.col(c).cast("string") for c in ("valid_from", "valid_to", "max_extension_to")]))
+    values = register.select("agreement_key", F.explode(F.concat(F.array(F.struct(F.lit("organisation").alias("kind"), F.col("org_number").alias("value"))), F.transform(days, lambda d: F.struct(F.lit("date").alias("kind"), d.alias("value"))))).alias("x")).select("agreement_key", "x.kind", "x.value").distinct()
+    own = stated.filter("kind = 'agreement'").select("draft", "statement", F.col("value").alias("agreement_key")).distinct()
+    unknown = own.join(register.select("agreement_key").distinct(), "agreement_key", "left_anti").select("draft", "statement", F.concat(F.lit("agreement "), "agreement_key").alias("problem"))
+    facts = stated.filter("kind <> 'agreement'").select("draft", "statement", "kind", "value").distinct()
+    scope = facts.join(own.select("draft", "statement").distinct().withColumn("near_", F.lit(True)), ["draft", "statement"], "left").join(own.select("draft").distinct().withColumn("far_", F.lit(True)), "draft", "left")
+    backed = own.join(values, "agreement_key")
+    near = scope.filter("near_").join(backed.select("draft", "statement", "kind", "value").distinct(), ["draft", "statement", "kind", "value"], "left_anti")
+    far = scope.filter("near_ IS NULL AND far_").join(backed.select("draft", "kind", "value").distinct(), ["draft", "kind", "value"], "left_anti")
+    anywhere = scope.filter("near_ IS NULL AND far_ IS NULL").join(values.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
+    found = [d.select("draft", "statement", F.concat_ws(" ", "kind", "value").alias("problem")) for d in (near, far, anywhere)]
+    return unknown.union(found[0]).union(found[1]).union(found[2])
+
+
+def agreement_period(stated: DataFrame, register: DataFrame) -> DataFrame:
+    """Findings where a file's period isn't its agreement's: held back; noted at the stage of procurement; reported where a page, not a document, says so.
+
+    stated: (sha256, agreement_number, start, end, stage, source) with null for
+    what isn't stated; register: (agreement_number, valid_from, valid_to, max_extension_to).
+    A start is right if it is the register's, an end if it is the register's or
+    its longest extension's.
+    """
+    met = stated.join(register, "agreement_number")
+    start = F.col("start").isNotNull() & (F.col("start") != F.col("valid_from"))
+    end = F.col("end").isNotNull() & (F.col("end") != F.col("valid_to")) & ~F.col("end").eqNullSafe(F.col("max_extension_to"))
+    severity = F.when(F.col("stage") == "procurement", NOTE).when(F.col("source") == "page", REPORT).otherwise(QUARANTINE)
+    subject = F.concat_ws(" ", "agreement_number", F.when(start, F.concat(F.lit("start "), F.col("start").cast("string"))), F.when(end, F.concat(F.lit("end "), F.col("end").cast("string"))))
+    return met.filter(start | end).select(*finding("agreement_period", severity, subject)).distinct()
