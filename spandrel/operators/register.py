@@ -26,7 +26,8 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "to_": dates.iso_date(F.col("valid_to")),
         "extension_": dates.iso_date(F.col("max_extension_to")),
     }
-    read = raw.withColumns(parts)
+    # inline() evaluates the forms once: a filter on them can't be pushed below it, where they would be evaluated again.
+    read = raw.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))))
     rules = [*[(blank(c), f"{c} is empty") for c in ("agreement", "supplier", "org", "area", "sub_area", "valid_from", "valid_to")]]
     rules += [(F.col(p).isNull(), f"{c} has an unknown format") for p, c in (("number", "agreement"), ("org_number", "org"), ("sub_area_path", "sub_area"), ("from_", "valid_from"), ("to_", "valid_to"))]
     rules += [(~blank("max_extension_to") & F.col("extension_").isNull(), "max_extension_to has an unknown format")]
