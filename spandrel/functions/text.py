@@ -59,32 +59,37 @@ def without_stop_words(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: ~w.isin(STOP_WORDS))
 
 
+def analysed(text: Column) -> Column:
+    """array<string>: what a search index counts of a text, but for stems: composed, in lower case, without stop words. Null gives none."""
+    return without_stop_words(words(nfc(F.coalesce(text, F.lit("")))))
+
+
 # The Swedish Snowball stemmer (https://snowballstem.org/algorithms/swedish/stemmer.html).
-_VOWELS = "aeiouyäåö"
-_S_ENDING = "bcdfghjklmnoprtvy"
-_ENDINGS = sorted(
+VOWELS = "aeiouyäåö"
+S_ENDING = "bcdfghjklmnoprtvy"
+ENDINGS = sorted(
     "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast".split(), key=len, reverse=True
 )
 
 
 # Stems after which "et" stays.
-_KEEP_ET = tuple("h iet uit fab cit dit alit ilit mit nit pit rit sit tit ivit kvit xit kom rak pak stak".split())
+KEEP_ET = tuple("h iet uit fab cit dit alit ilit mit nit pit rit sit tit ivit kvit xit kom rak pak stak".split())
 
 
 def _ends_in_et(word: str, region: int) -> bool:
     """Whether a word ends in the article "et", after a consonant and a vowel somewhere before."""
     head = word[:-2]
-    return word.endswith("et") and len(head) >= region and head[-1] not in _VOWELS and any(c in _VOWELS for c in head[:-1]) and not head.endswith(_KEEP_ET)
+    return word.endswith("et") and len(head) >= region and head[-1] not in VOWELS and any(c in VOWELS for c in head[:-1]) and not head.endswith(KEEP_ET)
 
 
 def stem(word: str) -> str:
     """The stem of a lower-case word of letters."""
-    first = next((i for i in range(1, len(word)) if word[i] not in _VOWELS and word[i - 1] in _VOWELS), None)
+    first = next((i for i in range(1, len(word)) if word[i] not in VOWELS and word[i - 1] in VOWELS), None)
     if first is None:
         return word
     region = max(first + 1, 3)
-    ending = next((e for e in _ENDINGS if word.endswith(e) and len(word) - len(e) >= region), None)
-    plural = word.endswith("s") and len(word) > region and len(word) > 1 and word[-2] in _S_ENDING
+    ending = next((e for e in ENDINGS if word.endswith(e) and len(word) - len(e) >= region), None)
+    plural = word.endswith("s") and len(word) > region and len(word) > 1 and word[-2] in S_ENDING
     if ending:
         word = word[: -len(ending)]
     elif _ends_in_et(word, region):
@@ -99,11 +104,22 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.StringType())
-def stemmed(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of words of letters; other tokens as they are. Apply to distinct terms."""
-    for part in terms:
-        yield part.map(lambda w: stem(w) if w is not None and w.isalpha() else w)
+def stemmed(term: Column) -> Column:
+    """Stems of words of letters, as stem(); other tokens as they are. Dear enough to be applied to distinct terms."""
+    v = f"[{VOWELS}]"
+    not_v = f"[^{VOWELS}]"
+    until = F.length(F.regexp_extract(term, f"^{not_v}*{v}+{not_v}", 0))
+    region = F.greatest(until, F.lit(3))
+    after = lambda w: F.substring(w, region + 1, F.length(w))
+    less = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+    ending = F.length(F.regexp_extract(after(term), f"(?:{'|'.join(ENDINGS)})$", 0))
+    head = less(term, 2)
+    article = after(term).endswith("et") & head.rlike(f"{v}.*{not_v}$") & ~head.rlike(f"(?:{'|'.join(KEEP_ET)})$")
+    plural = after(term).endswith("s") & term.rlike(f"[{S_ENDING}]s$")
+    one = F.when(ending > 0, less(term, ending)).when(article, head).when(plural, less(term, 1)).otherwise(term)
+    two = F.when(after(one).rlike("(?:dd|gd|nn|[dgkt]t)$"), less(one, 1)).otherwise(one)
+    three = F.when(after(two).rlike("(?:fullt|löst)$"), less(two, 1)).otherwise(less(two, F.length(F.regexp_extract(after(two), "(?:lig|els|ig)$", 0))))
+    return F.when(term.rlike(r"^\p{L}+$") & (until > 0), three).otherwise(term)
 
 
 def section_hash(text: Column, number: Column) -> Column:

@@ -136,12 +136,18 @@ def resolution_rate(references: DataFrame) -> DataFrame:
 
 
 def latest_on(questions: DataFrame, versions: DataFrame, by: list[str]) -> DataFrame:
-    """questions (by..., day) with version: the newest of versions (by..., published_on, version) up to the day, if there is just one and none is undated."""
-    dated = versions.groupBy(*by, "published_on").agg(F.count("*").alias("n_"), F.min("version").alias("version_"))
+    """questions (by..., day) with version: the newest of versions (by..., published_on, version) up to the day, if there is just one and none is undated.
+
+    Days are merged per key after versions and questions are aggregated by day, so
+    that a key costs as many rows as it has days.
+    """
+    dated = versions.filter("published_on IS NOT NULL").groupBy(*by, F.col("published_on").alias("day")).agg(F.struct(F.count("*").alias("n"), F.min("version").alias("version")).alias("x_"))
+    asked = questions.select(*by, "day").distinct()
+    both = dated.unionByName(asked.withColumn("x_", F.lit(None).cast(dated.schema["x_"].dataType))).groupBy(*by, "day").agg(F.max("x_").alias("x_"))
+    newest = both.withColumn("x_", F.last("x_", ignorenulls=True).over(Window.partitionBy(*by).orderBy("day")))
     unknown = versions.filter("published_on IS NULL").select(*by).distinct().withColumn("unknown_", F.lit(True))
-    met = questions.withColumn("row_", F.monotonically_increasing_id()).join(dated, by, "left").filter("published_on IS NULL OR published_on <= day OR published_on > day")
-    best = met.groupBy("row_", *questions.columns).agg(F.max(F.when(F.col("published_on") <= F.col("day"), F.struct("published_on", "n_", "version_"))).alias("b_"))
-    return best.join(unknown, by, "left").withColumn("version", F.when(F.col("unknown_").isNull() & (F.col("b_.n_") == 1), F.col("b_.version_"))).drop("row_", "b_", "unknown_")
+    met = questions.join(newest, [*by, "day"], "left").join(unknown, by, "left")
+    return met.withColumn("version", F.when(F.col("unknown_").isNull() & (F.col("x_.n") == 1), F.col("x_.version"))).select(*questions.columns, "version")
 
 
 def annex_range(mentions_: DataFrame, annexes: DataFrame) -> DataFrame:
@@ -154,13 +160,13 @@ def annex_range(mentions_: DataFrame, annexes: DataFrame) -> DataFrame:
 
 
 def amendments(references: DataFrame, sections: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(target_doc, target_position, doc, position, day): resolved replacing references, newest first; a null target position is the whole file.
+    """(target_doc, target_position, doc, position, day): resolved replacing references; a null target position is the whole file.
 
     day is the last date in the amending section's text, or its file's version date.
     """
     replacing = references.filter(f"replaces AND status = '{RESOLVED}' AND NOT (target_doc = doc AND target_position <=> position)")
     read = replacing.join(sections.select("doc", "position", F.array_max(dates_in(F.col("text"))).alias("stamp")), ["doc", "position"]).join(metadata.select("doc", "version_date"), "doc", "left")
-    return read.select("target_doc", "target_position", "doc", "position", F.coalesce("stamp", "version_date").alias("day")).distinct().orderBy(F.col("day").desc_nulls_last(), "doc", "position", "target_doc", "target_position")
+    return read.select("target_doc", "target_position", "doc", "position", F.coalesce("stamp", "version_date").alias("day")).distinct()
 
 
 def longest_prefix(phrases: DataFrame, titles: DataFrame, by: list[str]) -> DataFrame:

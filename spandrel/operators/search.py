@@ -6,21 +6,41 @@ texts are joined to the few that are left. Every order ends in the key columns.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions import text
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 
 
-def term_index(chunks: DataFrame, key: str = "chunk", terms: str = "terms") -> tuple[DataFrame, DataFrame]:
-    """(terms, corpus) of chunks (key, terms array): (term, chunk_count, id) with dense ids in term order, and one row (n, avg_length).
+def term_counts(chunks: DataFrame, key: str = "chunk", terms: str = "terms") -> DataFrame:
+    """(key, length, term, tf) of chunks (key, array of terms): how often each term is in each."""
+    return chunks.select(key, F.size(terms).alias("length"), F.explode(terms).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def stems(counts: DataFrame, key: str = "chunk") -> DataFrame:
+    """term_counts() with stems for terms. Distinct terms are stemmed and joined back."""
+    stemmed = counts.select("term").distinct().withColumn("stem", text.stemmed(F.col("term")))
+    return counts.join(stemmed, "term").groupBy(key, "length", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def corpus(chunks: DataFrame, terms: str = "terms") -> DataFrame:
+    """One row (n, avg_length)."""
+    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avg_length"))
+
+
+def term_index(counts: DataFrame) -> DataFrame:
+    """(term, chunk_count, id) of term_counts(), with dense ids in term order.
 
     The ids are given per range of terms and then shifted, so that no task sorts all terms.
     """
-    counted = chunks.select(key, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("chunk_count"))
-    corpus = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avg_length"))
-    return with_dense_id(counted, "term", "id"), corpus
+    return with_dense_id(counts.groupBy("term").agg(F.count("*").alias("chunk_count")), "term", "id")
 
 
 def with_dense_id(df: DataFrame, by: str, out: str, buckets: int = 64) -> DataFrame:
@@ -33,6 +53,12 @@ def with_dense_id(df: DataFrame, by: str, out: str, buckets: int = 64) -> DataFr
     return bucketed.withColumn("rank_", rank).join(F.broadcast(before), "bucket_").withColumn(out, (F.col("rank_") - 1 + F.coalesce("before_", F.lit(0))).cast("long")).drop("bucket_", "rank_", "before_")
 
 
+def query_terms(question: str) -> list[str]:
+    """The distinct stems of a question, in the order in which they appear."""
+    found = re.findall(text.TOKEN.replace("(?U)", "").replace(r"[\p{L}\p{N}]", r"[^\W_]"), unicodedata.normalize("NFC", question).lower())
+    return list(dict.fromkeys(text.stem(w) if w.isalpha() else w for w in found if w not in text.STOP_WORDS))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
@@ -41,12 +67,19 @@ def bm25_weight(tf: Column, length: Column, avg_length: Column, weight: Column)
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
-def postings(chunks: DataFrame, key: str = "chunk", terms: str = "terms") -> DataFrame:
-    """(term, key, weight): the BM25 weight of every term of every chunk."""
-    index, corpus = term_index(chunks, key, terms)
-    tf = chunks.select(key, F.size(terms).alias("length"), F.explode(terms).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def postings(counts: DataFrame, corpus_: DataFrame, key: str = "chunk") -> DataFrame:
+    """(term, key, weight): the BM25 weight of every term of every chunk, from term_counts() and corpus()."""
+    df = counts.groupBy("term").agg(F.count("*").alias("chunk_count"))
     # corpus is one row.
-    return tf.join(index.select("term", "chunk_count"), "term").join(F.broadcast(corpus)).select("term", key, bm25_weight(F.col("tf"), F.col("length"), F.col("avg_length"), idf(F.col("n"), F.col("chunk_count"))).alias("weight"))
+    return counts.join(df, "term").join(F.broadcast(corpus_)).select("term", key, bm25_weight(F.col("tf"), F.col("length"), F.col("avg_length"), idf(F.col("n"), F.col("chunk_count"))).alias("weight"))
+
+
+def query_postings(chunks: DataFrame, wanted: list[str], key: str = "chunk", terms: str = "terms") -> DataFrame:
+    """postings() of the stems in `wanted` alone, of chunks with analysed terms. A stem is the beginning of its words: no other word is stemmed."""
+    near = F.filter(terms, lambda t: reduce(lambda a, b: a | b, [t.startswith(w) for w in wanted], F.lit(False)))
+    met = chunks.select(key, F.size(terms).alias("length"), F.explode(near).alias("term"))
+    counts = met.withColumn("term", text.stemmed(F.col("term"))).filter(F.col("term").isin(wanted)).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return postings(counts, corpus(chunks, terms), key)
 
 
 def text_candidates(weights: DataFrame, query_terms: list[str], n: int, key: str = "chunk") -> DataFrame:
@@ -70,15 +103,33 @@ def vector_candidates(vectors: DataFrame, query: Column, n: int, key: str = "chu
     return ranked(vectors.select(key, F.round(inner_product(F.col(vector), query), 9).alias("score")), n, key)
 
 
+#: Most questions that are broadcast, or meet the candidates in one block.
+QUESTIONS = 2048
+
+
+def in_blocks(questions: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Every question with every candidate; questions beyond a broadcast go in blocks, to each of which the candidates are sent once."""
+    blocks = max(1, -(-questions.count() // QUESTIONS))
+    if blocks == 1:
+        return candidates.join(F.broadcast(questions))
+    placed = questions.withColumn("block_", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return candidates.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(placed, "block_").drop("block_")
+
+
 def ranked(scored: DataFrame, n: int, key: str) -> DataFrame:
     """The best n of scored (key, score), with their rank; ties go to the smaller key."""
     best = scored.orderBy(F.desc("score"), key).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def section_ranking(candidates: DataFrame, hashes: DataFrame, key: str = "chunk", group: str = "section_hash") -> DataFrame:
-    """(group, key, rank): the first chunk of each group of copies, ranked anew from 1. candidates: a limited ranking."""
-    first = candidates.join(hashes, key).groupBy(group).agg(F.min_by(key, "rank").alias(key), F.min("rank").alias("first_"))
+def section_ranking(candidates: DataFrame, texts: DataFrame, key: str = "chunk", group: str = "section_hash", hash_of: Column | None = None) -> DataFrame:
+    """(group, key, rank): the first chunk of each group of copies, ranked anew from 1. candidates: a limited ranking.
+
+    texts holds the group of each key; or hash_of makes it, for the candidates alone.
+    """
+    met = F.broadcast(candidates).join(texts, key)
+    met = met if hash_of is None else met.withColumn(group, hash_of)
+    first = met.groupBy(group).agg(F.min_by(key, "rank").alias(key), F.min("rank").alias("first_"))
     return first.select(group, key, F.row_number().over(Window.orderBy("first_")).alias("rank"))
 
 
@@ -92,10 +143,12 @@ def fuse(vector: DataFrame, text: DataFrame, k: int = RRF_K, key: str = "chunk",
     return both.select(group, own.alias(key), F.round(score, 12).alias("score"))
 
 
-def hybrid(weights: DataFrame, vectors: DataFrame, hashes: DataFrame, query_terms: list[str], query_vector: Column, limit: int = 8, candidates: int = 100, k: int = RRF_K, key: str = "chunk", group: str = "section_hash") -> DataFrame:
-    """The `limit` best groups by both branches."""
-    v = section_ranking(vector_candidates(vectors, query_vector, candidates, key), hashes, key, group)
-    t = section_ranking(text_candidates(weights, query_terms, candidates, key), hashes, key, group)
+def hybrid(weights: DataFrame, vectors: DataFrame, texts: DataFrame, query_terms: list[str], query_vector: Column, limit: int = 8, candidates: int = 100, k: int = RRF_K, key: str = "chunk", group: str = "section_hash", within: DataFrame | None = None, hash_of: Column | None = None) -> DataFrame:
+    """The `limit` best groups by both branches; of the chunks in `within` (key) alone, if given: filters come before ranking."""
+    if within is not None:
+        weights, vectors = (d.join(within.select(key), key, "left_semi") for d in (weights, vectors))
+    v = section_ranking(vector_candidates(vectors, query_vector, candidates, key), texts, key, group, hash_of)
+    t = section_ranking(text_candidates(weights, query_terms, candidates, key), texts, key, group, hash_of)
     return fuse(v, t, k, key, group).orderBy(F.desc("score"), key).limit(limit)
 
 

@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import identifiers, text
 from spandrel.operators import chunking, references, search, validation
+from spandrel.plans import retrieval
 from spandrel.plans.common import query, read
 from spandrel.sources import pages
 
 
-
-@query("""WITH d AS (SELECT d.doc_id, b.item_id, contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AS found
-  FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)
-SELECT doc_id, item_id, found FROM d""")
+@query("""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS whole FROM documents), b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS said FROM benchmark)
+SELECT DISTINCT doc_id AS doc, item_id AS quote_id FROM d JOIN b ON contains(whole, said)""")
 def quotes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document holds the benchmark passage it is asked for, word for word."""
-    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("k"), text.quote_form(F.col("text")).alias("whole"))
-    b = read(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k"), text.quote_form(F.col("text")).alias("said"))
-    return d.join(b, "k").select("doc_id", "item_id", F.col("whole").contains(F.col("said")).alias("found"))
+    """The documents that hold a benchmark passage word for word."""
+    return validation.quoted(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")))
 
 
 @query("""WITH q AS (SELECT doc_id AS draft, 1 AS id, doc_id AS pos, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 10) WHEN doc_id % 4 = 1 THEN '"' || substr(text, 5, 40) || '..."' WHEN doc_id % 4 = 2 THEN 'no such words in the text' ELSE substr(text, 1, 30) END AS quote FROM documents),
@@ -62,15 +59,15 @@ def section_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("section_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1")
 
 
-@query("""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 300),
+@query("""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line FROM documents),
 f AS (SELECT doc, line, regexp_replace(lower(line), '[^\\p{L}\\p{N}]', '', 'g') AS form FROM l),
-w AS (SELECT doc_id AS doc, regexp_replace(lower(substr(text, 1, 800)), '[^\\p{L}\\p{N}]', '', 'g') AS whole FROM documents)
+w AS (SELECT doc_id AS doc, regexp_replace(lower(regexp_replace(text, '[0-5]', '', 'g')), '[^\\p{L}\\p{N}]', '', 'g') AS whole FROM documents)
 SELECT doc, line, contains(whole, form) AS found FROM f JOIN w USING (doc) WHERE length(form) >= 25""")
 def text_line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a text layer, and whether the sections (here the first 800 characters) hold them."""
+    """Lines of a text layer, and whether the sections (here the whole texts, less some digits) hold them."""
     d = read(spark, sf_dir, "documents")
-    lines = d.filter("doc_id < 300").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
-    sections = d.select(F.col("doc_id").alias("doc"), F.lit(0).alias("position"), F.substring("text", 1, 800).alias("text"))
+    lines = d.select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    sections = d.select(F.col("doc_id").alias("doc"), F.lit(0).alias("position"), F.regexp_replace("text", "[0-5]", "").alias("text"))
     return validation.line_coverage(lines, sections)
 
 
@@ -161,7 +158,7 @@ def check_missing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
-v AS (SELECT user_id, CASE WHEN event_id % 400 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS published, event_id AS version FROM events WHERE event_type = 'view' AND event_id % 4 = 0),
+v AS (SELECT user_id, CASE WHEN event_id % 400 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS published, event_id AS version FROM events WHERE event_type = 'view'),
 d AS (SELECT user_id, published, count(*) AS n, min(version) AS version FROM v WHERE published IS NOT NULL GROUP BY ALL),
 b AS (SELECT q.event_id, arg_max(d.version, published) AS version, arg_max(d.n, published) AS n FROM q LEFT JOIN d ON d.user_id = q.user_id AND published <= day GROUP BY 1)
 SELECT event_id, CASE WHEN n = 1 AND user_id NOT IN (SELECT user_id FROM v WHERE published IS NULL) THEN coalesce(version, 0) ELSE 0 END AS version FROM q JOIN b USING (event_id)""")
@@ -169,7 +166,7 @@ def version_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version in force on a question's day, if it is the only newest one and none is undated; else 0."""
     e, day = read(spark, sf_dir, "events"), F.col("ts").cast("date")
     questions = e.filter("event_type = 'purchase'").select("event_id", "user_id", day.alias("day"))
-    versions = e.filter("event_type = 'view' AND event_id % 4 = 0").select("user_id", F.when(F.col("event_id") % 400 != 0, day).alias("published_on"), F.col("event_id").alias("version"))
+    versions = e.filter("event_type = 'view'").select("user_id", F.when(F.col("event_id") % 400 != 0, day).alias("published_on"), F.col("event_id").alias("version"))
     return references.latest_on(questions, versions, ["user_id"]).select("event_id", F.coalesce("version", F.lit(0)).alias("version"))
 
 
@@ -191,11 +188,11 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"WITH {retrieval._POSTINGS} SELECT word AS term, count(*) AS documents, any_value(stems.term) AS stem FROM tfw JOIN stems USING (word) GROUP BY word")
 def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their stems; each distinct word is stemmed once."""
-    words = read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.without_stop_words(text.words(F.col("text"))))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
-    return words.select("term", "documents", text.stemmed("term").alias("stem"))
+    words = retrieval.chunks(spark, sf_dir).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    return words.select("term", "documents", text.stemmed(F.col("term")).alias("stem"))
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:

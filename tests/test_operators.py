@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from spandrel.functions import text
 from spandrel.operators import chunking, merge, metrics, references, register, search, validation
 from spandrel.sources import pages
 from spandrel.streaming import increments
@@ -13,12 +14,13 @@ from tests.conftest import rows
 
 def test_bm25_golden(spark):
     c = spark.createDataFrame([(0, ["avtal", "vite", "avtal"]), (1, ["avtal", "uppsägningstid"]), (2, ["leverantör"])], "chunk int, terms array<string>")
-    index, corpus = search.term_index(c)
+    counts, corpus = search.term_counts(c), search.corpus(c)
+    index = search.term_index(counts)
     assert tuple(corpus.first()) == (3, 2.0)
     assert rows(index, "id", "term", "chunk_count") == [(0, "avtal", 2), (1, "leverantör", 1), (2, "uppsägningstid", 1), (3, "vite", 1)]
-    weight = {(r["chunk"], r["term"]): r["weight"] for r in search.postings(c).collect()}
+    weight = {(r["chunk"], r["term"]): r["weight"] for r in search.postings(counts, corpus).collect()}
     assert weight[0, "vite"] == pytest.approx(math.log(1 + 2.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1.5)))
-    assert [r["chunk"] for r in search.text_candidates(search.postings(c), ["avtal", "avtal", "saknas"], 5).orderBy("rank").collect()] == [0, 1]
+    assert [r["chunk"] for r in search.text_candidates(search.postings(counts, corpus), ["avtal", "avtal", "saknas"], 5).orderBy("rank").collect()] == [0, 1]
 
 
 def test_fusion_golden(spark):
@@ -47,13 +49,46 @@ def test_metrics_golden(spark):
     assert m["ndcg"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)), abs=1e-8)
 
 
+def test_search_finds_other_forms_of_a_word(spark):
+    c = spark.createDataFrame([(0, "Avtalet gäller till 2025-08-19."), (1, "Avtalens viten"), (2, "Det ska vara en leverantör, 6.21.9"), (3, "cafe\u0301"), (4, None)], "chunk int, text string").select("chunk", text.analysed(F.col("text")).alias("terms"))
+    assert c.filter("chunk = 0").first()["terms"] == ["avtalet", "gäller", "2025-08-19"] and c.filter("chunk = 4").first()["terms"] == []
+    wanted = search.query_terms("Vilka avtal har viten? AVTALET café 6.21.9")
+    assert wanted == ["avtal", "vit", "café", "6.21.9"]
+    found = {r["chunk"]: r["term"] for r in search.query_postings(c, wanted).filter("term <> 'vit'").collect()}
+    assert found == {0: "avtal", 1: "avtal", 2: "6.21.9", 3: "café"}
+    whole = search.postings(search.stems(search.term_counts(c)), search.corpus(c)).filter(F.col("term").isin(wanted))
+    assert rows(whole) == rows(search.query_postings(c, wanted))
+
+
+def test_native_stems_are_those_of_the_plain_algorithm(spark):
+    import itertools
+
+    heads = ["avtal", "leverantör", "löst", "full", "fast", "by", "häst", "iet", "kvit", "kod", "x", "ö", "strykt", "möjlig", "vänlig"]
+    tails = ["", *text.ENDINGS, "et", "s", "ts", "ks", "fullt", "löst", "lig", "els", "ig", "gt", "dd", "alitet", "paket"]
+    terms = sorted({a + b for a, b in itertools.product(heads, tails)} | {"iso27001", "6.21"})
+    got = spark.createDataFrame([(t,) for t in terms], "term string").select("term", text.stemmed(F.col("term")).alias("stem")).collect()
+    assert {r["term"]: r["stem"] for r in got} == {t: text.stem(t) if t.isalpha() else t for t in terms}
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    q, c = spark.range(10).toDF("q"), spark.range(7).toDF("c")
+    whole = rows(search.in_blocks(q, c, "q"), "q", "c")
+    monkeypatch.setattr(search, "QUESTIONS", 3)
+    assert rows(search.in_blocks(q, c, "q"), "q", "c") == whole and len(whole) == 70
+
+
 def test_bootstrap_is_numpy_s(spark):
+    import hashlib
+
     import numpy as np
 
     a, b = [0.1, 0.5, 0.9, 0.4], [0.3, 0.4, 1.0, 0.9]
     pairs = spark.createDataFrame([("c", i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))], "comparison string, question int, a double, b double")
     d = np.array(b) - np.array(a)
-    low, high = np.percentile(d[np.random.default_rng(0).integers(0, 4, (500, 4))].mean(axis=1), [2.5, 97.5])
+    u = np.array([[int(hashlib.md5(f"0:{q}:{r}".encode()).hexdigest()[:8], 16) / 2**32 for q in range(4)] for r in range(500)])
+    w = np.searchsorted(metrics._POISSON, u.ravel(), side="right").reshape(u.shape)
+    met = w.sum(1) > 0
+    low, high = np.percentile((w * d).sum(1)[met] / w.sum(1)[met], [2.5, 97.5])
     r = metrics.paired_bootstrap(pairs, ["comparison"], 500).first()
     assert (r["mean"], r["low"], r["high"]) == pytest.approx((d.mean(), low, high))
 
