@@ -33,7 +33,7 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df; its session passes at most so many rows at a time to Python from now on, as texts may be long."""
+    """df; its session passes at most so many rows at a time to Python from now on, as texts may be long. Spark bounds the bytes of a batch itself."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name, "0")) <= rows:
@@ -42,11 +42,12 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir, which all executors share. A local session may do without; on a cluster a folder of the driver's own would be lost to the others."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spandrel-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spandrel-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 

@@ -231,6 +231,19 @@ def test_neardup_bucket_without_a_common_centre(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("hot", "nodes"), [(10**6, 10), (3, 50), (3, 1)])
+def test_components_of_hot_nodes(spark, monkeypatch, hot, nodes):
+    from spandrel.llm import graphs
+
+    monkeypatch.setattr(graphs, "HOT", hot)
+    monkeypatch.setattr(graphs, "HOT_NODES", nodes)
+    edges = [(1000, i) for i in range(40)] + [(1001, 1002), (1002, 1003), (1003, 1003), (39, 2000), (2000, 2001), (50, 51), (51, 50), (2001, 2002)]
+    got = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = dict.fromkeys([*range(40), 1000, 2000, 2001, 2002], 0) | {1001: 1001, 1002: 1001, 1003: 1001, 50: 50, 51: 50}
+    assert got == want
+    assert graphs.components(spark.createDataFrame(edges, "u long, v long").filter("false")).count() == 0
+
+
 def test_packing_edges(docs, none):
     got = packing.pack(docs).collect()
     assert sum(r["length"] for r in got if r["doc_id"] in (3, 4)) == 2
