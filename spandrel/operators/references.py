@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,58 +76,118 @@ def period_in(text: Column) -> Column:
     return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
 
 
+_SECTION, _ANNEX = r"(?:avsnitt(?:et|en)?|punkt(?:en|erna)?|kapitel|sections?|clauses?)", r"(?:bilag(?:a|an|or|orna)|annex(?:es)?)"
+_DOCUMENT = r"(?:allmänna villkor(?:en)?|kravkatalog(?:en)?|huvuddokument(?:et)?|general terms|requirements catalogue)"
+_NUMBERS = r"\d+(?:\.\d+)*(?:\s*(?:,|och|and|samt|eller|or)\s*\d+(?:\.\d+)*)*"
+_LAW = r"(?iu)(?:\d+(?:\.\d+)*\s+)?(?:§\s*\d+[^.]{0,40})?(?:lag(?:en)?|förordning(?:en)?)\s*\(\d{4}:\d+\)(?:[^.]{0,30}?\d+\s*(?:kap\.?|§))?"
+#: Forms of mentions, each read from what the earlier ones left: (kind, pattern, group of the key, group of the document named with it).
+_FORMS = (
+    ("placeholder", rf"(?iu)(?:{_SECTION}|{_ANNEX})\s+(\[[^\]\d]{{0,20}}\]|x+(?:\.x+)*\b|…+|\.{{3,}})", 1, None),
+    ("section", rf"(?iu){_SECTION}\s+(\d+(?:\.\d+)*)\s+(?:i|av|of|in)\s+(?:de\s+|the\s+)?({_DOCUMENT})", 1, 2),
+    ("section", rf"(?iu){_SECTION}\s+({_NUMBERS})", 1, None),
+    ("annex", rf"(?iu){_ANNEX}\s+({_NUMBERS})", 1, None),
+    ("annex_name", r"(?U)(?:[Bb]ilagan?|[Aa]nnex)\s+(\p{Lu}[\p{L} -]{2,60}?)(?=\s*[.,;:)]|$)", 1, None),
+    ("document", rf"(?iu)\b({_DOCUMENT})\b", 1, None),
+    ("title", r"(?U)(?:[Aa]vsnittet|[Aa]vsnitt|[Ss]ection)\s+[\"”»]?(\p{Lu}[^.;,\n\"”»]{2,200})", 1, None),
+    ("question", r"(?iu)(?:fråga|question)\s+(?:nr\.?\s*)?(\d+)", 1, None),
+)
+
+
 def mentions(sections: DataFrame) -> DataFrame:
-    """(doc, position, kind, key, replaces): section, annex, document and law references in sections (doc, position, text).
+    """(doc, position, kind, key, named, replaces): references in sections (doc, position, text) to laws, sections, annexes, documents and questions.
 
     Laws are claimed first: a number in or right before a law is no section
-    reference. A mention replaces if its sentence has a verb of replacement that
-    is neither negated nor conditional.
+    reference. Then each form takes what it matches from the sentence, so that
+    later forms don't read it again. A list of numbers is a mention each. named is
+    the document that a section number was given with, else empty. A mention
+    replaces if its sentence has a verb of replacement that is neither negated nor
+    conditional.
     """
-    law = r"(?iu)(?:\d+(?:\.\d+)*\s+)?(?:§\s*\d+[^.]{0,40})?(?:lag(?:en)?|förordning(?:en)?)\s*\(\d{4}:\d+\)(?:[^.]{0,30}?\d+\s*(?:kap\.?|§))?"
-    found = {
-        "section": r"(?iu)(?:avsnitt|punkt(?:en)?|kapitel|section|clause)\s+(\d+(?:\.\d+)*)",
-        "annex": r"(?iu)(?:bilaga|annex)\s+(\d+(?:\.\d+)*)",
-        "document": r"(?iu)\b(allmänna villkor(?:en)?|kravkatalog(?:en)?|huvuddokument(?:et)?|general terms|requirements catalogue)\b",
-        "question": r"(?iu)(?:fråga|question)\s+(?:nr\.?\s*)?(\d+)",
-    }
-    sentences = sections.select("doc", "position", F.posexplode(F.split("text", r"(?<=[.!?])\s+(?=\p{Lu})")).alias("sentence_no", "sentence"))
+    sentences = sections.select("doc", "position", F.explode(F.split("text", r"(?<=[.!?])\s+(?=\p{Lu})")).alias("sentence"))
     verb, doubt = r"(?iu)\b(ersätts?|ersätter|upphävs|utgår|ändras|replaces?|replaced|superseded?)\b", r"(?iu)\b(inte|ej|om|kan komma att|not|if|may)\b"
-    clean = sentences.withColumn("rest", F.regexp_replace("sentence", law, " ")).withColumn("replaces", F.col("sentence").rlike(verb) & ~F.col("sentence").rlike(doubt))
-    laws = _tagged(F.regexp_extract_all("sentence", F.lit(r"\((\d{4}:\d+)\)"), F.lit(1)), "law")
-    every = F.concat(laws, *[_tagged(F.regexp_extract_all("rest", F.lit(p), F.lit(1)), kind) for kind, p in found.items()])
-    return clean.select("doc", "position", "replaces", F.explode(every).alias("m")).select("doc", "position", "m.kind", F.lower("m.key").alias("key"), "replaces").distinct()
+    read = sentences.withColumn("replaces", F.col("sentence").rlike(verb) & ~F.col("sentence").rlike(doubt)).withColumn("rest_0", F.regexp_replace("sentence", _LAW, " "))
+    every = [_tagged(F.regexp_extract_all("sentence", F.lit(r"\((\d{4}:\d+)\)"), F.lit(1)), "law")]
+    for n, (kind, pattern, group, with_) in enumerate(_FORMS):
+        rest = f"rest_{n}"
+        keys = F.regexp_extract_all(rest, F.lit(pattern), F.lit(group))
+        if with_:
+            names = F.regexp_extract_all(rest, F.lit(pattern), F.lit(with_))
+            every.append(F.transform(F.arrays_zip(keys.alias("k"), names.alias("n")), lambda x: F.struct(F.lit("section").alias("kind"), x["k"].alias("key"), F.lower(x["n"]).alias("named"))))
+        else:
+            keys = F.flatten(F.transform(keys, lambda k: F.regexp_extract_all(k, F.lit(r"\d+(?:\.\d+)*"), F.lit(0)))) if kind in ("section", "annex") else keys
+            every.append(_tagged(keys, kind))
+        read = read.withColumn(f"rest_{n + 1}", F.regexp_replace(rest, pattern, " "))
+    found = read.select("doc", "position", "replaces", F.explode(F.concat(*every)).alias("m"))
+    return found.select("doc", "position", "m.kind", F.lower(F.trim("m.key")).alias("key"), "m.named", "replaces").distinct()
 
 
 def _tagged(keys: Column, kind: str) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), F.lit("").alias("named")))
 
 
 RESOLVED, AMBIGUOUS, UNRESOLVED, SELF = "resolved", "ambiguous", "unresolved", "self"
 
 
+def _first_word(text: Column) -> Column:
+    return F.regexp_extract(F.lower(text), r"^[\p{L}\p{N}]+", 0)
+
+
+def _begins(whole: Column, start: Column) -> Column:
+    """Whether start begins whole and ends at a word's end, whatever the case."""
+    rest = F.substring(whole, F.length(start) + 1, F.lit(1))
+    return F.startswith(F.lower(whole), F.lower(start)) & ~rest.rlike(r"^[\p{L}\p{N}]")
+
+
 def resolve(found: DataFrame, sections: DataFrame, files: DataFrame) -> DataFrame:
     """found mentions with status, rule, target_doc and target_position.
 
-    sections: (doc, position, number); files: (page, doc, title, annex, document_type).
-    Rules in order: R1 a section of that number in the same file; R3 an annex
-    of that number on a page of the file; R2 a file on the page whose title
-    starts with the name. One target a mention is resolved, several are ambiguous.
+    sections: (doc, position, number, title); files: (page, doc, title, annex, document_type).
+    Rules in order: R1 a section of that number in the same file; R1x one in the
+    file on the page that is named with it; R2 a file on the page whose title
+    starts with the name; R3 an annex of that number on the page; R4 the section of
+    the same file whose title is the longest beginning of the phrase; R4p such a
+    section of another file on the page; R5 an annex on the page of that name; RQ a
+    question of that number in a question log on the page. One target is resolved,
+    several are ambiguous, and what names the file itself is its own. Files on a page
+    meet mentions by page and number, or page and first word.
     """
-    keyed = found.withColumn("mention", F.xxhash64("doc", "position", "kind", "key"))
-    numbered = sections.filter("number IS NOT NULL").groupBy("doc", "number").agg(F.min("position").alias("target_position"))
-    r1 = keyed.filter("kind = 'section'").join(numbered.withColumnRenamed("number", "key"), ["doc", "key"]).select("mention", F.lit(1).alias("priority"), F.lit("R1").alias("rule"), F.col("doc").alias("target_doc"), "target_position")
-    pages = files.select("page", "doc").distinct()
-    nearby = keyed.join(pages, "doc").join(files.select("page", F.col("doc").alias("target_doc"), "title", "annex"), "page")
-    none = F.lit(None).cast("long").alias("target_position")
-    r3 = nearby.filter("kind = 'annex' AND key = annex").select("mention", F.lit(2).alias("priority"), F.lit("R3").alias("rule"), "target_doc", none)
-    named = (F.col("kind") == "document") & F.startswith(F.lower("title"), F.col("key"))
-    r2 = nearby.filter(named).select("mention", F.lit(3).alias("priority"), F.lit("R2").alias("rule"), "target_doc", none)
-    targets = r1.unionByName(r3).unionByName(r2).distinct()
-    first = targets.groupBy("mention").agg(F.min("priority").alias("priority"))
-    best = targets.join(first, ["mention", "priority"]).groupBy("mention", "rule").agg(F.count("*").alias("n"), F.min(F.struct("target_doc", "target_position")).alias("t"))
-    one = keyed.join(best, "mention", "left")
-    status = F.when(F.col("n").isNull(), UNRESOLVED).when(F.col("n") > 1, AMBIGUOUS).when((F.col("t.target_doc") == F.col("doc")) & F.col("t.target_position").isNull(), SELF).otherwise(RESOLVED)
-    return one.select("doc", "position", "kind", "key", "replaces", status.alias("status"), "rule", F.col("t.target_doc").alias("target_doc"), F.col("t.target_position").alias("target_position"))
+    key = ["doc", "position", "kind", "key", "named"]
+    asked = found.select(*key).distinct()
+    numbered = sections.filter("number IS NOT NULL").groupBy(F.col("doc").alias("target_doc"), "number").agg(F.min("position").alias("target_position"))
+    on_page = asked.join(files.select("page", "doc").distinct(), "doc")
+    own = files.select("page", F.col("doc").alias("target_doc"), F.col("title").alias("file_title"), "annex", "document_type").distinct()
+    titled = own.withColumn("word", _first_word(F.col("file_title")))
+    none = F.lit(None).cast(sections.schema["position"].dataType).alias("target_position")
+    of = lambda kind, extra="true": F.expr(f"kind = '{kind}' AND {extra}")
+    named = lambda d, column: d.withColumn("word", _first_word(F.col(column))).join(titled, ["page", "word"]).filter(_begins(F.col("file_title"), F.col(column)))
+
+    r1 = asked.filter(of("section", "named = ''")).join(numbered.withColumnRenamed("number", "key").withColumn("doc", F.col("target_doc")), ["doc", "key"])
+    r1x = named(on_page.filter(of("section", "named <> ''")), "named").join(numbered.withColumnRenamed("number", "key"), ["target_doc", "key"])
+    r2 = named(on_page.filter(of("document")), "key").withColumn("target_position", none)
+    r3 = on_page.filter(of("annex")).join(own.withColumnRenamed("annex", "key"), ["page", "key"]).withColumn("target_position", none)
+    heads = sections.filter("title IS NOT NULL").select(F.col("doc").alias("target_doc"), F.col("position").alias("target_position"), F.col("title").alias("head"), _first_word(F.col("title")).alias("word"))
+    phrases = asked.filter(of("title")).withColumn("word", _first_word(F.col("key")))
+    r4 = _longest(phrases.join(heads.withColumn("doc", F.col("target_doc")), ["doc", "word"]), key)
+    elsewhere = heads.join(own.select("page", "target_doc").distinct(), "target_doc")
+    r4p = _longest(on_page.filter(of("title")).withColumn("word", _first_word(F.col("key"))).join(elsewhere, ["page", "word"]).filter("target_doc <> doc"), key)
+    name = F.regexp_replace("file_title", rf"(?iu)^{_ANNEX}\s*(?:\d+(?:\.\d+)*)?[\s:.–-]*", "")
+    annexes = own.withColumn("annex_title", name).filter(F.col("annex_title") != F.col("file_title")).withColumn("word", _first_word(F.col("annex_title")))
+    r5 = on_page.filter(of("annex_name")).withColumn("word", _first_word(F.col("key"))).join(annexes, ["page", "word"]).filter(_begins(F.col("annex_title"), F.col("key"))).withColumn("target_position", none)
+    rq = on_page.filter(of("question")).join(own.filter("document_type = 'question_log'").select("page", "target_doc").distinct(), "page").join(numbered.withColumnRenamed("number", "key"), ["target_doc", "key"])
+
+    rules = [("R1", r1), ("R1x", r1x), ("R2", r2), ("R3", r3), ("R4", r4), ("R4p", r4p), ("R5", r5), ("RQ", rq)]
+    parts = [d.select(*key, F.struct(F.lit(n).alias("priority"), F.lit(rule).alias("rule")).alias("by"), F.struct("target_doc", "target_position").alias("t")) for n, (rule, d) in enumerate(rules)]
+    targets = reduce(DataFrame.unionByName, parts).distinct().groupBy(*key, "by").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.bool_or((F.col("t.target_doc") == F.col("doc")) & F.col("t.target_position").isNull()).alias("self"))
+    best = targets.groupBy(*key).agg(F.min(F.struct("by", "n", "t", "self")).alias("x")).select(*key, "x.*")
+    status = F.when(F.col("n").isNull(), UNRESOLVED).when(F.col("self"), SELF).when(F.col("n") > 1, AMBIGUOUS).otherwise(RESOLVED)
+    return found.join(best, key, "left").select(*key, "replaces", status.alias("status"), F.col("by.rule").alias("rule"), F.col("t.target_doc").alias("target_doc"), F.col("t.target_position").alias("target_position"))
+
+
+def _longest(met: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose head is the longest beginning of the key's phrase; ties stay."""
+    begun = met.filter(_begins(F.col("key"), F.col("head"))).withColumn("long", F.length("head"))
+    most = begun.groupBy(*key).agg(F.max("long").alias("long"))
+    return begun.join(most, [*key, "long"])
 
 
 def resolution_rate(references: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.operators import catalog, reports, runs, tools, validation
+from spandrel.operators import catalog, periods, reports, runs, tools, validation
 from spandrel.plans import registers
 from spandrel.plans.common import query, read
 from spandrel.plans.registers import _ROWS, _TABLES
@@ -400,3 +400,44 @@ def open_calls_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls without a result get one."""
     calls = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"))
     return runs.answer_open_calls(calls, calls.filter("call % 4 > 0").withColumn("text", F.lit("done")), "stopped")
+
+
+# Facts in texts
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks made from orders, whose dates and lengths differ; a block in nine is a cover whose period runs over two blocks."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    later = F.date_format(F.date_add(F.col("o_orderdate").cast("date"), (k % 400).cast("int")), "yyyy-MM-dd")
+    word = F.element_at(F.array(*[F.lit(w) for w in ("tre", "tolv", "fyrtioåtta")]), (k % 3 + 1).cast("int"))
+    said = (
+        F.when(k % 9 == 0, F.concat(F.lit("Avtal om varor\nGiltig "), day, F.lit(" – "), later))
+        .when(k % 9 == 1, F.concat(F.lit("Delområde Nord: Ramavtalet träder i kraft den "), day, F.lit(". Lagen gäller från 2009-01-01.")))
+        .when(k % 9 == 2, F.concat(F.lit("Avtalet gäller från och med "), day, F.lit(" till och med "), later, F.lit(".")))
+        .when(k % 9 == 3, F.concat(F.lit("Avtalsperioden är "), word, F.lit(" månader. Avtalet kan förlängas med högst "), (k % 4 + 1).cast("string"), F.lit(" år eller "), (k % 30 + 1).cast("string"), F.lit(" månader. Sedan 24 månader.")))
+        .when(k % 9 == 4, F.concat(F.lit("Planerad avtalsstart: "), day, F.lit(". Avtalet upphör att gälla 2021-02-30.")))
+        .when(k % 9 == 5, F.concat(F.lit("Signerat "), day, F.lit(" 10:15:00 av N.N.")))
+        .when(k % 9 == 6, "Avtalets första dag: ÅÅÅÅ-MM-DD")
+        .when(k % 9 == 7, F.concat(F.lit("Avtalstid: "), day, F.lit(" - "), later, F.lit("; möten "), day, F.lit(" - "), later))
+        .otherwise(F.concat(F.lit("Avtalet löper längst till den "), (k % 28 + 1).cast("string"), F.lit(" mars 2027.")))
+    )
+    return read(spark, sf_dir, "orders").select(k.alias("doc"), F.lit(1).alias("position"), said.alias("text"), (k % 9 == 0).alias("is_cover"), (k % 5).alias("page"), F.lit(2).alias("certificate_page"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS VARCHAR) AS e FROM orders),
+f AS (SELECT k, 'P1' AS rule, 'start' AS kind, d AS value FROM o WHERE k % 9 = 0 UNION ALL SELECT k, 'P1', 'end', e FROM o WHERE k % 9 = 0
+UNION ALL SELECT k, 'P2', 'start', d FROM o WHERE k % 9 IN (1, 2) UNION ALL SELECT k, 'P5', 'start', d FROM o WHERE k % 9 = 2 UNION ALL SELECT k, 'P5', 'end', e FROM o WHERE k % 9 = 2
+UNION ALL SELECT k, 'P7', 'months', CASE k % 3 WHEN 0 THEN '3' WHEN 1 THEN '12' ELSE '48' END FROM o WHERE k % 9 = 3 UNION ALL SELECT k, 'P8', 'extension_months', CAST(greatest((k % 4 + 1) * 12, k % 30 + 1) AS VARCHAR) FROM o WHERE k % 9 = 3
+UNION ALL SELECT k, 'P9', 'planned_start', d FROM o WHERE k % 9 = 4 UNION ALL SELECT k, 'P11', 'signed_on', d FROM o WHERE k % 9 = 5 AND k % 5 >= 2 UNION ALL SELECT k, 'P10', 'placeholder', 'date' FROM o WHERE k % 9 = 6
+UNION ALL SELECT k, 'P6', 'start', d FROM o WHERE k % 9 = 7 UNION ALL SELECT k, 'P6', 'end', e FROM o WHERE k % 9 = 7 UNION ALL SELECT k, 'P3', 'end', '2027-03-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') FROM o WHERE k % 9 = 8)
+SELECT k AS doc, rule, kind, value, CASE WHEN k % 9 = 1 THEN 'Nord' ELSE '' END AS scope, CAST(1 AS INTEGER) AS statement FROM f""")
+def period_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, lengths and extensions in texts, with the rule that found each."""
+    return periods.facts(_blocks(spark, sf_dir)).select("doc", "rule", "kind", "value", F.coalesce("scope", F.lit("")).alias("scope"), "statement")
+
+
+@query("""SELECT o_orderkey AS doc, CAST(n AS INTEGER) AS place, CASE n WHEN 1 THEN 'Se t.ex. avsnitt ' || CAST(o_orderkey AS VARCHAR) || ' kap. 2.' WHEN 2 THEN 'Nr. 3 gäller!' ELSE 'A. Berg skrev.' END AS sentence FROM orders, range(1, 4) t(n)""")
+def sentences_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of texts with abbreviations in them."""
+    said = F.concat(F.lit("Se t.ex. avsnitt "), _s(F.col("o_orderkey")), F.lit(" kap. 2. Nr. 3 gäller!  A. Berg skrev."))
+    found = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.posexplode(periods.sentences(said)).alias("place", "sentence"))
+    return found.withColumn("place", F.col("place") + 1)

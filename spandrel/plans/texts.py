@@ -196,38 +196,63 @@ def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections made from orders: a number, and a text that refers to others."""
+    """Sections made from orders: a number, a title, and a text that refers to others. Every seventh file is a question log."""
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
-    said = F.concat(F.lit("See section 1."), s(k % 9), F.lit(" and annex "), s(k % 3), F.lit(". This section replaces section 1."), s((k + 1) % 9), F.lit(" from 2024-0"), s(k % 9 + 1), F.lit("-15. Under lagen (2016:1145) 3 kap. (23.3-5890-2023) applies."))
-    return read(spark, sf_dir, "orders").select((k % 500).alias("doc"), k.alias("position"), F.concat(F.lit("1."), s(k % 9)).alias("number"), said.alias("text"))
+    a = s(k % 9)
+    said = F.concat(
+        F.lit("See section 1."), a, F.lit(" and annex "), s(k % 3), F.lit(". This section replaces section 1."), s((k + 1) % 9), F.lit(" from 2024-0"), s(k % 9 + 1), F.lit("-15. Under lagen (2016:1145) 3 kap. (23.3-"), s(k % 89 + 100), F.lit("-2023) applies. The limits are in section 1."),
+        a, F.lit(" of the General terms. Prices follow annex Price list. Compare section Delivery "), a, F.lit(" times. See question "), s(k % 9 + 1), F.lit(". The General terms apply. Section [number] is open."),
+    )
+    number = F.when(k % 500 % 7 == 0, s(k % 9 + 1)).otherwise(F.concat(F.lit("1."), a))
+    return read(spark, sf_dir, "orders").select((k % 500).alias("doc"), k.alias("position"), number.alias("number"), F.concat(F.lit("Delivery "), a).alias("title"), said.alias("text"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = _letters(spark, sf_dir)
-    files = sections.select(F.pmod("doc", F.lit(50)).alias("page"), "doc", F.concat(F.lit("Annex "), (F.col("doc") % 3).cast("string")).alias("title"), (F.col("doc") % 3).cast("string").alias("annex")).distinct()
+    sections, d = _letters(spark, sf_dir), F.col("doc")
+    title = F.when(d % 3 == 0, "Annex 0 Price list").when(d % 3 == 1, "General terms").otherwise("Annex 2: Requirements")
+    files = sections.select((d % 50).alias("page"), "doc", title.alias("title"), (d % 3).cast("string").alias("annex"), F.when(d % 7 == 0, "question_log").otherwise("annex").alias("document_type")).distinct()
     return references.resolve(references.mentions(sections), sections, files)
 
 
-@query()
+_RESOLVED = """s AS (SELECT o_orderkey % 500 AS doc, o_orderkey AS position, CAST(o_orderkey % 9 AS VARCHAR) AS a, CAST((o_orderkey + 1) % 9 AS VARCHAR) AS b, CAST(o_orderkey % 3 AS VARCHAR) AS c, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS q, CASE WHEN o_orderkey % 500 % 7 = 0 THEN CAST(o_orderkey % 9 + 1 AS VARCHAR) ELSE '1.' || CAST(o_orderkey % 9 AS VARCHAR) END AS number FROM orders),
+files AS (SELECT DISTINCT doc % 50 AS page, doc, CAST(doc % 3 AS VARCHAR) AS annex, doc % 7 = 0 AS log FROM s), near AS (SELECT f.doc, g.doc AS td, g.annex, g.log FROM files f JOIN files g ON g.page = f.page),
+numbered AS (SELECT doc, number, min(position) AS p FROM s GROUP BY ALL),
+m AS (SELECT doc, position, unnest(['section', 'section', 'section', 'annex', 'law', 'annex_name', 'title', 'question', 'document', 'placeholder']) AS kind, unnest(['1.' || a, '1.' || b, '1.' || a, c, '2016:1145', 'price list', 'delivery ' || a || ' times', q, 'general terms', '[number]']) AS key,
+  unnest(['', '', 'general terms', '', '', '', '', '', '', '']) AS named, unnest([false, true, false, false, false, false, false, false, false, false]) AS replaces, a FROM s),
+t AS (SELECT m.doc, m.position, kind, key, named, 1 AS pr, 'R1' AS rule, m.doc AS td, p AS tp FROM m JOIN numbered n ON n.doc = m.doc AND n.number = m.key WHERE kind = 'section' AND named = ''
+  UNION SELECT m.doc, m.position, kind, key, named, 2, 'R1x', td, p FROM m JOIN near USING (doc) JOIN numbered n ON n.doc = td AND n.number = m.key WHERE named <> '' AND annex = '1'
+  UNION SELECT m.doc, m.position, kind, key, named, 3, 'R2', td, NULL FROM m JOIN near USING (doc) WHERE kind = 'document' AND annex = '1'
+  UNION SELECT m.doc, m.position, kind, key, named, 4, 'R3', td, NULL FROM m JOIN near USING (doc) WHERE kind = 'annex' AND annex = key
+  UNION SELECT m.doc, m.position, kind, key, named, 5, 'R4', m.doc, s.position FROM m JOIN s ON s.doc = m.doc AND s.a = m.a WHERE kind = 'title'
+  UNION SELECT m.doc, m.position, kind, key, named, 6, 'R5', td, NULL FROM m JOIN near USING (doc) WHERE kind = 'annex_name' AND annex = '0'
+  UNION SELECT m.doc, m.position, kind, key, named, 7, 'RQ', td, p FROM m JOIN near USING (doc) JOIN numbered n ON n.doc = td AND n.number = m.key WHERE kind = 'question' AND log),
+g AS (SELECT doc, position, kind, key, named, pr, rule, count(*) AS n, min((td, coalesce(tp, -1))) AS t, bool_or(td = doc AND tp IS NULL) AS self FROM t GROUP BY ALL),
+best AS (SELECT doc, position, kind, key, named, arg_min(rule, pr) AS rule, arg_min(n, pr) AS n, arg_min(t, pr) AS t, arg_min(self, pr) AS self FROM g GROUP BY ALL),
+refs AS (SELECT m.doc, m.position, m.kind, m.key, m.named, m.replaces, CASE WHEN n IS NULL THEN 'unresolved' WHEN self THEN 'self' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, rule, t[1] AS target_doc, nullif(t[2], -1) AS target_position
+  FROM (SELECT DISTINCT doc, position, kind, key, named, replaces FROM m) m LEFT JOIN best b ON b.doc = m.doc AND b.position = m.position AND b.kind = m.kind AND b.key = m.key AND b.named = m.named)"""
+
+
+@query(f"WITH {_RESOLVED} SELECT doc, position, kind, key, named, replaces, status, rule, CAST(target_doc AS VARCHAR) AS target_doc, CAST(target_position AS VARCHAR) AS target_position FROM refs")
 def references_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in sections, resolved by rules in order."""
-    return _references(spark, sf_dir)
+    return _references(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("target_doc", "target_position")})
 
 
-@query()
+@query(f"""WITH {_RESOLVED}, c AS (SELECT status = 'resolved' AS r FROM refs WHERE kind NOT IN ('law', 'question') AND status <> 'self')
+SELECT count(*) FILTER (WHERE r) AS resolved, count(*) AS counted, round(count(*) FILTER (WHERE r) / count(*), 9) AS rate FROM c""")
 def reference_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.resolution_rate(_references(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_RESOLVED} SELECT DISTINCT target_doc, target_position, doc, position, CAST(DATE '2024-01-15' + to_months(CAST(position % 9 AS INTEGER)) AS DATE) AS day FROM refs WHERE replaces AND status = 'resolved' AND NOT (target_doc = doc AND target_position = position)""", dates=("day",))
 def amended_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections that others replace, the newest first."""
+    """Sections that others replace, and since when."""
     sections = _letters(spark, sf_dir)
     return references.amendments(_references(spark, sf_dir), sections, sections.select("doc", F.lit(None).cast("date").alias("version_date")).distinct())
 
 
-@query("""WITH s AS (SELECT o_orderkey AS position, '23.3-5890-2023' AS value, 'citation' AS role FROM orders) SELECT position, value, role FROM s""")
+@query("""WITH s AS (SELECT o_orderkey AS position, '23.3-' || CAST(o_orderkey % 89 + 100 AS VARCHAR) || '-2023' AS value, 'citation' AS role FROM orders) SELECT position, value, role FROM s""")
 def identifiers_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in texts; those in parentheses are citations."""
     return references.identifiers_in(_letters(spark, sf_dir)).select("position", "value", "role")

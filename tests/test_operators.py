@@ -171,8 +171,21 @@ def test_outline_and_tree(spark):
 
 
 def test_references(spark):
-    sections = spark.createDataFrame([("d", 0, "1.1", "Se avsnitt 2.3 och bilaga 4. Detta avsnitt ersätter avsnitt 9.9."), ("d", 1, "2.3", "Enligt lagen (2016:1145) 3 kap. gäller allmänna villkor.")], "doc string, position int, number string, text string")
-    files = spark.createDataFrame([("p", "d", "Huvuddokument", None), ("p", "e", "Bilaga 4", "4"), ("p", "f", "Allmänna villkor 2", None), ("p", "g", "Allmänna villkor 3", None)], "page string, doc string, title string, annex string")
+    said = [
+        ("d", 0, "1.1", "Syfte", "Se avsnitt 2.3 och bilaga 4. Detta avsnitt ersätter avsnitt 9.9. Jämför avsnitt 7.1, 7.2 och 2.3 samt fråga 12."),
+        ("d", 1, "2.3", "Vite", "Enligt lagen (2016:1145) 3 kap. gäller allmänna villkor. Se avsnitt Vite vid försening. Läs avsnitt 4.1 i Kravkatalogen, och bilaga Prislista. Avsnitt xx.x saknas."),
+        ("d", 2, "2.4", "Vite vid försening", None),
+        ("k", 0, "4.1", "Krav", ""),
+        ("q", 0, "12", "Svar", ""),
+    ]
+    sections = spark.createDataFrame(said, "doc string, position int, number string, title string, text string")
+    pages = [("p", "d", "Huvuddokument", None, "main"), ("p", "e", "Bilaga 4", "4", None), ("p", "f", "Allmänna villkor 2", None, None), ("p", "g", "Allmänna villkor 3", None, None), ("p", "k", "Kravkatalogen", None, None), ("p", "q", "Frågor", None, "question_log"), ("p", "r", "Bilaga 7 - Prislista", "7", None)]
+    files = spark.createDataFrame(pages, "page string, doc string, title string, annex string, document_type string")
+    resolved = references.resolve(references.mentions(sections), sections, files)
+    where = {(r["kind"], r["key"]): (r["rule"], r["target_doc"], r["target_position"]) for r in resolved.collect()}
+    assert where["title", "vite vid försening"] == ("R4", "d", 2) and where["section", "4.1"] == ("R1x", "k", 0)
+    assert where["annex_name", "prislista"] == ("R5", "r", None) and where["question", "12"] == ("RQ", "q", 0)
+    assert {k for kind, k in where if kind == "section"} == {"2.3", "9.9", "7.1", "7.2", "4.1"} and ("placeholder", "xx.x") in where
     got = {(r["kind"], r["key"]): (r["status"], r["rule"], r["target_doc"], r["replaces"]) for r in references.resolve(references.mentions(sections), sections, files).collect()}
     assert got["section", "2.3"] == ("resolved", "R1", "d", False)
     assert got["annex", "4"][:3] == ("resolved", "R3", "e")
