@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import small_batches, small_enough, table, written
+from spandrel.llm.common import forget, small_batches, small_enough, table, written
 from spandrel.llm.graphs import components
 from spandrel.llm.setsketch import REGISTERS, likely_jaccard, sketch
 from spandrel.llm.shingles import mix, shingle_sets
@@ -121,7 +121,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     linked = written(components(edges), "linked")
     more = written(_across(members.drop("centre"), linked, classes, sets), "edges")
     if not more.isEmpty():
-        linked = written(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "linked")
+        before, linked = linked, written(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "linked")
+        forget(before)
+    for done in (members, sets, edges, more):
+        forget(done)
 
     named = classes.join(linked, "node", "left").select("lo", "hi", "node", F.coalesce("component", "node").alias("component"))
     named = named.join(named.groupBy("node").agg(F.min("component").alias("least")), "node").select("lo", "hi", F.least("component", "least").alias("component"))

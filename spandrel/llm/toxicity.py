@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import held_out, small_batches, small_enough, table, written
+from spandrel.llm.common import forget, held_out, small_batches, small_enough, table, written
 
 #: A general list of insults.
 SEED = frozenset("idiot idiots moron morons stupid pathetic worthless scum trash disgusting loser losers clown dumb imbecile filth vermin freak creep hate idiota imbécil estúpido basura dummkopf abschaum widerlich ordure crétin débile".split())
@@ -138,6 +138,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, dict[str, int]], DataF
     marks = lambda h: (F.col(h) >= SUPPORT) & (F.col(h) >= least * (F.col(h) + F.coalesce(f"clean_{h}", F.lit(0))))
     halves = F.when(marks("a"), 1).otherwise(0) + F.when(marks("b"), 2).otherwise(0)
     passed = written(often.join(clean, ["kind", "part"], "left").select("kind", "part", (F.col("a") + F.col("b")).alias("n"), halves.alias("halves")).filter("halves > 0"), "lexicon")
+    forget(often)
     first = passed.orderBy(F.desc("n"), "kind", "part").limit(LEXICON).collect()
     held: dict[str, dict[str, int]] = {}
     for r in first:
