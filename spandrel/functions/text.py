@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,22 +104,34 @@ def stem(word: str) -> str:
     return word
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def stemmed(term: Column) -> Column:
     """Stems of words of letters, as stem(); other tokens as they are. Dear enough to be applied to distinct terms."""
-    v = f"[{VOWELS}]"
-    not_v = f"[^{VOWELS}]"
-    until = F.length(F.regexp_extract(term, f"^{not_v}*{v}+{not_v}", 0))
-    region = F.greatest(until, F.lit(3))
-    after = lambda w: F.substring(w, region + 1, F.length(w))
+    v, not_v = f"[{VOWELS}]", f"[^{VOWELS}]"
     less = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
-    ending = F.length(F.regexp_extract(after(term), f"(?:{'|'.join(ENDINGS)})$", 0))
-    head = less(term, 2)
-    article = after(term).endswith("et") & head.rlike(f"{v}.*{not_v}$") & ~head.rlike(f"(?:{'|'.join(KEEP_ET)})$")
-    plural = after(term).endswith("s") & term.rlike(f"[{S_ENDING}]s$")
-    one = F.when(ending > 0, less(term, ending)).when(article, head).when(plural, less(term, 1)).otherwise(term)
-    two = F.when(after(one).rlike("(?:dd|gd|nn|[dgkt]t)$"), less(one, 1)).otherwise(one)
-    three = F.when(after(two).rlike("(?:fullt|löst)$"), less(two, 1)).otherwise(less(two, F.length(F.regexp_extract(after(two), "(?:lig|els|ig)$", 0))))
-    return F.when(term.rlike(r"^\p{L}+$") & (until > 0), three).otherwise(term)
+    ends = lambda w, pattern: F.length(F.regexp_extract(w, f"(?:{pattern})$", 0))
+
+    def from_region(region: Column) -> Column:
+        after = lambda w: F.substring(w, region + 1, F.length(w))
+
+        def first(rest: Column) -> Column:
+            head = less(term, 2)
+            article = rest.endswith("et") & head.rlike(f"{v}.*{not_v}$") & ~head.rlike(f"(?:{'|'.join(KEEP_ET)})$")
+            plural = rest.endswith("s") & term.rlike(f"[{S_ENDING}]s$")
+            return _let(ends(rest, "|".join(ENDINGS)), lambda n: F.when(n > 0, less(term, n)).when(article, head).when(plural, less(term, 1)).otherwise(term))
+
+        def third(word: Column) -> Column:
+            return _let(after(word), lambda rest: F.when(rest.rlike("(?:fullt|löst)$"), less(word, 1)).otherwise(less(word, ends(rest, "lig|els|ig"))))
+
+        one = _let(after(term), first)
+        return _let(_let(one, lambda w: F.when(after(w).rlike("(?:dd|gd|nn|[dgkt]t)$"), less(w, 1)).otherwise(w)), third)
+
+    until = F.length(F.regexp_extract(term, f"^{not_v}*{v}+{not_v}", 0))
+    return F.when(term.rlike(r"^\p{L}+$"), _let(until, lambda n: F.when(n > 0, _let(F.greatest(n, F.lit(3)), from_region)).otherwise(term))).otherwise(term)
 
 
 def section_hash(text: Column, number: Column) -> Column:
