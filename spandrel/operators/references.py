@@ -128,14 +128,14 @@ def _tagged(keys: Column, kind: str) -> Column:
 RESOLVED, AMBIGUOUS, UNRESOLVED, SELF = "resolved", "ambiguous", "unresolved", "self"
 
 
-def _first_word(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), r"^[\p{L}\p{N}]+", 0)
+def _prefixes(text: Column) -> Column:
+    """array<string>: the beginnings of a text that end with a word, in lower case."""
+    pieces = F.split(F.lower(text), r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), "")))
 
 
-def _begins(whole: Column, start: Column) -> Column:
-    """Whether start begins whole and ends at a word's end, whatever the case."""
-    rest = F.substring(whole, F.length(start) + 1, F.lit(1))
-    return F.startswith(F.lower(whole), F.lower(start)) & ~rest.rlike(r"^[\p{L}\p{N}]")
+def _name_form(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+$", "")
 
 
 def resolve(found: DataFrame, sections: DataFrame, files: DataFrame) -> DataFrame:
@@ -149,47 +149,46 @@ def resolve(found: DataFrame, sections: DataFrame, files: DataFrame) -> DataFram
     section of another file on the page; R5 an annex on the page of that name; RQ a
     question of that number in a question log on the page. One target is resolved,
     several are ambiguous, and what names the file itself is its own. Files on a page
-    meet mentions by page and number, or page and first word.
+    meet mentions by page and number, or page and the beginnings of names.
     """
     key = ["doc", "position", "kind", "key", "named"]
     asked = found.select(*key).distinct()
     numbered = sections.filter("number IS NOT NULL").groupBy(F.col("doc").alias("target_doc"), "number").agg(F.min("position").alias("target_position"))
     on_page = asked.join(files.select("page", "doc").distinct(), "doc")
     own = files.select("page", F.col("doc").alias("target_doc"), F.col("title").alias("file_title"), "annex", "document_type").distinct()
-    titled = own.withColumn("word", _first_word(F.col("file_title")))
     none = F.lit(None).cast(sections.schema["position"].dataType).alias("target_position")
     of = lambda kind, extra="true": F.expr(f"kind = '{kind}' AND {extra}")
-    named = lambda d, column: d.withColumn("word", _first_word(F.col(column))).join(titled, ["page", "word"]).filter(_begins(F.col("file_title"), F.col(column)))
+    titled = own.select("page", "target_doc", F.explode(_prefixes(F.col("file_title"))).alias("name")).distinct()
+    named = lambda d, column: d.withColumn("name", _name_form(F.col(column))).join(titled, ["page", "name"])
 
     r1 = asked.filter(of("section", "named = ''")).join(numbered.withColumnRenamed("number", "key").withColumn("doc", F.col("target_doc")), ["doc", "key"])
     r1x = named(on_page.filter(of("section", "named <> ''")), "named").join(numbered.withColumnRenamed("number", "key"), ["target_doc", "key"])
     r2 = named(on_page.filter(of("document")), "key").withColumn("target_position", none)
     r3 = on_page.filter(of("annex")).join(own.withColumnRenamed("annex", "key"), ["page", "key"]).withColumn("target_position", none)
-    heads = sections.filter("title IS NOT NULL").select(F.col("doc").alias("target_doc"), F.col("position").alias("target_position"), F.col("title").alias("head"), _first_word(F.col("title")).alias("word"))
-    phrases = asked.filter(of("title")).withColumn("word", _first_word(F.col("key")))
-    r4 = _longest(phrases.join(heads.withColumn("doc", F.col("target_doc")), ["doc", "word"]), key)
-    elsewhere = heads.join(own.select("page", "target_doc").distinct(), "target_doc")
-    r4p = _longest(on_page.filter(of("title")).withColumn("word", _first_word(F.col("key"))).join(elsewhere, ["page", "word"]).filter("target_doc <> doc"), key)
-    name = F.regexp_replace("file_title", rf"(?iu)^{_ANNEX}\s*(?:\d+(?:\.\d+)*)?[\s:.–-]*", "")
-    annexes = own.withColumn("annex_title", name).filter(F.col("annex_title") != F.col("file_title")).withColumn("word", _first_word(F.col("annex_title")))
-    r5 = on_page.filter(of("annex_name")).withColumn("word", _first_word(F.col("key"))).join(annexes, ["page", "word"]).filter(_begins(F.col("annex_title"), F.col("key"))).withColumn("target_position", none)
+    plain = F.regexp_replace("file_title", rf"(?iu)^{_ANNEX}\s*(?:\d+(?:\.\d+)*)?[\s:.–-]*", "")
+    annexes = own.withColumn("plain", plain).filter(F.col("plain") != F.col("file_title")).select("page", "target_doc", F.explode(_prefixes(F.col("plain"))).alias("name")).distinct()
+    r5 = on_page.filter(of("annex_name")).withColumn("name", _name_form(F.col("key"))).join(annexes, ["page", "name"]).withColumn("target_position", none)
     rq = on_page.filter(of("question")).join(own.filter("document_type = 'question_log'").select("page", "target_doc").distinct(), "page").join(numbered.withColumnRenamed("number", "key"), ["target_doc", "key"])
-
-    rules = [("R1", r1), ("R1x", r1x), ("R2", r2), ("R3", r3), ("R4", r4), ("R4p", r4p), ("R5", r5), ("RQ", rq)]
-    parts = [d.select(*key, F.struct(F.lit(n).alias("priority"), F.lit(rule).alias("rule")).alias("by"), F.struct("target_doc", "target_position").alias("t")) for n, (rule, d) in enumerate(rules)]
+    rules = {"R1": (0, r1), "R1x": (1, r1x), "R2": (2, r2), "R3": (3, r3), "R5": (6, r5), "RQ": (7, rq)}
+    by = lambda n, rule: F.struct(F.lit(n).alias("priority"), F.lit(rule).alias("rule")).alias("by")
+    parts = [d.select(*key, by(n, rule), F.struct("target_doc", "target_position").alias("t")) for rule, (n, d) in rules.items()]
     targets = reduce(DataFrame.unionByName, parts).distinct().groupBy(*key, "by").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.bool_or((F.col("t.target_doc") == F.col("doc")) & F.col("t.target_position").isNull()).alias("self"))
+
+    # Titles are counted per file and per page before phrases meet them, so that common titles cost one row.
+    heads = sections.filter("title IS NOT NULL").select(F.col("doc").alias("target_doc"), F.col("position").alias("target_position"), _name_form(F.col("title")).alias("head")).filter("head <> ''")
+    counted = lambda d, on: d.groupBy(on, "head").agg(F.count("*").alias("n"), F.min(F.struct("target_doc", "target_position")).alias("t"))
+    longest = lambda met: met.groupBy(*key).agg(F.max_by(F.struct("n", "t"), F.length("head")).alias("x")).select(*key, "x.*", F.lit(False).alias("self"))
+    phrases = asked.filter(of("title")).withColumn("head", F.explode(_prefixes(F.col("key"))))
+    r4 = longest(phrases.join(counted(heads, "target_doc").withColumnRenamed("target_doc", "doc"), ["doc", "head"]))
+    elsewhere = counted(heads.join(own.select("page", "target_doc").distinct(), "target_doc"), "page")
+    far = phrases.join(r4.select(*key), key, "left_anti").join(files.select("page", "doc").distinct(), "doc")
+    r4p = longest(far.join(elsewhere, ["page", "head"]))
+    targets = targets.unionByName(r4.withColumn("by", by(4, "R4"))).unionByName(r4p.withColumn("by", by(5, "R4p")))
     best = targets.groupBy(*key).agg(F.min(F.struct("by", "n", "t", "self")).alias("x")).select(*key, "x.*")
     status = F.when(F.col("n").isNull(), UNRESOLVED).when(F.col("self"), SELF).when(F.col("n") > 1, AMBIGUOUS).otherwise(RESOLVED)
     return found.join(best, key, "left").select(*key, "replaces", status.alias("status"), F.col("by.rule").alias("rule"), F.col("t.target_doc").alias("target_doc"), F.col("t.target_position").alias("target_position"))
 
 
-def _longest(met: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose head is the longest beginning of the key's phrase; ties stay."""
-    begun = met.filter(_begins(F.col("key"), F.col("head"))).withColumn("long", F.length("head"))
-    most = begun.groupBy(*key).agg(F.max("long").alias("long"))
-    return begun.join(most, [*key, "long"])
-
-
 def resolution_rate(references: DataFrame) -> DataFrame:
     """(resolved, counted, rate) without laws, questions and references to the file itself; 0 when nothing counts."""
     counted = references.filter("kind NOT IN ('law', 'question') AND status <> 'self'")

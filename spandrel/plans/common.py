@@ -29,3 +29,9 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files have fewer: for work that costs much more than reading. Tables of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

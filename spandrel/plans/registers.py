@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import identifiers
 from spandrel.operators import merge, register
-from spandrel.plans.common import query, read
+from spandrel.plans.common import query, read, spread
 
 _RAW = """
 raw AS (SELECT CAST((((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 2600 + date_diff('day', DATE '1995-01-01', l_shipdate) AS BIGINT) AS source_row,
@@ -35,7 +35,8 @@ _SEARCH = "SELECT agreement_number, procurement_number, supplier_name, org_numbe
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: read(spark, sf_dir, n)
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = spread(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    joined = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     joined = joined.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = lambda c: F.col(c).cast("string")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import text
 from spandrel.operators import metrics, search
-from spandrel.plans.common import query, read
+from spandrel.plans.common import query, read, spread
 
 WORDS = search.query_terms("The worthless with license token passwords")
 QUERY_VECTOR = 7
@@ -50,7 +50,7 @@ hits AS (SELECT * FROM fused ORDER BY score DESC, chunk LIMIT 8)"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), text.analysed(F.col("text")).alias("terms"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("chunk"), text.analysed(F.col("text")).alias("terms"))
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
