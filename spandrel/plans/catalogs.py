@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.operators import catalog, periods, reports, runs, tools, validation
+from spandrel.functions import text
+from spandrel.operators import catalog, chunking, periods, reports, runs, tools, validation
 from spandrel.plans import registers
 from spandrel.plans.common import query, read
 from spandrel.plans.registers import _ROWS, _TABLES
+from spandrel.sources import pages
 
 _LINKS = """
 links AS (SELECT o_orderkey % 60 + 1 AS page_id, o_custkey AS sha256, o_orderpriority AS title FROM orders),
@@ -441,3 +443,53 @@ def sentences_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Se t.ex. avsnitt "), _s(F.col("o_orderkey")), F.lit(" kap. 2. Nr. 3 gäller!  A. Berg skrev."))
     found = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.posexplode(periods.sentences(said)).alias("place", "sentence"))
     return found.withColumn("place", F.col("place") + 1)
+
+
+# Text forms and pages
+
+@query("""SELECT s_suppkey AS k, 'Area › ' || s_name || ' › Part' AS header, 'Area' || chr(10) || chr(10) || s_name AS embedded, sha256(s_name) AS hash, lower(s_name) AS title, 'firm ' || CAST(s_suppkey AS VARCHAR) AS company,
+CAST(s_suppkey % 7 + 20 AS INTEGER) AS part, s_suppkey % 3 = 0 AS ocr FROM supplier""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers, hashes, titles, company names and numbers in the forms in which they are compared."""
+    k, n = F.col("s_suppkey"), F.col("s_name")
+    number = F.concat(F.lit("6."), _s(k % 7 + 20), F.lit(".4."))
+    return read(spark, sf_dir, "supplier").select(
+        k.alias("k"), text.context_header(F.lit("Area"), n, F.lit("Part")).alias("header"), text.embedded_text(F.lit("Area"), n).alias("embedded"), text.text_hash(n).alias("hash"), text.title_form(F.concat(n, F.lit(" .: "))).alias("title"),
+        text.company_form(F.concat(F.lit("AB Firm, "), _s(k), F.lit(" (publ)"))).alias("company"), text.dotted(number)[1].alias("part"), pages.needs_ocr(F.when(k % 3 == 0, 10).otherwise(400), F.lit(0.7)).alias("ocr"),
+    )
+
+
+@query("""WITH l AS (SELECT page_id, url, page_id % 10 AS site, CASE WHEN page_id % 3 = 0 THEN 'group ' || CAST(page_id % 7 AS VARCHAR) END AS label FROM pages)
+SELECT page_id, coalesce(last_value(label IGNORE NULLS) OVER (PARTITION BY site ORDER BY page_id ROWS UNBOUNDED PRECEDING), 'none') AS label FROM l""")
+def labels_carried_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a label has the last one before it."""
+    i = F.col("page_id")
+    rows = read(spark, sf_dir, "pages").select("page_id", (i % 10).alias("site"), F.when(i % 3 == 0, F.concat(F.lit("group "), _s(i % 7))).alias("label"))
+    return pages.carried_forward(rows, "site", "page_id", "label").select("page_id", F.coalesce("label", F.lit("none")).alias("label"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 5 IN (2, 3) OR (page_id + 1) % 5 IN (2, 3)")
+def pages_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of any of the procurements asked for."""
+    i = F.col("page_id")
+    rows = read(spark, sf_dir, "pages").select("page_id", F.array(F.concat(F.lit("P-"), _s(i % 5)), F.concat(F.lit("P-"), _s((i + 1) % 5))).alias("procurement_numbers"))
+    return pages.select_pages(rows, ["P-2", "P-3"]).select("page_id")
+
+
+@query("""WITH b AS (SELECT o_custkey AS doc, o_orderkey AS page, 'header ' || CAST(o_orderkey % 3 AS VARCHAR) AS line FROM orders WHERE o_orderkey % 2 = 0)
+SELECT doc, line FROM b GROUP BY ALL HAVING count(DISTINCT page) > 1""")
+def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page headers that more than one page has."""
+    k = F.col("o_orderkey")
+    blocks = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), k.alias("position"), F.when(k % 2 == 0, "page_header").otherwise("text").alias("kind"), k.alias("page"), F.concat(F.lit(" Header  "), _s(k % 3)).alias("text"))
+    return chunking.running_headers(blocks)
+
+
+@query("""WITH l AS (SELECT o_custkey AS doc, o_orderkey AS position, o_orderkey % 4 AS m FROM orders), n AS (SELECT *, sum(CASE WHEN m < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l)
+SELECT doc, position, m = 0 OR (m = 1 AND near >= 3) AS in_contents FROM n""")
+def contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a table of contents: a dotted leader, or a number and a page among such lines."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 4 == 0, F.concat(F.lit("Villkor ....... "), _s(k % 90))).when(k % 4 == 1, F.concat(F.lit("2.1 Vite och pris "), _s(k % 90))).otherwise("Avtalet gäller.")
+    lines = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), k.alias("position"), said.alias("text"))
+    return chunking.contents_lines(lines).select("doc", "position", "in_contents")

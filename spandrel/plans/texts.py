@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spandrel.functions import identifiers, text
 from spandrel.operators import chunking, references, search, validation
 from spandrel.plans import retrieval
-from spandrel.plans.common import query, read
+from spandrel.plans.common import query, read, spread
 from spandrel.sources import pages
 
 
@@ -205,14 +205,15 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, F.lit(" of the General terms. Prices follow annex Price list. Compare section Delivery "), a, F.lit(" times. See question "), s(k % 9 + 1), F.lit(". The General terms apply. Section [number] is open."),
     )
     number = F.when(k % 500 % 7 == 0, s(k % 9 + 1)).otherwise(F.concat(F.lit("1."), a))
-    return read(spark, sf_dir, "orders").select((k % 500).alias("doc"), k.alias("position"), number.alias("number"), F.concat(F.lit("Delivery "), a).alias("title"), said.alias("text"))
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey")).select((k % 500).alias("doc"), k.alias("position"), number.alias("number"), F.concat(F.lit("Delivery "), a).alias("title"), said.alias("text"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections, d = _letters(spark, sf_dir), F.col("doc")
     title = F.when(d % 3 == 0, "Annex 0 Price list").when(d % 3 == 1, "General terms").otherwise("Annex 2: Requirements")
     files = sections.select((d % 50).alias("page"), "doc", title.alias("title"), (d % 3).cast("string").alias("annex"), F.when(d % 7 == 0, "question_log").otherwise("annex").alias("document_type")).distinct()
-    return references.resolve(references.mentions(sections), sections, files)
+    # Every rule reads the mentions; they are found once.
+    return references.resolve(references.mentions(sections).persist(), sections, files)
 
 
 _RESOLVED = """s AS (SELECT o_orderkey % 500 AS doc, o_orderkey AS position, CAST(o_orderkey % 9 AS VARCHAR) AS a, CAST((o_orderkey + 1) % 9 AS VARCHAR) AS b, CAST(o_orderkey % 3 AS VARCHAR) AS c, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS q, CASE WHEN o_orderkey % 500 % 7 = 0 THEN CAST(o_orderkey % 9 + 1 AS VARCHAR) ELSE '1.' || CAST(o_orderkey % 9 AS VARCHAR) END AS number FROM orders),

@@ -229,3 +229,49 @@ def test_stream_merge(spark, tmp_path):
         stream = spark.readStream.schema("k int, v string").parquet(source)
         increments.merged_into(stream, target, ["k"], str(tmp_path / "state")).awaitTermination()
     assert rows(spark.read.schema("k int, v string").option("recursiveFileLookup", True).parquet(target)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_register_file_over_several_splits(spark, tmp_path):
+    from spandrel.sources import files
+
+    path = tmp_path / "register.tsv"
+    body = [f"23.3-{100 + i}-2021-001\tFirm {i} AB\t5566778899\tIT\tNord\t2021-01-01\t2024-01-01\t" for i in range(200)]
+    path.write_text("\n".join(["A register", "\t".join(files.HEADER), *body[:100], "", *body[100:]]) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            title, raw = files.register_rows(spark, str(path))
+            got = {r["source_row"]: r["agreement"] for r in raw.collect()}
+            assert title == "A register" and len(got) == 200 and got[3] == "23.3-100-2021-001" and got[102] == "23.3-199-2021-001" and got[104] == "23.3-200-2021-001" and max(got) == 203
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    path.write_text("no\nheader\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="header"):
+        files.register_rows(spark, str(path))
+
+
+def test_accepted_findings_are_strict(spark, tmp_path):
+    from spandrel.sources import files
+
+    path = tmp_path / "accepted.toml"
+    one = '[[accepted]]\nkey = "a:b:c"\nreason = "seen"\nreviewer = "N"\n'
+    path.write_text(one, encoding="utf-8")
+    assert rows(files.accepted_findings(spark, str(path))) == [("a:b:c", "seen", "N")]
+    for bad in (one + one, one.replace('"seen"', '" "'), one + 'more = "x"\n', "[other]\na = 1\n"):
+        path.write_text(bad, encoding="utf-8")
+        with pytest.raises(ValueError):
+            files.accepted_findings(spark, str(path))
+
+
+def test_lookups_and_spellings(spark):
+    from spandrel.operators import catalog
+
+    agreements = spark.createDataFrame([("23.3.10-21:01", "23.3.10-21"), ("23.3-10-2021-002", "23.3-10-2021"), ("23.3-7777-2020-001", "23.3-7777-2020")], "agreement_number string, procurement_number string")
+    assert catalog.spellings({"agreement": agreements}, "23.3-10-2021-001") == ["23.3.10-21:01"]
+    assert catalog.spellings({"agreement": agreements}, "23.3-10-21") == ["23.3-10-2021", "23.3.10-21"]
+    assert catalog.spellings({"agreement": agreements}, "23.3-10-2021-099") == ["23.3-10-2021", "23.3.10-21"]
+    assert catalog.spellings({"agreement": agreements}, "23.3-1-2001-001") == []
+    scope = spark.createDataFrame([("IT", "P1")], "framework_area string, procurement_number string")
+    with pytest.raises(KeyError, match="food"):
+        catalog.procurements_for_areas(scope, ["it", "food"])
