@@ -13,8 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Most partitions that a table of few splits is spread over.
+SPREAD = 64
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; over as many partitions as there are cores, up to SPREAD, where its files have fewer splits, as reading costs little beside what is done with texts."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = min(spark.sparkContext.defaultParallelism, SPREAD)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def ascii_lower(text: str) -> str:
