@@ -7,6 +7,8 @@ indexed, less both.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +22,25 @@ def finding(check: str, severity: str | Column, subject: Column, section: Column
     return [F.lit(check).alias("check"), level.alias("severity"), subject.cast("string").alias("subject"), F.col("sha256"), (section if section is not None else F.lit(None)).cast("long").alias("section_position")]
 
 
+def _keyed(rows: DataFrame, column: str, key: Callable[[Column], Column]) -> DataFrame:
+    """rows with key, parsed once for each distinct value of the column: far fewer than there are rows."""
+    return rows.join(rows.select(column).distinct().withColumn("key", key(F.col(column))), column, "left")
+
+
 def procurement_number(facts: DataFrame, page_numbers: DataFrame) -> DataFrame:
     """Own numbers that no page of the file has are held back; cited ones are noted.
 
     facts: (sha256, value, role, case_management, known); page_numbers: (sha256, procurement_number).
     """
-    keys = page_numbers.select("sha256", identifiers.procurement_key(F.col("procurement_number")).alias("key")).distinct()
-    read = facts.withColumn("key", identifiers.procurement_key(F.col("value"))).filter("key IS NOT NULL AND (NOT case_management OR known)")
+    keys = _keyed(page_numbers, "procurement_number", identifiers.procurement_key).select("sha256", "key").distinct()
+    read = _keyed(facts, "value", identifiers.procurement_key).filter("key IS NOT NULL AND (NOT case_management OR known)")
     return read.join(keys, ["sha256", "key"], "left_anti").select(*finding("procurement_number", F.when(F.col("role") == "self", QUARANTINE).otherwise(NOTE), F.col("key"))).distinct()
 
 
 def agreement_number(facts: DataFrame, cards: DataFrame) -> DataFrame:
     """A supplier's document that states another agreement than its card's, and any other document that states one as its own."""
-    own = facts.filter("role = 'self'").withColumn("key", identifiers.agreement_key(F.col("value")))
-    card = cards.select("sha256", identifiers.agreement_key(F.col("agreement_number")).alias("card_key"))
+    own = _keyed(facts.filter("role = 'self'"), "value", identifiers.agreement_key)
+    card = _keyed(cards, "agreement_number", identifiers.agreement_key).select("sha256", F.col("key").alias("card_key"))
     return own.join(card, "sha256", "left").filter("card_key IS NULL OR key <> card_key").select(*finding("agreement_number", QUARANTINE, F.col("key"))).distinct()
 
 

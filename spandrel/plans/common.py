@@ -31,7 +31,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most partitions that a table of few splits is spread over.
+SPREAD = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, where its files have fewer: for work that costs much more than reading. Tables of many splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """df over as many partitions as there are cores, up to SPREAD, where its files have fewer splits: for work that costs much more than reading. Tables of many splits stay as they are."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
