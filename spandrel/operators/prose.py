@@ -223,7 +223,7 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     take a day, unless it is a day off a date of the register; and if a right
     calculation gives it. Null texts and numbers give nothing; no rows give no rows.
     """
-    drafts = drafts.filter("text IS NOT NULL")
+    drafts, days = drafts.filter("text IS NOT NULL"), cut(days)
     scanned = cut(scan(drafts))
     found = cut(values(scanned))
     sentences = scanned.select("draft", F.explode("sentences").alias("s")).select("draft", "s.sentence", "s.said", "s.prose")
@@ -259,7 +259,8 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
 
     # What backs a value.
     yes = lambda d, name: d.withColumn(name, F.lit(True))
-    elsewhere = yes(_with_single(_facts(values(scan(passages.filter("text IS NOT NULL"))))), "elsewhere_")
+    quoted = cut(values(cut(scan(passages.filter("text IS NOT NULL")))))
+    elsewhere = yes(_with_single(_facts(quoted)), "elsewhere_")
     v = found.join(yes(named.select("draft", "sentence").distinct(), "named_"), ["draft", "sentence"], "left")
     v = v.join(yes(_with_single(registered), "registered_"), ["draft", "kind", "key"], "left").join(yes(paired, "paired_"), ["draft", "sentence", "kind", "key"], "left").join(elsewhere, ["draft", "kind", "key"], "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
