@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.operators import outlines
+
 MAX_CHUNK = 1500
 #: Page furniture: short texts on so many pages, and so large a share of them, mostly among the first and last blocks of a page.
 MIN_PAGES, PAGE_SHARE, EDGE_BLOCKS, EDGE_SHARE, MAX_FURNITURE = 3, 0.3, 3, 0.8, 150
@@ -131,57 +133,24 @@ def with_context(chunked: DataFrame, agreement: Column, document: Column, path:
 
 # Choosing headings
 
-LOOK_BACK = 400
-
-
-def step_penalty(before: tuple[int, ...], number: tuple[int, ...]) -> float:
-    """What it costs to go from one heading number to the next: nothing for the next one, more for gaps."""
-    if before == number[: len(before)]:
-        rest = number[len(before) :]
-        return 0.0 if rest == (1,) else 0.5 * sum(rest)
-    shared = next((i for i, (a, b) in enumerate(zip(before, number, strict=False)) if a != b), min(len(before), len(number)))
-    if shared >= len(number) or shared >= len(before):
-        return 5.0
-    jump = number[shared] - before[shared] - 1
-    return 0.3 * jump + 0.5 * sum(x - 1 for x in number[shared + 1 :]) + 0.5 * max(0, len(number) - shared - 1)
-
-
-def best_chain(numbers: list[tuple[int, ...]], scores: list[float]) -> list[int]:
-    """Indices of the increasing chain of heading numbers with the largest sum of scores less penalties."""
-    best, back = [], []
-    for i, number in enumerate(numbers):
-        top, link = scores[i] - step_penalty((), number) * 0.5, -1
-        for j in range(max(0, i - LOOK_BACK), i):
-            if numbers[j] < number and (value := best[j] + scores[i] - step_penalty(numbers[j], number)) > top:
-                top, link = value, j
-        best.append(top)
-        back.append(link)
-    if not best or max(best) <= 0:
-        return []
-    i, chain = max(range(len(best)), key=lambda k: (best[k], -k)), []
-    while i >= 0:
-        chain.append(i)
-        i = back[i]
-    return chain[::-1]
-
 
 def outline(lines: DataFrame) -> DataFrame:
-    """Numbered headings (doc, position, number, title, level) among lines (doc, position, text), less those of the contents."""
+    """Numbered headings (doc, position, number, title, level) among lines (doc, position, text), less those of the contents.
+
+    The chain of headings with the best scores, as outlines.best_chain() has it; numbers that the contents list count for more.
+    """
     form = r"^\s*(\d+(?:\.\d+)*)\.?\s+(\p{Lu}.*)$"
     marked = contents_lines(lines)
     number = F.regexp_extract("text", form, 1)
     title = F.trim(F.regexp_replace(F.regexp_extract("text", form, 2), r"[\s.…]*\d*\s*$", ""))
-    score = 1.0 + F.when(F.length("text") <= 80, 1.0).otherwise(0.0) - F.when(F.col("text").rlike(r"[.;,:]\s*$"), 1.0).otherwise(0.0)
-    found = marked.filter(~F.col("in_contents") & F.col("text").rlike(form)).select("doc", "position", number.alias("number"), title.alias("title"), score.alias("score"))
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("position", kind="stable").reset_index(drop=True)
-        numbers = [tuple(map(int, n.split("."))) for n in frame["number"]]
-        kept = frame.iloc[best_chain(numbers, frame["score"].tolist())]
-        return kept.assign(level=kept["number"].str.count(r"\.") + 1)[["doc", "position", "number", "title", "level"]]
-
-    doc = lines.schema["doc"].dataType.simpleString()
-    return found.groupBy("doc").applyInPandas(choose, f"doc {doc}, position long, number string, title string, level long")
+    score = 1.0 + F.when((F.length("text") <= 100) & ~F.col("text").rlike(r"\.\s*$"), 0.5).otherwise(0.0)
+    found = marked.filter(~F.col("in_contents") & F.col("text").rlike(form) & ~F.col("text").rlike(r"[,;]\s*$")).select("doc", "position", number.alias("number"), title.alias("title"), score.alias("score"))
+    # Sections are numbered from 1, and larger parts are amounts.
+    parts = F.transform(F.split("number", r"\."), lambda x: x.try_cast("int"))
+    found = found.filter(F.forall(parts, lambda x: F.coalesce(x.between(1, 200), F.lit(False))))
+    contents = marked.filter("in_contents").select("doc", F.regexp_extract("text", r"^\s*(\d+(?:\.\d+)*)", 1).alias("number")).distinct().withColumn("listed", F.lit(True))
+    listed = found.join(contents, ["doc", "number"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return outlines.choose(listed.withColumn("score", F.col("score") + F.when(F.col("listed"), outlines.LISTED).otherwise(0.0)))
 
 
 def contents_missing(lines: DataFrame, sections: DataFrame) -> DataFrame:
