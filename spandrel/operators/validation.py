@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.functions import identifiers, text
+from spandrel.functions import dates, identifiers, text
 
 QUARANTINE, REPORT, NOTE = "quarantine", "report", "note"
 
@@ -214,17 +214,78 @@ def register_facts(stated: DataFrame, register: DataFrame) -> DataFrame:
     return unknown.union(found[0]).union(found[1]).union(found[2])
 
 
-def agreement_period(stated: DataFrame, register: DataFrame) -> DataFrame:
-    """Findings where a file's period isn't its agreement's: held back; noted at the stage of procurement; reported where a page, not a document, says so.
+def stated_periods(facts: DataFrame) -> DataFrame:
+    """(sha256, statement, scope, starts, ends, extension_months) from facts (sha256, statement, kind, day, months, scope) of kinds start, end, length and extension.
 
-    stated: (sha256, agreement_number, start, end, stage, source) with null for
-    what isn't stated; register: (agreement_number, valid_from, valid_to, max_extension_to).
-    A start is right if it is the register's, an end if it is the register's or
-    its longest extension's.
+    An end that isn't stated is a length from a start. The extension is the
+    longest of the statement, else of the file. Statements without start and end
+    are left out, and facts without a statement are no period's.
     """
-    met = stated.join(register, "agreement_number")
-    start = F.col("start").isNotNull() & (F.col("start") != F.col("valid_from"))
-    end = F.col("end").isNotNull() & (F.col("end") != F.col("valid_to")) & ~F.col("end").eqNullSafe(F.col("max_extension_to"))
-    severity = F.when(F.col("stage") == "procurement", NOTE).when(F.col("source") == "page", REPORT).otherwise(QUARANTINE)
-    subject = F.concat_ws(" ", "agreement_number", F.when(start, F.concat(F.lit("start "), F.col("start").cast("string"))), F.when(end, F.concat(F.lit("end "), F.col("end").cast("string"))))
-    return met.filter(start | end).select(*finding("agreement_period", severity, subject)).distinct()
+    days = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("day"))))
+    longest = F.max(F.when(F.col("kind") == "extension", F.col("months")))
+    lengths = F.collect_set(F.when(F.col("kind") == "length", F.col("months")))
+    per = facts.filter("statement IS NOT NULL").groupBy("sha256", "statement").agg(F.min("scope").alias("scope"), days("start").alias("starts"), days("end").alias("stated"), lengths.alias("lengths"), longest.alias("own"))
+    after = F.flatten(F.transform("starts", lambda s: F.transform("lengths", lambda m: dates.last_day_of_period(s, m))))
+    ends = F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.array_sort(F.array_distinct(after)))
+    whole = facts.groupBy("sha256").agg(longest.alias("any"))
+    return per.join(whole, "sha256").select("sha256", "statement", "scope", "starts", ends.alias("ends"), F.coalesce("own", "any").alias("extension_months")).filter("size(starts) + size(ends) > 0")
+
+
+def _one_period(entries: DataFrame, *by: str) -> DataFrame:
+    return entries.groupBy(*by).agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"), F.max("max_extension_to").alias("max_extension_to"))
+
+
+def compared_periods(statements: DataFrame, cards: DataFrame, agreements: DataFrame, links: DataFrame, areas: DataFrame) -> DataFrame:
+    """statements with what they are compared with: subject, valid_from, valid_to, max_extension_to.
+
+    cards: (sha256, agreement_number); agreements: (agreement_number, valid_from,
+    valid_to, max_extension_to), any spelling. A supplier's card is compared with
+    its own agreements. Any other file is compared with the areas (page,
+    valid_from, ...) of its pages, by links (sha256, page, page_title): those whose
+    title has the statement's scope, or is within it, if there is a scope; and only
+    if all of them have one period. A scope that begins with a number and a full
+    stop names the area of that number.
+    """
+    numbers = cards.select("agreement_number").union(agreements.select("agreement_number")).filter("agreement_number IS NOT NULL").distinct()
+    keys = numbers.withColumn("key", F.coalesce(identifiers.agreement_key(F.col("agreement_number")), F.col("agreement_number").cast("string")))
+    own = cards.filter("agreement_number IS NOT NULL").join(keys, "agreement_number").select("sha256", "key").distinct()
+    known = _one_period(agreements.join(keys, "agreement_number"), "key")
+    of_cards = statements.join(own.join(known, "key").withColumnRenamed("key", "subject"), "sha256")
+
+    pages = links.groupBy("sha256", "page").agg(F.min("page_title").alias("page_title"))
+    number, title, scope = F.regexp_extract("scope", r"^\s*([0-9]+)\.", 1), F.lower("page_title"), F.lower("scope")
+    numbered = F.regexp_like("page_title", F.concat(F.lit(r"(?<![0-9.])"), number, F.lit(r"\.(?![0-9])")))
+    fits = F.col("scope").isNull() | F.when(number != "", numbered).otherwise(F.contains(title, scope) | F.contains(scope, title))
+    others = statements.join(own.select("sha256").distinct(), "sha256", "left_anti").join(pages, "sha256").filter(fits)
+    per_page = others.join(_one_period(areas, "page"), "page")
+    key = ["sha256", "statement"]
+    one = per_page.groupBy(*key).agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"), F.max("max_extension_to").alias("max_extension_to"), F.min(F.struct("valid_from", "valid_to")).alias("a"), F.max(F.struct("valid_from", "valid_to")).alias("b"), F.count("*").alias("n"), F.min("page_title").alias("title"))
+    subject = F.when(F.col("n") == 1, F.col("title")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" pages")))
+    of_pages = statements.join(one.filter(F.col("a") == F.col("b")).select(*key, subject.alias("subject"), "valid_from", "valid_to", "max_extension_to"), key)
+    return of_cards.unionByName(of_pages)
+
+
+def period_outcome(starts: Column, ends: Column, extension_months: Column, valid_from: Column, valid_to: Column, max_extension_to: Column) -> Column:
+    """MATCH, EXTENSION_USED, LATER_START or DEVIATES: a statement's starts and ends against a period of the register.
+
+    A start after the register's deviates, and so does an end that isn't the
+    register's and can't be extended to it; a start before it means that the
+    agreement began later than planned.
+    """
+    outcomes = F.transform(ends, lambda e: dates.end_outcome(e, extension_months, valid_to, max_extension_to))
+    deviates = F.exists(starts, lambda s: s > valid_from) | F.array_contains(outcomes, "DEVIATES")
+    return F.when(deviates, "DEVIATES").when(F.exists(starts, lambda s: s < valid_from), "LATER_START").when(F.array_contains(outcomes, "EXTENSION_USED"), "EXTENSION_USED").otherwise("MATCH")
+
+
+def agreement_period(compared: DataFrame) -> DataFrame:
+    """Findings where a file's stated period isn't the register's: held back; noted at the stage of procurement and where the agreement began later; reported where a page, not a document, says so.
+
+    compared: what compared_periods() gives, with stage and source. Templates have
+    no period of their own: leave them out. A null start, end or register date
+    compares with nothing.
+    """
+    outcome = period_outcome(F.col("starts"), F.col("ends"), F.col("extension_months"), F.col("valid_from"), F.col("valid_to"), F.col("max_extension_to"))
+    found = compared.withColumn("outcome", outcome).filter("outcome IN ('DEVIATES', 'LATER_START')")
+    severity = F.when((F.col("outcome") == "LATER_START") | F.col("stage").eqNullSafe("procurement"), NOTE).when(F.col("source").eqNullSafe("page"), REPORT).otherwise(QUARANTINE)
+    said = lambda name: F.when(F.size(name + "s") > 0, F.concat(F.lit(f"{name} "), F.array_join(F.transform(name + "s", lambda d: d.cast("string")), " ")))
+    return found.select(*finding("agreement_period", severity, F.concat_ws(" ", "subject", F.lower("outcome"), said("start"), said("end")))).distinct()

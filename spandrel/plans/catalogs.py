@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.functions import text
+from spandrel.functions import dates, text
 from spandrel.operators import catalog, chunking, periods, reports, runs, tools, validation
 from spandrel.plans import registers
 from spandrel.plans.common import query, read
@@ -297,20 +297,30 @@ def check_document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.document_type(read(spark, sf_dir, "customer").select(_s(k).alias("sha256"), F.when(k % 5 == 0, "unknown").otherwise("annex").alias("document_type"), rule.alias("type_rule"))).drop("section_position")
 
 
-@query("""WITH r AS (SELECT c_custkey AS a, DATE '2020-01-01' + CAST(c_custkey % 90 AS INTEGER) AS f, DATE '2024-01-01' + CAST(c_custkey % 90 AS INTEGER) AS t, CASE WHEN c_custkey % 2 = 0 THEN DATE '2026-01-01' END AS x FROM customer),
-s AS (SELECT o_orderkey AS sha256, o_custkey AS a, CASE WHEN o_orderkey % 3 > 0 THEN DATE '2020-01-01' + CAST((o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) % 90 AS INTEGER) END AS st, CASE WHEN o_orderkey % 7 > 2 THEN DATE '2026-01-01' WHEN o_orderkey % 7 = 1 THEN DATE '2024-01-01' + CAST(o_custkey % 90 AS INTEGER) END AS e, o_orderkey % 11 AS m FROM orders),
-j AS (SELECT *, st IS NOT NULL AND st <> f AS b, e IS NOT NULL AND e <> t AND e IS DISTINCT FROM x AS g FROM s JOIN r USING (a))
-SELECT 'agreement_period' AS "check", CASE WHEN m < 3 THEN 'note' WHEN m < 6 THEN 'report' ELSE 'quarantine' END AS severity, concat_ws(' ', CAST(a AS VARCHAR), CASE WHEN b THEN 'start ' || CAST(st AS VARCHAR) END, CASE WHEN g THEN 'end ' || CAST(e AS VARCHAR) END) AS subject, sha256 FROM j WHERE b OR g""")
+@query("""WITH r AS (SELECT c_custkey AS a, DATE '2020-01-01' + CAST(c_custkey % 90 AS INTEGER) AS f, CAST(DATE '2020-01-01' + CAST(c_custkey % 90 AS INTEGER) + INTERVAL 48 MONTH - INTERVAL 1 DAY AS DATE) AS t, CASE WHEN c_custkey % 2 = 0 THEN DATE '2026-01-01' END AS x FROM customer),
+s AS (SELECT o_orderkey AS k, o_custkey AS a, CAST(o_orderkey % 5 AS INTEGER) AS sv, CAST(o_orderkey % 7 AS INTEGER) AS ev, CAST(o_orderkey % 11 AS INTEGER) AS m FROM orders),
+j AS (SELECT *, CASE sv WHEN 0 THEN NULL WHEN 1 THEN f + 1 WHEN 2 THEN f - 1 ELSE f END AS st, CASE WHEN ev IN (4, 5) THEN 24 END AS ext FROM s JOIN r USING (a)),
+e AS (SELECT *, CASE WHEN ev = 0 THEN NULL WHEN ev = 1 THEN CASE WHEN st IS NOT NULL THEN CAST(st + INTERVAL 48 MONTH - INTERVAL 1 DAY AS DATE) END WHEN ev = 2 THEN t WHEN ev IN (3, 4) THEN CAST(f + INTERVAL 24 MONTH - INTERVAL 1 DAY AS DATE) WHEN ev = 5 THEN DATE '2021-01-15' ELSE t + 30 END AS en FROM j),
+l AS (SELECT *, CASE WHEN ext IS NOT NULL THEN CAST(en + INTERVAL 1 DAY + to_months(ext) - INTERVAL 1 DAY AS DATE) ELSE coalesce(x, en) END AS lim FROM e WHERE st IS NOT NULL OR en IS NOT NULL),
+o AS (SELECT *, CASE WHEN st > f OR (en IS NOT NULL AND en <> t AND NOT (en < t AND t <= lim)) THEN 'deviates' WHEN st < f THEN 'later_start' END AS out FROM l)
+SELECT 'agreement_period' AS "check", CASE WHEN out = 'later_start' OR m < 3 THEN 'note' WHEN m < 6 THEN 'report' ELSE 'quarantine' END AS severity, concat_ws(' ', CAST(a AS VARCHAR), out, 'start ' || CAST(st AS VARCHAR), 'end ' || CAST(en AS VARCHAR)) AS subject, k AS sha256 FROM o WHERE out IS NOT NULL""")
 def check_agreement_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Periods in files that aren't the register's."""
+    """Periods stated in files that aren't the register's: dates, lengths from a start, and extensions that reach it or don't."""
     k, a, c = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_custkey")
-    at = lambda d, n: F.date_add(F.lit(d).cast("date"), n.cast("int"))
-    known = read(spark, sf_dir, "customer").select(c.alias("agreement_number"), at("2020-01-01", c % 90).alias("valid_from"), at("2024-01-01", c % 90).alias("valid_to"), F.when(c % 2 == 0, F.lit("2026-01-01").cast("date")).alias("max_extension_to"))
-    stated = read(spark, sf_dir, "orders").select(
-        k.alias("sha256"), a.alias("agreement_number"), F.when(k % 3 > 0, at("2020-01-01", (a + F.when(k % 5 == 0, 1).otherwise(0)) % 90)).alias("start"),
-        F.when(k % 7 > 2, F.lit("2026-01-01").cast("date")).when(k % 7 == 1, at("2024-01-01", a % 90)).alias("end"), F.when(k % 11 < 3, "procurement").otherwise("agreement").alias("stage"), F.when(k % 11 < 6, "page").otherwise("document").alias("source"),
-    )
-    return validation.agreement_period(stated, known).drop("section_position")
+    start = F.date_add(F.lit("2020-01-01").cast("date"), (c % 90).cast("int"))
+    register = read(spark, sf_dir, "customer").select(c.alias("agreement_number"), start.alias("valid_from"), dates.last_day_of_period(start, F.lit(48)).alias("valid_to"), F.when(c % 2 == 0, F.lit("2026-01-01").cast("date")).alias("max_extension_to"))
+    x = read(spark, sf_dir, "orders").join(register.select(F.col("agreement_number").alias("o_custkey"), F.col("valid_from").alias("f"), F.col("valid_to").alias("t")), "o_custkey")
+    fact = lambda kind, day=None, months=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None) if day is None else day).cast("date").alias("day"), F.lit(months).cast("int").alias("months"))
+    s, e = k % 5, k % 7
+    begins = F.when(s == 1, fact("start", F.date_add("f", 1))).when(s == 2, fact("start", F.date_sub("f", 1))).when(s > 2, fact("start", F.col("f")))
+    ends = F.when(e == 1, fact("length", months=48)).when(e == 2, fact("end", F.col("t"))).when(e.isin(3, 4), fact("end", dates.last_day_of_period(F.col("f"), F.lit(24)))).when(e == 5, fact("end", F.lit("2021-01-15"))).when(e == 6, fact("end", F.date_add("t", 30)))
+    extension = F.when(e.isin(4, 5), fact("extension", months=24))
+    facts = x.select(k.alias("sha256"), F.explode(F.array_compact(F.array(begins, ends, extension))).alias("x")).select("sha256", F.lit(1).alias("statement"), "x.*", F.lit(None).cast("string").alias("scope"))
+    cards = x.select(k.alias("sha256"), a.alias("agreement_number"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    compared = validation.compared_periods(validation.stated_periods(facts), cards, register, none("sha256 long, page long, page_title string"), none("page long, valid_from date, valid_to date, max_extension_to date"))
+    stage = x.select(k.alias("sha256"), F.when(k % 11 < 3, "procurement").otherwise("agreement").alias("stage"), F.when(k % 11 < 6, "page").otherwise("document").alias("source"))
+    return validation.agreement_period(compared.join(stage, "sha256")).drop("section_position")
 
 
 _CITED = """c AS (SELECT DISTINCT o_custkey AS draft, o_orderkey % 40 AS f, o_orderkey % 7 AS p FROM orders), a AS (SELECT c_custkey % 40 AS tf, CASE WHEN c_custkey % 6 > 0 THEN c_custkey % 7 END AS tp, (c_custkey + 3) % 40 AS f, c_custkey % 5 AS p FROM customer WHERE c_custkey % 13 = 0)"""
