@@ -18,7 +18,7 @@ from spandrel.functions.lineage import cut
 from spandrel.operators.references import AMBIGUOUS, RESOLVED, SELF
 
 NUMBER_MISSING, TITLE_MISSING, NOT_PUBLISHED, EXTERNAL, PLACEHOLDER = "number_missing", "title_missing", "not_published", "external", "placeholder"
-LOG, TENDER, AMENDMENT, LICENCE, CARD = "question_log", "procurement_document", "amendment", "licence_terms", "supplier_agreement"
+LOG, TENDER, AMENDMENT, LICENCE, CARD = "questions_and_answers", "procurement_document", "amendment", "licence_terms", "supplier_agreement"
 #: Types of the procurement group, whose files repeat the headings of others.
 PROCUREMENT_GROUP = (LOG, TENDER)
 # Names that stand for titles that don't start with them, names of a supplier's own card, and of the whole tender.

@@ -9,28 +9,6 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import dates, identifiers
 
-# Document types: the first rule that fits, in this order.
-TYPE_RULES: tuple[tuple[str, str, str], ...] = (
-    ("R01", r"(?iu)frågor och svar|questions and answers", "question_log"),
-    ("R02", r"(?iu)ändring|tillägg|amendment", "amendment"),
-    ("R03", r"(?iu)allmänna villkor|general terms", "general_terms"),
-    ("R04", r"(?iu)mall|template", "template"),
-    ("R05", r"(?iu)kravkatalog|requirements", "requirements"),
-    ("R06", r"(?iu)ramavtal|framework agreement", "main_document"),
-    ("R07", r"(?iu)bilaga|annex", "annex"),
-    ("R08", r"(?iu)vägledning|guide", "guidance"),
-    ("R09", r"(?iu)upphandlingsdokument|tender", "procurement_document"),
-)
-
-
-def classify(links: DataFrame, title: str = "title") -> DataFrame:
-    """(sha256, document_type, type_rule): of all of a file's links, the earliest rule wins; F1 if none fits."""
-    rule = F.coalesce(*[F.when(F.col(title).rlike(p), i) for i, (_, p, _) in enumerate(TYPE_RULES)], F.lit(len(TYPE_RULES)))
-    names = F.array(*[F.lit(n) for n, _, _ in TYPE_RULES], F.lit("F1"))
-    kinds = F.array(*[F.lit(k) for _, _, k in TYPE_RULES], F.lit("unknown"))
-    return links.groupBy("sha256").agg(F.min(rule).alias("i")).select("sha256", F.element_at(kinds, F.col("i") + 1).alias("document_type"), F.element_at(names, F.col("i") + 1).alias("type_rule"))
-
-
 def identifiers_in(blocks: DataFrame) -> DataFrame:
     """(doc, position, kind, value, role): procurement and organisation numbers; those inside parentheses are citations."""
     number = r"23\.[0-9][-–.][0-9]{2,7}[-–][0-9]{2,4}(?:[-–:][0-9]{2,3}(?:-[A-Z])?)?"

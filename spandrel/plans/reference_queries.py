@@ -15,7 +15,7 @@ _SECTION = """o_orderkey AS position, o_orderkey % 50 AS p, CAST(floor(o_orderke
   concat('Datum: 2024-01-', lpad(concat(o_orderkey % 28 + 1, ''), 2, '0'), ' 10:00, svar 2024-03-01 10:00') AS text"""
 _TITLE = """CASE j WHEN 0 THEN 'Frågor och svar - Anbudsinbjudan' WHEN 1 THEN 'Utkast till Anbudsinbjudan' WHEN 2 THEN 'Ansökningsinbjudan' WHEN 3 THEN 'Ändring av bilagorna 5.1-5.2' WHEN 7 THEN 'Allmänna villkor' WHEN 8 THEN 'Kravkatalog'
   WHEN 9 THEN 'Ramavtal' ELSE concat('Bilaga 5.', j - 3, ' Avtal') END"""
-_TYPE = "CASE j WHEN 0 THEN 'question_log' WHEN 1 THEN 'procurement_document' WHEN 2 THEN 'procurement_document' WHEN 3 THEN 'amendment' WHEN 7 THEN 'general_terms' WHEN 8 THEN 'requirements' WHEN 9 THEN 'supplier_agreement' ELSE 'annex' END"
+_TYPE = "CASE j WHEN 0 THEN 'questions_and_answers' WHEN 1 THEN 'procurement_document' WHEN 2 THEN 'procurement_document' WHEN 3 THEN 'amendment' WHEN 7 THEN 'general_terms' WHEN 8 THEN 'requirements' WHEN 9 THEN 'supplier_agreement' ELSE 'annex' END"
 _PHRASE = "CASE position % 5 WHEN 0 THEN 'leverans av varor' WHEN 1 THEN 'vite' WHEN 2 THEN concat('tvist ', position % 4, ' ska lösas') ELSE concat('pris ', position % 11, ':') END"
 _NAMED = "CASE position % 3 WHEN 0 THEN 'allmänna villkor' WHEN 1 THEN 'kravkatalog' ELSE 'upphandlingsdokumenten' END"
 _NUMBER = "concat(position % 4 + 1, '.', position % 7)"

@@ -9,7 +9,7 @@ from spandrel.operators import cascade
 from tests.conftest import rows
 
 FILES = [
-    (1, "question_log", None, None),
+    (1, "questions_and_answers", None, None),
     (2, "procurement_document", None, date(2024, 1, 1)),
     (3, "procurement_document", None, date(2024, 2, 1)),
     (4, "amendment", None, None),
