@@ -41,8 +41,13 @@ def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def _where(needed: Column, text: Column, form: Callable[[Column], Column]) -> Column:
+    """form(text) where needed, else text. Spark evaluates a Python function for all rows, so that the others are passed as nulls."""
+    return F.when(needed, form(F.when(needed, text))).otherwise(text)
+
+
 def nfc(text: Column) -> Column:
-    return F.when(text.rlike(_MARKS), _nfc(text)).otherwise(text)
+    return _where(text.rlike(_MARKS), text, _nfc)
 
 
 def words(text: Column) -> Column:
@@ -160,7 +165,7 @@ def quote_form(text: Column, compose: bool = False) -> Column:
     compose also applies Unicode's NFKC, where a text has characters that need it.
     """
     if compose:
-        text = F.when(text.rlike(r"[^\x00-\xFF]|[ ª²-¾]"), _nfkc(text)).otherwise(text)
+        text = _where(text.rlike(r"[^\x00-\xFF]|[ ª²-¾]"), text, _nfkc)
     plain = F.translate(F.regexp_replace(text, "­\\s*", ""), _FROM, _TO)
     return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
 

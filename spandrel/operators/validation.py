@@ -8,9 +8,11 @@ indexed, less both.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spandrel.functions import dates, identifiers, text
 
@@ -160,26 +162,42 @@ def line_coverage(lines: DataFrame, sections: DataFrame, least: int = 25) -> Dat
     return lines.withColumn("form", form).filter(F.length("form") >= least).join(whole, "doc", "left").select("doc", "line", F.coalesce(F.col("whole").contains(F.col("form")), F.lit(False)).alias("found"))
 
 
+#: Characters by which quotes without whole words meet texts.
+CHARACTERS = 3
+
+
 def quoted(texts: DataFrame, quotes: DataFrame, gram: int = 5) -> DataFrame:
     """(doc, quote_id): the texts (doc, text) that hold a quote (quote_id, quote) word for word, both in quote_form.
 
     Words of a quote but its first and last, which may be parts of words, are
-    looked up in all texts by the first `gram` of them; what is found is compared
-    whole. Quotes too short for that are compared with every text: they have to
-    fit a broadcast, so keep them to a register of phrases.
+    looked up in all texts by the first `gram` of them, or as many as there are;
+    what is found is compared whole. Quotes of one or two words meet texts by
+    their first characters. Texts give such probes only of lengths that some quote
+    asks for. Nulls and empty quotes are found nowhere.
     """
     form = lambda c: text.quote_form(F.col(c))
-    q = quotes.filter("quote IS NOT NULL").select("quote_id", form("quote").alias("said")).withColumn("w", F.split("said", " "))
-    inner = F.slice("w", 2, F.size("w") - 2)
-    long = q.filter(F.size("w") >= gram + 2).select("quote_id", "said", F.xxhash64(F.slice(inner, 1, gram)).alias("h"))
+    q = quotes.filter("quote IS NOT NULL").select("quote_id", form("quote").alias("said")).filter("said <> ''").withColumn("w", F.split("said", " "))
+    n = F.least(F.size("w") - 2, F.lit(gram))
+    by_words = F.struct(F.lit(True).alias("words"), n.alias("n"), F.xxhash64(F.slice("w", F.lit(2), F.greatest(n, F.lit(0)))).alias("h"))
+    length = F.least(F.length("said"), F.lit(CHARACTERS))
+    by_characters = F.struct(F.lit(False).alias("words"), length.alias("n"), F.xxhash64(F.slice(F.split("said", ""), F.lit(1), length)).alias("h"))
+    q = q.select("quote_id", "said", F.when(n > 0, by_words).otherwise(by_characters).alias("p")).select("quote_id", "said", "p.*")
     t = texts.filter("text IS NOT NULL").select("doc", form("text").alias("whole"))
-    words = F.split("whole", " ")
-    places = F.when(F.size(words) >= gram, F.sequence(F.lit(1), F.size(words) - gram + 1)).otherwise(F.array().cast("array<int>"))
-    near = t.select("doc", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, gram))))).alias("h")).join(long.select("quote_id", "h"), "h").select("doc", "quote_id").distinct()
-    found = near.join(long.select("quote_id", "said"), "quote_id").join(t, "doc")
-    short = t.join(F.broadcast(q.filter(F.size("w") < gram + 2).select("quote_id", "said")))
-    both = found.select("doc", "quote_id", "whole", "said").unionByName(short.select("doc", "quote_id", "whole", "said"))
-    return both.filter(F.col("whole").contains(F.col("said"))).select("doc", "quote_id").distinct()
+
+    def probes(whole_words: bool, k: int) -> Column:
+        """The hashes of all runs of k words or characters. A function of one argument holds the parts, so that a text is split once."""
+        parts = F.array(F.split("whole", " " if whole_words else ""))
+        places = lambda w: F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(parts, lambda w: F.transform(places(w), lambda i: F.xxhash64(F.slice(w, i, F.lit(k)))))[0]
+
+    near = [
+        t.select("doc", F.explode(F.array_distinct(probes(r["words"], r["n"]))).alias("h")).join(q.filter((F.col("words") == r["words"]) & (F.col("n") == r["n"])).select("quote_id", "h"), "h").select("doc", "quote_id").distinct()
+        for r in q.select("words", "n").distinct().collect()  # as many as there are lengths: gram and CHARACTERS at most
+    ]
+    if not near:
+        return t.sparkSession.createDataFrame([], StructType([t.schema["doc"], q.schema["quote_id"]]))
+    met = reduce(DataFrame.unionByName, near).join(q.select("quote_id", "said"), "quote_id").join(t, "doc")
+    return met.filter(F.col("whole").contains(F.col("said"))).select("doc", "quote_id").distinct()
 
 
 def near_misses(stated: DataFrame, register: DataFrame) -> DataFrame:

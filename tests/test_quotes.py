@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spandrel.operators import quotes
+from spandrel.operators import quotes, validation
 from spandrel.sources import parsed
 from tests.conftest import rows
 
@@ -60,3 +60,16 @@ def test_store_reads_only_what_is_new(spark, tmp_path):
     asked.clear()
     assert run("v2", "r1", [("a", "z")]) == [("a", "cached", None, "Z")]
     assert rows(parsed.stored(spark, path, "sha256 string, blocks string")) == [("a", "X", "v1"), ("a", "Z", "v2"), ("d", "Y", "v1")]
+
+
+def test_quoted_equals_all_pairs(spark):
+    """Quotes of every length, whose first and last words may be parts of words, against every text."""
+    texts = [(1, "The supplier shall pay a penalty of ten per cent of the fee"), (2, "a b c d e f g h i j"), (3, "Fees  are “due” at once"), (4, ""), (5, None), (6, "x")]
+    said = ["supplier shall", "plier shall pay a pen", "shall pay a penalty of ten per cent", "b c", "b", "c d e f g h i", "d e f g h j", '"due"', "FEES ARE", "x", "xy", "", None, "e fee", "lier", "b c d"]
+    t = spark.createDataFrame(texts, "doc int, text string")
+    q = spark.createDataFrame(list(enumerate(said)), "quote_id int, quote string")
+    form = lambda x: " ".join(x.replace("“", '"').replace("”", '"').lower().split())
+    wanted = sorted(((d, i) for d, x in texts if x is not None for i, s in enumerate(said) if s and form(s) in form(x)), key=repr)
+    assert rows(validation.quoted(t, q)) == wanted and len(wanted) > 10
+    assert validation.quoted(t, q.filter("false")).count() == 0
+    assert validation.quoted(t.filter("false"), q).count() == 0
