@@ -139,18 +139,19 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     """
     # One row per mention, with what its own file and section are.
     seen = sections.groupBy("doc", "position").agg(F.min("number").alias("own_number"), F.min(question_day(F.col("text"))).alias("day"))
-    kinds = files.groupBy("doc").agg(F.min("document_type").alias("type"), F.min("annex_number").alias("annex_number"), F.min("published_on").alias("published"))
-    links = links.select("page", "doc", title_form(F.col("title")).alias("title")).distinct()
+    kinds = cut(files.groupBy("doc").agg(F.min("document_type").alias("type"), F.min("annex_number").alias("annex_number"), F.min("published_on").alias("published")))
+    links = cut(links.select("page", "doc", title_form(F.col("title")).alias("title")).distinct())
     m = cut(mentions.select(*KEY).distinct().join(seen, ["doc", "position"], "left").join(kinds.select("doc", "type"), "doc", "left"))
     is_ = lambda *names: F.col("kind").isin(*names)
     log, amends = F.coalesce(F.col("type") == LOG, F.lit(False)), F.coalesce(F.col("type") == AMENDMENT, F.lit(False))
     on_page = lambda d: d.join(links.select("page", "doc").distinct(), "doc")
 
-    numbered = sections.filter("number IS NOT NULL AND number <> ''").groupBy(F.col("doc").alias("doc_"), F.col("number").alias("key")).agg(F.min("position").alias("position_"))
-    headings = sections.filter("title IS NOT NULL").select("doc", "position", "number", "level", heading_form(F.col("title")).alias("head")).filter("head <> ''")
+    # What many rules read, and each rule's candidates, are computed once: the plans stay small.
+    numbered = cut(sections.filter("number IS NOT NULL AND number <> ''").groupBy(F.col("doc").alias("doc_"), F.col("number").alias("key")).agg(F.min("position").alias("position_")))
+    headings = cut(sections.filter("title IS NOT NULL").select("doc", "position", "number", "level", heading_form(F.col("title")).alias("head")).filter("head <> ''"))
     chapters = headings.filter("level = 1").select(F.col("doc").alias("doc_"), F.col("position").alias("position_"), "number", F.regexp_replace(title_form(F.col("head")), r"^utkast\s+", "").alias("name")).groupBy("doc_", "name").agg(F.min_by(F.struct("position_", "number"), "position_").alias("c")).select("doc_", "name", "c.*")
     about = kinds.select(F.col("doc").alias("doc_"), "type", "published")
-    listed = links.select("page", F.col("doc").alias("doc_"), "title").join(about, "doc_")
+    listed = cut(links.select("page", F.col("doc").alias("doc_"), "title").join(about, "doc_"))
     tenders = listed.filter(F.col("type") == TENDER).select("page", "doc_", "type", "published").distinct()
 
     blank = lambda kind: F.lit(None).cast(kind)
@@ -158,7 +159,7 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
 
     def add(found: DataFrame, rule: str, order: int, tier: int = 1) -> None:
         """found: KEY, day, page, published, n, t, tender."""
-        parts.append(found.select(*KEY, "day", F.lit(order).alias("order"), F.lit(rule).alias("rule"), "page", F.lit(tier).alias("tier"), "published", F.col("n").cast("long").alias("n"), "t", F.coalesce("tender", F.lit(False)).alias("tender")))
+        parts.append(cut(found.select(*KEY, "day", F.lit(order).alias("order"), F.lit(rule).alias("rule"), "page", F.lit(tier).alias("tier"), "published", F.col("n").cast("long").alias("n"), "t", F.coalesce("tender", F.lit(False)).alias("tender"))))
 
     def inside(found: DataFrame) -> DataFrame:
         """found (KEY, day, position_) in the mention's own file, whatever its pages."""
@@ -170,9 +171,9 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     names = given.filter("name IS NOT NULL").distinct()
     starts = names.withColumn("start", F.col("name")).union(stands).distinct()
     called = cut(_titles_of(listed, starts).select("page", "name", "doc_", "type", "published").distinct())
-    called_n = _counted(called.withColumn("position_", blank("long")), "page", "name")
+    called_n = cut(_counted(called.withColumn("position_", blank("long")), "page", "name"))
     own_name = called.select(F.col("doc_").alias("doc"), "name").distinct()
-    chapter_of = chapters.join(starts.withColumnRenamed("name", "asked").withColumnRenamed("start", "name"), "name").groupBy(F.col("doc_").alias("doc"), F.col("asked").alias("name")).agg(F.min_by(F.struct("position_", "number"), "position_").alias("c")).select("doc", "name", "c.*")
+    chapter_of = cut(chapters.join(starts.withColumnRenamed("name", "asked").withColumnRenamed("start", "name"), "name").groupBy(F.col("doc_").alias("doc"), F.col("asked").alias("name")).agg(F.min_by(F.struct("position_", "number"), "position_").alias("c")).select("doc", "name", "c.*"))
 
     # R2: the card itself, the file itself, a chapter of a tender document, the tender package, files of the page, a chapter of any other.
     docs = m.filter(is_("document")).withColumn("name", F.col("key"))
@@ -202,7 +203,7 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
 
     # In a log: the file that the log's title names and that was out by then, else the page's tender documents.
     log_name = links.withColumn("title", F.regexp_extract("title", LOG_TITLE, 1)).filter("title <> ''").join(kinds.filter(F.col("type") == LOG).select("doc"), "doc", "left_semi")
-    log_files = log_name.join(listed, ["page", "title"]).filter("doc_ <> doc").select("page", "doc", "doc_", "type", "published").distinct()
+    log_files = cut(log_name.join(listed, ["page", "title"]).filter("doc_ <> doc").select("page", "doc", "doc_", "type", "published").distinct())
     in_time = F.coalesce(F.col("published") <= F.col("day"), F.lit(True))
     asks = on_page(m.filter(log))
     by_number = asks.filter(is_("section") & (F.col("named") == "")).drop("type")
@@ -229,7 +230,7 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     add(r4.withColumns({"page": blank(dict(links.dtypes)["page"]), "published": blank("date"), "tender": F.lit(False)}), "R4", 7)
 
     # In an amendment: the annexes that its title names.
-    covered = covered_files(links, kinds.withColumnRenamed("type", "document_type")).withColumnRenamed("covered", "doc_").join(about, "doc_")
+    covered = cut(covered_files(links, kinds.withColumnRenamed("type", "document_type")).withColumnRenamed("covered", "doc_").join(about, "doc_"))
     changes = m.filter(amends & is_("section") & (F.col("named") == ""))
     spelled = F.array_distinct(F.array(F.col("key"), F.regexp_replace("key", r"\.?[a-z]$", "")))
     wanted = on_page(changes).select("page", *KEY, "day", F.posexplode(spelled).alias("k_", "number")).join(covered.select("page", "doc", "doc_", "published", F.col("type").alias("type_")), ["page", "doc"])
@@ -264,8 +265,7 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     add(stood.join(called_n, ["page", "name"]), "R5", 3)
     add(inside(m.filter(is_("question")).join(own_number, ["doc", "key"])), "RQ", 1)
 
-    candidates = cut(reduce(DataFrame.unionByName, parts))
-    return _decided(m, candidates, links, called)
+    return _decided(m, reduce(DataFrame.unionByName, parts), links, called)
 
 
 def _decided(m: DataFrame, candidates: DataFrame, links: DataFrame, called: DataFrame) -> DataFrame:
@@ -289,11 +289,11 @@ def _decided(m: DataFrame, candidates: DataFrame, links: DataFrame, called: Data
     # What the day of the question leaves: one that was out by then, or the latest of several that are all dated.
     whole = (F.col("kind") == "document") & (F.col("key") == PACKAGE)
     settled = F.when(F.col("out") == 1, F.col("out_t")).when(~whole & (F.col("undated") == 0) & (F.col("latest.n") == 1), F.col("latest.t"))
-    pages = pages.withColumn("settled", F.when(F.col("day").isNotNull(), settled))
+    pages = cut(pages.withColumn("settled", F.when(F.col("day").isNotNull(), settled)))
     outcome = pages.groupBy(*KEY, "rule").agg(F.sum("n").alias("targets"), F.max("n").alias("most"), F.min("t").alias("t"), F.bool_or("self").alias("self"), F.bool_and(F.col("tender") & F.col("settled").isNotNull()).alias("by_day"))
     outcome = outcome.join(m.select(*KEY, "type"), KEY)
     status = F.when(F.col("self"), SELF).when(F.col("most") == 1, RESOLVED).when(F.col("by_day") & F.coalesce(F.col("type") == LOG, F.lit(False)), RESOLVED).otherwise(AMBIGUOUS)
-    outcome = outcome.withColumn("status", status)
+    outcome = cut(outcome.withColumn("status", status))
 
     # Resolved: a row per page, or one if all pages agree.
     done = pages.join(outcome.filter(F.col("status") == RESOLVED).select(*KEY, "most"), KEY).withColumn("t", F.when(F.col("most") == 1, F.col("t")).otherwise(F.col("settled")))

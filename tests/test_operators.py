@@ -13,14 +13,14 @@ from tests.conftest import rows
 
 
 def test_bm25_golden(spark):
-    c = spark.createDataFrame([(0, ["avtal", "vite", "avtal"]), (1, ["avtal", "uppsägningstid"]), (2, ["leverantör"])], "chunk int, terms array<string>")
+    c = spark.createDataFrame([(0, ["anbud", "pris", "pris", "pris"]), (1, ["anbud", "leverans"]), (2, ["kontroll", "leverans", "ränta"])], "chunk int, terms array<string>")
     counts, corpus = search.term_counts(c), search.corpus(c)
     index = search.term_index(counts)
-    assert tuple(corpus.first()) == (3, 2.0)
-    assert rows(index, "id", "term", "chunk_count") == [(0, "avtal", 2), (1, "leverantör", 1), (2, "uppsägningstid", 1), (3, "vite", 1)]
+    assert tuple(corpus.first()) == (3, 3.0)
+    assert rows(index, "id", "term", "chunk_count") == [(0, "anbud", 2), (1, "kontroll", 1), (2, "leverans", 2), (3, "pris", 1), (4, "ränta", 1)]
     weight = {(r["chunk"], r["term"]): r["weight"] for r in search.postings(counts, corpus).collect()}
-    assert weight[0, "vite"] == pytest.approx(math.log(1 + 2.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1.5)))
-    assert [r["chunk"] for r in search.text_candidates(search.postings(counts, corpus), ["avtal", "avtal", "saknas"], 5).orderBy("rank").collect()] == [0, 1]
+    assert weight[0, "pris"] == pytest.approx(math.log(1 + 2.5 / 1.5) * 3 * 2.2 / (3 + 1.2 * (0.25 + 0.75 * 4 / 3)))
+    assert [r["chunk"] for r in search.text_candidates(search.postings(counts, corpus), ["leverans", "leverans", "saknas"], 5).orderBy("rank").collect()] == [1, 2]
 
 
 def test_fusion_golden(spark):
@@ -95,13 +95,13 @@ def test_bootstrap_is_numpy_s(spark):
 
 def register_fixture(spark):
     raw = [
-        (1, "23.3-1-2020-001".replace("-1-", "-10-"), "AB One (f.d. Zero AB)", "5563372381", "IT", "Nord / Kiruna", "2020-01-01", "2024-12-31", ""),
-        (2, "23.3-10-2020-001", "AB One", "5563372381", "IT", "Nord / Kiruna", "2020-02-01", "2025-12-31", "2026-12-31"),
+        (1, "23.3-1-2020-001".replace("-1-", "-10-"), "AB One (f.d. Zero AB)", "5560804212", "IT", "Nord / Kiruna", "2020-01-01", "2024-12-31", ""),
+        (2, "23.3-10-2020-001", "AB One", "5560804212", "IT", "Nord / Kiruna", "2020-02-01", "2025-12-31", "2026-12-31"),
         (3, "23.3-10-2020-001", "AB Two", "202100-0829", "IT", "Syd", "2020-01-01", "2024-12-31", ""),
-        (4, "23.3-2965-20:002", "Fi Oy", "FI01148912", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
-        (5, "bad", "X", "5563372381", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
-        (6, "23.3-10-2020-003", " ", "5563372381", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
-        (7, "23.3-10-2020-003", "X", "5563372381", "IT", "Syd", "2020-01-01", "2023-02-30", ""),
+        (4, "23.3-7702-20:002", "Fi Oy", "FI01148912", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
+        (5, "bad", "X", "5560804212", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
+        (6, "23.3-10-2020-003", " ", "5560804212", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
+        (7, "23.3-10-2020-003", "X", "5560804212", "IT", "Syd", "2020-01-01", "2023-02-30", ""),
     ]
     return spark.createDataFrame(raw, "source_row int, agreement string, supplier string, org string, area string, sub_area string, valid_from string, valid_to string, max_extension_to string")
 
@@ -113,10 +113,10 @@ def test_register(spark):
     assert rows(register.foreign_org_numbers(good)) == [("FI01148912", 4, "Fi Oy")]
     t = register.tables(good)
     assert rows(t["sub_area"], "path", "level", "parent_path") == [("Nord / Kiruna", 2, "Nord"), ("Nord", 1, None), ("Syd", 1, None)] or t["sub_area"].count() == 3
-    assert rows(t["agreement"], "agreement_number", "org_number") == [("23.3-10-2020-001", "556337-2381"), ("23.3-2965-20:002", "FI01148912")]
+    assert rows(t["agreement"], "agreement_number", "org_number") == [("23.3-10-2020-001", "556080-4212"), ("23.3-7702-20:002", "FI01148912")]
     found = register.search(t, supplier="zero")
     assert {r["agreement_number"] for r in found.collect()} == {"23.3-10-2020-001"}
-    assert register.search(t, agreement="23.3.2965-2020-02").count() == 1
+    assert register.search(t, agreement="23.3.7702-2020-02").count() == 1
     assert register.search(t, area="it", sub_area="kiruna / nord").count() == 1
     assert register.search(t, supplier="100%").count() == 0
     assert register.search(t, area="IT", valid_on="2024-06-01").count() == 2
@@ -195,10 +195,10 @@ def test_references(spark):
 
 
 def test_dates_and_parties(spark):
-    df = spark.createDataFrame([("d", 0, "Gäller 2024-01-01 – 2025-12-31, signerat 3 mars 2024, fel 2024-02-30."), ("d", 1, "Organisationsnummer:"), ("d", 2, "556337-2381"), ("d", 3, "Org.nr XXXXXX-XXXX")], "doc string, position int, text string")
+    df = spark.createDataFrame([("d", 0, "Gäller 2024-01-01 – 2025-12-31, signerat 3 mars 2024, fel 2024-02-30."), ("d", 1, "Organisationsnummer:"), ("d", 2, "556080-4212"), ("d", 3, "Org.nr XXXXXX-XXXX")], "doc string, position int, text string")
     r = df.filter("position = 0").select(references.dates_in(F.col("text")), references.period_in(F.col("text"))).first()
     assert [str(x) for x in r[0]] == ["2024-01-01", "2025-12-31", "2024-03-03"] and str(r[1]["end"]) == "2025-12-31"
-    assert rows(references.parties(df), "position", "org_number", "placeholder") == [(1, "556337-2381", False), (3, None, True)]
+    assert rows(references.parties(df), "position", "org_number", "placeholder") == [(1, "556080-4212", False), (3, None, True)]
 
 
 def test_longest_prefix(spark):
