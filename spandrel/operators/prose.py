@@ -42,11 +42,13 @@ _SHORTENED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 BREAK = rf"(?<=[.!?])(?<!\s[0-9]\.)(?<!\s[0-9][0-9]\.)(?<!(?:^|[\s(])(?iu:{_SHORTENED})\.)\s+(?=[A-ZÅÄÖ])|(?<!\s)\s*\n\s*"
 
 
+#: What NUMBER matches as well: sections and ranges of sections, with two full stops, or with one and a serial of two digits.
+_SECTIONS = r"^23\.[0-9](?:\.[0-9]+\.|\.[0-9]{2}[-–]|[-–][0-9]{2}\.)"
+
+
 def _is_number(raw: Column) -> Column:
-    """Whether a match of NUMBER is one: not a section, nor a range of sections."""
-    case = F.regexp_extract(raw, identifiers.CASE, 0)
-    sections = (F.regexp_extract(raw, identifiers.CASE, 2) == ".") & (F.length(F.regexp_extract(raw, identifiers.CASE, 3)) <= 2)
-    return identifiers.procurement_key(case).isNotNull() & ~sections
+    """Whether a match of NUMBER is one."""
+    return ~raw.rlike(_SECTIONS)
 
 
 def scan(texts: DataFrame) -> DataFrame:
@@ -240,7 +242,7 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     single = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
     procurement = F.regexp_replace("agreement", r"^(.*?[0-9]{4})-[0-9]{3}(?:-[A-Z])?$", "$1")
     each = F.array(single("agreement", F.col("agreement")), single("procurement", procurement), single("organisation", F.col("org_number")), *[single("date", F.col(c)) for c in ("valid_from", "valid_to", "max_extension_to")])
-    facts = rows.select("draft", "agreement", F.explode(each).alias("f")).select("draft", "agreement", "f.*").filter("key IS NOT NULL").distinct()
+    facts = cut(rows.select("draft", "agreement", F.explode(each).alias("f")).select("draft", "agreement", "f.*").filter("key IS NOT NULL").distinct())
     registered = facts.select("draft", "kind", "key").distinct()
 
     # Which declared agreements a sentence names: by number, or by a name whose first word it has.
@@ -255,7 +257,7 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     org = rows.join(found.filter("kind = 'organisation'").select("draft", F.col("key").alias("org_number")).distinct(), ["draft", "org_number"]).select("draft", "agreement")
     spelled = rows.join(drafts, "draft").filter(F.exists(F.array("number", "agreement_number", "org_number"), lambda s: F.contains(F.lower("text"), F.lower(F.trim(s))))).select("draft", "agreement")
     unused = rows.select("draft", "agreement", "number").distinct().join(named.select("draft", "agreement").union(org).union(spelled).distinct(), ["draft", "agreement"], "left_anti").select("draft", "number", F.lit("unused").alias("problem"))
-    about_numbers = wrong_number.union(lacking.select("draft", "number", F.lit("unknown"))).union(unused)
+    about_numbers = cut(wrong_number.union(lacking.select("draft", "number", F.lit("unknown"))).union(unused))
 
     # What backs a value.
     yes = lambda d, name: d.withColumn(name, F.lit(True))
@@ -284,11 +286,11 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     reached = _shifted(moves, "base", "n", "to", days).select("draft", "sentence", "unit", F.explode("to").alias("to"))
     slack = F.when(working, F.array(F.lit(0))).otherwise(F.array(*[F.lit(n) for n in (-1, 0, 1)]))
     reached = reached.withColumn("by", F.explode(slack)).select("draft", "sentence", F.date_add("to", F.col("by")).alias("day")).distinct()
-    computed = asked.join(reached, ["draft", "sentence", "day"], "left_semi").select("draft", "day").distinct()
+    computed = cut(asked.join(reached, ["draft", "sentence", "day"], "left_semi").select("draft", "day").distinct())
 
     # Calculations, done again; right ones back what they give.
     steps = cut(calculations(scanned, days))
-    given = stepped(steps, bases.union(computed)).union(computed).distinct()
+    given = cut(stepped(steps, bases.union(computed)).union(computed).distinct())
     mistaken = steps.filter("NOT ok").select("draft", "at", F.col("written").alias("raw"), "due")
 
     bad = v.filter("NOT backed_").join(given, ["draft", "day"], "left_anti").join(yes(lacking.select("draft", F.col("agreement").alias("key")), "lacking_"), ["draft", "key"], "left")
