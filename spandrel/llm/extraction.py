@@ -1,18 +1,20 @@
 """Main text of web pages by composite text density (Sun, Song & Liao 2011).
 
 Every DOM node gets its link-adjusted characters per tag. A block's density sum
-adds up the densities of the blocks in it, and of the text that it holds itself.
-The block with the largest sum is the main text, and the smallest density on its
-path up to the body is the threshold for all else: going up that path, an
-ancestor takes its place if most of what else it holds reaches the threshold, so
-that a title or a second section isn't lost; of the body only the children that
-reach it are added. Which tags or classes a page uses for its article plays no
-part in that.
+adds up the densities of the blocks in it, and of the text that it holds itself,
+which counts as one more block. The block with the largest sum is the main text,
+and the smallest density on its path up to the body is the threshold for all else:
+going up that path, an ancestor takes its place if most of what else it holds
+reaches the threshold, so that a title or a second section isn't lost; of the body
+only the children that reach it are added. Which tags or classes a page uses for
+its article plays no part in that.
 
 Scripts, styles, forms and hidden elements are no text. Elements that say by tag,
-role, class or id that they are menus, headers, footers, sidebars, notices,
-adverts or comments can't be chosen, add nothing to a sum, and are left out of
-what is chosen.
+role, class or id that they are headers, footers, sidebars, notices, adverts or
+comments hold sentences as an article does, which no density tells apart: they
+can't be chosen and add nothing to a sum. Menus and other lists of links are left
+to the densities, which rate links low. A page whose largest sum is a menu's has
+no article. What is named as any of these is left out of what is chosen.
 """
 
 from __future__ import annotations
@@ -57,13 +59,16 @@ MARKS = frozenset(
     "comment comments disqus reply replies discussion respond newsletter subscribe subscription signup login form search pagination pager toolbar skip copyright".split()
 )
 _WHOLE = frozenset("html body article main".split())
+#: Of these, the names of lists of links.
+_MENU_TAGS, _MENU_ROLES = frozenset(["nav", "menu"]), frozenset("navigation menu menubar toolbar".split())
+_MENU_MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs related recommended share sharing social pagination pager toolbar skip".split())
 
 
 class _Tree:
     """Nodes in document order: parent, tag, marks; texts as (node, text, block number)."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.out, self.unseen = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.out, self.unseen, self.menu = [-1], ["#root"], [False], [False], [False]
         self.texts: list[tuple[int, str, int]] = []
         self._block, self._stack, self._lead = 0, [0], set()
         at = 0
@@ -98,6 +103,7 @@ class _Tree:
         self.parent.append(self._stack[-1])
         self.tag.append(tag)
         self.out.append(self._boilerplate(tag, attributes))
+        self.menu.append(self._menu)
         self.unseen.append(self.unseen[self._stack[-1]] or tag in UNSEEN or self._hidden)
         if tag in ("h1", "main"):
             self._lead.update(self._stack)
@@ -118,7 +124,7 @@ class _Tree:
     def _boilerplate(self, tag: str, attributes: str) -> bool | None:
         """True: no part of an article. None: so by its class or as an article's header, unless it holds the title."""
         found: bool | None = False
-        self._hidden = False
+        self._hidden, self._menu = False, tag in _MENU_TAGS
         if tag in DROPPED:
             return True
         if tag == "header":
@@ -128,63 +134,82 @@ class _Tree:
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), "".join(values)
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                self._hidden = True
+                self._hidden, self._menu = True, False
                 return True
             if name == "role" and value.lower() in ROLES:
+                self._menu = value.lower() in _MENU_ROLES
                 return True
-            if name in ("class", "id") and tag not in _WHOLE and any(p.lower() in MARKS for p in _PART.findall(value)):
-                found = None
+            if name in ("class", "id") and tag not in _WHOLE:
+                marks = {p.lower() for p in _PART.findall(value)} & MARKS
+                if marks:
+                    self._menu = marks <= _MENU_MARKS and (self._menu or found is False)
+                    found = None
         return found
 
-    def pruned(self) -> list[bool]:
-        """Per node, whether it or one above it is no part of an article."""
+    def pruned(self, kept: list[bool] | None = None) -> list[bool]:
+        """Per node, whether it or one above it is no part of an article; those of kept don't count."""
         gone = [False] * len(self.tag)
         for i in range(1, len(self.tag)):
             own = self.out[i] is True or (self.out[i] is None and i not in self._lead)
-            gone[i] = gone[self.parent[i]] or own
+            gone[i] = gone[self.parent[i]] or (own and not (kept and kept[i]))
         return gone
 
 
-def _densities(tree: _Tree, chars: list[int]) -> tuple[list[float], list[int], list[int]]:
-    """Per node: composite density, characters, and those in links."""
+def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite density of c characters and t tags, of which lc and lt in links; share: the page's characters in links."""
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    links = max(0.0, math.log(c / max(lc, 1) * t / max(lt, 1) + 1e-9))
+    return c / t * links / math.log(base) if base > 1.0001 else c / t
+
+
+def _densities(tree: _Tree, chars: list[int]) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Per node: composite density, that of the text it holds itself if it is a block, characters, and those in links."""
     n = len(tree.tag)
     c, t, lc, lt = chars[:], [1] * n, [0] * n, [0] * n
-    link = [False] * n
-    for i in range(1, n):
-        link[i] = link[tree.parent[i]] or tree.tag[i] == "a"
+    link, up = [False] * n, _blocks(tree)
+    own = [[0, 0, 0, 0] for _ in range(n)]
+    for i in range(n):
+        link[i] = i > 0 and (link[tree.parent[i]] or tree.tag[i] == "a")
         if link[i]:
             lc[i], lt[i] = c[i], 1
+        for k, x in enumerate((c[i], i != up[i], lc[i], lt[i] if i != up[i] else 0)):
+            own[up[i]][k] += x
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         c[p] += c[i]
         lc[p] += lc[i]
         lt[p] += lt[i]
         t[p] += t[i]
-    t = [max(1, x - 1) for x in t]  # tags below a node; one at least
-    whole = max(c[0], 1)
-    density = [0.0] * n
-    for i in range(n):
-        if c[i]:
-            base = math.log(c[i] / max(c[i] - lc[i], 1) * lc[i] + lc[0] / whole * c[i] + math.e)
-            density[i] = c[i] / t[i] * max(0.0, math.log(c[i] / max(lc[i], 1) * t[i] / max(lt[i], 1) + 1e-9)) / max(math.log(base + 1e-9), 1e-6) if base > 1.0001 else c[i] / t[i]
-    return density, c, lc
+    share = lc[0] / max(c[0], 1)
+    # Tags below a node; one at least.
+    density = [_density(c[i], max(1, t[i] - 1), lc[i], lt[i], share) if c[i] else 0.0 for i in range(n)]
+    return density, [_density(x, max(1, k), lx, lk, share) if x else 0.0 for x, k, lx, lk in own], c, lc
 
 
-def _chosen(tree: _Tree, gone: list[bool], density: list[float], chars: list[int], c: list[int], lc: list[int]) -> set[int]:
-    """The nodes whose subtrees are the main text."""
+def _blocks(tree: _Tree) -> list[int]:
+    """Per node, the block that it is or stands in."""
+    up = [0] * len(tree.tag)
+    for i, tag in enumerate(tree.tag):
+        up[i] = i if i == 0 or tag in BLOCK else up[tree.parent[i]]
+    return up
+
+
+def _chosen(tree: _Tree, gone: list[bool], density: list[float], own: list[float], chars: list[int], c: list[int], lc: list[int]) -> set[int]:
+    """The nodes whose subtrees are the main text; none if it is a menu."""
     n = len(tree.tag)
-    block = [i == 0 or tag in BLOCK for i, tag in enumerate(tree.tag)]
-    up, own, total, inner = [0] * n, [0] * n, [0.0] * n, [0] * n
-    for i in range(n):
-        up[i] = i if block[i] else up[tree.parent[i]]
-        own[up[i]] += chars[i]
-        if i and block[i] and c[i] and not gone[i]:
+    # Half in links at least, or densities can't tell a menu from text.
+    away = tree.pruned([m and 2 * lc[i] >= c[i] for i, m in enumerate(tree.menu)])
+    up, total, inner = _blocks(tree), own[:], [0] * n
+    for i in range(1, n):
+        if up[i] == i and c[i] and not away[i]:
             above = up[tree.parent[i]]
             total[above] += density[i]
             inner[above] += 1
-    choice = [i for i in range(n) if inner[i] and not gone[i]]
-    # Without a block that holds others, the one with the most text of its own.
-    best = max(choice, key=lambda i: (total[i] + own[i], -i)) if choice else max((i for i in range(n) if not gone[i]), key=lambda i: (own[i], -i))
+    choice = [i for i in range(n) if inner[i] and not away[i]]
+    # Without a block that holds others, the one with the densest text of its own.
+    best = max(choice or (i for i in range(n) if not away[i]), key=lambda i: (total[i], -i))
+    if gone[best]:
+        return set()
     threshold, i = density[best], best
     while i > 0:
         threshold = min(threshold, density[i])
@@ -219,8 +244,8 @@ def main_text(source: str) -> str:
         chars[i] += len(" ".join(x.split()))
     if not any(n and not g for n, g in zip(chars, gone, strict=True)):
         return ""
-    density, c, lc = _densities(tree, chars)
-    roots = _chosen(tree, gone, density, chars, c, lc)
+    density, own, c, lc = _densities(tree, chars)
+    roots = _chosen(tree, gone, density, own, chars, c, lc)
     # Where the page itself is the main text, links ahead of all else are a menu.
     page = next((i for i in sorted(roots) if i == 0 or tree.tag[i] in ("html", "body")), None)
     first = next((i for i in range(len(tree.tag)) if chars[i] and not gone[i] and lc[i] * 2 <= c[i] and i != page), 0) if page is not None else 0

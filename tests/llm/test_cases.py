@@ -424,6 +424,17 @@ def test_comments_longer_than_the_article_are_not_chosen():
     assert len(got.split("\n\n")) == 3
 
 
+def test_menus_are_left_to_the_densities():
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(60))
+    menu = f"<nav><ul>{links}</ul></nav>"
+    for source in (f"{menu}<article><p>Short.</p></article>", f"{menu}<div>Short.</div>{menu}", f"<div class=menu>{links}</div>Short.<ul class='pager'>{links}</ul>"):
+        assert extraction.main_text(f"<body>{source}</body>") == "Short."
+    assert extraction.main_text(f"<body>{menu}</body>") == ""
+    # A menu of sentences without links is judged by its name.
+    assert extraction.main_text(f"<body><nav>{_paragraphs(20)}</nav><div><p>Short.</p></div></body>") == "Short."
+    assert extraction.main_text(f"<body><div class='menu cookie'>{_paragraphs(20)}</div><footer>{_paragraphs(20)}</footer><div><p>Short.</p></div></body>") == "Short."
+
+
 def test_extraction_edges(spark):
     df = spark.createDataFrame([(i, "u", h, 1) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = extraction.extract(df)

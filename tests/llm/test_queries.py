@@ -150,6 +150,19 @@ def test_op10_articles(spark):
         assert r["text"] == "\n\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"])
 
 
+def test_op10_densities_decide(spark, monkeypatch):
+    """On the pages as they are: constant densities lose a third of the articles, inverted ones all."""
+    from spandrel.llm import extraction
+
+    pages = [r["html"] for r in table(spark, MEDIUM, "pages").collect()]
+    wanted = [extraction.main_text(h) for h in pages]
+    share = lambda: sum(extraction.main_text(h) == w for h, w in zip(pages, wanted, strict=True)) / len(pages)
+    own = extraction._densities
+    for change, most in ((lambda d: float(d > 0), 0.75), (lambda d: d and 1 / (1 + d), 0.01)):
+        monkeypatch.setattr(extraction, "_densities", lambda *a, f=change: (*([f(d) for d in part] for part in own(*a)[:2]), *own(*a)[2:]))
+        assert share() < most
+
+
 def test_op10_needs_no_names(spark, monkeypatch):
     """The same pages with divs for all sectioning elements and without classes: densities still find the articles, constant ones don't."""
     import re
