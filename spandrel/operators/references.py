@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import dates, identifiers
 
+
 def identifiers_in(blocks: DataFrame) -> DataFrame:
     """(doc, position, kind, value, role): procurement and organisation numbers; those inside parentheses are citations."""
     number = r"23\.[0-9][-–.][0-9]{2,7}[-–][0-9]{2,4}(?:[-–:][0-9]{2,3}(?:-[A-Z])?)?"
@@ -20,17 +21,6 @@ def identifiers_in(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc", "position", F.explode(facts).alias("f")).select("doc", "position", "f.*").distinct()
 
 
-def parties(blocks: DataFrame) -> DataFrame:
-    """(doc, position, org_number, placeholder): the number after "organisationsnummer", which may stand in the next block."""
-    w = Window.partitionBy("doc").orderBy("position")
-    both = blocks.withColumn("text2", F.concat_ws(" ", "text", F.lead("text").over(w)))
-    at = r"(?iu)(?:organisationsnummer|org\.?\s*nr)[.:\s|]*"
-    field = F.trim(F.regexp_extract("text2", at + r"([^\n|,;]{0,30})", 1))
-    value = F.regexp_extract(field, r"^(SE ?[0-9]{10,12}|[0-9]{6} ?-? ?[0-9]{4})", 1)
-    named = both.filter(F.col("text").rlike(at)).withColumn("org_number", identifiers.normalize_org_number(F.when(value != "", value)))
-    return named.select("doc", "position", "org_number", (F.col("org_number").isNull() & identifiers.is_placeholder(field)).alias("placeholder"))
-
-
 # Month names.
 MONTHS = "januari februari mars april maj juni juli augusti september oktober november december".split()
 

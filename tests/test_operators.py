@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions import text
-from spandrel.operators import chunking, merge, metrics, references, register, search, validation
+from spandrel.operators import chunking, merge, metrics, parties, references, register, search, validation
 from spandrel.sources import pages
 from spandrel.streaming import increments
 from tests.conftest import rows
@@ -97,7 +97,7 @@ def register_fixture(spark):
     raw = [
         (1, "23.3-1-2020-001".replace("-1-", "-10-"), "AB One (f.d. Zero AB)", "5560804212", "IT", "Nord / Kiruna", "2020-01-01", "2024-12-31", ""),
         (2, "23.3-10-2020-001", "AB One", "5560804212", "IT", "Nord / Kiruna", "2020-02-01", "2025-12-31", "2026-12-31"),
-        (3, "23.3-10-2020-001", "AB Two", "202100-0829", "IT", "Syd", "2020-01-01", "2024-12-31", ""),
+        (3, "23.3-10-2020-001", "AB Two", "556914-7720", "IT", "Syd", "2020-01-01", "2024-12-31", ""),
         (4, "23.3-7702-20:002", "Fi Oy", "FI01148912", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
         (5, "bad", "X", "5560804212", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
         (6, "23.3-10-2020-003", " ", "5560804212", "IT", "Syd", "2020-01-01", "2023-12-31", ""),
@@ -194,11 +194,10 @@ def test_references(spark):
     assert ("law", "2016:1145") in got and ("section", "3") not in got
 
 
-def test_dates_and_parties(spark):
-    df = spark.createDataFrame([("d", 0, "Gäller 2024-01-01 – 2025-12-31, signerat 3 mars 2024, fel 2024-02-30."), ("d", 1, "Organisationsnummer:"), ("d", 2, "556080-4212"), ("d", 3, "Org.nr XXXXXX-XXXX")], "doc string, position int, text string")
+def test_dates(spark):
+    df = spark.createDataFrame([("d", 0, "Gäller 2024-01-01 – 2025-12-31, signerat 3 mars 2024, fel 2024-02-30.")], "doc string, position int, text string")
     r = df.filter("position = 0").select(references.dates_in(F.col("text")), references.period_in(F.col("text"))).first()
     assert [str(x) for x in r[0]] == ["2024-01-01", "2025-12-31", "2024-03-03"] and str(r[1]["end"]) == "2025-12-31"
-    assert rows(references.parties(df), "position", "org_number", "placeholder") == [(1, "556080-4212", False), (3, None, True)]
 
 
 def test_longest_prefix(spark):
@@ -275,3 +274,27 @@ def test_lookups_and_spellings(spark):
     scope = spark.createDataFrame([("IT", "P1")], "framework_area string, procurement_number string")
     with pytest.raises(KeyError, match="food"):
         catalog.procurements_for_areas(scope, ["it", "food"])
+
+
+def test_parties(spark):
+    clause = "mellan Staten, organisationsnummer 202100-0829, nedan Staten, och {}, organisationsnummer {} nedan Leverantören."
+    df = spark.createDataFrame(
+        [
+            ("a", 0, "text", "Avtal " + clause.format("Firma\nEtt AB", "556914-7720, med säte i Lund,")),
+            ("b", 0, "text", "Avtal Mellan Byn, Org nr: 212000–4321, (nedan Byn), och Två AB,"),
+            ("b", 1, "page_header", "mellan X, organisationsnummer"),
+            ("b", 2, "text", "organisationsnummer 55691-4 nedan kallad ”Säljaren” " + clause.format("Tre AB", "XXXXXX-XXXX")),
+            ("c", 0, "text", "avtal mellan Ett, organisationsnummer 1, nedan X"),
+            ("c", 1, "text", None),
+            ("c", 2, "text", "och Två, organisationsnummer 556914-7720, nedan Y"),
+        ],
+        "doc string, position int, kind string, text string",
+    )
+    got = rows(parties.find_parties(df), "doc", "position", "kind", "rule", "value", "name")
+    assert got == [
+        ("a", 0, "party", "E1", "556914-7720", "Firma Ett AB"),
+        ("b", 0, "party", "E1-customer", "212000-4321", "Byn"),
+        ("b", 2, "party", "E1", "55691-4", "Två AB"),
+        ("b", 2, "placeholder", "E1", "party", "Tre AB"),
+    ]
+    assert parties.find_parties(df.filter("false")).count() == 0
