@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spandrel.llm.common import forget, written
 
-#: A node with more neighbours than this is joined by broadcast, if there are at most so many such nodes.
+#: Nodes with more neighbours than this are joined by broadcast: so many, those with the most neighbours.
 HOT, HOT_NODES = 1000, 50_000
 
 
@@ -30,11 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the smallest of u's neighbours. The edges of a node with very many don't meet in one task."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_"))
-    hot = least.filter(F.col("n_") > HOT).select("u", "m").limit(HOT_NODES + 1).collect()
-    if not hot or len(hot) > HOT_NODES:
+    hot = least.filter(F.col("n_") > HOT).orderBy(F.desc("n_"), "u").limit(HOT_NODES).select("u", "m").collect()
+    if not hot:
         return edges.join(least.drop("n_"), "u")
     few = F.broadcast(edges.sparkSession.createDataFrame(hot, "u long, m long"))
-    return edges.join(few, "u").unionByName(edges.join(few.select("u"), "u", "left_anti").join(least.filter(F.col("n_") <= HOT).drop("n_"), "u"))
+    return edges.join(few, "u").unionByName(edges.join(few.select("u"), "u", "left_anti").join(least.drop("n_"), "u"))
 
 
 def _stars(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import forget, small_batches, small_enough, table, written
@@ -136,15 +136,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with one row of each group: of the smallest doc_id, and of its rows one. Rows with a null doc_id all stay."""
+    """docs with one row of each group: of the smallest doc_id, and of its rows the first in the order of its columns. Rows with a null doc_id all stay; columns may have any names."""
     found = near_duplicates(docs, width).filter(~F.col("kept")).select("doc_id").distinct()
     found = F.broadcast(found) if small_enough(found, BROADCAST_IDS) else found
     left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
     twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     if twice.isEmpty():
         return left
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns]))
-    several = left.join(twice, "doc_id", "left_semi").select(docs.columns).withColumn("once_", once).filter("once_ = 1").drop("once_")
+    rows = left.join(twice, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    several = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
     return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(several)
 
 

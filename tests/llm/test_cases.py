@@ -202,6 +202,13 @@ def test_neardup_edges(docs, none):
     assert left.columns == docs.columns and rows(left, "doc_id") == sorted([(1,), (3,), (4,), (None,), (5,), (6,)], key=repr)
 
 
+def test_deduplicated_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, 2, "b", None), (1, text, 1, "c", 5), (2, text, 0, "a", 1), (3, "other", 3, None, 2)], "doc_id long, text string, once_ int, row string, count long")
+    left = neardup.deduplicated(docs)
+    assert left.columns == docs.columns and rows(left) == [(1, text, 1, "c", 5), (3, "other", 3, None, 2)]
+
+
 def test_neardup_chains_and_copies(spark):
     """A chain of small changes is one component though its ends differ; many copies are one class; shared lines link nothing."""
     base = [f"w{i}" for i in range(60)]
