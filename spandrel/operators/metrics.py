@@ -35,7 +35,7 @@ def cost(tokens: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
 
     tokens: (by..., model, input_tokens, cached_tokens, output_tokens); prices: (model, input, cached, output) per million.
     """
-    priced = tokens.join(F.broadcast(prices), "model", "left")
+    priced = tokens.join(prices, "model", "left")
     own = ((F.col("input_tokens") - F.col("cached_tokens")) * F.col("input") + F.col("cached_tokens") * F.col("input") * F.col("cached") + F.col("output_tokens") * F.col("output")) / 1e6
     known = F.bool_and(F.col("input").isNotNull())
     return priced.groupBy(*by).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("output_tokens").alias("output_tokens"), F.when(known, F.round(F.sum(own), 6)).alias("cost"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.functions import text
+from spandrel.functions.lineage import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -44,9 +45,11 @@ def term_index(counts: DataFrame) -> DataFrame:
 
 
 def with_dense_id(df: DataFrame, by: str, out: str, buckets: int = 64) -> DataFrame:
-    """df with out: 0-based position in the order of the distinct values of by, numbered in range buckets."""
-    width = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(by), "utf-8")), 1, 4), 4, "0"), 16, 10).cast("int")
-    bucketed = df.withColumn("bucket_", F.coalesce(width, F.lit(0)))
+    """df with out: 0-based position in the order of the distinct values of by, numbered in ranges of about equal size, at most `buckets`.
+
+    The ranges are kept as a checkpoint, as a second sample of splitters might differ.
+    """
+    bucketed = cut(df.repartitionByRange(buckets, by).withColumn("bucket_", F.spark_partition_id()))
     sizes = bucketed.groupBy("bucket_").agg(F.count("*").alias("n_"))
     before = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))).drop("n_")
     rank = F.row_number().over(Window.partitionBy("bucket_").orderBy(by))

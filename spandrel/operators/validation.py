@@ -99,7 +99,7 @@ def coverage(agreements: DataFrame, files: DataFrame) -> DataFrame:
 def accept(findings: DataFrame, accepted: DataFrame) -> DataFrame:
     """findings with accepted_reason, from (key, reason): the key is check:sha256:subject."""
     key = F.concat_ws(":", "check", F.substring("sha256", 1, 12), "subject")
-    return findings.withColumn("key", key).join(F.broadcast(accepted), "key", "left").withColumnRenamed("reason", "accepted_reason")
+    return findings.withColumn("key", key).join(accepted, "key", "left").withColumnRenamed("reason", "accepted_reason")
 
 
 def quarantine(findings: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def merge_insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = _stored(spark, sf_dir)
     scope = spark.createDataFrame([("BUILDING",)], "seg string")
-    return merge.replace(s, n.join(F.broadcast(scope), "seg", "left_semi").select(n.columns), scope, ["seg"])
+    return merge.replace(s, n.join(scope, "seg", "left_semi").select(n.columns), scope, ["seg"])
 
 
 @query(f"WITH {_STORED} SELECT s.k, s.v, s.seg, CASE WHEN s.k IN (SELECT k FROM n) THEN NULL WHEN s.k % 5 = 0 THEN DATE '2026-01-01' ELSE DATE '2026-10-07' END AS missing_since FROM s", dates=("missing_since",))

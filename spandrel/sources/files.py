@@ -24,7 +24,7 @@ def register_rows(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     # Ids are consecutive within a split; a split's lines come after those of the splits before it.
     splits = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.join(F.broadcast(splits.withColumn("before", before)), "split").select("value", (F.col("at") - F.col("first") + F.col("before") + 1).alias("source_row"))
+    numbered = lines.join(splits.withColumn("before", before), "split").select("value", (F.col("at") - F.col("first") + F.col("before") + 1).alias("source_row"))
     head = [r["value"].split("\t") for r in numbered.filter("source_row <= 2").orderBy("source_row").collect()]
     if len(head) < 2 or tuple(c.strip() for c in head[1]) != HEADER:
         raise ValueError("the second line isn't the register's header")
