@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.functions import identifiers
@@ -34,14 +36,16 @@ _SEARCH = "SELECT agreement_number, procurement_number, supplier_name, org_numbe
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows; source_row is a decimal, as the numbers made from the keys of large tables need more than 64 bits."""
     t = lambda n: read(spark, sf_dir, n)
     lines = spread(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     joined = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     joined = joined.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = lambda c: F.col(c).cast("string")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    keys = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
     return joined.select(
-        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 2600 + F.datediff("l_shipdate", F.lit("1995-01-01"))).alias("source_row"),
+        (keys.cast("decimal(20,0)") * 2600 + F.datediff("l_shipdate", F.lit("1995-01-01"))).alias("source_row"),
         F.concat(F.lit("23.3-"), (F.col("o_orderkey") + 10).cast("string"), F.lit("-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0")).alias("agreement"),
         F.when(F.col("l_suppkey") % 7 == 0, F.concat("s_name", F.lit("  (f.d. Old "), "s_name", F.lit(")"))).otherwise(F.col("s_name")).alias("supplier"),
         F.when(F.col("l_suppkey") % 11 == 0, F.concat(F.lit("fi"), (F.col("l_suppkey") + 10000000).cast("string"))).when(F.col("l_suppkey") % 13 == 0, "abc").otherwise(F.concat((F.col("l_suppkey") + 5560000000).cast("string"), F.lit("  "))).alias("org"),
@@ -53,6 +57,12 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _numbers(*columns: str) -> dict[str, Column]:
+    """Row numbers as 64-bit integers, for results. Beyond these SQL has no value, and the lower 64 bits are returned; rows are compared by whole numbers before."""
+    half, whole = F.lit(Decimal(2**63)), F.lit(Decimal(2**64))
+    return {c: (F.pmod(F.col(c) + half, whole) - half).cast("long") for c in columns}
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.normalize(raw_rows(spark, sf_dir))[0]
 
@@ -64,13 +74,13 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @query(f"WITH {_ROWS} SELECT * REPLACE (array_to_string(sub_area_path, '|') AS sub_area_path) FROM rows_", dates=("valid_from", "valid_to", "max_extension_to"))
 def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register rows that could be read."""
-    return rows(spark, sf_dir).withColumn("sub_area_path", F.array_join("sub_area_path", "|"))
+    return rows(spark, sf_dir).withColumns({**_numbers("source_row"), "sub_area_path": F.array_join("sub_area_path", "|")})
 
 
 @query(f"WITH {_ROWS} SELECT source_row, CASE WHEN org_number IS NULL THEN 'org has an unknown format' ELSE 'max_extension_to has an unknown format' END AS reason FROM read WHERE org_number IS NULL OR odd")
 def register_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register rows that couldn't, and why."""
-    return register.normalize(raw_rows(spark, sf_dir))[1]
+    return register.normalize(raw_rows(spark, sf_dir))[1].withColumns(_numbers("source_row"))
 
 
 @query(f"WITH {_TABLES} SELECT * FROM agreements")
@@ -102,12 +112,12 @@ SELECT source_row, 'org_number' AS kind, first_row FROM k JOIN f USING (agreemen
 UNION ALL SELECT source_row, 'repeated', first_row FROM k JOIN o USING (agreement_number, org_number, framework_area, path) WHERE source_row > first_row""")
 def register_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that contradict or repeat an earlier one."""
-    return register.conflicts(rows(spark, sf_dir))
+    return register.conflicts(rows(spark, sf_dir)).withColumns(_numbers("source_row", "first_row"))
 
 
 @query(f"WITH {_ROWS} SELECT org_number, min(source_row) AS source_row, arg_min(supplier_name, source_row) AS supplier_name FROM rows_ WHERE NOT regexp_matches(org_number, '^[0-9]{{6}}-[0-9]{{4}}$') GROUP BY 1")
 def register_foreign_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register.foreign_org_numbers(rows(spark, sf_dir))
+    return register.foreign_org_numbers(rows(spark, sf_dir)).withColumns(_numbers("source_row"))
 
 
 @query(f"WITH {_TABLES}, a AS ({_SEARCH}) SELECT * FROM a WHERE sub_area ILIKE '%zone 1%' AND lower(framework_area) = 'asia' AND DATE '1996-06-01' BETWEEN valid_from AND valid_to", dates=("valid_from", "valid_to", "max_extension_to"))
