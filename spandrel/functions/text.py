@@ -214,7 +214,7 @@ def excerpt(text: Column, start: Column, end: Column, size: int = 400) -> Column
     low, high = F.greatest(start - F.floor(room / 2), F.lit(0)).cast("int"), F.least(end + F.floor(room / 2), F.length(text)).cast("int")
     part = F.substring(text, low + 1, high - low)
     part = F.when(low > 0, F.concat(F.lit("… "), F.regexp_replace(part, r"^\S*\s", ""))).otherwise(part)
-    return F.when(high < F.length(text), F.concat(F.regexp_replace(part, r"\s\S*$", ""), F.lit(" …"))).otherwise(part)
+    return F.when(high < F.length(text), F.concat(F.regexp_replace(part, r"\s\S*\z", ""), F.lit(" …"))).otherwise(part)
 
 
 # Swedish number words.

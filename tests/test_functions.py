@@ -106,3 +106,13 @@ def test_quote_form(spark):
 
 def test_number_words(spark):
     assert [one(spark, text.number_of, w) for w in ("tre", "Tjugofem", "99", "hundra")] == [3, 25, 99, None]
+
+
+@pytest.mark.parametrize(("raw", "wanted"), [("901000/05", "901000/05"), ("96-1234567-2015", "96-1234567-2015"), ("23.3-012345678-2021", "23.3-12345678-2021"), ("23.3.123456789012-20:11", "23.3-123456789012-2020-011")])
+def test_agreement_key_of_long_serials(spark, raw, wanted):
+    assert one(spark, identifiers.agreement_key, raw) == wanted
+
+
+def test_excerpt_before_a_final_line_break(spark):
+    said = F.lit("aaaa bbbb cccc dddd.\neeee")
+    assert one(spark, lambda t: text.excerpt(t, F.lit(5), F.lit(9), 32), said) == "aaaa bbbb cccc dddd. …"
