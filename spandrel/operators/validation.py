@@ -148,11 +148,14 @@ def latest_wording(cited: DataFrame, amendments: DataFrame) -> DataFrame:
 
     amendments: (target_sha256, target_section_position, sha256, section_position); a null target position is the whole file.
     """
-    c, a = cited.alias("c"), amendments.alias("a")
-    due = c.join(a, F.col("c.sha256") == F.col("a.target_sha256")).filter(F.col("a.target_section_position").isNull() | (F.col("a.target_section_position") == F.col("c.section_position")))
-    due = due.select(F.col("c.draft").alias("draft"), F.col("c.sha256").alias("of_sha256"), F.col("c.section_position").alias("of_position"), F.col("a.sha256").alias("sha256"), F.col("a.section_position").alias("section_position"))
-    done = due.join(cited, ["draft", "sha256", "section_position"], "left_semi").select("draft", "of_sha256", "of_position")
-    return due.join(done, ["draft", "of_sha256", "of_position"], "left_anti").select("draft", F.col("of_sha256").alias("sha256"), F.col("of_position").alias("section_position")).distinct()
+    cited = cited.select("draft", "sha256", "section_position").distinct()
+    c = cited.toDF("draft", "of_sha256", "of_position")
+    # However often a section was amended by the same one, drafts meet it once.
+    a = amendments.select(F.col("target_sha256").alias("of_sha256"), F.col("target_section_position").alias("of_position"), "sha256", "section_position").distinct()
+    due = c.join(a.filter("of_position IS NULL").drop("of_position"), "of_sha256").unionByName(c.join(a.filter("of_position IS NOT NULL"), ["of_sha256", "of_position"]))
+    met = due.join(cited.withColumn("done_", F.lit(True)), ["draft", "sha256", "section_position"], "left")
+    open_ = met.groupBy("draft", "of_sha256", "of_position").agg(F.count("done_").alias("done_")).filter("done_ = 0")
+    return open_.select("draft", F.col("of_sha256").alias("sha256"), F.col("of_position").alias("section_position"))
 
 
 def line_coverage(lines: DataFrame, sections: DataFrame, least: int = 25) -> DataFrame:
