@@ -2,14 +2,16 @@
 
 Window functions and folds over short arrays do what looks at neighbours. The
 search for the best chain and the runs of list markers are sequential in one
-document, and go through pandas a document at a time.
+document, and read sorted rows in Arrow batches.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +89,35 @@ def best_chain(numbers: list[tuple[int, ...]], scores: list[float], listed: list
 def choose(candidates: DataFrame) -> DataFrame:
     """(doc, position, number, title, level) of the best chain of each document's candidates (doc, position, number, title, score, listed); number as text."""
     doc = candidates.schema["doc"].dataType.simpleString()
+    columns = ("doc", "position", "number", "title", "score", "listed")
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("position", kind="stable").reset_index(drop=True)
-        numbers = [tuple(map(int, n.split("."))) for n in frame["number"]]
-        kept = frame.iloc[best_chain(numbers, frame["score"].tolist(), frame["listed"].tolist())]
-        return kept.assign(level=kept["number"].str.count(r"\.") + 1)[["doc", "position", "number", "title", "level"]]
+    def work(rows: list[tuple]) -> list[tuple]:
+        numbers = [tuple(map(int, r[2].split("."))) for r in rows]
+        kept = best_chain(numbers, [r[4] for r in rows], [r[5] for r in rows])
+        return [(*rows[i][:4], len(numbers[i])) for i in kept]
 
-    return candidates.groupBy("doc").applyInPandas(work, f"doc {doc}, position long, number string, title string, level long")
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of sorted rows, one after another; one may go on in the next batch."""
+        rows: list[tuple] = []
+        names, types = (*columns[:4], "level"), None
+        for batch in batches:
+            types, found = [*(batch.column(i).type for i in range(4)), pa.int64()], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][0] != row[0]:
+                    found += work(rows)
+                    rows = []
+                rows.append(row)
+            yield _batch(found, names, types)
+        if rows:
+            yield _batch(work(rows), names, types)
+
+    ordered = candidates.select("doc", F.col("position").cast("long").alias("position"), *columns[2:]).repartition("doc").sortWithinPartitions("doc", "position")
+    return ordered.mapInArrow(chains, f"doc {doc}, position long, number string, title string, level long")
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...], types: Sequence[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
 # Numbers that a table of contents doesn't print
@@ -181,23 +204,24 @@ def markers_first(blocks: DataFrame) -> DataFrame:
     items = blocks.select("doc", "position", marker.alias("marker"), place.alias("place")).filter("marker IS NOT NULL").withColumn("digits", F.col("marker").rlike("^[0-9]"))
     types = {c: items.schema[c].dataType.simpleString() for c in ("doc", "position")}
 
-    def runs(frame: pd.DataFrame) -> pd.DataFrame:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The items in a run of two or more: each is one more than the last that was taken, or a 1 that begins anew."""
-        run, last, number = [], None, 0
-        for place in frame.sort_values("position", kind="stable")["place"]:
-            if last is not None and place == last + 1:
-                last = place
-            elif place == 1:
-                last, number = 1, number + 1
-            else:
-                run.append(0)
-                continue
-            run.append(number)
-        got = frame.sort_values("position", kind="stable").assign(run=run)
-        got = got[got["run"] > 0]
-        return got[got.groupby("run")["run"].transform("size") > 1][["doc", "position"]]
-
-    moved = items.groupBy("doc", "digits").applyInPandas(runs, f"doc {types['doc']}, position {types['position']}").distinct().withColumn("moved_", F.lit(True))
+        list_, last, head = None, None, None
+        for batch in batches:
+            kept = []
+            for doc, digits, position, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, digits) != list_:
+                    list_, last, head = (doc, digits), None, None
+                if last is not None and place == last + 1:
+                    kept += [(doc, position)] if head is None else [head, (doc, position)]
+                    last, head = place, None
+                elif place == 1:
+                    last, head = 1, (doc, position)
+            yield _batch(kept, ("doc", "position"), (batch.column(0).type, batch.column(2).type))
+
+    # Lists are read one after another, in pieces of any size.
+    ordered = items.select("doc", "digits", "position", "place").repartition("doc", "digits").sortWithinPartitions("doc", "digits", "position")
+    moved = ordered.mapInArrow(runs, f"doc {types['doc']}, position {types['position']}").distinct().withColumn("moved_", F.lit(True))
     met = blocks.join(moved, ["doc", "position"], "left")
     front = lambda form, dot: F.concat(F.regexp_extract("text", form, 2), F.regexp_extract("text", form, 3) if dot else F.lit(""), F.lit(" "), F.regexp_extract("text", form, 1))
     return met.withColumn("text", F.when(bullet, front(BULLET, False)).when(F.col("moved_"), front(TRAILING, True)).otherwise(F.col("text"))).select(blocks.columns)
