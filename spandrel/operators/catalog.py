@@ -112,8 +112,9 @@ def paired_runs(a: DataFrame, b: DataFrame, by: str = "question") -> DataFrame:
 def claimed_agreements(drafts: DataFrame) -> DataFrame:
     """drafts (required, declared: arrays of numbers) with hits, misses and extra: how many numbers, by key, are in both, required only, declared only."""
     keys = lambda c: F.array_distinct(F.filter(F.transform(c, identifiers.agreement_key), lambda k: k.isNotNull()))
-    r, d = keys("required"), keys("declared")
-    return drafts.withColumns({"hits": F.size(F.array_intersect(r, d)), "misses": F.size(F.array_except(r, d)), "extra": F.size(F.array_except(d, r))})
+    r, d = "required_", "declared_"
+    keyed = drafts.withColumns({r: keys("required"), d: keys("declared")})
+    return keyed.withColumns({"hits": F.size(F.array_intersect(r, d)), "misses": F.size(F.array_except(r, d)), "extra": F.size(F.array_except(d, r))}).drop(r, d)
 
 
 def removed(stored: DataFrame, new: DataFrame) -> DataFrame:

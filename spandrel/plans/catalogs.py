@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spandrel.functions import dates, text
 from spandrel.operators import catalog, chunking, periods, reports, runs, tools, validation
 from spandrel.plans import registers
-from spandrel.plans.common import query, read
+from spandrel.plans.common import query, read, spread
 from spandrel.plans.registers import _ROWS, _TABLES
 from spandrel.sources import pages
 
@@ -133,7 +133,7 @@ def agreements_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many agreements of a draft are right, missing and too many, however they are written."""
     k = F.col("c_custkey")
     long, short = lambda x: F.concat(F.lit("23.3-10"), _s(x), F.lit("-2021-001")), lambda x: F.concat(F.lit("23.3.10"), _s(x), F.lit("-21:01"))
-    drafts = read(spark, sf_dir, "customer").select(k.alias("draft"), F.array(long(k % 4), short(k % 3)).alias("required"), F.array(long(k % 3), short(F.lit(5)), F.lit("none")).alias("declared"))
+    drafts = spread(read(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("draft"), F.array(long(k % 4), short(k % 3)).alias("required"), F.array(long(k % 3), short(F.lit(5)), F.lit("none")).alias("declared"))
     return catalog.claimed_agreements(drafts).drop("required", "declared")
 
 

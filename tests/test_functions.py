@@ -116,3 +116,10 @@ def test_agreement_key_of_long_serials(spark, raw, wanted):
 def test_excerpt_before_a_final_line_break(spark):
     said = F.lit("aaaa bbbb cccc dddd.\neeee")
     assert one(spark, lambda t: text.excerpt(t, F.lit(5), F.lit(9), 32), said) == "aaaa bbbb cccc dddd. …"
+
+
+def test_agreement_key_reads_a_number_once(spark):
+    """Each part of a number is one expression of the plan: a Column named twice would be read twice."""
+    forms = spark.createDataFrame([("23.3.07701-19:14",), ("23.3.12.20",), (None,)], "raw string").select(identifiers.agreement_key(F.col("raw")).alias("key"))
+    assert forms._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 60
+    assert [r.key for r in forms.collect()] == ["23.3-7701-2019-014", None, None]
