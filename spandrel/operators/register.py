@@ -22,15 +22,15 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "name": identifiers.supplier_name(F.col("supplier")),
         "org_number": identifiers.normalize_org_number(F.trim("org")),
         "sub_area_path": identifiers.sub_area_path(F.trim("sub_area")),
-        "from_": dates.iso_date(F.col("valid_from")),
-        "to_": dates.iso_date(F.col("valid_to")),
-        "extension_": dates.iso_date(F.col("max_extension_to")),
+        "from": dates.iso_date(F.col("valid_from")),
+        "to": dates.iso_date(F.col("valid_to")),
+        "extension": dates.iso_date(F.col("max_extension_to")),
     }
-    # inline() evaluates the forms once: a filter on them can't be pushed below it, where they would be evaluated again.
-    read = raw.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))))
+    # A filter on what inline() returns can't be pushed below it, where the forms would be evaluated again.
+    read = raw.select("*", *[c.alias(f"{n}_") for n, c in parts.items()]).select(*raw.columns, F.inline(F.array(F.struct(*[F.col(f"{n}_").alias(n) for n in parts]))))
     rules = [*[(blank(c), f"{c} is empty") for c in ("agreement", "supplier", "org", "area", "sub_area", "valid_from", "valid_to")]]
-    rules += [(F.col(p).isNull(), f"{c} has an unknown format") for p, c in (("number", "agreement"), ("org_number", "org"), ("sub_area_path", "sub_area"), ("from_", "valid_from"), ("to_", "valid_to"))]
-    rules += [(~blank("max_extension_to") & F.col("extension_").isNull(), "max_extension_to has an unknown format")]
+    rules += [(F.col(p).isNull(), f"{c} has an unknown format") for p, c in (("number", "agreement"), ("org_number", "org"), ("sub_area_path", "sub_area"), ("from", "valid_from"), ("to", "valid_to"))]
+    rules += [(~blank("max_extension_to") & F.col("extension").isNull(), "max_extension_to has an unknown format")]
     judged = read.withColumn("reason", F.coalesce(*[F.when(test, text) for test, text in rules]))
     rows = judged.filter("reason IS NULL").select(
         "source_row",
@@ -42,9 +42,9 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "org_number",
         F.trim("area").alias("framework_area"),
         "sub_area_path",
-        F.col("from_").alias("valid_from"),
-        F.col("to_").alias("valid_to"),
-        F.col("extension_").alias("max_extension_to"),
+        F.col("from").alias("valid_from"),
+        F.col("to").alias("valid_to"),
+        F.col("extension").alias("max_extension_to"),
     )
     return rows, judged.filter("reason IS NOT NULL").select("source_row", "reason")
 

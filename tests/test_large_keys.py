@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from spandrel.operators import register
 from spandrel.plans import registry
 from tests.conftest import SMALL, rows
 
@@ -34,3 +35,9 @@ def test_register_of_large_keys(spark, shifted, name):
     assert rows(small, *kept) == rows(large, *kept)
     if name == "register_rows":
         assert large.select("source_row").distinct().count() == small.count()
+
+
+def test_normalize_reads_a_name_once(spark):
+    raw = spark.createDataFrame([(1, *["x"] * len(register.RAW))], ["source_row", *register.RAW])
+    plan = register.normalize(raw)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(supplier") == 1
