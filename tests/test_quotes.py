@@ -32,6 +32,22 @@ def test_find(text, quote, match, part):
     assert (kind, text[start:end] if start >= 0 else "") == (match, part)
 
 
+@pytest.mark.parametrize("join_lines", [False, True])
+def test_plain_is_folded_text(join_lines):
+    for text in ["", "-", "\n", "a- \n-b–\n", "IT-\n\nstöd\u00ad\n“x” ﬁ", "--\n", *[t for pair in FOUND for t in pair[:2]]]:
+        assert quotes._plain(text, join_lines) == quotes.folded(text, join_lines)[0]
+
+
+def test_locate_meets_the_pages_ahead_and_no_others(spark):
+    """A quote is asked for in two stretches of pages at most, not once for every page."""
+    pages = spark.createDataFrame([("d", n, f"Text på sidan nummer {n}.") for n in range(-3, 40)], "doc string, page int, text string")
+    asked = spark.createDataFrame([("d", f"sidan nummer {n + away}.", n) for n in range(-3, 25) for away in (-1, 0, 10, 11)], "doc string, quote string, page int")
+    got = quotes.locate(asked, pages)
+    wanted = sorted((n, n + away, "full") if away in (0, 10) else (n, n, "none") for n in range(-3, 25) for away in (-1, 0, 10, 11))
+    assert sorted((r["page"], r["found_on"], r["match"]) for r in got.collect()) == wanted
+    assert "explode(sequence(page" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_locate(spark):
     pages = spark.createDataFrame([("d", 1, LONG), ("d", 2, "Hela citatet här"), ("d", 20, "Hela citatet här"), ("d", 3, None), ("e", 1, "Hela citatet här")], "doc string, page int, text string")
     asked = [("d", "Hela citatet", 1, "a"), ("d", "Hela citatet", 3, "b"), ("d", f"{LONG} varje dag", 1, "c"), ("x", "Hela citatet", 1, "d"), ("d", None, 2, "e"), ("d", "Hela citatet", 1, "f")]
