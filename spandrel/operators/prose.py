@@ -206,13 +206,15 @@ def stepped(steps: DataFrame, bases: DataFrame) -> DataFrame:
     return per.select("draft", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("chains")), F.array().cast("array<date>"), add)).alias("day"))
 
 
-def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame, passages: DataFrame, days: DataFrame, today: Column) -> DataFrame:
+def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame, passages: DataFrame, days: DataFrame, today: Column, withdrawn: DataFrame | None = None) -> DataFrame:
     """(draft, at, kind, raw, problem, due): what drafts say of the register that nothing backs.
 
     drafts: (draft, text), one row each; declared: (draft, number), the agreements
     that a draft takes its facts from; register: (agreement_number, supplier_name,
     former_names, org_number, valid_from, valid_to, max_extension_to); passages:
-    (draft, text), cited sections and the user's own words; days: the calendar.
+    (draft, text), cited sections and the user's own words; days: the calendar;
+    withdrawn: (draft, number), agreements that the register hasn't any more, or not
+    yet, for a draft, though its rows have them for others.
 
     Problems: not_a_number, unknown and unused (a declared number, at null),
     malformed, unbacked, check_digit, not_of_named (an organisation or date of
@@ -236,8 +238,12 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     wrong_number = keyed.filter("agreement IS NULL").select("draft", "number", F.lit("not_a_number").alias("problem"))
     keyed = keyed.filter("agreement IS NOT NULL").groupBy("draft", "agreement").agg(F.min("number").alias("number"))
     listed = register.select("agreement_number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("agreement_number"))).filter("agreement IS NOT NULL")
-    rows = cut(keyed.join(register.join(listed, "agreement_number"), "agreement"))
-    lacking = keyed.join(listed.select("agreement").distinct(), "agreement", "left_anti")
+    in_force, lacking = keyed, keyed.join(listed.select("agreement").distinct(), "agreement", "left_anti")
+    if withdrawn is not None:
+        gone = withdrawn.select("draft", identifiers.agreement_key(F.col("number")).alias("agreement")).filter("agreement IS NOT NULL").distinct()
+        in_force = keyed.join(gone, ["draft", "agreement"], "left_anti")
+        lacking = lacking.unionByName(keyed.join(gone, ["draft", "agreement"], "left_semi")).distinct()
+    rows = cut(in_force.join(register.join(listed, "agreement_number"), "agreement"))
 
     single = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
     procurement = F.regexp_replace("agreement", r"^(.*?[0-9]{4})-[0-9]{3}(?:-[A-Z])?$", "$1")

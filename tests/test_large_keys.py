@@ -3,11 +3,13 @@
 import os
 import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spandrel.operators import register
 from spandrel.plans import registry
+from tests import oracle
 from tests.conftest import SMALL, rows
 
 MORE = 1_000_000_000
@@ -41,3 +43,15 @@ def test_normalize_reads_a_name_once(spark):
     raw = spark.createDataFrame([(1, *["x"] * len(register.RAW))], ["source_row", *register.RAW])
     plan = register.normalize(raw)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(supplier") == 1
+
+
+def test_prose_facts_of_many_customers(spark, tmp_path):
+    """From 89,001 customers on, a customer has the number that a draft of an earlier one calls gone."""
+    for name in oracle.TABLES:
+        shutil.copy(os.path.join(SMALL, f"{name}.parquet"), tmp_path)
+    more = f"SELECT * FROM '{SMALL}/customer.parquet' UNION ALL SELECT * REPLACE (c_custkey + 89000 AS c_custkey) FROM '{SMALL}/customer.parquet'"
+    os.remove(tmp_path / "customer.parquet")
+    duckdb.connect().execute(f"COPY ({more}) TO '{tmp_path}/customer.parquet'")
+    duckdb.connect().execute(f"COPY (SELECT * FROM '{SMALL}/orders.parquet' WHERE o_orderkey % 40 < 8) TO '{tmp_path}/few.parquet'")
+    os.replace(tmp_path / "few.parquet", tmp_path / "orders.parquet")
+    oracle.same(spark, "check_prose_facts", registry.QUERIES["check_prose_facts"], registry.ORACLE_SQL["check_prose_facts"], str(tmp_path))
