@@ -112,5 +112,5 @@ def end_outcome(end: Column, extension_months: Column, valid_to: Column, max_ext
 
 
 def iso_date(text: Column) -> Column:
-    """A date written yyyy-MM-dd; null for anything else."""
-    return F.when(F.trim(text).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.trim(text), "yyyy-MM-dd"))
+    """A date written yyyy-MM-dd; null for anything else. A cast reads it several times as fast as a pattern does."""
+    return F.when(F.trim(text).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.trim(text).try_cast("date"))

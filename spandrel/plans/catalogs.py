@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.functions import dates, text
+from spandrel.functions.lineage import cut
 from spandrel.operators import catalog, chunking, periods, reports, runs, tools, validation
 from spandrel.plans import registers
 from spandrel.plans.common import query, read, spread
@@ -72,7 +73,8 @@ def register_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT procurement_number AS page_id, agreement_number FROM p JOIN rows_ USING (procurement_number) WHERE len(list_filter(sub_area_path, lambda x: lower(x) = lower(title))) > 0""")
 def page_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreements in the sub-area that a procurement's page is named after."""
-    rows = registers.rows(spark, sf_dir)
+    # Pages are made from the rows that they meet, so rows are read once.
+    rows = cut(registers.rows(spark, sf_dir).select("agreement_number", "procurement_number", "sub_area_path"))
     pages = rows.select("procurement_number").distinct().select(F.col("procurement_number").alias("page_id"), F.concat(F.lit("zone "), _s(F.length("procurement_number") % 3)).alias("title"), "procurement_number")
     return catalog.page_scope(pages, rows)
 

@@ -42,7 +42,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     joined = joined.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = lambda c: F.col(c).cast("string")
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    day = lambda c: F.col(c).cast("date").cast("string")
     keys = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
     return joined.select(
         (keys.cast("decimal(20,0)") * 2600 + F.datediff("l_shipdate", F.lit("1995-01-01"))).alias("source_row"),
@@ -53,7 +53,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("n_name", F.lit(" / Zone "), (F.col("l_linenumber") % 3).cast("string")).alias("sub_area"),
         day("o_orderdate").alias("valid_from"),
         day("l_shipdate").alias("valid_to"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.date_format(F.date_add(F.col("l_shipdate").cast("date"), 365), "yyyy-MM-dd")).when(F.col("l_linenumber") == 7, "soon").otherwise("").alias("max_extension_to"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.date_add(F.col("l_shipdate").cast("date"), 365).cast("string")).when(F.col("l_linenumber") == 7, "soon").otherwise("").alias("max_extension_to"),
     )
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from spandrel.functions import dates
 from spandrel.operators import register
 from spandrel.plans import registry
 from tests import oracle
@@ -55,3 +56,15 @@ def test_prose_facts_of_many_customers(spark, tmp_path):
     duckdb.connect().execute(f"COPY (SELECT * FROM '{SMALL}/orders.parquet' WHERE o_orderkey % 40 < 8) TO '{tmp_path}/few.parquet'")
     os.replace(tmp_path / "few.parquet", tmp_path / "orders.parquet")
     oracle.same(spark, "check_prose_facts", registry.QUERIES["check_prose_facts"], registry.ORACLE_SQL["check_prose_facts"], str(tmp_path))
+
+
+def test_iso_dates_are_cast(spark):
+    said = ["2024-02-29", " 2024-02-29 ", "2023-02-29", "0001-01-01", "2024-2-9", "2024-01-01\n", "2024-01-01 10:00", "2024-13-01", "", None]
+    df = spark.createDataFrame([(s,) for s in said], "s string").select("s", dates.iso_date(F.col("s")).alias("d"))
+    assert {r.s: str(r.d) for r in df.collect() if r.d} == {"2024-02-29": "2024-02-29", " 2024-02-29 ": "2024-02-29", "0001-01-01": "0001-01-01"}
+    assert "gettimestamp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_page_scopes_read_the_register_once(spark):
+    plan = registry.QUERIES["page_scopes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
