@@ -76,15 +76,16 @@ def mentions(sections: DataFrame) -> DataFrame:
     read = sentences.withColumn("replaces", F.col("sentence").rlike(verb) & ~F.col("sentence").rlike(doubt)).withColumn("rest_0", F.regexp_replace("sentence", _LAW, " "))
     every = [_tagged(F.regexp_extract_all("sentence", F.lit(r"\((\d{4}:\d+)\)"), F.lit(1)), "law")]
     for n, (kind, pattern, group, with_) in enumerate(_FORMS):
-        rest = f"rest_{n}"
-        keys = F.regexp_extract_all(rest, F.lit(pattern), F.lit(group))
+        rest, keys = F.col(f"rest_{n}"), F.col(f"keys_{n}")
+        # Most sentences have few of the forms: only where one is found is its text taken away.
+        read = read.withColumn(f"keys_{n}", F.regexp_extract_all(rest, F.lit(pattern), F.lit(group)))
         if with_:
-            names = F.regexp_extract_all(rest, F.lit(pattern), F.lit(with_))
-            every.append(F.transform(F.arrays_zip(keys.alias("k"), names.alias("n")), lambda x: F.struct(F.lit("section").alias("kind"), x["k"].alias("key"), F.lower(x["n"]).alias("named"))))
+            read = read.withColumn(f"names_{n}", F.when(F.size(keys) > 0, F.regexp_extract_all(rest, F.lit(pattern), F.lit(with_))).otherwise(F.array().cast("array<string>")))
+            every.append(F.transform(F.arrays_zip(keys.alias("k"), F.col(f"names_{n}").alias("n")), lambda x: F.struct(F.lit("section").alias("kind"), x["k"].alias("key"), F.lower(x["n"]).alias("named"))))
         else:
-            keys = F.flatten(F.transform(keys, lambda k: F.regexp_extract_all(k, F.lit(r"\d+(?:\.\d+)*"), F.lit(0)))) if kind in ("section", "annex") else keys
-            every.append(_tagged(keys, kind))
-        read = read.withColumn(f"rest_{n + 1}", F.regexp_replace(rest, pattern, " "))
+            each = F.flatten(F.transform(keys, lambda k: F.regexp_extract_all(k, F.lit(r"\d+(?:\.\d+)*"), F.lit(0)))) if kind in ("section", "annex") else keys
+            every.append(_tagged(each, kind))
+        read = read.withColumn(f"rest_{n + 1}", F.when(F.size(keys) > 0, F.regexp_replace(rest, pattern, " ")).otherwise(rest))
     found = read.select("doc", "position", "replaces", F.explode(F.concat(*every)).alias("m"))
     return found.select("doc", "position", "m.kind", F.lower(F.trim("m.key")).alias("key"), "m.named", "replaces").distinct()
 
@@ -119,7 +120,8 @@ def resolve(found: DataFrame, sections: DataFrame, files: DataFrame) -> DataFram
     several are ambiguous, and what names the file itself is its own. Files on a page
     meet mentions by page and number, or page and the beginnings of names.
     """
-    key = ["doc", "position", "kind", "key", "named"]
+    # No rule asks where in its file a mention stands: equal mentions of a file are resolved once.
+    key = ["doc", "kind", "key", "named"]
     asked = found.select(*key).distinct()
     numbered = sections.filter("number IS NOT NULL").groupBy(F.col("doc").alias("target_doc"), "number").agg(F.min("position").alias("target_position"))
     on_page = asked.join(files.select("page", "doc").distinct(), "doc")
@@ -154,7 +156,7 @@ def resolve(found: DataFrame, sections: DataFrame, files: DataFrame) -> DataFram
     targets = targets.unionByName(r4.withColumn("by", by(4, "R4"))).unionByName(r4p.withColumn("by", by(5, "R4p")))
     best = targets.groupBy(*key).agg(F.min(F.struct("by", "n", "t", "self")).alias("x")).select(*key, "x.*")
     status = F.when(F.col("n").isNull(), UNRESOLVED).when(F.col("self"), SELF).when(F.col("n") > 1, AMBIGUOUS).otherwise(RESOLVED)
-    return found.join(best, key, "left").select(*key, "replaces", status.alias("status"), F.col("by.rule").alias("rule"), F.col("t.target_doc").alias("target_doc"), F.col("t.target_position").alias("target_position"))
+    return found.join(best, key, "left").select("doc", "position", "kind", "key", "named", "replaces", status.alias("status"), F.col("by.rule").alias("rule"), F.col("t.target_doc").alias("target_doc"), F.col("t.target_position").alias("target_position"))
 
 
 def resolution_rate(references: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions import dates
-from spandrel.operators import register
-from spandrel.plans import registry
+from spandrel.operators import references, register
+from spandrel.plans import common, registry
 from tests import oracle
 from tests.conftest import SMALL, rows
 
@@ -68,3 +68,18 @@ def test_iso_dates_are_cast(spark):
 def test_page_scopes_read_the_register_once(spark):
     plan = registry.QUERIES["page_scopes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan
+
+
+def test_equal_mentions_of_a_file_are_resolved_once(spark):
+    found = spark.createDataFrame([(1, 1, "section", "2", "", False), (1, 5, "section", "2", "", True), (2, 7, "section", "2", "", False), (2, 7, "title", "scope of it", "", False)], "doc long, position long, kind string, key string, named string, replaces boolean")
+    sections = spark.createDataFrame([(1, 3, "2", "Scope"), (2, 8, "1", "Scope")], "doc long, position long, number string, title string")
+    files = spark.createDataFrame([(1, 1, "A", None, "annex"), (1, 2, "B", None, "annex")], "page long, doc long, title string, annex string, document_type string")
+    got = references.resolve(found, sections, files)
+    want = [(1, 1, False, "resolved", "R1", 1, 3), (1, 5, True, "resolved", "R1", 1, 3), (2, 7, False, "resolved", "R4", 2, 8), (2, 7, False, "unresolved", None, None, None)]
+    assert rows(got, "doc", "position", "replaces", "status", "rule", "target_doc", "target_position") == sorted(want, key=repr)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any(" position#" in line or "(position#" in line for line in joins)
+
+
+def test_spread_by_rows(spark):
+    assert common.spread(spark.range(100), 10).rdd.getNumPartitions() == 10
