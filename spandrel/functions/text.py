@@ -20,10 +20,10 @@ blev oss din dessa några deras blir mina samma vilken er sådan vår blivit des
 mellan sådant varför varje vilka ditt vem vilket sitta sådana vart dina vars vårt våra
 ert era vilkas ska skall
 """.split()  # noqa: SIM905
-# Tokens, tried in this order.
+# Tokens, tried in this order; all but the last begin with a digit.
 TOKEN = (
-    r"(?U)23\.\d[-–.]\d{2,7}[-–]\d{2,4}(?:[-–:]\d{2,3}(?:-[a-z])?)?(?![\p{L}\p{N}])|9\d-\d{1,6}-(?:19|20)\d{2}(?![\p{L}\p{N}])"
-    r"|\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}])|\d{6}-\d{4}(?![\p{L}\p{N}])|\d+(?:\.\d+)+|[\p{L}\p{N}]+"
+    r"(?U)(?=\d)(?:23\.\d[-–.]\d{2,7}[-–]\d{2,4}(?:[-–:]\d{2,3}(?:-[a-z])?)?(?![\p{L}\p{N}])|9\d-\d{1,6}-(?:19|20)\d{2}(?![\p{L}\p{N}])"
+    r"|\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}])|\d{6}-\d{4}(?![\p{L}\p{N}])|\d+(?:\.\d+)+)|[\p{L}\p{N}]+"
 )
 #: Letters that two code points can spell: only texts with combining marks need composing.
 _MARKS = r"[̀-ͯ]"

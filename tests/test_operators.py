@@ -298,3 +298,31 @@ def test_parties(spark):
         ("b", 2, "placeholder", "E1", "party", "Tre AB"),
     ]
     assert parties.find_parties(df.filter("false")).count() == 0
+
+
+def test_stems_are_counted_within_rows(spark):
+    said = [(1, ["avtal", "avtalet", "vite"]), (2, ["viten", "2.1", "vite"]), (2, ["vite", "vite", "x"]), (2, ["vite"]), (3, []), (4, None), (5, [None, "avtalen"])]
+    c = spark.createDataFrame(said, "chunk long, terms array<string>")
+    for some in (c, c.filter("chunk <> 2")):
+        counts = search.stem_counts(some)
+        want = search.stems(search.term_counts(some))
+        assert counts.dtypes == want.select(*counts.columns).dtypes and rows(counts) == rows(want, *counts.columns)
+    plan = search.stem_counts(c.filter("chunk <> 2"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_postings_with_a_vocabulary_send_no_posting(spark):
+    c = spark.createDataFrame([(1, ["avtal", "vite"]), (2, ["vite", "vite", "x"]), (3, [])], "chunk long, terms array<string>")
+    counts = search.stem_counts(c)
+    words = search.vocabulary(counts)
+    assert rows(search.corpus_of(c, words)) == rows(search.corpus(c)) == [(3, 5 / 3)]
+    got = search.postings(counts, search.corpus_of(c, words), vocabulary_=words)
+    assert rows(got) == rows(search.postings(search.stems(search.term_counts(c)), search.corpus(c)))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(search.corpus_of(c.filter("false"), search.vocabulary(search.stem_counts(c.filter("false"))))) == rows(search.corpus(c.filter("false")))
+
+
+def test_query_postings_analyse_texts_once(spark):
+    c = spark.createDataFrame([(1, "Avtal om vite"), (2, None)], "chunk long, text string").select("chunk", text.analysed(F.col("text")).alias("terms"))
+    plan = search.query_postings(c, ["vit"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
