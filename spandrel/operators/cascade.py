@@ -79,6 +79,12 @@ def _counted(targets: DataFrame, *by: str) -> DataFrame:
     return one.groupBy(*by, "published").agg(F.count("*").alias("n"), F.min(F.struct("doc_", "position_")).alias("t"), F.bool_and(F.coalesce(F.col("type") == TENDER, F.lit(False))).alias("tender"))
 
 
+def _summed(targets: DataFrame, *by: str) -> DataFrame:
+    """_counted() of targets (by..., doc_, published, type, n_, position_) that stand for n_ sections of a file each, position_ the first."""
+    one = targets.select(*by, "doc_", "n_", F.col("position_").cast("long").alias("position_"), "published", "type").distinct()
+    return one.groupBy(*by, "published").agg(F.sum("n_").alias("n"), F.min(F.struct("doc_", "position_")).alias("t"), F.bool_and(F.coalesce(F.col("type") == TENDER, F.lit(False))).alias("tender"))
+
+
 def nearest_in_outline(asked: DataFrame, headings: DataFrame) -> DataFrame:
     """asked (doc, number, head, ...) with n and t: of a file's sections with that heading those nearest to the number that asks.
 
@@ -88,12 +94,22 @@ def nearest_in_outline(asked: DataFrame, headings: DataFrame) -> DataFrame:
     counted once for every beginning of its number, and the longest beginning that
     is met decides, so that equal headings aren't compared with each other.
     """
+    return _nearest(asked, _equal_headings(headings))
+
+
+def _equal_headings(headings: DataFrame) -> DataFrame:
+    """(doc, number, level, head, n_, position): headings that differ in their position alone, counted, with the first."""
+    return headings.groupBy("doc", "number", "level", "head").agg(F.count("*").alias("n_"), F.min("position").alias("position"))
+
+
+def _nearest(asked: DataFrame, headings: DataFrame) -> DataFrame:
+    """nearest_in_outline() of _equal_headings()."""
     beginnings = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda k: F.array_join(F.slice(F.split(c, r"\."), 1, k), "."))
     t = F.struct(F.col("doc").alias("doc_"), F.col("position").cast("long").alias("position_"))
     numbered = headings.filter("number IS NOT NULL AND number <> ''").withColumn("start_", F.explode(beginnings(F.col("number"))))
-    levels = numbered.groupBy("doc", "head", "start_", "level").agg(F.count("*").alias("n"), F.min(t).alias("t"))
+    levels = numbered.groupBy("doc", "head", "start_", "level").agg(F.sum("n_").alias("n"), F.min(t).alias("t"))
     near = levels.groupBy("doc", "head", "start_").agg(F.min_by(F.struct("n", "t"), "level").alias("near_"))
-    every = headings.groupBy("doc", "head").agg(F.struct(F.count("*").alias("n"), F.min(t).alias("t")).alias("all_"))
+    every = headings.groupBy("doc", "head").agg(F.struct(F.sum("n_").alias("n"), F.min(t).alias("t")).alias("all_"))
     asked = asked.withColumn("from_", F.coalesce("number", F.lit("")))
     own = asked.select("doc", "from_", "head").distinct()
     found = own.filter("from_ <> ''").withColumn("start_", F.explode(beginnings(F.col("from_")))).join(near, ["doc", "head", "start_"])
@@ -137,18 +153,21 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     there is any. targets counts them. Null keys, numbers and titles match
     nothing; repeated rows count once; empty tables give no rows.
     """
-    # One row per mention, with what its own file and section are.
+    # One row per mention, with what its own section says. Mentions of a file that differ in their position alone have one outcome: the first of them is resolved.
     seen = sections.groupBy("doc", "position").agg(F.min("number").alias("own_number"), F.min(question_day(F.col("text"))).alias("day"))
     kinds = cut(files.groupBy("doc").agg(F.min("document_type").alias("type"), F.min("annex_number").alias("annex_number"), F.min("published_on").alias("published")))
     links = cut(links.select("page", "doc", title_form(F.col("title")).alias("title")).distinct())
-    m = cut(mentions.select(*KEY).distinct().join(seen, ["doc", "position"], "left").join(kinds.select("doc", "type"), "doc", "left"))
+    every = mentions.select(*KEY).distinct().join(seen, ["doc", "position"], "left")
+    alike = ["doc", "kind", "key", "named", "own_number", "day"]
+    m = cut(every.groupBy(*alike).agg(F.min("position").alias("position")).join(kinds.select("doc", "type"), "doc", "left"))
     is_ = lambda *names: F.col("kind").isin(*names)
     log, amends = F.coalesce(F.col("type") == LOG, F.lit(False)), F.coalesce(F.col("type") == AMENDMENT, F.lit(False))
     on_page = lambda d: d.join(links.select("page", "doc").distinct(), "doc")
 
     # What many rules read, and each rule's candidates, are computed once: the plans stay small.
     numbered = cut(sections.filter("number IS NOT NULL AND number <> ''").groupBy(F.col("doc").alias("doc_"), F.col("number").alias("key")).agg(F.min("position").alias("position_")))
-    headings = cut(sections.filter("title IS NOT NULL").select("doc", "position", "number", "level", heading_form(F.col("title")).alias("head")).filter("head <> ''"))
+    all_headings = sections.filter("title IS NOT NULL").select("doc", "position", "number", "level", heading_form(F.col("title")).alias("head")).filter("head <> ''")
+    headings = cut(_equal_headings(all_headings))
     chapters = headings.filter("level = 1").select(F.col("doc").alias("doc_"), F.col("position").alias("position_"), "number", F.regexp_replace(title_form(F.col("head")), r"^utkast\s+", "").alias("name")).groupBy("doc_", "name").agg(F.min_by(F.struct("position_", "number"), "position_").alias("c")).select("doc_", "name", "c.*")
     about = kinds.select(F.col("doc").alias("doc_"), "type", "published")
     listed = cut(links.select("page", F.col("doc").alias("doc_"), "title").join(about, "doc_"))
@@ -214,19 +233,19 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
 
     # Titles: phrases meet headings by their first words, per file or per page; the longest that fits decides in each file.
     titled = m.filter(is_("title")).withColumn("phrase", heading_form(F.col("key"))).filter("phrase IS NOT NULL")
-    heads = headings.select(F.col("doc").alias("doc_"), F.col("position").alias("position_"), "head")
+    heads = cut(all_headings.select("doc", "position", "head").distinct().groupBy(F.col("doc").alias("doc_"), "head").agg(F.count("*").alias("n_"), F.min("position").alias("position_")))
     phrases = on_page(titled).select("page", "phrase").distinct()
-    page_heads = listed.select("page", "doc_", "type", "published").distinct().join(heads.select("doc_", "head").distinct(), "doc_")
+    page_heads = listed.select("page", "doc_", "type", "published").distinct().join(heads.select("doc_", "head"), "doc_")
     met = beginning(phrases, page_heads, ["page"], "phrase", "head")
     matched = cut(_longest(met, ["page", "phrase", "doc_"]).join(heads, ["doc_", "head"]))
     say = asks.filter(is_("title")).withColumn("phrase", heading_form(F.col("key"))).drop("type")
-    named_t = _counted(matched.drop("type", "published").join(log_files, ["page", "doc_"]), "page", "doc", "phrase")
-    tender_t = _counted(matched.filter(F.col("type") == TENDER), "page", "phrase")
+    named_t = _summed(matched.drop("type", "published").join(log_files, ["page", "doc_"]), "page", "doc", "phrase")
+    tender_t = _summed(matched.filter(F.col("type") == TENDER), "page", "phrase")
     add(say.join(named_t, ["page", "doc", "phrase"]).filter(in_time), "R4q", 6)
     add(say.join(tender_t, ["page", "phrase"]), "R4q", 6, tier=2)
 
     own_met = _longest(beginning(titled.select("doc", "phrase").distinct(), headings.select("doc", "head").distinct(), ["doc"], "phrase", "head"), ["doc", "phrase"])
-    r4 = nearest_in_outline(titled.join(own_met, ["doc", "phrase"]).withColumn("number", F.col("own_number")), headings)
+    r4 = _nearest(titled.join(own_met, ["doc", "phrase"]).withColumn("number", F.col("own_number")), headings)
     add(r4.withColumns({"page": blank(dict(links.dtypes)["page"]), "published": blank("date"), "tender": F.lit(False)}), "R4", 7)
 
     # In an amendment: the annexes that its title names.
@@ -237,7 +256,7 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     hit = wanted.join(numbered.withColumnRenamed("key", "number"), ["doc_", "number"]).groupBy(*KEY, "day", "page", "doc_", "published", "type_").agg(F.min_by("position_", "k_").alias("position_")).withColumnRenamed("type_", "type")
     add(_counted(hit, *KEY, "day", "page"), "R1a", 8)
     amended_t = _longest(matched.drop("type", "published").join(covered, ["page", "doc_"]), ["page", "doc", "phrase"])
-    add(on_page(titled.filter(amends)).drop("type").join(_counted(amended_t, "page", "doc", "phrase"), ["page", "doc", "phrase"]), "R4a", 8)
+    add(on_page(titled.filter(amends)).drop("type").join(_summed(amended_t, "page", "doc", "phrase"), ["page", "doc", "phrase"]), "R4a", 8)
 
     add(inside(m.filter(is_("section") & (F.col("named") == "") & ~log).join(own_number, ["doc", "key"])), "R1", 9)
 
@@ -245,7 +264,7 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     page_t = _longest(matched, ["page", "phrase"]).withColumn("late", F.coalesce(F.col("type").isin(*PROCUREMENT_GROUP), F.lit(False)))
     first = page_t.groupBy("page", "phrase").agg(F.min("late").alias("late"))
     page_t = page_t.join(first, ["page", "phrase", "late"])
-    add(on_page(titled).drop("type").join(_counted(page_t, "page", "phrase"), ["page", "phrase"]), "R4p", 10)
+    add(on_page(titled).drop("type").join(_summed(page_t, "page", "phrase"), ["page", "phrase"]), "R4p", 10)
 
     # R3 and R5: annexes by number and by name.
     annexes = listed.withColumn("key", F.regexp_extract("title", r"^bilaga ([0-9]+(?:\.[0-9]+)*)(?![0-9.])", 1)).filter("key <> ''").withColumn("position_", blank("long"))
@@ -265,7 +284,15 @@ def resolve(mentions: DataFrame, sections: DataFrame, links: DataFrame, files: D
     add(stood.join(called_n, ["page", "name"]), "R5", 3)
     add(inside(m.filter(is_("question")).join(own_number, ["doc", "key"])), "RQ", 1)
 
-    return _decided(m, reduce(DataFrame.unionByName, parts), links, called)
+    found = _decided(m, reduce(DataFrame.unionByName, parts), links, called)
+    first = m.select(*alike, "position").toDF(*[f"{c}_" for c in alike], "position_")
+    outcome = cut(_null_safe(found, first, KEY).drop(*KEY, "position_"))
+    return _null_safe(every, outcome, alike).select(*found.columns)
+
+
+def _null_safe(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a joined with b, whose columns of by end in a line; nulls are equal."""
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by]))
 
 
 def _decided(m: DataFrame, candidates: DataFrame, links: DataFrame, called: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ r AS (SELECT DISTINCT doc, position, kind, key, named, 'resolved' AS status, rul
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Mentions, sections, links and files."""
-    s = read(spark, sf_dir, "orders").select(*[F.expr(e) for e in _split(_SECTION)]).withColumn("doc", F.expr("p * 10 + j"))
+    s = read(spark, sf_dir, "orders").select(*[F.expr(e) for e in _split(_SECTION)]).withColumn("doc", F.expr("p * 10 + j")).repartition("doc", "position")
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(key).alias("key"), F.expr(named).alias("named")) for k, key, named in zip(_KINDS, _KEYS, _GIVEN, strict=True)])
     mentions = s.select("doc", "position", F.explode(each).alias("m")).select("doc", "position", "m.*")
     files = s.select("doc", "p", "j").distinct()

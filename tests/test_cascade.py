@@ -142,3 +142,22 @@ def test_nearest_in_outline_equals_plain_python(spark):
     got = cascade.nearest_in_outline(asked, headings)
     wanted = sorted(((d, p, *plain(d, n, h)) for d, p, n, _, h in sections), key=repr)
     assert rows(got.selectExpr("doc", "position", "n", "t.position_")) == wanted
+
+
+def test_mentions_that_differ_in_position_are_resolved_once(spark, monkeypatch):
+    cut, sizes = cascade.cut, []
+
+    def counted(df):
+        found = cut(df)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(cascade, "cut", counted)
+    many = 30
+    sections = spark.createDataFrame([(7, i, "1", "Vite", 1, "") for i in range(many)], "doc long, position long, number string, title string, level int, text string")
+    mentions = spark.createDataFrame([(7, i, kind, key, "") for i in range(many) for kind, key in (("title", "vite"), ("section", None))], "doc long, position long, kind string, key string, named string")
+    links = spark.createDataFrame([("p", 7, "Allmänna villkor")], "page string, doc long, title string")
+    files = spark.createDataFrame([(7, "general_terms", None, None)], "doc long, document_type string, annex_number string, published_on date")
+    got = cascade.resolve(mentions, sections, links, files)
+    assert rows(got, "position", "kind", "status", "targets", "target_position") == sorted([(i, "title", "ambiguous", many, 0) for i in range(many)] + [(i, "section", "number_missing", 0, None) for i in range(many)], key=repr)
+    assert max(sizes) < 5
