@@ -46,10 +46,17 @@ def agreement_number(facts: DataFrame, cards: DataFrame) -> DataFrame:
     return own.join(card, "sha256", "left").filter("card_key IS NULL OR key <> card_key").select(*finding("agreement_number", QUARANTINE, F.col("key"))).distinct()
 
 
+#: Stated numbers that one task compares.
+NUMBERS = 500_000
+
+
 def org_numbers(facts: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Organisation numbers (sha256, value) that aren't among the file's suppliers (sha256, org_number)."""
-    known = suppliers.select("sha256", F.col("org_number").alias("value")).distinct()
-    return facts.join(known, ["sha256", "value"], "left_anti").select(*finding("org_numbers", QUARANTINE, F.col("value"))).distinct()
+    both = facts.select("sha256", "value", F.lit(False).alias("known_")).union(suppliers.select("sha256", "org_number", F.lit(True)))
+    parts = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts.count() // NUMBERS))
+    met = both.repartition(parts, "sha256", "value").groupBy("sha256", "value").agg(F.bool_or("known_").alias("known_"), F.bool_and("known_").alias("only_"))
+    # Nulls are no supplier's.
+    return met.filter(~F.col("only_") & ~(F.col("known_") & F.col("sha256").isNotNull() & F.col("value").isNotNull())).select(*finding("org_numbers", QUARANTINE, F.col("value")))
 
 
 def supplier_party(parties: DataFrame, register: DataFrame) -> DataFrame:
