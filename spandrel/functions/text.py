@@ -166,8 +166,9 @@ def quote_form(text: Column, compose: bool = False) -> Column:
     """
     if compose:
         text = _where(text.rlike(r"[^\x00-\xFF]|[ ª²-¾]"), text, _nfkc)
-    plain = F.translate(F.regexp_replace(text, "­\\s*", ""), _FROM, _TO)
-    return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
+    # Characters are translated one by one, and blanks written anew, only where there is something to change.
+    plain = _let(F.regexp_replace(text, "­\\s*", ""), lambda t: F.when(t.rlike(f"[{_FROM}]"), F.translate(t, _FROM, _TO)).otherwise(t))
+    return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s{2,}|[^\S ]", " ")))
 
 
 def trim_quote(quote: Column) -> Column:

@@ -133,9 +133,15 @@ def citations(drafts: DataFrame, sections: DataFrame) -> DataFrame:
     """
     said = text.quote_form(text.trim_quote(F.col("quote")), compose=True)
     whole = text.quote_form(F.col("text"), compose=True)
-    met = drafts.join(sections, ["sha256", "section_position"], "left").withColumn("said", said).withColumn("whole", whole)
-    problem = F.when(F.col("text").isNull(), "no_section").when(~F.col("whole").contains(F.col("said")), "not_verbatim").when((F.length("said") < MIN_QUOTE) & (F.col("said") != F.col("whole")), "too_short")
-    return met.withColumn("problem", problem).filter("problem IS NOT NULL").select("draft", "id", "problem")
+    met = drafts.join(sections, ["sha256", "section_position"], "left")
+
+    def problem(forms: Column) -> Column:
+        said, whole = forms["said"], forms["whole"]
+        return F.when(whole.isNull(), "no_section").when(~whole.contains(said), "not_verbatim").when((F.length(said) < MIN_QUOTE) & (said != whole), "too_short")
+
+    # A function of one argument holds the forms, and a list the problem, so that a text is read once.
+    forms = F.array(F.struct(said.alias("said"), whole.alias("whole")))
+    return met.select("draft", "id", F.explode(F.array_compact(F.transform(forms, problem))).alias("problem"))
 
 
 def marker_problems(drafts: DataFrame) -> DataFrame:

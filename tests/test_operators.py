@@ -326,3 +326,26 @@ def test_query_postings_analyse_texts_once(spark):
     c = spark.createDataFrame([(1, "Avtal om vite"), (2, None)], "chunk long, text string").select("chunk", text.analysed(F.col("text")).alias("terms"))
     plan = search.query_postings(c, ["vit"])._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_org_numbers_meet_in_one_pass(spark):
+    facts = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("b", None), (None, "3")], "sha256 string, value string")
+    suppliers = spark.createDataFrame([("a", "2"), ("a", "9"), ("b", None), (None, "3")], "sha256 string, org_number string")
+    got = validation.org_numbers(facts, suppliers)
+    assert rows(got, "sha256", "subject") == sorted([("a", "1"), ("b", None), (None, "3")], key=repr)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_citations_are_formed_once(spark):
+    drafts = spark.createDataFrame([(1, 1, "a", 1, "Vite  ska\tbetalas –  alltid")], "draft long, id int, sha256 string, section_position long, quote string")
+    sections = spark.createDataFrame([("a", 1, " Vite ska betalas - alltid\n\n")], "sha256 string, section_position long, text string")
+    got = validation.citations(drafts, sections)
+    assert rows(got) == []
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
+
+
+def test_visible_documents_find_once(spark):
+    from spandrel.plans import registry
+    from tests.conftest import SMALL
+
+    assert "c_custkey" not in registry.QUERIES["visible_documents"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
