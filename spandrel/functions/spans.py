@@ -32,7 +32,9 @@ def spans(text: Column, pattern: str) -> Column:
         return F.concat(found, F.array(F.struct(start.alias("start"), (start + F.length(x["raw"])).alias("end"), x["raw"].alias("raw"))))
 
     matched = F.filter(pairs, lambda x: x["raw"].isNotNull())
-    return F.coalesce(F.aggregate(matched, F.array().cast(f"array<{SPAN}>"), step), F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast(f"array<{SPAN}>")
+    # F.split compiles the pattern for every text anew: only those that have a match are cut.
+    return F.when(text.rlike(pattern), F.aggregate(matched, none, step)).otherwise(none)
 
 
 def claimed(text: Column, pattern: str, where: Callable[[Column], Column] | None = None, fill: str = " ") -> Column:
@@ -43,7 +45,8 @@ def claimed(text: Column, pattern: str, where: Callable[[Column], Column] | None
         blank = F.repeat(F.lit(fill), F.length(raw))
         return F.when(where(raw), blank).otherwise(raw) if where else blank
 
-    return F.array_join(F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("before"), found.alias("raw")), lambda x: F.concat(x["before"], F.coalesce(over(x["raw"]), F.lit("")))), "")
+    written = F.array_join(F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("before"), found.alias("raw")), lambda x: F.concat(x["before"], F.coalesce(over(x["raw"]), F.lit("")))), "")
+    return F.when(text.rlike(pattern), written).otherwise(text)
 
 
 def between(text: Column, start: Column, end: Column) -> Column:

@@ -234,7 +234,7 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
 
     # What is declared, and what the register has of it.
     numbers = declared.filter("number IS NOT NULL").select("draft", "number").distinct()
-    keyed = numbers.join(numbers.select("number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("number"))), "number")
+    keyed = cut(numbers.join(numbers.select("number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("number"))), "number"))
     wrong_number = keyed.filter("agreement IS NULL").select("draft", "number", F.lit("not_a_number").alias("problem"))
     keyed = keyed.filter("agreement IS NOT NULL").groupBy("draft", "agreement").agg(F.min("number").alias("number"))
     listed = register.select("agreement_number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("agreement_number"))).filter("agreement IS NOT NULL")
@@ -243,6 +243,7 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
         gone = withdrawn.select("draft", identifiers.agreement_key(F.col("number")).alias("agreement")).filter("agreement IS NOT NULL").distinct()
         in_force = keyed.join(gone, ["draft", "agreement"], "left_anti")
         lacking = lacking.unionByName(keyed.join(gone, ["draft", "agreement"], "left_semi")).distinct()
+    lacking = cut(lacking)
     rows = cut(in_force.join(register.join(listed, "agreement_number"), "agreement"))
 
     single = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))

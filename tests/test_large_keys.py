@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import dates
 from spandrel.operators import references, register
-from spandrel.plans import common, registry
+from spandrel.plans import common, prose_queries, registry
 from tests import oracle
 from tests.conftest import SMALL, rows
 
@@ -83,3 +83,14 @@ def test_equal_mentions_of_a_file_are_resolved_once(spark):
 
 def test_spread_by_rows(spark):
     assert common.spread(spark.range(100), 10).rdd.getNumPartitions() == 10
+
+
+def test_drafts_are_made_once_and_spread(spark, monkeypatch):
+    """However few splits and row groups the orders' file has, a task reads few drafts; and no step makes their texts anew."""
+    monkeypatch.setattr(prose_queries, "DRAFTS", 100)
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    found = prose_queries._drafts(spark, SMALL)
+    sizes = found[0].rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == orders and len(sizes) >= orders / 100 and max(sizes) < 200
+    for made in (found[0], found[1], found[3], found[4]):
+        assert "parquet" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
