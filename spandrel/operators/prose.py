@@ -10,6 +10,8 @@ by step, with the calendar.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,14 +122,14 @@ def values(scanned: DataFrame) -> DataFrame:
 
 
 def _facts(found: DataFrame) -> DataFrame:
-    """(draft, kind, key) of values; an agreement also gives its procurement."""
+    """(draft, kind, key) of values, as often as they give it; an agreement also gives its procurement."""
     own = found.select("draft", "kind", "key")
-    return own.union(found.filter("procurement IS NOT NULL").select("draft", F.lit("procurement"), "procurement")).distinct()
+    return own.union(found.filter("procurement IS NOT NULL").select("draft", F.lit("procurement"), "procurement"))
 
 
 def _with_single(facts: DataFrame) -> DataFrame:
     """facts, and agreements as procurements: a number without sequence may be an agreement with a single supplier."""
-    return facts.union(facts.filter("kind = 'agreement'").withColumn("kind", F.lit("procurement")).select(facts.columns)).distinct()
+    return facts.union(facts.filter("kind = 'agreement'").withColumn("kind", F.lit("procurement")).select(facts.columns))
 
 
 def _name_forms(rows: DataFrame) -> DataFrame:
@@ -237,10 +239,10 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     keyed = cut(numbers.join(numbers.select("number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("number"))), "number"))
     wrong_number = keyed.filter("agreement IS NULL").select("draft", "number", F.lit("not_a_number").alias("problem"))
     keyed = keyed.filter("agreement IS NOT NULL").groupBy("draft", "agreement").agg(F.min("number").alias("number"))
-    listed = register.select("agreement_number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("agreement_number"))).filter("agreement IS NOT NULL")
+    listed = cut(register.select("agreement_number").distinct().withColumn("agreement", identifiers.agreement_key(F.col("agreement_number")))).filter("agreement IS NOT NULL")
     in_force, lacking = keyed, keyed.join(listed.select("agreement").distinct(), "agreement", "left_anti")
     if withdrawn is not None:
-        gone = withdrawn.select("draft", identifiers.agreement_key(F.col("number")).alias("agreement")).filter("agreement IS NOT NULL").distinct()
+        gone = cut(withdrawn.select("draft", identifiers.agreement_key(F.col("number")).alias("agreement")).distinct()).filter("agreement IS NOT NULL")
         in_force = keyed.join(gone, ["draft", "agreement"], "left_anti")
         lacking = lacking.unionByName(keyed.join(gone, ["draft", "agreement"], "left_semi")).distinct()
     lacking = cut(lacking)
@@ -250,15 +252,18 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     procurement = F.regexp_replace("agreement", r"^(.*?[0-9]{4})-[0-9]{3}(?:-[A-Z])?$", "$1")
     each = F.array(single("agreement", F.col("agreement")), single("procurement", procurement), single("organisation", F.col("org_number")), *[single("date", F.col(c)) for c in ("valid_from", "valid_to", "max_extension_to")])
     facts = cut(rows.select("draft", "agreement", F.explode(each).alias("f")).select("draft", "agreement", "f.*").filter("key IS NOT NULL").distinct())
-    registered = facts.select("draft", "kind", "key").distinct()
+    registered = facts.select("draft", "kind", "key")
 
     # Which declared agreements a sentence names: by number, or by a name whose first word it has.
     said = found.filter("kind IN ('agreement', 'procurement')").select("draft", "sentence", F.explode(F.concat(F.array("key"), "covers")).alias("agreement"))
     by_number = said.join(rows.select("draft", "agreement").distinct(), ["draft", "agreement"]).select("draft", "sentence", "agreement")
     names = _name_forms(rows)
-    by_name = sentences.select("draft", "sentence", "said", F.explode(_words(F.col("said"))).alias("word")).join(names, ["draft", "word"]).filter(_says(F.col("said"), F.col("name"))).select("draft", "sentence", "agreement")
+    # A sentence keeps those of its words that begin a name of its draft.
+    firsts = names.groupBy("draft").agg(F.collect_set("word").alias("firsts"))
+    worded = sentences.select("draft", "sentence", "said").join(firsts, "draft").select("draft", "sentence", "said", F.explode(F.array_intersect(_words(F.col("said")), "firsts")).alias("word"))
+    by_name = worded.join(names, ["draft", "word"]).filter(_says(F.col("said"), F.col("name"))).select("draft", "sentence", "agreement")
     named = cut(by_number.union(by_name).distinct())
-    paired = named.join(facts, ["draft", "agreement"]).select("draft", "sentence", "kind", "key").distinct()
+    paired = named.join(facts, ["draft", "agreement"]).select("draft", "sentence", "kind", "key")
 
     # A declared agreement is used if it is named, its organisation is given, or its number stands there as it is spelled.
     org = rows.join(found.filter("kind = 'organisation'").select("draft", F.col("key").alias("org_number")).distinct(), ["draft", "org_number"]).select("draft", "agreement")
@@ -269,9 +274,16 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     # What backs a value.
     yes = lambda d, name: d.withColumn(name, F.lit(True))
     quoted = cut(values(cut(scan(passages.filter("text IS NOT NULL")))))
-    elsewhere = yes(_with_single(_facts(quoted)), "elsewhere_")
+    # What a draft's, or a sentence's, kinds and keys are, in one aggregation and one join; dates a day off the register's are keys as well.
+    around = lambda d: d.filter("kind = 'date'").withColumn("key", F.explode(F.transform(F.array(F.lit(-1), F.lit(1)), lambda n: F.date_add(F.to_date("key"), n).cast("string"))))
+
+    def flagged(by: list[str], **sides: DataFrame) -> DataFrame:
+        rows = [d.select(*by, *[F.lit(n == name).alias(n) for n in sides]) for name, d in sides.items()]
+        return reduce(DataFrame.union, rows).groupBy(*by).agg(*[F.bool_or(n).alias(n) for n in sides])
+
     v = found.join(yes(named.select("draft", "sentence").distinct(), "named_"), ["draft", "sentence"], "left")
-    v = v.join(yes(_with_single(registered), "registered_"), ["draft", "kind", "key"], "left").join(yes(paired, "paired_"), ["draft", "sentence", "kind", "key"], "left").join(elsewhere, ["draft", "kind", "key"], "left")
+    v = v.join(flagged(["draft", "kind", "key"], registered_=_with_single(registered), elsewhere_=_with_single(_facts(quoted)), near_=around(registered)), ["draft", "kind", "key"], "left")
+    v = v.join(flagged(["draft", "sentence", "kind", "key"], paired_=paired, close_=around(paired)), ["draft", "sentence", "kind", "key"], "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     strict = flag("named_") & F.col("kind").isin("organisation", "date")
     of_others = flag("named_") & flag("registered_") & ~flag("paired_")
@@ -279,8 +291,6 @@ def register_prose(drafts: DataFrame, declared: DataFrame, register: DataFrame,
     v = v.withColumn("backed_", backed)
 
     # Dates a day off the register's: of the named agreements if there are any, else of all declared ones.
-    around = lambda d: d.filter("kind = 'date'").withColumn("day", F.explode(F.transform(F.array(F.lit(-1), F.lit(1)), lambda n: F.date_add(F.to_date("key"), n)))).drop("kind", "key").distinct()
-    v = v.join(yes(around(paired), "close_"), ["draft", "sentence", "day"], "left").join(yes(around(registered), "near_"), ["draft", "day"], "left")
     v = cut(v.withColumn("off_", F.when(flag("named_"), flag("close_")).otherwise(flag("near_"))))
 
     # Dates that an offset of their sentence gives from a backed date or today.
